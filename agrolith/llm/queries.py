@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import sentencepiece_codec, sharding
+from agrolith.llm import pii, secrets, sentencepiece_codec, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -18,6 +18,14 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [secrets.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, sha256_of(secrets.joined(base)).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     placed = sharding.minimax_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -37,9 +45,19 @@ def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [secrets.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, sha256_of(secrets.joined(base)).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
+    "op10_trigram_secrets": op10_trigram_secrets,
 }
 
 #: DuckDB's form of a query, where it has one.
