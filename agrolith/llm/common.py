@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,30 +84,77 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-class WordHashes(dict):
-    """64-bit xxHash of words, kept for words that were seen; emptied when it grows too large."""
-
-    def __init__(self, most: int = 1_000_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, as UTF-8; bytes.lower and bytes.split touch ASCII only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: ASCII white space, and A-Z in lower case.
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+with np.errstate(over="ignore"):
+    _BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _PLACE_KEYS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+
+
+def _place_keys(place: np.ndarray) -> np.ndarray:
+    keys = _PLACE_KEYS[place & 4095]
+    if len(place) and place.max() > 4095:  # very long runs
+        far = place > 4095
+        keys[far] *= mix((place[far] >> 12).astype(np.uint64)) | np.uint64(1)
+    return keys
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run data[start:end]: a sum of keyed bytes and places, then mixed with the run's length. Runs don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    at = place + np.repeat(starts, lengths)
+    keyed = _BYTE_KEYS[data[at]] * _place_keys(place)
+    sums = np.zeros(len(starts), np.uint64)
+    some = lengths > 0
+    if some.any():
+        sums[some] = np.add.reduceat(keyed, first[some])
+    return mix(sums + lengths.astype(np.uint64))
+
+
+def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII white space: where they start and end, and the text each is in. A text's end ends a word."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    inside = ~IS_SPACE[data]
+    before = np.empty(n, bool)
+    before[0] = False
+    before[1:] = inside[:-1]
+    cut = offsets[1:-1]
+    before[cut[cut < n]] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.empty(n, bool)
+    after[-1] = False
+    after[:-1] = inside[1:]
+    after[cut[cut > 0] - 1] = False
+    ends = np.flatnonzero(inside & ~after) + 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def windows(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of `width` words in a row within one text, and the number of the first word of each."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = (total ^ hashes[k : k + n]) * _PLACE_KEYS[k + 1]
+        total ^= total >> np.uint64(29)
+    at = np.flatnonzero(owner[:n] == owner[width - 1 :])
+    return mix(total[at]), at

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import pii, secrets, sentencepiece_codec, sharding
+from agrolith.llm import language_id, line_quality, pii, secrets, sentencepiece_codec, sharding
+from agrolith.llm.common import held_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,6 +46,23 @@ def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from the labels outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    fold = held_fold(F.col("doc_id"), 3)
+    model = line_quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), fold != 1)
+    scored = line_quality.score(docs, model)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    fold = held_fold(F.col("doc_id"), 4)
+    found = language_id.identify(docs, language_id.train(docs, fold != 2))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -57,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
+    "op5_line_crf_quality": op5_line_crf_quality,
+    "op9_string_kernel_language": op9_string_kernel_language,
     "op10_trigram_secrets": op10_trigram_secrets,
 }
 
