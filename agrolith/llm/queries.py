@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import language_id, line_quality, pii, secrets, sentencepiece_codec, sharding
+from agrolith.llm import language_id, line_quality, near_duplicates, pii, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
 
 
@@ -55,6 +55,11 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_signature_join_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op5_line_crf_quality": op5_line_crf_quality,
+    "op7_signature_join_minhash": op7_signature_join_minhash,
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_trigram_secrets": op10_trigram_secrets,
 }
