@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     for value, n in counts.items():
         share = F.when(F.col("label") == value, F.lit(min(1 << 20, round(most_rows / n * (1 << 20))))).otherwise(share)
     marks = marks.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share)
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(marks.withColumnRenamed(key, "key"), "key")
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(marks.withColumnRenamed(key, "key")), "key")  # a sample of bounded size: texts are not shuffled
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 20):
