@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import language_id, line_quality, near_duplicates, pii, secrets, sentencepiece_codec, sharding
+from agrolith.llm import language_id, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
 
 
@@ -46,6 +46,12 @@ def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules on every text."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
 def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text, learned from the labels outside fold 1 of 3."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
+    "op4_divergence_rules": op4_divergence_rules,
     "op5_line_crf_quality": op5_line_crf_quality,
     "op7_signature_join_minhash": op7_signature_join_minhash,
     "op9_string_kernel_language": op9_string_kernel_language,
