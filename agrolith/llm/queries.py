@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import language_id, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
+from agrolith.llm import language_id, licenses, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
 
 
@@ -66,6 +66,15 @@ def op7_signature_join_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_tfidf_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files source/lang/d<n>/<name>; short documents (up to 400 characters) are licence files by name."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    name = F.concat(F.when(F.col("n_chars") <= 400, F.lit("LICENSE.")).otherwise(F.lit("text.")), F.col("doc_id").cast("string"))
+    folder = F.concat(F.lit("d"), F.pmod(F.floor(F.col("doc_id") / 10), F.lit(100)).cast("string"))
+    files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", folder, name).alias("path"))
+    return licenses.scan(files)
+
+
 def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the documents outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_divergence_rules": op4_divergence_rules,
     "op5_line_crf_quality": op5_line_crf_quality,
     "op7_signature_join_minhash": op7_signature_join_minhash,
+    "op8_tfidf_licenses": op8_tfidf_licenses,
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_trigram_secrets": op10_trigram_secrets,
 }
