@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +57,58 @@ def forget(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for an application; Spark's own file server carries it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    at = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    at.write_bytes(held.getvalue())
+    context.addPyFile(str(at))
+    _SHIPPED.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow(run, schema) on executors that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+#: Bits of a bitmap of keys: 4 MB.
+BITS = 1 << 25
+
+
+def bit_of(node: Column, bits: int = BITS) -> Column:
+    """A place among `bits` for a key."""
+    return F.pmod(F.xxhash64(node), F.lit(bits))
+
+
+def bitmap(nodes: DataFrame, column: str, bits: int = BITS) -> np.ndarray | None:
+    """A bit for each key (a Bloom filter with one hash): at most bits / 8 bytes reach the driver. None if over half are set."""
+    at = bit_of(F.col(column), bits)
+    rows = nodes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    found = np.zeros((bits // 32768 + 1, 4096), np.uint8)
+    for r in rows:
+        found[r["b"]] = np.frombuffer(r["m"], np.uint8)
+    if np.unpackbits(found).sum() * 2 > bits:
+        return None
+    return found.reshape(-1)
+
+
+def in_bitmap(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places (bit_of) are set; Spark's buckets begin with place 1, and place 0 has a bucket of its own."""
+    at = np.where(at > 0, at + 32767, 0)
+    return (found[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def held_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

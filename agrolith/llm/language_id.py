@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import LOWER, blocks, buffers
+from agrolith.llm.common import LOWER, arrow_map, blocks, buffers
 
 BUCKETS_LOG2, LONGEST = 15, 4
 BUCKETS = 1 << BUCKETS_LOG2
@@ -129,7 +129,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                 bits = np.packbits(presence(data, offsets), axis=1)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "h", "bits"])
 
-    found = chosen.mapInArrow(pack, "lang string, h long, bits binary").toPandas()
+    found = arrow_map(chosen, pack, "lang string, h long, bits binary").toPandas()
     if found.empty:
         return None
     found = found.sort_values(["lang", "h", "bits"])
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)
 
 
 def predict_texts(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -171,4 +171,4 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float, text: st
                 names, scores = predict_texts(model, own.column(own.schema.get_field_index(text)))
                 yield own.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import blocks, buffers, run_hashes, windows, word_runs
+from agrolith.llm.common import arrow_map, blocks, buffers, run_hashes, windows, word_runs
 
 SAMPLE_ROWS, SAMPLE_LINES = 1_500, 2_000
 
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
                         ["key", "label", "x", "length"],
                     )
 
-    found = chosen.select("key", "text", "label").mapInArrow(describe, "key string, label int, x binary, length binary").toPandas()
+    found = arrow_map(chosen.select("key", "text", "label"), describe, "key string, label int, x binary, length binary").toPandas()
     found = found.sort_values(["key", "x"])
     if found.label.nunique() < 2:
         return counts[1] / sum(counts.values())
@@ -248,4 +248,4 @@ def score(docs: DataFrame, model: Chain | float, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(scores, pa.float64()), pa.array(n, pa.int64()), pa.array(bad.astype(np.int64), pa.int64())], ["key", "score", "n_lines", "bad_chars"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("n_lines", T.LongType()), T.StructField("bad_chars", T.LongType())])
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)

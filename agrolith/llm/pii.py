@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import blocks, buffers
+from agrolith.llm.common import arrow_map, blocks, buffers
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -241,7 +241,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", most_docs: i
 
     kinds = [pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     chosen = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))).where(F.col(text).rlike("[0-9@]"))
-    found = chosen.select(F.col(text).alias("text")).mapInArrow(rows, "x array<double>, y int, chain array<int>, skip array<int>").toPandas()
+    found = arrow_map(chosen.select(F.col(text).alias("text")), rows, "x array<double>, y int, chain array<int>, skip array<int>").toPandas()
     if found.empty or not found.y.any():
         return None
     found = found.assign(k=found.x.map(tuple)).sort_values(["k", "y"])  # the order in which tasks end doesn't matter then
@@ -300,4 +300,4 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(spans, struct)], ["key", "spans"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("spans", T.ArrayType(SPAN))])
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)

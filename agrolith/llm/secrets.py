@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import blocks, buffers
+from agrolith.llm.common import arrow_map, blocks, buffers
 
 
 @dataclass(frozen=True)
@@ -233,7 +233,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(spans, kind)], ["key", "spans"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("spans", T.ArrayType(SPAN))])
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
@@ -267,7 +267,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
                 columns[chars] = pa.array([len(t) if spans else n for t, spans, n in zip(new, found, was, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def joined(spans: Column) -> Column:

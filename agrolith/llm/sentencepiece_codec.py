@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import blocks
+from agrolith.llm.common import arrow_map, blocks
 
 MARK = "▁"
 
@@ -106,4 +106,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
             yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)
