@@ -9,7 +9,8 @@
 4. Within a list no pairs are emitted. In a round each list has a leader (the same for all lists that hold it), with which the
    members of other components are compared: agreeing coordinates are counted first, then the full sets are compared.
    Confirmed links join components. Rounds go on while they shorten what is open.
-5. What is left, pairs of one list in different components, is compared directly. So every pair that shares a prefix token is compared or is
+5. What is left, pairs of one list in different components, is compared directly, after nodes are left out whose shingles show that
+   they can have no link. So every pair that shares a prefix token is compared or is
    in one component already: no link is lost, and a group's cost is about its size, not its square.
 
 Defined results: a text without words (null, empty, white space) has no shingles and is alone; a text of one to four words has its
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import LOWER, blocks, buffers, forget, mix, run_hashes, windows, word_runs, written
+from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, forget, in_bitmap, mix, run_hashes, windows, word_runs, written
 from agrolith.llm.components import components
 
 WORDS, COORDINATES, MATCHES = 5, 64, 31
@@ -85,22 +86,28 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
     )
-    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, set) for the nodes asked for."""
+    """(node, set) for the nodes asked for; texts of others are passed over by a bitmap of bounded size, before any shuffle."""
+    wanted = bitmap(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, text):
-            sets = shingles(block.column(1))
-            offsets = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["node", "set"])
+        for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(in_bitmap(wanted, batch.column(2).to_numpy(zero_copy_only=False))))
+            for block in blocks(iter([batch]), text):
+                sets = shingles(block.column(1))
+                offsets = np.cumsum([0, *map(len, sets)])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["node", "set"])
 
     schema = T.StructType([T.StructField("node", docs.schema[key].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
-    wanted = docs.select(F.col(key).alias("node"), F.col(text)).join(nodes, "node", "left_semi")
-    return wanted.mapInArrow(run, schema)
+    rows = docs.select(F.col(key).alias("node"), F.col(text))
+    if wanted is None:
+        return arrow_map(rows.withColumn("at", F.lit(0).cast("long")).join(nodes, "node", "left_semi"), run, schema)
+    return arrow_map(rows.withColumn("at", bit_of(F.col("node"), BITS)), run, schema).join(nodes, "node", "left_semi")
 
 
 def _size_fits(a: Column, b: Column) -> Column:
@@ -122,30 +129,35 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
                 kept.append(100 * both >= LEAST * (len(a) + len(b) - both))
             yield batch.select(["x", "y"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.select("x", "y", "sx", "sy").mapInArrow(run, pairs.select("x", "y").schema)
+    return arrow_map(pairs.select("x", "y", "sx", "sy"), run, pairs.select("x", "y").schema)
 
 
 class _Links:
     """Confirms pairs of nodes; the sets of nodes that were asked for once are kept in tables."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, text: str, key: str) -> None:
-        self.docs, self.nodes, self.text, self.key = docs, nodes, text, key
+    def __init__(self, docs: DataFrame, members: DataFrame, text: str, key: str) -> None:
+        self.docs, self.members, self.text, self.key = docs, members, text, key
         self.sets: DataFrame | None = None
 
+    def ask(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of distinct nodes."""
+        fresh = written(nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti"))
+        if not fresh.isEmpty():
+            more = written(_sets(self.docs, fresh, self.text, self.key))
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        forget(fresh)
+        return self.sets if self.sets is not None else fresh.select("node", F.array().cast("array<bigint>").alias("set"))
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (x, y), those that agree in enough coordinates and whose sets are similar enough; written."""
-        own = self.nodes.select("node", "tokens")
+        own = self.members.select("node", "tokens")
         close = written(
             pairs.join(own.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), "x")
             .join(own.select(F.col("node").alias("y"), F.col("tokens").alias("ty")), "y")
-            .where(F.size(F.array_intersect("tx", "ty")) >= MATCHES)
+            .where(F.aggregate(F.zip_with("tx", "ty", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same) >= MATCHES)
             .select("x", "y")
         )
-        asked = close.select(F.col("x").alias("node")).union(close.select(F.col("y").alias("node"))).distinct()
-        fresh = asked if self.sets is None else asked.join(self.sets.select("node"), "node", "left_anti")
-        more = written(_sets(self.docs, fresh, self.text, self.key))
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
-        sets = self.sets
+        sets = self.ask(close.select(F.explode(F.array("x", "y")).alias("node")).distinct())
         both = close.join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y")
         found = written(_overlaps(both))
         forget(close)
@@ -153,21 +165,26 @@ class _Links:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(token, node, n): each node under the tokens of its prefix, lists of one left out; written."""
+    """(token, node, n, shared): each node under the tokens of its prefix, lists of one left out; written.
+
+    shared is the number of the node's tokens that occur elsewhere too, over all its coordinates.
+    """
     posted = nodes.select("node", "n", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
     by_node = Window.partitionBy("node", "n")  # at most COORDINATES rows, but for keys that stand for several sets
-    ranked = posted.join(often, "token").withColumn("place", F.row_number().over(by_node.orderBy("often", "token"))).withColumn("shared", F.count(F.lit(1)).over(by_node))
-    prefix = ranked.where(F.col("place") + (COORDINATES - F.col("shared")) <= COORDINATES - MATCHES + 1).select("token", "node", "n")
-    return written(prefix.join(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where(F.col("long") > 1).select("token"), "token"))
+    ranked = posted.join(often.hint("merge"), "token").withColumn("place", F.row_number().over(by_node.orderBy("often", "token")))
+    ranked = ranked.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum(F.log("often")).over(by_node))
+    prefix = written(ranked.where(F.col("place") + (COORDINATES - F.col("shared")) <= COORDINATES - MATCHES + 1).select("token", "node", "n", "weight"))
+    kept = written(prefix.join(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where(F.col("long") > 1).select("token"), "token"))
+    forget(prefix)
+    return kept
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row: the least key that confirmed links reach, and whether it is the row's own."""
     signed = written(_signed(docs, text, key))
     nodes = written(signed.where(F.col("n") > 0).groupBy("d1", "d2").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    postings = _postings(nodes)
-    labels = _linked(docs, nodes, postings, text, key)
+    labels = _linked(docs, nodes, _postings(nodes), text, key)
     named = signed.select("key", F.col("n").alias("n_shingles"), "d1", "d2").join(
         nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")), ["d1", "d2"], "left"
     )
@@ -177,44 +194,75 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def _linked(docs: DataFrame, nodes: DataFrame, postings: DataFrame, text: str, key: str) -> DataFrame:
     """(node, component) of the nodes with confirmed links."""
-    links = _Links(docs, nodes, text, key)
+    members = written(nodes.select("node", "tokens").join(postings.select("node").distinct().hint("merge"), "node", "left_semi"))
+    links = _Links(docs, members, text, key)
     labels: DataFrame | None = None
     open_before = None
     for turn in range(MOST_ROUNDS):
-        lists = _open_lists(postings, labels)
+        lists = written(_open_lists(_labelled(postings, labels)))
         n_open = lists.agg(F.sum("members")).first()[0] or 0
         if not n_open or (open_before is not None and n_open > 0.7 * open_before):
             break
         open_before = n_open
-        members = _labelled(postings, labels).join(lists.select("token"), "token")
-        chosen = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("leader"))
+        rows = _labelled(postings, labels).join(lists.select("token"), "token")
+        # The first leader is the node whose tokens are the most frequent: the middle of a group of copies. Later ones go by a hash.
+        rank = F.struct((-F.round("weight", 6)).alias("w") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("w"), "node", "n", "component")
+        leaders = rows.groupBy("token").agg(F.min(rank).alias("leader"))
         pairs = (
-            members.join(chosen, "token")
+            rows.join(leaders, "token")
             .where((F.col("component") != F.col("leader.component")) & _size_fits(F.col("n"), F.col("leader.n")))
             .select(F.least("node", "leader.node").alias("x"), F.greatest("node", "leader.node").alias("y"))
             .distinct()
         )
         labels = _joined(labels, links.confirm(pairs))
-    rest = _labelled(postings, labels).join(_open_lists(postings, labels).select("token"), "token")
-    left, right = (rest.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component"))) for side in "xy")
-    pairs = (
-        left.join(right, "token")
-        .where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")))
-        .select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
-        .distinct()
-    )
-    return _joined(labels, links.confirm(pairs))
+        forget(lists)
+    return _joined(labels, links.confirm(_rest(postings, labels, links)))
+
+
+def _rest(postings: DataFrame, labels: DataFrame | None, links: _Links) -> DataFrame:
+    """Distinct pairs (x, y) that may still be links: in one list, in different components, of fitting sizes.
+
+    A node's shingles that no other node of the open lists has count against any link: a pair needs an overlap of
+    LEAST / (100 + LEAST) of both sizes together. Each list has a pivot, the node in its middle, and a node's shared shingles are o in the
+    pivot and r outside it; a pair's overlap is at most the lesser o plus the lesser r. That keeps a family of texts around one
+    common passage, or copies too far apart, from being compared pair by pair. In each list only nodes outside the list's
+    largest component are compared with the others.
+    """
+    rows = _labelled(postings, labels)
+    rows = written(rows.join(_open_lists(rows).select("token"), "token"))
+    if rows.isEmpty():
+        return rows.select(F.col("node").alias("x"), F.col("node").alias("y"))
+    asked = rows.select("node").distinct()
+    each = links.ask(asked).join(asked, "node", "left_semi").select("node", F.explode("set").alias("h"))
+    lone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where(F.col("c") == 1)
+    lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    rows = rows.join(lone, "node", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * LEAST)
+    rows = written(rows.select("token", "node", "n", "s", "weight", "component"))
+    pivots = rows.groupBy("token").agg(F.min(F.struct((-F.round("weight", 6)).alias("w"), "node")).alias("m"), F.min("component").alias("a"), F.max("component").alias("b"))
+    rows = rows.join(pivots.where(F.col("a") != F.col("b")).select("token", F.col("m.node").alias("pivot")), "token")
+    near = rows.select("node", "pivot").distinct()
+    sets = links.ask(asked)
+    near = near.join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
+    near = near.select("node", "pivot", F.size(F.array_intersect("set", "p")).alias("o"))
+    rows = written(rows.join(near, ["node", "pivot"]).select("token", "node", "n", "o", (F.col("s") - F.col("o")).alias("r"), "component"))
+    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    few = rows.join(largest, "token").where(F.col("component") != F.col("largest"))
+    left, right = (r.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component"))) for r, side in ((few, "x"), (rows, "y")))
+    enough = (F.least("o_x", "o_y") + F.least("r_x", "r_y")) * (100 + LEAST) >= (F.col("n_x") + F.col("n_y")) * LEAST
+    pairs = left.join(right, "token").where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough)
+    return pairs.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return postings.withColumn("component", F.col("node"))
-    return postings.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    return postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open_lists(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open_lists(rows: DataFrame) -> DataFrame:
     """(token, members) of the lists whose members are in several components."""
-    ends = _labelled(postings, labels).groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("members"))
+    ends = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("members"))
     return ends.where(F.col("a") != F.col("b")).select("token", "members")
 
 
