@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import SPACE, written
+from agrolith.llm.common import SPACE, forget, written
 
 COMMON, LEAST_WORDS, LEAST_CHARS = 32, 100, 400
 #: Distances from which on a text is rejected.
@@ -77,30 +77,31 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, bound(bound(hashed, windows), covered)).otherwise(0)
 
 
+def class_counts(text: Column) -> Column:
+    """How many characters of each of CLASSES the text has, as an array."""
+    t = F.coalesce(text, F.lit(""))
+    counted = [F.regexp_count(t, F.lit(p)).cast("long") for p in (SPACE, "[A-Z]", "[0-9]", SYMBOLS, r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]", r"[^\x00-\x7F]")]
+    return bound(
+        F.struct(F.array(*counted).alias("some"), F.length(t).cast("long").alias("all")),
+        lambda x: F.concat(x["some"], F.array(x["all"] - F.aggregate(x["some"], F.lit(0).cast("long"), lambda a, n: a + n))),
+    )
+
+
 def counts(docs: DataFrame, text: str, *others: str) -> DataFrame:
     """The base counts and the character classes (in the order of CLASSES) of each row's text, beside the columns `others`."""
     t = F.coalesce(F.col(text), F.lit(""))
     worded = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    from_words = bound(
-        words_of(t),
-        lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated_words(w).alias("n_repeat_words")),
-    )
-    rows = docs.select(
+    from_words = bound(words_of(t), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    rows = docs.select(*others, from_words.alias("w"), F.length(t).alias("chars"), class_counts(t).alias("classes"), bound(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
+    return rows.select(
         *others,
-        from_words.alias("w"),
-        F.length(t).alias("chars"),
-        F.regexp_count(t, F.lit(SYMBOLS)).alias("n_symbols"),
-        bound(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-        F.regexp_count(t, F.lit("[A-Z]")).alias("upper"),
-        F.regexp_count(t, F.lit("[0-9]")).alias("digit"),
-        F.regexp_count(t, F.lit(r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]")).alias("sign"),
-        F.regexp_count(t, F.lit(r"[^\x00-\x7F]")).alias("other"),
+        F.col("w.n_words").cast("long").alias("n_words"),
+        (F.col("chars") - F.get("classes", 0)).alias("word_chars"),
+        F.get("classes", CLASSES.index("symbol")).alias("n_symbols"),
+        F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
+        F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"),
+        "classes",
     )
-    space = F.col("chars") - F.col("w.word_chars")
-    rest = F.col("chars") - space - F.col("upper") - F.col("digit") - F.col("n_symbols") - F.col("sign") - F.col("other")
-    longs = [c.cast("long") for c in (space, F.col("upper"), F.col("digit"), F.col("n_symbols"), F.col("sign"), F.col("other"), rest)]
-    names = ("n_words", "word_chars", "n_repeat_words")
-    return rows.select(*others, *(F.col(f"w.{n}").cast("long").alias(n) for n in names), F.col("n_symbols").cast("long"), F.col("n_dup_lines").cast("long"), F.array(*longs).alias("classes"))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -157,15 +158,18 @@ def word_distance(text: Column, references: list[dict[str, float]]) -> Column:
     return bound(words_of(F.lower(text)), nearest)
 
 
-def references(docs: DataFrame, counted: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> tuple[list[list[float]], list[dict[str, float]]]:
-    """Class shares and common words' shares of each language, from all rows that name one. A row for each language, or `common` words for each, come to the driver."""
-    sums = counted.where(F.col(lang).isNotNull()).groupBy(lang).agg(*(F.sum(F.get("classes", k)).alias(c) for k, c in enumerate(CLASSES)), F.sum("n_words").alias("n"))
-    totals = {r[0]: (list(r[1 : 1 + len(CLASSES)]), r["n"]) for r in sums.collect()}
-    classes = [[x / sum(row) for x in row] for _, (row, _) in sorted(totals.items()) if sum(row)]
-    each = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words_of(F.lower(F.col(text)))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> tuple[list[list[float]], list[dict[str, float]]]:
+    """Class shares and common words' shares of each language, from all rows that name one. A row for each language, and `common` words for each, come to the driver."""
+    named = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counted = named.select("lang", class_counts(F.col("text")).alias("classes"))
+    sums = counted.groupBy("lang").agg(*(F.sum(F.get("classes", k)) for k in range(len(CLASSES)))).collect()
+    classes = [[x / sum(r[1:]) for x in r[1:]] for r in sorted(sums) if sum(r[1:])]
+    each = written(named.select("lang", F.explode(words_of(F.lower("text"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    totals = {r[0]: r[1] for r in each.groupBy("lang").agg(F.sum("n")).collect()}
     words: dict[str, dict[str, float]] = {}
     for r in _most(each, common).collect():
-        words.setdefault(r["lang"], {})[r["w"]] = r["n"] / totals[r["lang"]][1]
+        words.setdefault(r["lang"], {})[r["w"]] = r["n"] / totals[r["lang"]]
+    forget(each)
     return classes, [words[x] for x in sorted(words)]
 
 
@@ -179,8 +183,7 @@ def _most(each: DataFrame, common: int) -> DataFrame:
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """(key, counts, class_distance, word_distance, base_failed, kept) for each row."""
-    counted = written(counts(docs, text, lang))
-    classes, words = references(docs, counted, text, lang)
+    classes, words = references(docs, text, lang)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = counts(docs.select("*", word_distance(F.col(text), words).alias("_word_distance")), text, key, "_word_distance")
     judged = judged.select(
