@@ -182,13 +182,12 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(sums + lengths.astype(np.uint64))
 
 
-def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between ASCII white space: where they start and end, and the text each is in. A text's end ends a word."""
-    n = len(data)
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked bytes: where they start and end, and the text each is in. A text's end ends a run."""
+    n = len(inside)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~IS_SPACE[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -203,6 +202,17 @@ def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def word_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, as runs_of gives them."""
+    return runs_of(~IS_SPACE[data], offsets)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort is faster here than np.unique's hash table."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def windows(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of `width` words in a row within one text, and the number of the first word of each."""
     n = len(hashes) - width + 1

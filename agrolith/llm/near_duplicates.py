@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, forget, in_bitmap, mix, run_hashes, windows, word_runs, written
+from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, distinct, forget, in_bitmap, mix, run_hashes, windows, word_runs, written
 from agrolith.llm.components import components
 
 WORDS, COORDINATES, MATCHES = 5, 64, 31
@@ -53,7 +53,7 @@ def shingles(column: pa.Array) -> list[np.ndarray]:
     for i in range(len(offsets) - 1):
         n = first[i + 1] - first[i]
         if n >= WORDS:
-            found.append(np.unique(full[bounds[i] : bounds[i + 1]]))
+            found.append(distinct(full[bounds[i] : bounds[i + 1]]))
         elif n:
             found.append(windows(words[first[i] : first[i + 1]], text[first[i] : first[i + 1]], int(n))[0] ^ np.uint64(n))
         else:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import language_id, licenses, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
+from agrolith.llm import decontamination, language_id, licenses, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
 
 
@@ -61,6 +61,11 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leak into documents."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op7_signature_join_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece_codec": op3_sentencepiece_codec,
     "op4_divergence_rules": op4_divergence_rules,
     "op5_line_crf_quality": op5_line_crf_quality,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_signature_join_minhash": op7_signature_join_minhash,
     "op8_tfidf_licenses": op8_tfidf_licenses,
     "op9_string_kernel_language": op9_string_kernel_language,
