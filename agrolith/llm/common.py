@@ -109,6 +109,26 @@ def in_bitmap(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (found[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely none of `keys`, all others), without a shuffle; the second part holds a few other rows too.
+
+    keys: one column `key`. If the bitmap is too full to tell, the first part is empty.
+    """
+    found, names = bitmap(keys, key), docs.columns
+    if found is None:
+        return docs.limit(0), docs
+
+    def part(sure: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = in_bitmap(found, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit != sure))
+
+        return arrow_map(docs.select("*", bit_of(F.col(key)).alias("_place")), run, docs.schema)
+
+    return part(True), part(False)
+
+
 def held_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

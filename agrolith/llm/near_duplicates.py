@@ -14,7 +14,8 @@
    in one component already: no link is lost, and a group's cost is about its size, not its square.
 
 Defined results: a text without words (null, empty, white space) has no shingles and is alone; a text of one to four words has its
-whole sequence as one shingle; texts are read whole; rows with one key are one document; an empty table gives an empty result; other
+whole sequence as one shingle; texts are read whole; rows with one key are one document;
+rows without a key are kept unless keyed ones have the same shingles, and have that component; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, distinct, forget, in_bitmap, mix, run_hashes, windows, word_runs, written
+from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, distinct, forget, in_bitmap, mix, run_hashes, split_by_keys, windows, word_runs, written
 from agrolith.llm.components import components
 
 WORDS, COORDINATES, MATCHES = 5, 64, 31
@@ -189,7 +190,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id")), ["d1", "d2"], "left"
     )
     least = F.least("key", "component_id")
-    return named.select(F.col("key").alias(key), "n_shingles", least.alias("component_id"), (F.col("key") == least).alias("kept"))
+    return named.select(F.col("key").alias(key), "n_shingles", least.alias("component_id"), F.coalesce(F.col("key") == least, least.isNull()).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, columns as they were, that stay: one for each component, and all rows without a key.
+
+    Of rows with one key, that with the least text stays. Texts of other rows than the dropped and the repeated ones aren't shuffled.
+    """
+    found = written(near_duplicates(docs, text, key).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows")))
+    marked = found.where(~F.col("kept") | (F.col("rows") > 1))
+    clean, rest = split_by_keys(docs, marked.select(key), key)
+    rest = rest.join(found.where(~F.col("kept")).select(key), key, "left_anti").select(docs.columns)
+    named = rest.where(F.col(key).isNotNull())
+    first = named.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("_first = 1").select(docs.columns)
+    return clean.unionByName(first).unionByName(rest.where(F.col(key).isNull()))
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, postings: DataFrame, text: str, key: str) -> DataFrame:
@@ -225,7 +240,7 @@ def _rest(postings: DataFrame, labels: DataFrame | None, links: _Links) -> DataF
     A node's shingles that no other node of the open lists has count against any link: a pair needs an overlap of
     LEAST / (100 + LEAST) of both sizes together. Each list has a pivot, the node in its middle, and a node's shared shingles are o in the
     pivot and r outside it; a pair's overlap is at most the lesser o plus the lesser r. That keeps a family of texts around one
-    common passage, or copies too far apart, from being compared pair by pair. In each list only nodes outside the list's
+    common passage, or copies too far apart, from being compared pair by pair. For each pivot only nodes outside the
     largest component are compared with the others.
     """
     rows = _labelled(postings, labels)
@@ -239,18 +254,17 @@ def _rest(postings: DataFrame, labels: DataFrame | None, links: _Links) -> DataF
     rows = rows.join(lone, "node", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * LEAST)
     rows = written(rows.select("token", "node", "n", "s", "weight", "component"))
     pivots = rows.groupBy("token").agg(F.min(F.struct((-F.round("weight", 6)).alias("w"), "node")).alias("m"), F.min("component").alias("a"), F.max("component").alias("b"))
-    rows = rows.join(pivots.where(F.col("a") != F.col("b")).select("token", F.col("m.node").alias("pivot")), "token")
-    near = rows.select("node", "pivot").distinct()
+    # Lists with one pivot are one group from here on: a pair of any of them is in it, and comes once.
+    groups = rows.join(pivots.where(F.col("a") != F.col("b")).select("token", F.col("m.node").alias("pivot")), "token").select("pivot", "node", "n", "s", "component").distinct()
     sets = links.ask(asked)
-    near = near.join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
-    near = near.select("node", "pivot", F.size(F.array_intersect("set", "p")).alias("o"))
-    rows = written(rows.join(near, ["node", "pivot"]).select("token", "node", "n", "o", (F.col("s") - F.col("o")).alias("r"), "component"))
-    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    few = rows.join(largest, "token").where(F.col("component") != F.col("largest"))
-    left, right = (r.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component"))) for r, side in ((few, "x"), (rows, "y")))
+    near = groups.join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
+    near = near.withColumn("o", F.size(F.array_intersect("set", "p")))
+    groups = written(near.select("pivot", "node", "n", "o", (F.col("s") - F.col("o")).alias("r"), "component"))
+    largest = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    few = groups.join(largest, "pivot").where(F.col("component") != F.col("largest"))
+    left, right = (g.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component"))) for g, side in ((few, "x"), (groups, "y")))
     enough = (F.least("o_x", "o_y") + F.least("r_x", "r_y")) * (100 + LEAST) >= (F.col("n_x") + F.col("n_y")) * LEAST
-    pairs = left.join(right, "token").where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough)
+    pairs = left.join(right, "pivot").where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough)
     return pairs.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
