@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from agrolith.llm.common import arrow_map, blocks, buffers, distinct, run_hashes, runs_of, written
+from agrolith.llm.common import arrow_map, blocks, buffers, distinct, run_hashes, runs_of, split_by_keys, written
 from agrolith.llm.language_id import folded
 
 BUCKET_BITS, MOST_SHARE, LEAST_STOP = 18, 0.05, 20
@@ -351,3 +351,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
         part = _search(rows, docs.schema[key].dataType, benchmark.schema[item_key].dataType, block, terms, space)
         found = part if found is None else found.unionByName(part)
     return found.withColumnsRenamed({"key": key, "item": item_key})
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """The rows of `docs`, columns as they were, into which no benchmark item leaks; rows without a key stay."""
+    leaks = written(find_leaks(docs, benchmark, text, key, item_text, item_key).select(key).distinct())
+    clean, rest = split_by_keys(docs, leaks, key)
+    return clean.unionByName(rest.join(leaks, key, "left_anti").select(docs.columns))

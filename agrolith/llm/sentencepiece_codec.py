@@ -92,18 +92,19 @@ def table_of(model: bytes, most: int) -> ChunkTable:
     return ChunkTable(model, most)
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", most_chunks: int = 600_000) -> DataFrame:
-    """(key, ids array<int>, decoded string) for each row. The model file is read on the driver and travels with the tasks."""
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (), most_chunks: int = 600_000) -> DataFrame:
+    """(key, ids array<int>, decoded string, carried columns) for each row. The model file is read on the driver and travels with the tasks."""
     model = Path(model_path).read_bytes()
-    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key), F.col(text).alias("_text"), *carried)
+    kept = [f for f in rows.schema.fields if f.name != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model, most_chunks)
-        for block in blocks(batches, text, 1 << 21):
+        for block in blocks(batches, "_text", 1 << 21):
             flat, offsets = table.ids([t or "" for t in block.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             decoded = table.model.decode([flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
-            yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array(decoded, pa.string()), *block.columns[2:]], [key, "ids", "decoded", *carried])
 
-    schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)
+    schema = T.StructType([kept[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), *kept[1:]])
+    return arrow_map(rows, run, schema)
