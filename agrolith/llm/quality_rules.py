@@ -87,11 +87,14 @@ def class_counts(text: Column) -> Column:
     )
 
 
-def counts(docs: DataFrame, text: str, *others: str) -> DataFrame:
-    """The base counts and the character classes (in the order of CLASSES) of each row's text, beside the columns `others`."""
+def counts(docs: DataFrame, references: list[dict[str, float]], text: str, *others: str) -> DataFrame:
+    """The base counts, the word distance and the character classes (in the order of CLASSES) of each row's text, beside the columns `others`."""
     t = F.coalesce(F.col(text), F.lit(""))
     worded = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    from_words = bound(words_of(t), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    from_words = bound(
+        words_of(t),
+        lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"), word_distance(w, references).alias("distance")),
+    )
     rows = docs.select(*others, from_words.alias("w"), F.length(t).alias("chars"), class_counts(t).alias("classes"), bound(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     return rows.select(
         *others,
@@ -100,6 +103,7 @@ def counts(docs: DataFrame, text: str, *others: str) -> DataFrame:
         F.get("classes", CLASSES.index("symbol")).alias("n_symbols"),
         F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"),
+        F.col("w.distance").alias("word_distance"),
         "classes",
     )
 
@@ -128,8 +132,8 @@ def class_distance(classes: Column, references: list[list[float]]) -> Column:
     )
 
 
-def word_distance(text: Column, references: list[dict[str, float]]) -> Column:
-    """Distance of the text's shares of common words, all other words as one, to the nearest language; null without references or words.
+def word_distance(words: Column, references: list[dict[str, float]]) -> Column:
+    """Distance of a text's shares of common words, all other words as one, to the nearest language; null without references or words.
 
     Words that the text lacks add half their share, so only the text's own common words are looked up.
     """
@@ -155,22 +159,25 @@ def word_distance(text: Column, references: list[dict[str, float]]) -> Column:
 
         return F.when(F.size(words) > 0, bound(found, lambda cells: F.array_min(F.transform(F.lit(list(range(len(references)))), lambda k: to_language(cells, k)))))
 
-    return bound(words_of(F.lower(text)), nearest)
+    return nearest(words)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> tuple[list[list[float]], list[dict[str, float]]]:
-    """Class shares and common words' shares of each language, from all rows that name one. A row for each language, and `common` words for each, come to the driver."""
-    named = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = named.select("lang", class_counts(F.col("text")).alias("classes"))
-    sums = counted.groupBy("lang").agg(*(F.sum(F.get("classes", k)) for k in range(len(CLASSES)))).collect()
-    classes = [[x / sum(r[1:]) for x in r[1:]] for r in sorted(sums) if sum(r[1:])]
-    each = written(named.select("lang", F.explode(words_of(F.lower("text"))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+def word_references(docs: DataFrame, text: str, lang: str, common: int = COMMON) -> list[dict[str, float]]:
+    """Shares of the most frequent words of each language, from all rows that name one; `common` words for each come to the driver."""
+    named = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("w"))
+    each = written(named.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
     totals = {r[0]: r[1] for r in each.groupBy("lang").agg(F.sum("n")).collect()}
     words: dict[str, dict[str, float]] = {}
     for r in _most(each, common).collect():
         words.setdefault(r["lang"], {})[r["w"]] = r["n"] / totals[r["lang"]]
     forget(each)
-    return classes, [words[x] for x in sorted(words)]
+    return [words[x] for x in sorted(words)]
+
+
+def class_references(counted: DataFrame, lang: str) -> list[list[float]]:
+    """Shares of the character classes in all rows of each language; a row for each language comes to the driver."""
+    sums = counted.where(F.col(lang).isNotNull()).groupBy(lang).agg(*(F.sum(F.get("classes", k)) for k in range(len(CLASSES)))).collect()
+    return [[x / sum(r[1:]) for x in r[1:]] for r in sorted(sums) if sum(r[1:])]
 
 
 def _most(each: DataFrame, common: int) -> DataFrame:
@@ -182,17 +189,13 @@ def _most(each: DataFrame, common: int) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """(key, counts, class_distance, word_distance, base_failed, kept) for each row."""
-    classes, words = references(docs, text, lang)
+    """(key, counts, class_distance, word_distance, base_failed, kept) for each row. Texts are read twice: for the common words, and to be counted."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counted = written(counts(rows, word_references(rows, "text", "lang"), "text", "key", "lang"))
+    judged = counted.withColumn("class_distance", class_distance(F.col("classes"), class_references(counted, "lang")))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counts(docs.select("*", word_distance(F.col(text), words).alias("_word_distance")), text, key, "_word_distance")
-    judged = judged.select(
-        "*",
-        class_distance(F.col("classes"), classes).alias("class_distance"),
-        F.col("_word_distance").alias("word_distance"),
-        base_failed.alias("base_failed"),
-    )
-    strange_classes = (F.col("n_words") > 0) & (F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x) >= LEAST_CHARS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)
+    strange_classes = (F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x) >= LEAST_CHARS) & (F.col("class_distance") > MOST_CLASS_DISTANCE)
     strange_words = (F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MOST_WORD_DISTANCE)
-    verdict = ~F.coalesce(strange_classes, F.lit(False)) & ~F.coalesce(strange_words, F.lit(False))
-    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
+    strange = F.coalesce(strange_classes, F.lit(False)) | F.coalesce(strange_words, F.lit(False))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
+    return judged.select(F.col("key").alias(key), *names, base_failed.alias("base_failed"), (~base_failed & ~strange).alias("kept"))
