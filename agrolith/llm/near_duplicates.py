@@ -118,19 +118,8 @@ def _size_fits(a: Column, b: Column) -> Column:
 
 def _overlaps(pairs: DataFrame) -> DataFrame:
     """(x, y) of the pairs (x, y, sx, sy) whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
-            offsets = [np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in batch.columns[2:]]
-            kept = []
-            for i in range(batch.num_rows):
-                a, b = (f[o[i] : o[i + 1]] for f, o in zip(flat, offsets, strict=True))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(100 * both >= LEAST * (len(a) + len(b) - both))
-            yield batch.select(["x", "y"]).filter(pa.array(kept, pa.bool_()))
-
-    return arrow_map(pairs.select("x", "y", "sx", "sy"), run, pairs.select("x", "y").schema)
+    both = F.size(F.array_intersect("sx", "sy"))
+    return pairs.withColumn("_both", both).where(F.col("_both") * 100 >= (F.size("sx") + F.size("sy") - F.col("_both")) * LEAST).select("x", "y")
 
 
 class _Links:
@@ -147,7 +136,7 @@ class _Links:
             more = written(_sets(self.docs, fresh, self.text, self.key))
             self.sets = more if self.sets is None else self.sets.unionByName(more)
         forget(fresh)
-        return self.sets if self.sets is not None else fresh.select("node", F.array().cast("array<bigint>").alias("set"))
+        return self.sets if self.sets is not None else self.members.limit(0).select("node", F.col("tokens").alias("set"))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (x, y), those that agree in enough coordinates and whose sets are similar enough; written."""
