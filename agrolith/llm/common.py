@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import tempfile
 import uuid
@@ -76,10 +77,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and memory that they hold counts on an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: object) -> DataFrame:
-    """df.mapInArrow(run, schema) on executors that have this package."""
+    """df.mapInArrow(run, schema) on executors that have this package; workers give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 #: Bits of a bitmap of keys: 4 MB.

@@ -28,11 +28,17 @@ from agrolith.llm.common import arrow_map, blocks
 MARK = "▁"
 
 
+@lru_cache(maxsize=4)
+def model_of(model: bytes) -> sentencepiece.SentencePieceProcessor:
+    """One model in a Python worker; it outlives a task."""
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
 class ChunkTable:
     """Distinct chunks of a model's texts with their ids, in one growing pool; emptied when it holds `most` chunks."""
 
-    def __init__(self, model: bytes, most: int = 600_000) -> None:
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+    def __init__(self, model: bytes, most: int = 250_000) -> None:
+        self.model = model_of(model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cuts = False
         if not any(MARK in p.lstrip(MARK) or "\n" in p or " " in p for p in pieces):
@@ -86,21 +92,15 @@ class ChunkTable:
         return flat, np.concatenate([[0], ends])[np.cumsum([0, *map(len, by_text)])]
 
 
-@lru_cache(maxsize=4)
-def table_of(model: bytes, most: int) -> ChunkTable:
-    """One table for each model in a Python worker; it outlives a task."""
-    return ChunkTable(model, most)
-
-
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (), most_chunks: int = 600_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (), most_chunks: int = 250_000) -> DataFrame:
     """(key, ids array<int>, decoded string, carried columns) for each row. The model file is read on the driver and travels with the tasks."""
     model = Path(model_path).read_bytes()
     rows = docs.select(F.col(key), F.col(text).alias("_text"), *carried)
     kept = [f for f in rows.schema.fields if f.name != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(model, most_chunks)
-        for block in blocks(batches, "_text", 1 << 21):
+        table = ChunkTable(model, most_chunks)
+        for block in blocks(batches, "_text"):
             flat, offsets = table.ids([t or "" for t in block.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             decoded = table.model.decode([flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
