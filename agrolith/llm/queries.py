@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agrolith.llm import decontamination, language_id, licenses, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
+from agrolith.llm.oracles import ORACLES  # noqa: F401  beside QUERIES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules on every text."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")))
 
 
 def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def op8_tfidf_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.when(F.col("n_chars") <= 400, F.lit("LICENSE.")).otherwise(F.lit("text.")), F.col("doc_id").cast("string"))
     folder = F.concat(F.lit("d"), F.pmod(F.floor(F.col("doc_id") / 10), F.lit(100)).cast("string"))
     files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", folder, name).alias("path"))
-    return licenses.scan(files)
+    return licenses.scan(files).drop("path")
 
 
 def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_trigram_secrets": op10_trigram_secrets,
 }
-
-#: DuckDB's form of a query, where it has one.
-ORACLES: dict[str, str] = {}
