@@ -35,3 +35,10 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a written() frame that no later step reads."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/table-" in folder:
+            _delete(df.sparkSession, folder)
