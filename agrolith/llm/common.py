@@ -1,12 +1,10 @@
-"""Helpers that the operators share: shared scratch tables, Arrow buffers, ASCII words and stable hashes."""
+"""Helpers that the operators share: Arrow jobs and buffers, bitmaps of keys, ASCII words and stable hashes; scratch tables come along."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import io
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,46 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agrolith.operators.scratch import forget, written  # noqa: F401  the operators take them from here
+
 #: Regex class of the ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
-NOT_SPACE = r"[^\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where the session has none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        at = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(at)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-    except Exception:  # noqa: BLE001  the session may be over; the folder is scratch space
-        return
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the table behind a written() frame that no later step reads."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/scratch-" in folder:
-            _delete(df.sparkSession, folder)
 
 
 _SHIPPED: set[str] = set()

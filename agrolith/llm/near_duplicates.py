@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, distinct, forget, in_bitmap, mix, run_hashes, split_by_keys, windows, word_runs, written
-from agrolith.llm.components import components
+from agrolith.operators.graph import star_components
 
 WORDS, COORDINATES, MATCHES = 5, 64, 31
 #: Similarity as a ratio of integers: LEAST of 100.
@@ -274,4 +274,4 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     edges = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
     if labels is not None:
         edges = edges.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(edges)
+    return star_components(edges)
