@@ -39,8 +39,8 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: Python workers live on between tasks, and memory that they hold counts on an executor."""
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and the driver between jobs."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -54,7 +54,7 @@ def arrow_map(df: DataFrame, run: Callable, schema: object) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(whole, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import LOWER, arrow_map, blocks, buffers
+from agrolith.llm.common import LOWER, arrow_map, blocks, buffers, give_back
 
 BUCKETS_LOG2, LONGEST = 15, 4
 BUCKETS = 1 << BUCKETS_LOG2
@@ -92,21 +92,27 @@ class Model:
         return best, np.where(total > 0, top / np.where(total > 0, total, 1), 1 / len(self.languages))
 
 
-def fit(found: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nystroem features. Rows come in the order in which landmarks are taken, language by language."""
+def fit(packed: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on Nystroem features of packed presence rows, a few rows at a time.
+
+    Rows come in the order in which landmarks are taken, language by language.
+    """
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
     each = max(4, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
-    rows = found.astype(np.float32)
-    rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-    marks = rows[chosen]
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    marks = unit(packed[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     kept = values > values.max() * 1e-7
     root = vectors[:, kept] / np.sqrt(values[kept])
-    features = (rows @ marks.T).astype(np.float64) @ root
+    features = np.concatenate([(unit(packed[k : k + 128]) @ marks.T).astype(np.float64) for k in range(0, len(packed), 128)]) @ root
     goal = np.eye(len(names))[y]
-    w = np.linalg.solve(features.T @ features + ridge * len(rows) * np.eye(features.shape[1]), features.T @ goal)
+    w = np.linalg.solve(features.T @ features + ridge * len(packed) * np.eye(features.shape[1]), features.T @ goal)
     return Model(names, (marks.T @ (root @ w)).astype(np.float32))
 
 
@@ -133,8 +139,9 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     if found.empty:
         return None
     found = found.sort_values(["lang", "h", "bits"])
-    bits = np.unpackbits(np.frombuffer(b"".join(found.bits), np.uint8).reshape(len(found), -1), axis=1)
-    return fit(bits.astype(bool), found.lang.tolist())
+    model = fit(np.frombuffer(b"".join(found.bits), np.uint8).reshape(len(found), -1), found.lang.tolist())
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:

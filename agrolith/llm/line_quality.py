@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from agrolith.llm.common import arrow_map, blocks, buffers, run_hashes, windows, word_runs
 
-SAMPLE_ROWS, SAMPLE_LINES = 1_500, 2_000
+SAMPLE_ROWS, SAMPLE_LINES = 1_500, 400
 
 #: Character classes by byte; the bytes of other characters than ASCII are one class.
 CLASSES = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "space": " \t", "stop": ".,;:?", "shout": "!", "bar": "|", "symbol": "#*$%&<>", "quote": "\"'()[]{}"}
