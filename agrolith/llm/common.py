@@ -48,9 +48,18 @@ def give_back() -> None:
         return
 
 
+#: Rows of a batch that goes to a Python worker; Spark's default of 10,000 texts takes too much memory in JVM and worker.
+BATCH_ROWS = 2_000
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: object) -> DataFrame:
-    """df.mapInArrow(run, schema) on executors that have this package; workers give memory back after each task."""
+    """df.mapInArrow(run, schema) on executors that have this package; workers give memory back after each task.
+
+    Where the session has the default size of batches, it gets a smaller one.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
