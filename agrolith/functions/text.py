@@ -56,7 +56,8 @@ def epsg_code(wkt: Column) -> Column:
 
 def file_size_text(size: Column) -> Column:
     kb, mb = 1024, 1024 * 1024
-    return F.when(size < kb, F.concat(size.cast("string"), F.lit(" B"))).when(size < mb, F.concat(F.format_string("%.1f", size / kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", size / mb), F.lit(" MB")))
+    tenths = lambda x: F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)  # noqa: E731  halves go up
+    return F.when(size < kb, F.concat(size.cast("string"), F.lit(" B"))).when(size < mb, F.concat(tenths(size / kb), F.lit(" KB"))).otherwise(F.concat(tenths(size / mb), F.lit(" MB")))
 
 
 def stem(path: Column) -> Column:

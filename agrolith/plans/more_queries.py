@@ -285,7 +285,7 @@ def props_json(spark, sf_dir):
     return e.groupBy(F.from_json("props", "k bigint")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f', n_chars / 1024) || ' KB' ELSE printf('%.1f', n_chars / 1048576) || ' MB' END AS size FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f', floor(n_chars / 1024 * 10 + 0.5) / 10) || ' KB' ELSE printf('%.1f', floor(n_chars / 1048576 * 10 + 0.5) / 10) || ' MB' END AS size FROM documents")
 def file_size_format(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", tx.file_size_text(d.n_chars).alias("size"))
