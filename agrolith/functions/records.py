@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: What requests may ask for, and limits.
 SCALES, SR_MODELS, ENHANCE_MODELS = (2, 3, 4), ("edsr", "espcn", "lapsrn"), ("realesrgan_x4", "realesrgan_anime")
 UPLOAD_LIMIT = 50 * 1024 * 1024
-ROAD_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "unclassified", "track")
+ROAD_CLASSES = "primary|secondary|tertiary|unclassified|residential|service|track|path"
 GOOD_ENDS, BAD_ENDS = ("completed", "fulfilled", "delivered"), ("failed", "cancelled", "error")
 
 #: The parts of a raster description (JSON of an information tool) that count.
@@ -53,8 +53,8 @@ def parsed_date(text: Column, otherwise: Column) -> Column:
 
 
 def is_road(highway: Column, points: Column) -> Column:
-    """Ways of the road classes with two points at least."""
-    return highway.isin(*ROAD_CLASSES) & (F.size(points) >= 2)
+    """Ways of the road classes, links of them included, with two points at least."""
+    return highway.rlike(ROAD_CLASSES) & (F.size(points) >= 2)
 
 
 def colour_of(kind: Column) -> Column:

@@ -43,12 +43,22 @@ def choose_source(local: DataFrame, remote: DataFrame, force: bool = False, clou
     return joined.select(choice.alias("choice"), reason.alias("reason"), F.col("local_scene_id").alias("local_id"), F.col("remote_scene_id").alias("remote_id"))
 
 
+#: Names of a file's description, the first that exists counts.
+SIDECARS = ["{stem}.json", "{head}_meta.json", "{stem}_meta.json"]
+
+
 def with_sidecar(files: DataFrame, sidecars: DataFrame, patterns: list[str], default_cloud: float = 100.0) -> DataFrame:
     """Files with the first sidecar that exists among names made from the stem; without one, cloud is `default_cloud` and the date the file's.
 
-    files: (path, stem, modified); sidecars: (name, cloud, acquired); a pattern has {stem}.
+    files: (path, stem, modified); sidecars: (name, cloud, acquired); a pattern has {stem}, or {head} for the stem up to its last
+    underscore.
     """
-    names = F.array(*(F.struct(F.lit(k).alias("priority"), F.concat(F.lit(p.split("{stem}")[0]), F.col("stem"), F.lit(p.split("{stem}")[1])).alias("name")) for k, p in enumerate(patterns)))
+    head = F.when(F.contains("stem", F.lit("_")), F.regexp_replace("stem", "_[^_]*$", "")).otherwise(F.col("stem"))
+
+    def name(pattern: str) -> Column:
+        return F.replace(F.replace(F.lit(pattern), F.lit("{stem}"), F.col("stem")), F.lit("{head}"), head)
+
+    names = F.array(*(F.struct(F.lit(k).alias("priority"), name(p).alias("name")) for k, p in enumerate(patterns)))
     asked = files.select("path", F.explode(names).alias("n")).select("path", "n.priority", "n.name")
     first = asked.join(sidecars, "name").groupBy("path").agg(F.min_by(F.struct("cloud", "acquired"), "priority").alias("s"), F.min("priority").alias("priority"))
     joined = files.join(first, "path", "left")

@@ -151,17 +151,19 @@ def local_vs_remote_decision(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT c_name || '.tif' AS path, c_name AS stem, c_custkey AS k, TIMESTAMP '2000-01-01' AS modified FROM customer), s AS (SELECT c_name || CASE c_custkey % 4 WHEN 0 THEN '_meta.json' WHEN 1 THEN '.json' ELSE '_metadata.json' END AS name, c_acctbal / 100 AS cloud,
- TIMESTAMP '2001-01-01' AS acquired FROM customer WHERE c_custkey % 4 <> 3), j AS (SELECT path, arg_min(cloud, p) AS cloud, min(p) AS priority FROM f, (SELECT unnest([0, 1, 2]) AS p) JOIN s ON s.name = stem || ['_meta.json', '.json', '_metadata.json'][p + 1] GROUP BY path)
+    """WITH f AS (SELECT c_name || '_s2.tif' AS path, c_name AS head, c_custkey AS k FROM customer), s AS (SELECT c_name || CASE c_custkey % 5 WHEN 0 THEN '_s2.json' WHEN 1 THEN '_meta.json' ELSE '_s2_meta.json' END AS name, c_acctbal / 100 AS cloud
+ FROM customer WHERE c_custkey % 5 <> 3 UNION ALL SELECT c_name || '_s2_meta.json', 50 FROM customer WHERE c_custkey % 5 = 0), j AS (SELECT path, arg_min(cloud, p) AS cloud, min(p) AS priority FROM f, (SELECT unnest([0, 1, 2]) AS p) JOIN s ON s.name = head || ['_s2.json', '_meta.json', '_s2_meta.json'][p + 1] GROUP BY path)
  SELECT f.path, priority, round(coalesce(cloud, 100), 6) AS cloud, priority IS NULL AS by_file_date FROM f LEFT JOIN j ON f.path = j.path"""
 )
 def sidecar_join(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    files = c.select(F.concat("c_name", F.lit(".tif")).alias("path"), F.col("c_name").alias("stem"), F.lit("2000-01-01").cast("timestamp_ntz").alias("modified"))
-    ending = F.when(c.c_custkey % 4 == 0, "_meta.json").when(c.c_custkey % 4 == 1, ".json").otherwise("_metadata.json")
-    sidecars = c.where("c_custkey % 4 <> 3").select(F.concat("c_name", ending).alias("name"), (F.col("c_acctbal") / 100).alias("cloud"), F.lit("2001-01-01").cast("timestamp_ntz").alias("acquired"))
-    joined = catalog.with_sidecar(files, sidecars, ["{stem}_meta.json", "{stem}.json", "{stem}_metadata.json"])
-    return joined.select("path", "priority", r6("cloud").alias("cloud"), (F.col("acquired") < F.lit("2000-06-01").cast("timestamp_ntz")).alias("by_file_date"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    files = c.select(F.concat("c_name", F.lit("_s2.tif")).alias("path"), F.concat("c_name", F.lit("_s2")).alias("stem"), at("2000-01-01").alias("modified"))
+    ending = F.when(c.c_custkey % 5 == 0, "_s2.json").when(c.c_custkey % 5 == 1, "_meta.json").otherwise("_s2_meta.json")
+    some = c.where("c_custkey % 5 <> 3").select(F.concat("c_name", ending).alias("name"), (F.col("c_acctbal") / 100).alias("cloud"), at("2001-01-01").alias("acquired"))
+    more = c.where("c_custkey % 5 = 0").select(F.concat("c_name", F.lit("_s2_meta.json")).alias("name"), F.lit(50.0).alias("cloud"), at("2001-01-01").alias("acquired"))
+    joined = catalog.with_sidecar(files, some.union(more), catalog.SIDECARS)
+    return joined.select("path", "priority", r6("cloud").alias("cloud"), (F.col("acquired") < at("2000-06-01")).alias("by_file_date"))
 
 
 @query("SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS newest FROM orders GROUP BY o_custkey")
