@@ -166,11 +166,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarra
     return w
 
 
-def fit(lines: Lines, labels: np.ndarray, rounds: int = 2) -> Chain:
+def fit(lines: Lines, labels: np.ndarray, rounds: int = 2, prior: float = 0.5) -> Chain:
     """Piecewise training with relabelling; both labels must be there.
 
     Node weights come from logistic regression on lines (each label's lines weigh the same in all), transitions from counts of
-    neighbouring lines' labels, smoothed, as log of observed over expected frequency.
+    neighbouring lines' labels, smoothed, as log of observed over expected frequency. The final curve is fitted to documents that
+    weigh as the labels are spread: `prior` is the share of label 1.
     """
     text = np.repeat(np.arange(len(labels)), np.diff(lines.first))
     y = labels[text].astype(float)
@@ -195,7 +196,7 @@ def fit(lines: Lines, labels: np.ndarray, rounds: int = 2) -> Chain:
                 bad[order[kept]] = True
                 y[own] = ~bad
     mean = chain.documents(lines)
-    balance = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
+    balance = np.where(labels == 1, prior / max(1, (labels == 1).sum()), (1 - prior) / max(1, (labels == 0).sum())) * len(labels)
     b, a = _logistic(np.stack([np.ones(len(mean)), mean], 1), labels.astype(float), balance, np.zeros(2), ridge=0.05)
     chain.slope, chain.shift = float(a), float(-b / a) if a else 0.5
     return chain
@@ -230,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
         return counts[1] / sum(counts.values())
     lengths = [np.frombuffer(b, np.int64) for b in found.length]
     x = np.frombuffer(b"".join(found.x), np.float32).reshape(-1, 3 * OWN).astype(float)
-    return fit(Lines(x, np.concatenate(lengths), np.cumsum([0, *map(len, lengths)])), found.label.to_numpy())
+    return fit(Lines(x, np.concatenate(lengths), np.cumsum([0, *map(len, lengths)])), found.label.to_numpy(), prior=counts[1] / sum(counts.values()))
 
 
 def score(docs: DataFrame, model: Chain | float, text: str = "text", key: str = "doc_id") -> DataFrame:

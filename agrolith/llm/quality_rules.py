@@ -24,7 +24,7 @@ from agrolith.llm.common import SPACE, forget, written
 
 COMMON, LEAST_WORDS, LEAST_CHARS = 32, 100, 400
 #: Distances from which on a text is rejected.
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.45
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.32, 0.45
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("space", "upper", "digit", "symbol", "sign", "other", "lower")
 
