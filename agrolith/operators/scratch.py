@@ -42,3 +42,14 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/table-" in folder:
             _delete(df.sparkSession, folder)
+
+
+def written_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """The path of a file in the shared folder with these bytes; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(data)
+    out.close()
+    atexit.register(_delete, spark, path)
+    return path
