@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import io
-import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.operators.scratch import forget, written  # noqa: F401  the operators take them from here
+from agrolith.operators.scratch import forget, written, written_bytes  # noqa: F401  the operators take them from here
 
 #: Regex class of the ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,7 +23,7 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for an application; Spark's own file server carries it."""
+    """Give the executors this package, once for an application, as an archive in the shared folder."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -33,9 +32,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    at = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    at.write_bytes(held.getvalue())
-    context.addPyFile(str(at))
+    context.addPyFile(written_bytes(spark, f"{root.name}-{context.applicationId}.zip", held.getvalue()))
     _SHIPPED.add(context.applicationId)
 
 
