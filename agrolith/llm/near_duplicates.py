@@ -37,6 +37,8 @@ WORDS, COORDINATES, MATCHES = 5, 64, 31
 #: Similarity as a ratio of integers: LEAST of 100.
 LEAST = 75
 MOST_ROUNDS = 8
+#: Parts of a pivot's group in the comparison of what the rounds left open.
+PARTS = 16
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(_XOR) | np.uint64(1)
 
@@ -251,9 +253,12 @@ def _rest(postings: DataFrame, labels: DataFrame | None, links: _Links) -> DataF
     groups = written(near.select("pivot", "node", "n", "o", (F.col("s") - F.col("o")).alias("r"), "component"))
     largest = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
     few = groups.join(largest, "pivot").where(F.col("component") != F.col("largest"))
-    left, right = (g.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component"))) for g, side in ((few, "x"), (groups, "y")))
+    # A large group is dealt out by parts of its nodes; the few nodes meet each part.
+    few = few.withColumn("part", F.explode(F.lit(list(range(PARTS)))))
+    groups = groups.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    left, right = (g.select("pivot", "part", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component"))) for g, side in ((few, "x"), (groups, "y")))
     enough = (F.least("o_x", "o_y") + F.least("r_x", "r_y")) * (100 + LEAST) >= (F.col("n_x") + F.col("n_y")) * LEAST
-    pairs = left.join(right, "pivot").where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough)
+    pairs = left.join(right, ["pivot", "part"]).where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough)
     return pairs.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
