@@ -37,7 +37,7 @@ def progress_percent(status: Column, message: Column) -> Column:
     """Percent from "Stage i/n" in a message; 5 while queued, 50 if nothing tells."""
     pattern = r"(?i)stage\s*(\d{1,9})\s*/\s*(\d{1,9})"
     at, of = (F.regexp_extract(message, pattern, k) for k in (1, 2))
-    known = (at != "") & (F.expr("true")) & (F.when(of != "", of).otherwise("0").cast("int") > 0)
+    known = (at != "") & (F.when(of != "", of).otherwise("0").cast("int") > 0)
     share = F.floor((F.when(at != "", at).otherwise("0").cast("double") - 0.5) / F.when(of.isin("", "0"), "1").otherwise(of).cast("double") * 100 + 0.5)
     return F.when(known, share).when(status == "queued", 5).otherwise(50).cast("int")
 
