@@ -18,7 +18,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from agrolith.llm.common import SPACE, forget, written
 
