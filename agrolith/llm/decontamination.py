@@ -8,8 +8,10 @@
    passages given more weight than the corpus. Its leading `RANK` right singular vectors span the latent space.
 3. Windows of two widths of every document are projected; a window is a candidate for an item if latent cosine plus the bound on what
    the projection leaves out reaches `LEAST_COSINE`. So no window of that TF-IDF cosine is lost, whatever the rank.
+   Stretches of 1.5 times an item's length that hold enough of its words, of any weight, are candidates too (`Counted`). So an item that
+   is in so many documents that its own words are frequent isn't lost. Items of fewer than `SHORT` words have the first way only.
 4. A candidate is a leak if the longest common subsequence of item and window holds `COPY` of the item's words, or `PARAPHRASE` of them and the
-   item's answer (its last `ANSWER` weighty words) in order.
+   item's answer (its last `ANSWER` weighty words, or any if none is weighty) in order.
 
 Items are searched in blocks of `BLOCK` against all documents. Defined results: null and empty texts and items leak nothing; texts are read
 whole; repeated rows give repeated results; an empty table gives an empty one; other columns don't matter.
@@ -17,6 +19,7 @@ whole; repeated rows give repeated results; an empty table gives an empty one; o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +36,8 @@ from agrolith.llm.language_id import folded
 BUCKET_BITS, MOST_SHARE, LEAST_STOP = 18, 0.05, 20
 SVD_WIDTH, WIDTHS, RANK, OVERSAMPLING, MOST_COLUMNS = 48, (24, 64), 192, 16, 1 << 14
 LEAST_COSINE, COPY, PARAPHRASE, ANSWER, BLOCK = 0.3, 0.8, 0.5, 4, 2_048
+#: Words of the shortest item that is searched by counts, and pairs of items and places that are held at once.
+SHORT, MOST_PAIRS = 5, 1 << 20
 #: The benchmark's weight in the decomposition against all documents' together.
 BENCHMARK_WEIGHT = 64
 #: Words that one task of the decomposition reads at least; its sums are of fixed size.
@@ -256,10 +261,106 @@ class Items:
     answers: list[list[int]]
 
 
+def stretch_of(n: int) -> int:
+    """Words of the stretches in which an item of n words is looked for."""
+    return n + (n + 1) // 2
+
+
+def least_common(n: int, answer: list[int]) -> int:
+    """The least common subsequence with which an item of n words can leak."""
+    return max(1, int(np.ceil((PARAPHRASE if answer else COPY) * n - 1e-9)))
+
+
+@dataclass
+class Counted:
+    """Each item's rarest words, and how many of them any stretch that leaks the item holds.
+
+    A leak has `need` of the item's n words, so if all but m are left aside, it still has need - (n - m) of these m. This holds for words of
+    any weight and items of any length.
+    """
+
+    words: np.ndarray
+    first: np.ndarray
+    terms: np.ndarray
+    least: np.ndarray
+    length: np.ndarray
+
+    @staticmethod
+    def of(items: list[list[int]], answers: list[list[int]], df: np.ndarray) -> Counted:
+        chosen, least, length = [], [], []
+        for item, answer in zip(items, answers, strict=True):
+            ids, n = np.array(item, np.uint32), len(item)
+            need = least_common(n, answer)
+            k = -(-need // 3)
+            rarest = ids[np.lexsort((ids, df[bucket_of(ids)]))][: n - need + k]
+            chosen.append(np.unique(rarest) if n >= SHORT else rarest[:0])
+            least.append(k)
+            length.append(stretch_of(n))
+        words = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint32)
+        terms = np.searchsorted(words, np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        return Counted(words, np.cumsum([0, *map(len, chosen)]), terms, np.array(least, np.int64), np.array(length, np.int64))
+
+    def find(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, end) of stretches with enough of an item's words; those of a text and item in order."""
+        if not len(self.words):
+            return
+        held = np.zeros(1 << BUCKET_BITS, bool)
+        held[bucket_of(self.words)] = True
+        place = np.flatnonzero(held[bucket_of(ids)])
+        term = np.minimum(np.searchsorted(self.words, ids[place]), len(self.words) - 1)
+        hit = self.words[term] == ids[place]
+        place, term = place[hit], term[hit]
+        far = int(self.length.max())
+        # Texts and items lie so far apart that no stretch holds two of them.
+        spread = place + (np.searchsorted(first, place, side="right") - 1) * far
+        span = len(ids) + len(first) * far
+        spread = spread[np.argsort(term, kind="stable")]
+        counts = np.bincount(term, minlength=len(self.words))
+        starts = np.cumsum(counts) - counts
+        sizes = np.concatenate([[0], np.cumsum(counts[self.terms])])[self.first]
+        item = 0
+        while item < len(self.least):
+            stop = max(item + 1, int(np.searchsorted(sizes, sizes[item] + MOST_PAIRS, side="right")) - 1)
+            terms = self.terms[self.first[item] : self.first[stop]]
+            n = counts[terms]
+            owner = np.repeat(np.arange(stop - item), np.diff(self.first[item : stop + 1]))
+            at = np.arange(int(n.sum())) + np.repeat(starts[terms] - (np.cumsum(n) - n), n)
+            key = np.sort(spread[at] + np.repeat(owner, n) * span)
+            own = key // span + item
+            last = np.arange(len(key)) + self.least[own] - 1
+            k = np.flatnonzero(last < len(key))
+            k = k[key[last[k]] - key[k] < self.length[own[k]]]
+            a, b = key[k] % span, key[last[k]] % span
+            text = np.searchsorted(first + np.arange(len(first)) * far, a, side="right") - 1
+            lo, hi = a - text * far - first[text], b - text * far - first[text] + 1
+            # Overlapping stretches become one.
+            new = np.ones(len(k), bool)
+            new[1:] = (own[k][1:] != own[k][:-1]) | (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
+            heads = np.flatnonzero(new)
+            if len(heads):
+                yield from zip(text[heads].tolist(), own[k][heads].tolist(), lo[heads].tolist(), np.maximum.reduceat(hi, heads).tolist(), strict=True)
+            item = stop
+
+
+def enough(item: Counter, n: int, need: int, words: list[int], first: int, last: int) -> bool:
+    """Whether a stretch that meets words first to last holds `need` words of the item, each as often as the item at most."""
+    begin, length, free, held = max(0, first - n), stretch_of(n), dict(item), 0
+    for k in range(begin, min(last + n, len(words))):
+        if (w := words[k]) in free:
+            held += free[w] > 0
+            free[w] -= 1
+            if held >= need:
+                return True
+        if k - length + 1 >= begin and (w := words[k - length + 1]) in free:
+            free[w] += 1
+            held -= free[w] > 0
+    return False
+
+
 def verify(item: list[int], answer: list[int], words: list[int], first: int, last: int) -> tuple[float, int, int, str] | None:
     """The best stretch of words first to last that leaks the item: (share of the item, start, end, kind)."""
     n = len(item)
-    length, stride = n + (n + 1) // 2, max(1, n // 2)
+    length, stride = stretch_of(n), max(1, n // 2)
     best = None
     for start in range(max(0, first - n), max(1, min(last + n, len(words)) - length + stride), stride):
         stretch = words[start : start + length]
@@ -270,13 +371,14 @@ def verify(item: list[int], answer: list[int], words: list[int], first: int, las
     return best
 
 
-def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items: Items, terms: Terms, space: np.ndarray) -> DataFrame:
+def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items: Items, terms: Terms, space: np.ndarray, counted: Counted) -> DataFrame:
+    bags = [Counter(w) for w in items.words]
+    needs = [least_common(len(w), a) for w, a in zip(items.words, items.answers, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _cut(batches):
             ids, first = _decode(block.column(1))
             w, at, column = terms.find(ids)
-            if not len(at):
-                continue
             energy = np.concatenate([[0], np.cumsum(w * w)])
             inside = np.concatenate([[0], np.cumsum(w[at] ** 2)])
             projected = space[column] * w[at].astype(np.float32)[:, None]
@@ -299,7 +401,15 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
                         r.append((lo, hi, float(cosine[i, j])))
             out = []
             lists: dict[int, list[int]] = {}
-            for (t, j), spans in sorted(regions.items()):
+            held: dict[tuple[int, int], list[tuple]] = {}
+            for t, j, lo, hi in counted.find(ids, first):
+                words = lists.setdefault(t, ids[first[t] : first[t + 1]].tolist())
+                if enough(bags[j], len(items.words[j]), needs[j], words, lo, hi):
+                    a, b = np.searchsorted(at, (first[t] + lo, first[t] + hi))
+                    norm = np.sqrt(max(float(energy[first[t] + hi] - energy[first[t] + lo]), 1e-12))
+                    held.setdefault((t, j), []).append((lo, hi, float(projected[a:b].sum(axis=0) @ items.latent[j]) / norm))
+            for t, j in sorted({*regions, *held}):
+                spans = regions.get((t, j), [])
                 words = lists.setdefault(t, ids[first[t] : first[t + 1]].tolist())
                 merged: list[list] = []
                 for lo, hi, c in sorted(spans):
@@ -307,7 +417,9 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
                         merged[-1][1], merged[-1][2] = max(merged[-1][1], hi), max(merged[-1][2], c)
                     else:
                         merged.append([lo, hi, c])
-                found = [(v, c) for lo, hi, c in merged if (v := verify(items.words[j], items.answers[j], words, lo, hi))]
+                for own in (merged, held.get((t, j), [])):
+                    if found := [(v, c) for lo, hi, c in own if (v := verify(items.words[j], items.answers[j], words, lo, hi))]:
+                        break
                 if found:
                     (share, lo, hi, kind), c = max(found)
                     out.append((t, items.keys[j], c, share, lo, hi, kind))
@@ -347,8 +459,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
         latent = (vectors[own] @ space).astype(np.float32)
         rest = np.sqrt(np.maximum((vectors[own] ** 2).sum(axis=1) - (latent**2).sum(axis=1), 0)).astype(np.float32)
         answers = [[int(x) for x in w if terms.weights[bucket_of(x)] > 0][-ANSWER:] for w in words[own]]
+        answers = [a or w[-ANSWER:].tolist() for a, w in zip(answers, words[own], strict=True)]
         block = Items([k for k, _ in query[own]], [w.tolist() for w in words[own]], latent, rest, answers)
-        part = _search(rows, docs.schema[key].dataType, benchmark.schema[item_key].dataType, block, terms, space)
+        part = _search(rows, docs.schema[key].dataType, benchmark.schema[item_key].dataType, block, terms, space, Counted.of(block.words, answers, df))
         found = part if found is None else found.unionByName(part)
     return found.withColumnsRenamed({"key": key, "item": item_key})
 

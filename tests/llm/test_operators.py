@@ -285,6 +285,26 @@ def test_decontamination_finds_planted_items(spark, docs, rows, empty):
     assert decontamination.find_leaks(both, bench.limit(0)).count() == 0
 
 
+def made_words(r: random.Random, n: int) -> str:
+    return " ".join(f"{r.choice('bcdfgh')}{r.choice('aeiou')}{r.randrange(900)}" for _ in range(n))
+
+
+def test_decontamination_finds_item_in_a_third_of_the_rows(spark):
+    r = random.Random(4)
+    items = [made_words(r, 30), made_words(r, 12), made_words(r, 30)]
+    other = items[2].split()
+    other[:20:2] = ["other"] * 10  # a paraphrase with the item's end
+    rows = []
+    for k in range(240):
+        middle = [items[0], items[1], items[0], "", "", items[2]][k % 6] if k % 18 != 17 else " ".join(other)
+        rows.append((k, f"{made_words(r, r.randrange(90))} {middle} {made_words(r, r.randrange(90))}"))
+    want = Counter((k, {0: 0, 1: 1, 2: 0, 5: 2}[k % 6]) for k, _ in rows if k % 6 in (0, 1, 2, 5))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    found = decontamination.find_leaks(docs, bench).collect()
+    assert Counter((x.doc_id, x.item_id) for x in found) == want
+    assert decontamination.keep_clean(docs, bench).count() == 80
+
+
 # --- op7 -------------------------------------------------------------------------------------------------------------------------------
 
 
