@@ -326,7 +326,7 @@ _DISK = ", ".join(f"({r}, {c}, {r * r + c * c})" for r in range(-4, 5) for c in
 @query(f"WITH {_mask_sql(0.0)}, o(r, c, d) AS (VALUES {_DISK}), g AS (SELECT row, col FROM pix WHERE v <= 0.0), s AS (SELECT row + r AS row, col + c AS col, min(d) AS d FROM g, o GROUP BY 1, 2) SELECT row, col, round(coalesce(sqrt(d), 5.0), 6) AS distance FROM mask LEFT JOIN s USING (row, col)")
 def distance_transform(spark, sf_dir):
     p = pix(spark, sf_dir)
-    return segment.distance_within(p.where("v > 0.0"), p.where("v <= 0.0"), 4).select("row", "col", r6("distance").alias("distance"))
+    return segment.distances(p.where("v > 0.0"), p.where("v <= 0.0")).select("row", "col", r6("distance").alias("distance"))
 
 
 @query()

@@ -77,6 +77,23 @@ def test_outlines_have_the_regions_area(spark):
     assert segment.simplified([(0, 0), (1, 0.01), (2, 0), (2, 2)], 0.1) == [(0, 0), (2, 0), (2, 2)]
 
 
+def test_distances_are_exact(spark):
+    r = np.random.default_rng(5)
+    marked = r.random((90, 40)) < 0.998
+    marked[:, 30] = True
+    ground = np.argwhere(~marked)
+    want = {(i, j): float(np.sqrt(((ground - (i, j)) ** 2).sum(axis=1).min())) for i, j in np.argwhere(marked).tolist()}
+    p = raster(spark, marked)
+    found = segment.distances(p.where("v = 1"), p.where("v = 0"))
+    assert {(x.row, x.col): x.distance for x in found.collect()} == pytest.approx(want)
+    top = max(want.values())
+    assert top > 9
+    assert {(x.row, x.col) for x in segment.cores(found).collect()} == {at for at, d in want.items() if d > 0.3 * top}
+    seeds = {(i, j) for (i, j), d in want.items() if d > 5 and d >= max(want.get((a, b), 0) for a in range(i - 10, i + 10) for b in range(j - 10, j + 10))}
+    assert {(x.row, x.col) for x in segment.distance_seeds(found).collect()} == seeds
+    assert [x.distance for x in segment.distances(p.where("row = 0 and v = 1"), p.limit(0)).collect()] == [None] * int(marked[0].sum())
+
+
 def test_flood_reaches_all_and_separates_basins(spark):
     cost = [[0, 0, 9, 0, 0]] * 3
     cells = raster(spark, cost).select(F.lit(1).alias("k"), "row", "col", F.col("v").alias("cost"), F.when((F.col("row") == 1) & F.col("col").isin(0, 4), F.col("col")).alias("seed"))
