@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrolith.operators.graph import connected_components
-from agrolith.operators.scratch import written
+from agrolith.operators.scratch import forget, written
 from agrolith.operators.stencil import windowed
 
 _FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
@@ -124,6 +124,56 @@ def flood(chunks: DataFrame, key: str, cost: str = "cost", seed: str = "seed") -
     return chunks.groupBy(key).applyInPandas(run, f"{key} {kind}, row bigint, col bigint, label bigint")
 
 
+def flood_raster(pixels: DataFrame, rows: int = 64, cost: str = "cost", seed: str = "seed") -> DataFrame:
+    """(row, col, label): seeded flooding of a whole raster. Absent pixels aren't flooded, unreached ones have label null.
+
+    A pixel joins the seed that reaches it over the least level (the largest cost on the way), the smaller seed at equal levels; so the
+    result doesn't depend on the chunks. Each round floods chunks of `rows` rows, starting from what the pixels beyond their borders have,
+    until no pixel changes: as many rounds as the farthest way crosses borders, and one more.
+    """
+    at = F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col(cost).cast("double").alias("cost")
+    start = F.when(F.col(seed).isNotNull(), 0.0).alias("level"), F.col(seed).cast("bigint").alias("label"), F.lit(True).alias("changed")
+    state = written(pixels.select(F.floor(F.col("row") / rows).alias("chunk"), *at, *start, F.lit(True).alias("own")))
+    schema = state.schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows_, cols, costs = pdf["row"].tolist(), pdf["col"].tolist(), pdf["cost"].tolist()
+        own, fresh = pdf["own"].tolist(), pdf["changed"].tolist()
+        best = [(float(v), int(s)) if known else None for v, s, known in zip(pdf["level"], pdf["label"], pdf["label"].notna(), strict=True)]
+        place = {(r, c): i for i, (r, c) in enumerate(zip(rows_, cols, strict=True))}
+        heap = [(*b, i) for i, b in enumerate(best) if b is not None and fresh[i]]
+        heapify(heap)
+        changed = [False] * len(own)
+        while heap:
+            level, s, i = heappop(heap)
+            if best[i] != (level, s):
+                continue
+            for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
+                j = place.get((rows_[i] + dr, cols[i] + dc))
+                if j is None or not own[j]:
+                    continue
+                offer = (max(level, costs[j]), s)
+                if best[j] is None or offer < best[j]:
+                    best[j], changed[j] = offer, True
+                    heappush(heap, (*offer, j))
+        out = pdf.assign(
+            level=pd.array([None if b is None else b[0] for b in best], "Float64"), label=pd.array([None if b is None else b[1] for b in best], "Int64"), changed=changed
+        )
+        return out[pd.Series(own, index=pdf.index)]
+
+    while True:
+        beyond = [
+            state.where((F.pmod("row", F.lit(rows)) == edge) & F.col("changed") & F.col("label").isNotNull()).withColumns({"chunk": F.col("chunk") + step, "own": F.lit(False)})
+            for edge, step in ((0, -1), (rows - 1, 1))
+        ]
+        # Changed pixels start again in their own chunk too, which only seeds in the first round need.
+        new = written(state.unionByName(beyond[0]).unionByName(beyond[1]).groupBy("chunk").applyInPandas(run, schema))
+        forget(state)
+        state = new
+        if state.where("changed").isEmpty():
+            return state.select("row", "col", "label")
+
+
 def boundary_edges(labels: DataFrame) -> DataFrame:
     """(label, x1, y1, x2, y2): unit edges between a region and what isn't the region, the region on the right hand in image axes."""
     sides = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("r", "c", "x1", "y1", "x2", "y2"), s, strict=True))) for s in ((-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0))))

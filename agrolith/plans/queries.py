@@ -350,11 +350,10 @@ def simplify(spark, sf_dir):
 
 @query()
 def watershed_fields(spark, sf_dir):
-    """Seeds are local maxima; chunks of 64 rows are flooded over the gradient."""
+    """Seeds are local maxima of the value; the whole raster is flooded over the gradient."""
     p = pix(spark, sf_dir)
     seeds = p.join(stencil.windowed(p, "max", 4, 4).withColumnRenamed("v", "top"), ["row", "col"]).where("v = top").select("row", "col", (F.col("row") * WIDTH + F.col("col")).alias("seed"))
-    chunks = stencil.sobel(p).join(seeds, ["row", "col"], "left").select(F.expr("row div 64").alias("chunk"), "row", "col", F.col("gradient").alias("cost"), "seed")
-    return segment.flood(chunks, "chunk")
+    return segment.flood_raster(stencil.sobel(p).join(seeds, ["row", "col"], "left").select("row", "col", F.col("gradient").alias("cost"), "seed"))
 
 
 @query(f"WITH {FIELDS}, q AS (SELECT field, quantile_cont(n, 1 / 3.0) AS a, quantile_cont(n, 2 / 3.0) AS b FROM f GROUP BY field), z AS (SELECT field, n, 1 + CAST(n > a AS INTEGER) + CAST(n > b AS INTEGER) AS zone_id FROM f JOIN q USING (field)) SELECT field, ['low', 'medium', 'high'][zone_id] AS zone_class, count(n) AS n, round(avg(n), 6) AS mean FROM z GROUP BY field, zone_id")

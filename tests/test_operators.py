@@ -102,6 +102,19 @@ def test_flood_reaches_all_and_separates_basins(spark):
     assert None not in got.values()
 
 
+def test_flood_crosses_chunk_borders(spark):
+    r = np.random.default_rng(8)
+    cost = r.integers(0, 6, (50, 9)).astype(float)
+    cost[10] = 9.0
+    cells = raster(spark, cost).where("row != 20 or col > 0").select("row", "col", F.col("v").alias("cost"), F.when((F.col("row") % 17 == 3) & (F.col("col") == 4), F.col("row") * 9 + 4).alias("seed"))
+    one_chunk = {(x.row, x.col): x.label for x in segment.flood(cells.withColumn("k", F.lit(1)), "k").collect()}
+    for rows in (7, 50):
+        assert {(x.row, x.col): x.label for x in segment.flood_raster(cells, rows).collect()} == one_chunk
+    chunked = {(x.row, x.col): x.label for x in segment.flood(cells.withColumn("k", F.expr("row div 7")), "k").collect()}
+    assert None in chunked.values() and None not in one_chunk.values()
+    assert {x.label for x in segment.flood_raster(cells.withColumn("seed", F.lit(None).cast("bigint")), 7).collect()} == {None}
+
+
 def test_rings(spark):
     at = lambda *p: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p))
     ell = at((0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2))
