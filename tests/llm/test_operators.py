@@ -305,6 +305,14 @@ def test_decontamination_finds_item_in_a_third_of_the_rows(spark):
     assert decontamination.keep_clean(docs, bench).count() == 80
 
 
+def test_decontamination_finds_long_items(spark):
+    r = random.Random(6)
+    items = [made_words(r, n) for n in (700, 1500, 2500)]
+    rows = [(k, f"{made_words(r, 200)} {t} {made_words(r, 3000)}") for k, t in enumerate([*items, " ".join(items[2].split()[:1000])])]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.kind) for x in found} == {(k, k, "copy") for k in range(3)}
+
+
 # --- op7 -------------------------------------------------------------------------------------------------------------------------------
 
 
