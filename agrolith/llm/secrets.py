@@ -7,8 +7,9 @@ A rule without mandatory trigrams, such as one for long hexadecimal runs, scans
 
 Trigrams are folded to lower-case ASCII, so rules of either case use one index; folding only adds candidates.
 
-Defined results: null and empty texts have no spans; texts of any length are searched whole; repeated rows have the same spans;
-offsets are code points, ends are exclusive; spans of one rule don't overlap, those of several may.
+Defined results: null and empty texts have no spans; texts of any length are searched whole, in time linear in their length; repeated
+rows have the same spans; a null key stays null; an empty table gives an empty result; offsets are code points, ends are exclusive; spans
+of one rule don't overlap, those of several may; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ class Rule:
     base: bool = False
 
 
-#: Base rules in the order of the contract, then the rules that the method adds.
+#: Base rules in the order of the contract, then the rules that the method adds. Open runs begin where a run of their characters begins
+#: and give nothing back, so that scanning stays linear in a text's length: a token inside a longer run of word characters is none.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
     Rule("access", r"AKIA[A-Z0-9]+", 16, 0, True),
@@ -50,9 +52,9 @@ RULES = (
     Rule("chat", r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
     Rule("pay", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("userinfo", r"[a-z][a-z0-9+]{1,10}://[A-Za-z0-9._~-]+:[A-Za-z0-9._~!$&*+=-]{6,}@[A-Za-z0-9.-]+"),
+    Rule("userinfo", r"[a-z][a-z0-9+]{1,10}://[A-Za-z0-9._~-]++:[A-Za-z0-9._~!$&*+=-]{6,}+@[A-Za-z0-9.-]++"),
 )
 
 # A query is True (all documents), a trigram, or ("and" | "or", queries).

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -452,6 +453,17 @@ def test_secret_scan_equals_full_scan(spark, docs, rows, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secret_scan_is_linear():
+    scanner = secrets.Scanner(secrets.RULES)
+    token = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    assert [x[1] for x in scanner.block(pa.array([f"a {token}, b"]))[0]] == [7]
+    hostile = ["eyJ" * 350_000, "eyJaaaaaaaaa." * 80_000, "ab://" * 200_000, "ab://a:" * 150_000, "password" * 130_000, "-----BEGIN " * 95_000, "AKIA" * 260_000, "xox" + "xoxb-" * 200_000, "0123456789abcdef0123456789abcde " * 32_000]
+    for t in hostile:
+        began = time.perf_counter()
+        scanner.block(pa.array([t]))
+        assert time.perf_counter() - began < 5, t[:20]
+
+
 def test_queries_follow_from_patterns():
     r = random.Random(8)
     for pattern in ("abc(def|dxf)?gh", "(foo|bar)+baz", "a[bc]d*efg", "x{2,3}yz1", "(?i:ToK)en", "[a-z]+"):
