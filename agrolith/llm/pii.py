@@ -10,17 +10,21 @@ words are clamped to "none", which cuts the chain and costs nothing) as none, em
 
 Loopy sum-product message passing with damping gives marginals; a token that no base span touches and whose marginal for a kind is at
 least `sure` becomes an added span. Weights are learned from base spans of a bounded sample of documents (`SAMPLE_DOCS` documents by a
-hash of the key, at most `SAMPLE_TOKENS` evidence tokens of each); if the sample has no evidence, base spans are all there is.
+hash of the key, at most `SAMPLE_TOKENS` evidence tokens of each), with their labels handed on along skips; if the sample has no base
+span, base spans are all there is.
 
-Defined results: null and empty texts have no spans; texts are searched whole; repeated rows have equal spans; offsets are code
-points, ends are exclusive; an empty table gives an empty result.
+Defined results: null and empty texts have no spans; texts are searched whole; repeated rows have equal spans; a null key stays null;
+offsets are code points, ends are exclusive; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -97,75 +101,109 @@ class Token:
     order: int
 
 
-def evidence(text: str) -> list[Token]:
+def evidence(text: str) -> Iterator[Token]:
     """Words with a digit or an at sign, without the signs around them, and their place among all words."""
-    found = []
     for order, m in enumerate(_TOKEN.finditer(text)):
         word = m[0]
         if _EVIDENCE.search(word):
             left = len(word) - len(word.lstrip(_EDGE))
             core = word.strip(_EDGE)
             if core:
-                found.append(Token(m.start() + left, m.start() + left + len(core), core, re.sub("[^0-9]", "", core), order))
-    return found
+                yield Token(m.start() + left, m.start() + left + len(core), core, re.sub("[^0-9]", "", core), order)
 
 
-def _shape(t: Token) -> list[float]:
+def _shape(t: Token) -> list[bool]:
     core, n = t.core, len(t.digits)
     parts = core.split(".")
     dotted = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
     letters = any(c.isalpha() for c in core)
     return [
-        1.0, "@" in core, "@" in core and "." in core.rpartition("@")[2], core.startswith("+"), core.startswith("("),
+        True, "@" in core, "@" in core and "." in core.rpartition("@")[2], core.startswith("+"), core.startswith("("),
         not letters and n == len(core), letters and n > 0, letters and n >= len(core) / 2, dotted, dotted and all(len(p) < 4 and int(p) < 256 for p in parts),
         n == 0, 0 < n <= 2, n in (3, 4), 5 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19, 13 <= n <= 19 and not letters and luhn(t.digits), "-" in core, len(core) > 24,
     ]
 
 
 WIDTH = len(_shape(Token(0, 1, "0", "0", 0)))
+#: Tokens or edges that are worked on at once.
+PART = 1 << 15
+_PLACES = 1 << np.arange(3 * WIDTH, dtype=np.int64)
 
 
-def features(tokens: list[Token]) -> np.ndarray:
-    """Own shape, and that of the evidence tokens directly before and after (zeros if there is none)."""
-    own = np.array([_shape(t) for t in tokens], np.float64).reshape(len(tokens), WIDTH)
-    x = np.zeros((len(tokens), 3 * WIDTH))
-    x[:, :WIDTH] = own
-    near = np.array([b.order - a.order == 1 for a, b in zip(tokens, tokens[1:], strict=False)], bool)
-    at = np.flatnonzero(near)
-    x[at + 1, WIDTH : 2 * WIDTH] = own[at]
-    x[at, 2 * WIDTH :] = own[at + 1]
-    return x
-
-
-def edges(tokens: list[Token]) -> list[tuple[int, int, int]]:
-    """(from, to, 0 for the chain or 1 for a skip)."""
-    found = [(k, k + 1, 0) for k, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if b.order - a.order == 1]
-    last: dict[str, int] = {}
-    for k, t in enumerate(tokens):
-        name = t.core.partition("@")[0].lower()
-        cores = {f"#{t.digits}"} if len(t.digits) >= 7 else set()
-        if len(name) >= 5:
-            cores.add(name)
-        linked = {last[c] for c in cores if c in last and k - last[c] > 0}
-        found += [(j, k, 1) for j in linked if tokens[k].order - tokens[j].order > 1]
-        last.update(dict.fromkeys(cores, k))
-    return found
+class Tokens(NamedTuple):
+    """Evidence tokens of texts, one text after another, without their words: about 50 bytes each, so that a text of nothing else fits a task.
 
+    places: start and end in the text; near: whether the token before is the word before; links: (from, to, 0 for the chain or 1 for a
+    skip); first: where each text's tokens begin (one more than texts).
+    """
 
-def labels_of(tokens: list[Token], spans: list[tuple[str, int, int]]) -> list[int]:
-    """The kind of the first base span, in the order of KINDS, that overlaps a token."""
-    found = [0] * len(tokens)
+    places: np.ndarray
+    near: np.ndarray
+    shapes: np.ndarray
+    links: np.ndarray
+    first: list[int]
+
+    def features(self, low: int, high: int) -> np.ndarray:
+        """Own shapes of some tokens, and those of the evidence tokens directly before and after (zeros if there is none)."""
+        x = np.zeros((min(high, len(self.near)) - low, 3 * WIDTH))
+        x[:, :WIDTH] = self.shapes[low:high]
+        at = np.flatnonzero(self.near[low:high])
+        x[at, WIDTH : 2 * WIDTH] = self.shapes[at + low - 1]
+        at = np.flatnonzero(self.near[low + 1 : high + 1])
+        x[at, 2 * WIDTH :] = self.shapes[at + low + 1]
+        return x
+
+
+def tokens_of(texts: list[str], most: int | None = None) -> Tokens:
+    """The evidence of texts, `most` tokens of each if given. Equal cores are linked one to the next, unless they are neighbours."""
+    places, near, shapes, links, first = array("i"), bytearray(), bytearray(), array("i"), [0]
+    k = 0
+    for text in texts:
+        last: dict[str, tuple[int, int]] = {}
+        before = None
+        for t in islice(evidence(text), most):
+            beside = before is not None and t.order - before == 1
+            before = t.order
+            places.extend((t.start, t.end))
+            near.append(beside)
+            shapes.extend(_shape(t))
+            if beside:
+                links.extend((k - 1, k, 0))
+            name = t.core.partition("@")[0].lower()
+            cores = {f"#{t.digits}"} if len(t.digits) >= 7 else set()
+            if len(name) >= 5:
+                cores.add(name)
+            for j, order in {last[c] for c in cores if c in last}:
+                if t.order - order > 1:
+                    links.extend((j, k, 1))
+            last.update(dict.fromkeys(cores, (k, t.order)))
+            k += 1
+        first.append(k)
+    table = lambda values, kind, width: np.frombuffer(values, kind).reshape(-1, width)
+    return Tokens(table(places, np.int32, 2), np.frombuffer(near, bool), table(shapes, np.uint8, WIDTH), table(links, np.int32, 3), first)
+
+
+def labels_of(places: np.ndarray, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """For each token of a text the kind of the first base span, in the order of KINDS, that overlaps it."""
+    found = np.zeros(len(places), np.int64)
     for kind in reversed(KINDS):
-        own = [s for s in spans if s[0] == kind]
-        k = 0
-        for i, t in enumerate(tokens):
-            while k < len(own) and own[k][2] <= t.start:
-                k += 1
-            if k < len(own) and own[k][1] < t.end:
-                found[i] = LABELS.index(kind)
+        own = np.array([s[1:] for s in spans if s[0] == kind], np.int64).reshape(-1, 2)
+        if len(own):
+            k = np.searchsorted(own[:, 1], places[:, 0], side="right")
+            found[(k < len(own)) & (own[np.minimum(k, len(own) - 1), 0] < places[:, 1])] = LABELS.index(kind)
     return found
 
 
+def consistent(y: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Labels with those of tokens in base spans handed on to unlabelled tokens of the same core; links come in the order of their ends."""
+    y, skips = y.copy(), [(a, b) for a, b, kind in links.tolist() if kind == 1]
+    for a, b in skips:
+        y[b] = y[b] or y[a]
+    for a, b in reversed(skips):
+        y[a] = y[a] or y[b]
+    return y
+
+
 @dataclass
 class Field:
     """Weights of the node potentials, and log potentials of chain and skip edges."""
@@ -173,24 +211,31 @@ class Field:
     nodes: np.ndarray
     pairs: np.ndarray
 
-    def marginals(self, x: np.ndarray, links: list[tuple[int, int, int]], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product over all documents of a block at once, in log space."""
-        node = x @ self.nodes
-        if not links:
+    def potentials(self, tokens: Tokens) -> np.ndarray:
+        n = len(tokens.near)
+        return np.concatenate([tokens.features(k, k + PART) @ self.nodes for k in range(0, max(n, 1), PART)])
+
+    def marginals(self, node: np.ndarray, links: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
+        """Loopy sum-product over the node potentials of all documents of a block at once, in log space, some edges at a time."""
+        if not len(links):
             return _softmax(node)
-        e = np.array(links)
+        e = np.asarray(links)
         src, dst = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
-        pair = np.concatenate([self.pairs[e[:, 2]], self.pairs[e[:, 2]].transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))])
-        said = np.zeros((len(src), len(LABELS)))
+        tables, kind = np.concatenate([self.pairs, self.pairs.transpose(0, 2, 1)]), np.concatenate([e[:, 2], e[:, 2] + len(self.pairs)])
+        said, new = np.zeros((len(src), len(LABELS))), np.zeros((len(src), len(LABELS)))
+
+        def beliefs() -> np.ndarray:
+            return node + np.stack([np.bincount(dst, said[:, k], len(node)) for k in range(len(LABELS))], axis=1)
+
         for _ in range(rounds):
-            belief = node.copy()
-            np.add.at(belief, dst, said)
-            out = _logsum(pair + (belief[src] - said[back])[:, :, None], 1)
-            said = damping * said + (1 - damping) * (out - _logsum(out, 1)[:, None])
-        belief = node.copy()
-        np.add.at(belief, dst, said)
-        return _softmax(belief)
+            belief = beliefs()
+            for low in range(0, len(src), PART):
+                own = slice(low, low + PART)
+                back = (np.arange(low, min(low + PART, len(src))) + len(e)) % len(src)
+                out = _logsum(tables[kind[own]] + (belief[src[own]] - said[back])[:, :, None], 1)
+                new[own] = damping * said[own] + (1 - damping) * (out - _logsum(out, 1)[:, None])
+            said, new = new, said
+        return _softmax(beliefs())
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -203,75 +248,77 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> Field:
+def fit(codes: np.ndarray, n: np.ndarray, pairs: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> Field:
     """Piecewise training: node weights by multinomial logistic regression, pair potentials from smoothed co-occurrence.
 
-    pairs: counts (2, labels, labels) of the labels of linked tokens. A potential is the log of observed over expected
-    frequency, cut to [-2, 2], for node and pair potentials see the same evidence.
+    codes: distinct rows of features as bits, n: how many tokens of each label have them (rows, labels); pairs: counts (2, labels, labels)
+    of the labels of linked tokens. A potential is the log of observed over expected frequency. Those of the chain are cut to [-2, 2], for
+    node and chain potentials see the same evidence; those of skips, which see what no node does, to [-6, 6].
     """
-    w = np.zeros((x.shape[1], len(LABELS)))
-    goal, m, v = np.eye(len(LABELS))[y], np.zeros_like(w), np.zeros_like(w)
+    w = np.zeros((3 * WIDTH, len(LABELS)))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    parts = [(slice(k, k + PART), n[k : k + PART].sum(axis=1, keepdims=True)) for k in range(0, len(codes), PART)]
+    unpacked = lambda own: ((codes[own, None] & _PLACES) > 0).astype(float)
+    held = unpacked(parts[0][0]) if len(parts) == 1 else None
     for t in range(1, steps + 1):
-        g = x.T @ (_softmax(x @ w) - goal) / len(x) + ridge * w
+        g = ridge * w
+        for own, total in parts:
+            x = unpacked(own) if held is None else held
+            g += x.T @ (_softmax(x @ w) * total - n[own]) / n.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     counts = pairs + pairs.transpose(0, 2, 1) + 0.5
     joint = counts / counts.sum(axis=(1, 2), keepdims=True)
     own = joint.sum(axis=2)
-    return Field(w, np.clip(np.log(joint / (own[:, :, None] * own[:, None, :])), -2, 2))
-
-
-def _sample_rows(text: str, most: int) -> list[tuple]:
-    tokens = evidence(text)[:most]
-    if not tokens:
-        return []
-    y = labels_of(tokens, base_spans(text))
-    links = edges(tokens)
-    return [(x.tolist(), y[i], [y[b] for a, b, k in links if a == i and k == 0], [y[b] for a, b, k in links if a == i and k == 1]) for i, x in enumerate(features(tokens))]
+    most = np.array([2.0, 6.0])[:, None, None]
+    return Field(w, np.clip(np.log(joint / (own[:, :, None] * own[:, None, :])), -most, most))
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", most_docs: int = SAMPLE_DOCS, most_tokens: int = SAMPLE_TOKENS) -> Field | None:
-    """Learn from base spans of about `most_docs` documents, which a hash of the key chooses."""
+    """Learn from base spans of about `most_docs` documents, which a hash of the key chooses.
+
+    Features are bits, so Spark counts equal rows of features with their label, and the labels of linked tokens; only counts reach the driver.
+    """
     share = min(1.0, most_docs / max(1, docs.count()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            found = [r for t in block.column(0).to_pylist() if t for r in _sample_rows(t, most_tokens)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["x", "y", "chain", "skip"])
+            texts = [t for t in block.column(0).to_pylist() if t]
+            tokens = tokens_of(texts, most_tokens)
+            y = np.concatenate([np.zeros(0, np.int64), *(labels_of(tokens.places[a:b], base_spans(t)) for t, a, b in zip(texts, tokens.first, tokens.first[1:], strict=False))])
+            y = consistent(y, tokens.links)
+            found = [(0, (tokens.features(k, k + PART) > 0) @ _PLACES * len(LABELS) + y[k : k + PART]) for k in range(0, len(y), PART)]
+            found += [(1 + kind, y[own[:, 0]] * len(LABELS) + y[own[:, 1]]) for kind in (0, 1) for own in [tokens.links[tokens.links[:, 2] == kind]]]
+            for kind, codes in found:
+                code, n = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["kind", "code", "n"])
 
-    kinds = [pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     chosen = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))).where(F.col(text).rlike("[0-9@]"))
-    found = arrow_map(chosen.select(F.col(text).alias("text")), rows, "x array<double>, y int, chain array<int>, skip array<int>").toPandas()
-    if found.empty or not found.y.any():
-        return None
-    found = found.assign(k=found.x.map(tuple)).sort_values(["k", "y"])  # the order in which tasks end doesn't matter then
+    counted = arrow_map(chosen.select(F.col(text).alias("text")), rows, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    found = counted.toPandas().sort_values(["kind", "code"])  # the order in which tasks end doesn't matter then
     pairs = np.zeros((2, len(LABELS), len(LABELS)))
-    for kind, column in enumerate(("chain", "skip")):
-        for y, others in zip(found.y, found[column], strict=True):
-            for other in others:
-                pairs[kind, y, other] += 1
-    return fit(np.array(found.x.tolist()), found.y.to_numpy(), pairs)
+    for kind in (0, 1):
+        own = found[found.kind == 1 + kind]
+        pairs[kind].reshape(-1)[own.code.to_numpy(int)] = own.n
+    own = found[found.kind == 0]
+    codes, row = np.unique(own.code.to_numpy(np.int64) // len(LABELS), return_inverse=True)
+    n = np.zeros((len(codes), len(LABELS)))
+    n[row, own.code.to_numpy(np.int64) % len(LABELS)] = own.n
+    return fit(codes, n, pairs) if n[:, 1:].any() else None
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field: Field, sure: float) -> list[list[tuple[str, int, int]]]:
     """Spans that the field adds to the base spans of each text."""
-    tokens = [evidence(t) for t in texts]
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not any(tokens):
-        return out
-    links, first = [], 0
-    for own in tokens:
-        links += [(a + first, b + first, k) for a, b, k in edges(own)]
-        first += len(own)
-    p = field.marginals(np.concatenate([features(own) for own in tokens if own]), links)
-    first = 0
-    for i, own in enumerate(tokens):
-        taken = labels_of(own, bases[i])
-        for t, label, row in zip(own, taken, p[first : first + len(own)], strict=True):
-            best = int(row.argmax())
-            if not label and best and row[best] >= sure:
-                out[i].append((LABELS[best], t.start, t.end))
-        first += len(own)
+    tokens = tokens_of(texts)
+    if not len(tokens.near):
+        return [[] for _ in texts]
+    p = field.marginals(field.potentials(tokens), tokens.links)
+    best, sure_of = p.argmax(axis=1), p.max(axis=1) >= sure
+    out = []
+    for base, a, b in zip(bases, tokens.first, tokens.first[1:], strict=False):
+        free = labels_of(tokens.places[a:b], base) == 0
+        at = np.flatnonzero(free & (best[a:b] > 0) & sure_of[a:b]) + a
+        out.append([(LABELS[best[k]], *tokens.places[k].tolist()) for k in at])
     return out
 
 

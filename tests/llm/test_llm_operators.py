@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,8 +74,8 @@ def test_pii_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     field = pii.Field(r.normal(size=(4, 5)), r.normal(size=(2, 5, 5)))
     x = r.normal(size=(3, 4))
-    links = [(0, 1, 0), (1, 2, 1)]  # a tree: message passing is exact
-    p = field.marginals(x, links, rounds=60, damping=0.0)
+    links = np.array([(0, 1, 0), (1, 2, 1)])  # a tree: message passing is exact
+    p = field.marginals(x @ field.nodes, links, rounds=60, damping=0.0)
     node, want = x @ field.nodes, np.zeros((3, 5))
     for a in range(5):
         for b in range(5):
@@ -98,6 +99,41 @@ def test_pii_query(spark, docs, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_pii_features_and_links():
+    tokens = pii.tokens_of(["x 1 ann@b.cc word (ann@b.cc) 2", "", "7777777 w 7777777 7777777"])
+    assert tokens.first == [0, 4, 4, 7]
+    assert tokens.places.tolist()[:4] == [[2, 3], [4, 12], [18, 27], [29, 30]]
+    assert sorted(map(tuple, tokens.links.tolist())) == [(0, 1, 0), (2, 3, 0), (4, 5, 1), (5, 6, 0)]  # "ann" is too short for a skip
+    whole = tokens.features(0, 7)
+    assert (np.concatenate([tokens.features(k, k + 3) for k in (0, 3, 6)]) == whole).all()
+    assert (whole[1, pii.WIDTH : 2 * pii.WIDTH] == tokens.shapes[0]).all() and not whole[2, pii.WIDTH : 2 * pii.WIDTH].any()
+
+
+def test_pii_labels_are_consistent_in_a_document(spark):
+    """What no pattern finds is found where the same digits or name stand in a base span far away; repeated other numbers are none."""
+    r = random.Random(7)
+    rows = []
+    for k in range(300):
+        name, number = "".join(r.choice("abcdefghij") for _ in range(7)) + str(r.randrange(100)), str(r.randrange(10**10, 10**11))
+        first, again = [(f"{name}@mail.example.org", name), (f"+{number}", number), (f"order {number}", f"order {number}")][k % 3]
+        rows.append((k, f"see {first} please, and then write of {again} soon about 10 of it", name))
+    found = {x.doc_id: [(s.kind, s.base) for s in x.spans] for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    want = [[("email", True), ("email", False)], [("phone", True), ("phone", False)], []]
+    right = [sum(found[k] == want[k % 3] for k in range(at, 300, 3)) for at in range(3)]
+    assert min(right) >= 95, right
+
+
+def test_pii_memory_of_numbers_only():
+    """A text of nothing but numbers needs memory in proportion to its length."""
+    text = " ".join(str(k % 977) for k in range(60_000))
+    tracemalloc.start()
+    field = pii.Field(np.zeros((3 * pii.WIDTH, len(pii.LABELS))), np.zeros((2, 5, 5)))
+    assert pii.added_spans([text], [[]], field, 0.9) == [[]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(text), peak / len(text)
+
+
 # --- op2 -------------------------------------------------------------------------------------------------------------------------------
 
 
