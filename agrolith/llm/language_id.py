@@ -6,10 +6,15 @@ the root of the product of how many each holds. Texts are folded to lower case (
 Scores are batched products of presence matrices with the landmarks: P(x) . (landmarks . weights) / sqrt(|x|), the same numbers as
 kernel rows times weights, in another order of multiplication.
 
-Learned from a bounded sample: at most about `SAMPLE_ROWS` rows, evenly over the values of `lang`, chosen by a hash of the key.
+Presence saturates in long texts, so a text is scored in windows of equal length, `WINDOW` bytes at most, that cover it whole, and its
+outputs are the mean of theirs by length. So length changes neither scores nor memory.
+
+Learned from a bounded sample: at most about `SAMPLE_ROWS` rows, evenly over the values of `lang`, chosen by a hash of the key; of each,
+one window, chosen by the same hash.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text if there is nothing to learn from;
-texts count whole; rows with a null language are never learned from; repeated rows get equal results; an empty table gives an empty one.
+texts count whole; rows with a null language or a null key are never learned from, and those with a null key are scored all the same;
+repeated rows get equal results; an empty table gives an empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from agrolith.llm.common import LOWER, arrow_map, blocks, buffers, give_back
 BUCKETS_LOG2, LONGEST = 15, 4
 BUCKETS = 1 << BUCKETS_LOG2
 SAMPLE_ROWS, LANDMARKS, RIDGE = 2_400, 192, 1e-3
+#: Bytes of the longest window, and windows whose presence rows are held at once.
+WINDOW, PART = 2_048, 128
 UNKNOWN = "und"
 _SPREAD = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 _IS_ASCII_LETTER = np.zeros(256, bool)
@@ -62,6 +69,15 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found.reshape(n_texts, BUCKETS)
 
 
+def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of equal length begin that cover each text (one more than windows), and how many each text has."""
+    length = np.diff(offsets)
+    per = -(-length // WINDOW)
+    text = np.repeat(np.arange(len(per)), per)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    return np.append(offsets[text] + k * length[text] // per[text], offsets[-1]), per
+
+
 def has_letter(data: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.ndarray:
     """Whether each text has a letter of any script."""
     seen = np.concatenate([[0], np.cumsum(_IS_ASCII_LETTER[data])])
@@ -82,9 +98,19 @@ class Model:
         norms = np.sqrt(np.maximum(found.sum(axis=1), 1)).astype(np.float32)
         return found.astype(np.float32) @ self.weights / norms[:, None]
 
-    def predict(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best language of each row and its share of the positive outputs."""
-        out = self.outputs(found)
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Outputs of each text: the mean of its windows' by length."""
+        starts, per = windows_of(offsets)
+        each = np.zeros((len(starts) - 1, len(self.languages)))
+        for k in range(0, len(each), PART):
+            own = starts[k : k + PART + 1]
+            each[k : k + PART] = self.outputs(presence(data[own[0] : own[-1]], own - own[0]))
+        text, weight = np.repeat(np.arange(len(per)), per), np.diff(starts)
+        total = [np.bincount(text, weight * each[:, k], len(per)) for k in range(len(self.languages))]
+        return np.stack(total, axis=1) / np.maximum(np.diff(offsets), 1)[:, None]
+
+    def predict(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best language of each row of outputs and its share of the positive ones."""
         best = out.argmax(axis=1)
         positive = np.clip(out, 0, None)
         total = positive.sum(axis=1)
@@ -118,7 +144,7 @@ def fit(packed: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
 
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from the rows that `learn` allows. The number of languages bounds the model; counts of each come to the driver."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return None
@@ -129,11 +155,13 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 20):
-            for part in range(0, block.num_rows, 256):
-                own = block.slice(part, 256)
-                data, offsets = buffers(own.column(1))
-                bits = np.packbits(presence(data, offsets), axis=1)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "h", "bits"])
+            data, offsets = buffers(block.column(1))
+            starts, per = windows_of(offsets)
+            first, number = np.cumsum(per) - per, block.column(2).to_numpy(zero_copy_only=False) % np.maximum(per, 1)
+            for i in np.flatnonzero(per > 0).tolist():
+                own = starts[first[i] + number[i] : first[i] + number[i] + 2]
+                bits = np.packbits(presence(data[own[0] : own[1]], own - own[0]), axis=1)
+                yield pa.RecordBatch.from_arrays([*(block.column(k).slice(i, 1) for k in (0, 2)), pa.array([bits.tobytes()], pa.binary())], ["lang", "h", "bits"])
 
     found = arrow_map(chosen, pack, "lang string, h long, bits binary").toPandas()
     if found.empty:
@@ -149,33 +177,32 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, 1 << 20):
-            for part in range(0, block.num_rows, 128):
-                own = block.slice(part, 128)
-                names, scores = predict_texts(model, own.column(1))
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
+            names, scores = predict_texts(model, block.column(1))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema).withColumnRenamed("key", key)
 
 
 def predict_texts(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """The language and the score of each text of a small block."""
+    """The language and the score of each text of a block."""
     if model is None:
         return [UNKNOWN] * len(column), np.zeros(len(column))
     data, offsets = buffers(column)
-    best, score = model.predict(presence(data, offsets))
+    best, score = model.predict(model.of_texts(data, offsets))
     letters = has_letter(data, offsets, column)
     return [model.languages[b] if x else UNKNOWN for b, x in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0).astype(float)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
-    """The rows whose language is known with a score of at least `least`, columns as they were."""
+def keep_identified(docs: DataFrame, model: Model | None, above_chance: float, text: str = "text") -> DataFrame:
+    """The rows whose language is known with a score that is at least `above_chance` of the way from chance (one over the number of
+    languages) to 1, columns as they were."""
+    chance = 1 / len(model.languages) if model else 1.0
+    least = chance + above_chance * (1 - chance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, text, 1 << 20):
-            for part in range(0, block.num_rows, 128):
-                own = block.slice(part, 128)
-                names, scores = predict_texts(model, own.column(own.schema.get_field_index(text)))
-                yield own.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
+            names, scores = predict_texts(model, block.column(block.schema.get_field_index(text)))
+            yield block.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

@@ -59,7 +59,7 @@ def op5_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = held_fold(F.col("doc_id"), 3)
     model = line_quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), fold != 1)
     scored = line_quality.score(docs, model)
-    return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def op9_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     fold = held_fold(F.col("doc_id"), 4)
     found = language_id.identify(docs, language_id.train(docs, fold != 2))
-    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -453,7 +453,17 @@ def test_language_identification(spark, docs, empty):
     assert got[4][0] in ("aa", "zz") and 0 <= got[4][1] <= 1
     assert language_id.train(empty, F.lit(True)) is None
     assert {x.lang_pred for x in language_id.identify(docs, None).collect()} == {"und"}
-    assert language_id.keep_identified(frame, model, 0.3).columns == frame.columns
+    assert language_id.keep_identified(frame, model, 0.1).columns == frame.columns
+    assert language_id.keep_identified(docs, None, 0.1).count() == 0
+    one = language_id.train(frame.where("lang = 'aa'"), F.lit(True))
+    assert language_id.keep_identified(frame, one, 0.1).count() == 120  # with one language nothing tells texts apart
+
+
+def test_language_windows_cover_texts():
+    offsets = np.cumsum([0, 5, 0, 2048, 2049, 10_000, 0])
+    starts, per = language_id.windows_of(offsets)
+    assert per.tolist() == [1, 0, 1, 2, 5, 0] and starts[0] == 0 and starts[-1] == offsets[-1]
+    assert set(offsets.tolist()) <= set(starts.tolist()) and 0 < np.diff(starts).min() and np.diff(starts).max() <= language_id.WINDOW
 
 
 def test_scores_are_kernel_rows_times_weights():

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agrolith.llm import queries
-from agrolith.llm.common import written
+from agrolith.llm import language_id, queries
+from agrolith.llm.common import held_fold, written
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
@@ -62,6 +64,24 @@ def test_held_out_language(spark):
     assert (held.lang_pred == held.lang).mean() > 0.98
 
 
+def test_long_texts_keep_their_language(spark):
+    """Held-out texts joined to 1 MB, and German with half as many random ids, keep their language clearly."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fold = held_fold(F.col("doc_id"), 4)
+    model = language_id.train(docs, fold != 2)
+    held = docs.where(fold == 2).toPandas()
+    r, rows = random.Random(1), []
+    for lang, own in held.groupby("lang"):
+        joined = " ".join(own.text)
+        rows += [(len(rows), (joined * (1 + (1 << 20) // len(joined)))[at : at + size], lang) for size in (2_000, 200_000, 1 << 20) for at in (0, 777)]
+        words = joined.split()[:30_000]
+        rows.append((len(rows), " ".join(w + (f" {r.getrandbits(64):x}" if k % 4 == 0 else "") for k, w in enumerate(words)), lang))
+    found = {x.doc_id: x for x in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    assert all(found[k].lang_pred == lang for k, _, lang in rows)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame([(10**9 + k, t, lang, "s", len(t)) for k, t, lang in rows], docs.schema)), SF)
+    assert kept.where(F.col("doc_id") >= 10**9).count() == len(rows)
+
+
 def test_leaks_equal_shared_shingles(spark):
     docs, bench = frame(spark, "documents"), frame(spark, "benchmark")
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
