@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from agrolith.llm import decontamination, language_id, near_duplicates, secrets, sentencepiece_codec
 from agrolith.llm.common import written
 
-#: A language's least share of the classifier's positive outputs; with four languages, chance is 0.25.
-LEAST_LANGUAGE_SCORE = 0.3
+#: How far a language's share of the classifier's positive outputs lies at least from chance to certainty, whatever the number of languages.
+LEAST_ABOVE_CHANCE = 1 / 15
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language clearly, go."""
-    return language_id.keep_identified(docs, language_id.train(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
+    return language_id.keep_identified(docs, language_id.train(docs, F.lit(True)), LEAST_ABOVE_CHANCE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
