@@ -169,10 +169,22 @@ def _place_keys(place: np.ndarray) -> np.ndarray:
     return keys
 
 
+#: Bytes of runs that are hashed at once.
+HASHED = 1 << 18
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run data[start:end]: a sum of keyed bytes and places, then mixed with the run's length. Runs don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    found, total = np.zeros(len(starts), np.uint64), np.cumsum(ends - starts)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + HASHED, side="right")))
+        found[low:high] = _hashes(data, starts[low:high], ends[low:high])
+        low = high
+    return found
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)

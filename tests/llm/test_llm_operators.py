@@ -256,11 +256,11 @@ def test_line_field_marginals_equal_enumeration():
     lines = line_quality.lines_of(*buffers(pa.array(made)))
     assert np.diff(lines.first).tolist() == [len(t.split("\n")) for t in made]
     r = np.random.default_rng(0)
-    lines.x = r.normal(size=lines.x.shape)
-    chain = line_quality.Chain(r.normal(size=lines.x.shape[1]) * 0.3, r.normal(size=(2, 2)))
-    p = chain.marginals(lines)
+    all_odds = r.normal(size=len(lines.starts))
+    chain = line_quality.Chain(np.zeros(0), r.normal(size=(2, 2)))
+    p = chain.marginals(all_odds, lines.first)
     for k in range(len(made)):
-        odds = lines.x[lines.first[k] : lines.first[k + 1]] @ chain.weights
+        odds = all_odds[lines.first[k] : lines.first[k + 1]]
         n, want = len(odds), np.zeros((len(odds), 2))
         for code in range(2**n):
             s = [code >> i & 1 for i in range(n)]
@@ -269,6 +269,32 @@ def test_line_field_marginals_equal_enumeration():
         assert np.allclose(want[:, 1] / want.sum(1), p[lines.first[k] : lines.first[k + 1]])
 
 
+def test_line_parts_are_seamless(monkeypatch):
+    r = random.Random(3)
+    made = ["\n".join(" ".join(r.choice(WORDS) for _ in range(r.randrange(6))) for _ in range(r.choice([1, 2, 40]))) for _ in range(30)]
+    lines, chain = line_quality.lines_of(*buffers(pa.array(made))), line_quality.Chain(np.random.default_rng(1).normal(size=3 * line_quality.OWN), np.array([[0.4, -0.2], [-0.3, 0.5]]))
+    odds = chain.odds(lines)
+    p = chain.marginals(odds, lines.first)
+    for part, size in ((1, 7), (7, 100), (64, 1 << 20)):
+        monkeypatch.setattr(line_quality, "PART", part)
+        monkeypatch.setattr(line_quality, "BYTES", size)
+        assert np.allclose(chain.odds(lines), odds) and np.allclose(chain.marginals(odds, lines.first), p)
+    x = lines.features(0, len(lines.starts))
+    for k, line in enumerate(x for t in made for x in t.split("\n")):
+        assert np.isclose(x[k, 0] * max(len(line.encode()), 1), sum("a" <= c <= "z" for c in line))
+
+
+def test_line_memory_of_short_lines():
+    text = "ab\n" * 400_000
+    tracemalloc.start()
+    lines = line_quality.lines_of(*buffers(pa.array([text])))
+    chain = line_quality.Chain(np.ones(3 * line_quality.OWN), np.zeros((2, 2)))
+    chain.marginals(chain.odds(lines), lines.first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(text), peak / len(text)
+
+
 def test_line_quality_learns_and_scores_all(spark, docs, rows, empty):
     bad = [(1000 + k, "BUY NOW!! " * 20 + "\n" + "CLICK!! " * 9, None, None, None, None, None, None, None) for k in range(40)]
     both = docs.union(spark.createDataFrame(bad, SCHEMA))
