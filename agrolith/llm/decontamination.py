@@ -1,20 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Texts become sequences of 32-bit word hashes (runs of letters and digits, lower case), kept in a narrow table; document frequencies
-   are counted over all documents in 2^18 hash buckets. A word's weight is log(1 + N / (1 + df)); words in more than `MOST_SHARE` of the
-   documents (and more than `LEAST_STOP`) weigh nothing.
-2. Passages are windows of `SVD_WIDTH` words of all documents. With A the unit TF-IDF rows over the benchmark's terms, each task
+1. Texts become sequences of 32-bit word hashes (runs of letters and digits, lower case), kept in a narrow table. The benchmark is searched
+   in parts of `BLOCK` items, so that what reaches driver and tasks doesn't grow with it. Document frequencies of a part's words are
+   exact counts over all documents. A word's weight is log(1 + N / (1 + df)); those of a part's words that are in more than
+   `MOST_SHARE` of the documents (and more than `LEAST_STOP`) weigh nothing, and words that the part lacks weigh as the rarest do.
+2. Passages are windows of `SVD_WIDTH` words of all documents. With A the unit TF-IDF rows over the part's terms, each task
    adds up A' (A G) for one random matrix G; the sums make a randomised (Nystroem) decomposition of A'A, with the benchmark's own
-   passages given more weight than the corpus. Its leading `RANK` right singular vectors span the latent space.
+   passages given more weight than the corpus. Its leading `RANK` right singular vectors span the latent space. (Above `MOST_COLUMNS` terms,
+   terms share columns, which loosens the bound of step 3 and loses nothing.)
 3. Windows of two widths of every document are projected; a window is a candidate for an item if latent cosine plus the bound on what
    the projection leaves out reaches `LEAST_COSINE`. So no window of that TF-IDF cosine is lost, whatever the rank.
-   Stretches of 1.5 times an item's length that hold enough of its words, of any weight, are candidates too (`Counted`). So an item that
-   is in so many documents that its own words are frequent isn't lost. Items of fewer than `SHORT` words have the first way only.
+   Stretches of 1.5 times an item's length that hold enough of its words, of any weight, are candidates too (`Counted`). So neither an item
+   that is in so many documents that its own words are frequent is lost, nor one far longer or shorter than the windows.
 4. A candidate is a leak if the longest common subsequence of item and window holds `COPY` of the item's words, or `PARAPHRASE` of them and the
-   item's answer (its last `ANSWER` weighty words, or any if none is weighty) in order.
+   item's answer (its last `ANSWER` weighty words, or any if none is weighty) in order. So an item of one word leaks wherever the word stands.
 
-Items are searched in blocks of `BLOCK` against all documents. Defined results: null and empty texts and items leak nothing; texts are read
-whole; repeated rows give repeated results; an empty table gives an empty one; other columns don't matter.
+Defined results: null and empty texts and items, items without a key and documents without words leak nothing; texts and items are read
+whole; rows with a null key are searched, too, and never dropped; repeated rows give repeated results; equal items each give results; an
+empty table gives an empty one; other columns don't matter. Where both tables' keys have one name, the item's key is called item_<name>.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from agrolith.llm.common import arrow_map, blocks, buffers, distinct, run_hashes, runs_of, split_by_keys, written
 from agrolith.llm.language_id import folded
 
-BUCKET_BITS, MOST_SHARE, LEAST_STOP = 18, 0.05, 20
+MOST_SHARE, LEAST_STOP = 0.05, 20
 SVD_WIDTH, WIDTHS, RANK, OVERSAMPLING, MOST_COLUMNS = 48, (24, 64), 192, 16, 1 << 14
 LEAST_COSINE, COPY, PARAPHRASE, ANSWER, BLOCK = 0.3, 0.8, 0.5, 4, 2_048
-#: Words of the shortest item that is searched by counts, and pairs of items and places that are held at once.
-SHORT, MOST_PAIRS = 5, 1 << 20
+#: Items of fewer words are searched by all of their words, longer ones by their rarest. Pairs of items and places that are held at once.
+SHORT, MOST_PAIRS = 8, 1 << 20
+#: Bits of the table that tells most words aside before an exact look-up.
+SIEVE_BITS = 18
 #: The benchmark's weight in the decomposition against all documents' together.
 BENCHMARK_WEIGHT = 64
 #: Words that one task of the decomposition reads at least; its sums are of fixed size.
@@ -56,64 +61,91 @@ def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.searchsorted(text, np.arange(len(offsets)))
 
 
-def bucket_of(ids: np.ndarray) -> np.ndarray:
-    return (ids >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
-
-
 def _hashed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows (kind 0: key, words as bytes, their number; kind 1, one for each task: buckets and in how many of its texts they occur)."""
+    """(key, words as bytes, their number) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1 << BUCKET_BITS, np.int32)
-        names = ["kind", "key", "words", "n", "buckets", "counts"]
-        ints = pa.list_(pa.int32())
-        for block in blocks(batches, text):
+        for block in blocks(batches, "text"):
             ids, first = word_ids(block.column(1))
-            owner = np.repeat(np.arange(block.num_rows), np.diff(first))
-            df += np.bincount(distinct(owner << BUCKET_BITS | bucket_of(ids)) & ((1 << BUCKET_BITS) - 1), minlength=len(df)).astype(np.int32)
             words = pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-            n = block.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), block.column(0), words, pa.array(np.diff(first).astype(np.int64)), pa.nulls(n, ints), pa.nulls(n, ints)], names)
-        at = np.flatnonzero(df).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([at], ints), pa.array([df[at]], ints)], names)
+            yield pa.RecordBatch.from_arrays([block.column(0), words, pa.array(np.diff(first).astype(np.int64))], ["key", "words", "n"])
 
-    key_type = to_arrow_type(docs.schema[key].dataType)
-    schema = T.StructType(
-        [
-            T.StructField("kind", T.IntegerType()), T.StructField("key", docs.schema[key].dataType), T.StructField("words", T.BinaryType()),
-            T.StructField("n", T.LongType()), T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
-        ]
-    )
-    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text)), run, schema)
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("words", T.BinaryType()), T.StructField("n", T.LongType())])
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, schema)
+
+
+@dataclass
+class Vocabulary:
+    """Sorted distinct word hashes, and a sieve."""
+
+    words: np.ndarray
+    sieve: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray) -> Vocabulary:
+        words = np.unique(words)
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve[words >> np.uint32(32 - SIEVE_BITS)] = True
+        return Vocabulary(words, sieve)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the vocabulary's words in a sequence, and which words they are."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.flatnonzero(self.sieve[ids >> np.uint32(32 - SIEVE_BITS)])
+        term = np.minimum(np.searchsorted(self.words, ids[place]), len(self.words) - 1)
+        hit = self.words[term] == ids[place]
+        return place[hit], term[hit]
+
+
+def document_frequencies(rows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """In how many of the hashed rows each word of the vocabulary occurs; at most as many counts as it has words reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(vocabulary.words), np.int64), len(vocabulary.words)
+        for block in _cut(batches):
+            ids, first = _decode(block.column(1))
+            place, term = vocabulary.find(ids)
+            df += np.bincount(distinct((np.searchsorted(first, place, side="right") - 1) * n + term) % n, minlength=n)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "n"])
+
+    df = np.zeros(len(vocabulary.words), np.int64)
+    if len(df):
+        counted = arrow_map(rows.select("key", "words", "n"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+        df[counted.term.to_numpy(int)] = counted.n.to_numpy(int)
+    return df
 
 
 @dataclass
 class Terms:
-    """Weights by bucket, and the benchmark's terms: sorted word hashes and each one's column."""
+    """A vocabulary with the exact frequency, weight and column of each word, and the weight of all other words."""
 
+    vocabulary: Vocabulary
+    df: np.ndarray
     weights: np.ndarray
-    words: np.ndarray
     columns: np.ndarray
     width: int
+    other: float
 
     @staticmethod
-    def of(items: list[np.ndarray], df: np.ndarray, n_docs: int) -> Terms:
-        weights = np.log1p(n_docs / (1.0 + df))
-        weights[df > max(LEAST_STOP, MOST_SHARE * n_docs)] = 0
-        words = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint32)
-        words = words[weights[bucket_of(words)] > 0]
-        width = min(MOST_COLUMNS, max(1, len(words)))
-        return Terms(weights, words, np.arange(len(words)) % width, width)
+    def of(vocabulary: Vocabulary, df: np.ndarray, n_docs: int) -> Terms:
+        weights = np.where(df > max(LEAST_STOP, MOST_SHARE * n_docs), 0.0, np.log1p(n_docs / (1.0 + df)))
+        column = np.cumsum(weights > 0) - 1  # words without weight need none
+        width = min(MOST_COLUMNS, max(1, int((weights > 0).sum())))
+        return Terms(vocabulary, df, weights, column % width, width, float(np.log1p(n_docs)))
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights of all words; places of the benchmark's terms among them, and their columns."""
-        buckets = bucket_of(ids)
-        held = np.zeros(1 << BUCKET_BITS, bool)
-        held[bucket_of(self.words)] = True
-        maybe = np.flatnonzero(held[buckets])
-        at = np.searchsorted(self.words, ids[maybe])
-        hit = self.words[np.minimum(at, len(self.words) - 1)] == ids[maybe] if len(self.words) else np.zeros(len(maybe), bool)
-        return self.weights[buckets], maybe[hit], self.columns[at[hit]]
+        """Weights of all words; places of the vocabulary's weighty words among them, and their columns."""
+        place, term = self.vocabulary.find(ids)
+        weights = np.full(len(ids), self.other)
+        weights[place] = self.weights[term]
+        some = self.weights[term] > 0
+        return weights, place[some], self.columns[term[some]]
+
+    def index(self, ids: np.ndarray) -> np.ndarray:
+        """Which words of the vocabulary these, all of them in it, are."""
+        return np.searchsorted(self.vocabulary.words, ids)
 
 
 def _windows(first: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,15 +179,37 @@ def _sums(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def unit_items(items: list[np.ndarray], terms: Terms) -> np.ndarray:
-    """A row for each item: its TF-IDF vector over the benchmark's terms, of unit length unless no word has weight."""
+    """A row for each item: its TF-IDF vector over the vocabulary's columns, of unit length unless no word has weight."""
     rows = np.zeros((len(items), terms.width))
     for row, ids in zip(rows, items, strict=True):
         w, at, column = terms.find(ids)
         np.add.at(row, column, w[at])
-        row /= max(1e-12, float(np.sqrt((w * w).sum())))
+        row /= max(1e-12, float(np.linalg.norm(row)))
     return rows
 
 
+def _norms2(w: np.ndarray, at: np.ndarray, column: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Squared lengths of windows' vectors over the columns; occurrences a to b of each window, b exclusive, stand in up to `width` words.
+
+    Where no column occurs twice, the sum of squares; else the squares of the columns' sums.
+    """
+    found = np.concatenate([[0], np.cumsum(w[at] ** 2)])
+    found = found[b] - found[a]
+    order = np.argsort(column, kind="stable")
+    again = order[1:][(column[order][1:] == column[order][:-1]) & (at[order][1:] - at[order][:-1] < width)]
+    seen = np.concatenate([[0], np.cumsum(np.bincount(again, minlength=len(at)))])
+    some = np.flatnonzero(seen[b] > seen[a])
+    if len(some):
+        n = b[some] - a[some]
+        window = np.repeat(np.arange(len(some)), n)
+        place = np.arange(len(window)) + np.repeat(a[some] - (np.cumsum(n) - n), n)
+        order = np.lexsort((column[place], window))
+        window, place = window[order], place[order]
+        heads = np.flatnonzero(np.concatenate([[True], (window[1:] != window[:-1]) | (column[place][1:] != column[place][:-1])]))
+        found[some] = np.bincount(window[heads], np.add.reduceat(w[at[place]], heads) ** 2, len(some))
+    return found
+
+
 def _decode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = [np.frombuffer(b.as_py() or b"", np.uint32) for b in words]
     return (np.concatenate(raw) if raw else np.zeros(0, np.uint32)), np.cumsum([0, *map(len, raw)])
@@ -193,8 +247,9 @@ def latent_space(rows: DataFrame, n_words: int, items: np.ndarray, terms: Terms,
             scaled = w[at].astype(np.float32)
             projected = _sums(g[column] * scaled[:, None], a[some], b[some]) / norm2[some, None].astype(np.float32)
             # Windows of a text don't overlap but for the last two, so each term's windows are few.
-            window = np.repeat(np.arange(len(some)), b[some] - a[some])
-            place = np.arange(len(window)) - np.repeat(np.cumsum(b[some] - a[some]) - (b[some] - a[some]), b[some] - a[some]) + np.repeat(a[some], b[some] - a[some])
+            n = b[some] - a[some]
+            window = np.repeat(np.arange(len(some)), n)
+            place = np.arange(len(window)) + np.repeat(a[some] - (np.cumsum(n) - n), n)
             order = np.argsort(column[place], kind="stable")
             c = column[place][order]
             heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
@@ -279,43 +334,36 @@ class Counted:
     any weight and items of any length.
     """
 
-    words: np.ndarray
+    words: Vocabulary
     first: np.ndarray
     terms: np.ndarray
     least: np.ndarray
     length: np.ndarray
 
     @staticmethod
-    def of(items: list[list[int]], answers: list[list[int]], df: np.ndarray) -> Counted:
-        chosen, least, length = [], [], []
-        for item, answer in zip(items, answers, strict=True):
-            ids, n = np.array(item, np.uint32), len(item)
-            need = least_common(n, answer)
-            k = -(-need // 3)
-            rarest = ids[np.lexsort((ids, df[bucket_of(ids)]))][: n - need + k]
-            chosen.append(np.unique(rarest) if n >= SHORT else rarest[:0])
+    def of(items: list[np.ndarray], answers: list[list[int]], terms: Terms) -> Counted:
+        chosen, least, length = [np.zeros(0, np.uint32)], [], []
+        for ids, answer in zip(items, answers, strict=True):
+            n, need = len(ids), least_common(len(ids), answer)
+            k = need if n < SHORT else -(-need // 3)
+            rarest = ids[np.lexsort((ids, terms.df[terms.index(ids)]))][: n - need + k]
+            chosen.append(np.unique(rarest))
             least.append(k)
             length.append(stretch_of(n))
-        words = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint32)
-        terms = np.searchsorted(words, np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-        return Counted(words, np.cumsum([0, *map(len, chosen)]), terms, np.array(least, np.int64), np.array(length, np.int64))
+        words = Vocabulary.of(np.concatenate(chosen))
+        return Counted(words, np.cumsum([0, *map(len, chosen[1:])]), np.searchsorted(words.words, np.concatenate(chosen)), np.array(least, np.int64), np.array(length, np.int64))
 
     def find(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first, end) of stretches with enough of an item's words; those of a text and item in order."""
-        if not len(self.words):
+        place, term = self.words.find(ids)
+        if not len(place):
             return
-        held = np.zeros(1 << BUCKET_BITS, bool)
-        held[bucket_of(self.words)] = True
-        place = np.flatnonzero(held[bucket_of(ids)])
-        term = np.minimum(np.searchsorted(self.words, ids[place]), len(self.words) - 1)
-        hit = self.words[term] == ids[place]
-        place, term = place[hit], term[hit]
         far = int(self.length.max())
         # Texts and items lie so far apart that no stretch holds two of them.
         spread = place + (np.searchsorted(first, place, side="right") - 1) * far
         span = len(ids) + len(first) * far
         spread = spread[np.argsort(term, kind="stable")]
-        counts = np.bincount(term, minlength=len(self.words))
+        counts = np.bincount(term, minlength=len(self.words.words))
         starts = np.cumsum(counts) - counts
         sizes = np.concatenate([[0], np.cumsum(counts[self.terms])])[self.first]
         item = 0
@@ -381,33 +429,41 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
             w, at, column = terms.find(ids)
             energy = np.concatenate([[0], np.cumsum(w * w)])
             inside = np.concatenate([[0], np.cumsum(w[at] ** 2)])
-            projected = space[column] * w[at].astype(np.float32)[:, None]
-            regions: dict[tuple[int, int], list[float]] = {}
+            regions: dict[tuple[int, int], list[tuple]] = {}
+
+            def norms(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+                """Squared lengths of windows' vectors, over the columns and in all; words without a column count one by one."""
+                own = _norms2(w, at, column, a, b, width)
+                return own, np.maximum(own + energy[end] - energy[start] - (inside[b] - inside[a]), 1e-12)
+
             for width in WIDTHS:
                 start, end, text = _windows(first, width, width // 2)
                 a, b = np.searchsorted(at, start), np.searchsorted(at, end)
-                norm2 = np.maximum(energy[end] - energy[start], 1e-12)
-                share2 = (inside[b] - inside[a]) / norm2
-                k = np.flatnonzero(share2 >= LEAST_COSINE**2)
-                for part in range(0, len(k), 4096):
-                    own = k[part : part + 4096]
-                    x = _sums(projected, a[own], b[own]) / np.sqrt(norm2[own])[:, None].astype(np.float32)
+                own2, norm2 = norms(a, b, start, end, width)
+                share2 = own2 / norm2
+                k = np.flatnonzero((share2 >= LEAST_COSINE**2) & (b > a))
+                for part in range(0, len(k), 2048):
+                    own = k[part : part + 2048]
+                    # Only what these windows hold is projected; windows come in order and overlap their neighbours.
+                    used = np.flatnonzero(np.cumsum(np.bincount(a[own], minlength=len(at) + 1) - np.bincount(b[own], minlength=len(at) + 1))[: len(at)] > 0)
+                    projected = space[column[used]] * w[at[used]].astype(np.float32)[:, None]
+                    x = _sums(projected, np.searchsorted(used, a[own]), np.searchsorted(used, b[own])) / np.sqrt(norm2[own])[:, None].astype(np.float32)
                     left = np.sqrt(np.maximum(share2[own] - (x * x).sum(axis=1), 0)).astype(np.float32)
                     cosine = x @ items.latent.T
-                    for i, j in zip(*np.nonzero(cosine + left[:, None] * items.rest[None, :] >= LEAST_COSINE), strict=True):
+                    for i, j in zip(*np.nonzero(cosine + left[:, None] * items.rest[None, :] >= LEAST_COSINE - 1e-4), strict=True):
                         t = int(text[own[i]])
                         lo, hi = int(start[own[i]] - first[t]), int(end[own[i]] - first[t])
-                        r = regions.setdefault((t, int(j)), [])
-                        r.append((lo, hi, float(cosine[i, j])))
+                        regions.setdefault((t, int(j)), []).append((lo, hi, float(cosine[i, j])))
             out = []
             lists: dict[int, list[int]] = {}
             held: dict[tuple[int, int], list[tuple]] = {}
             for t, j, lo, hi in counted.find(ids, first):
                 words = lists.setdefault(t, ids[first[t] : first[t + 1]].tolist())
                 if enough(bags[j], len(items.words[j]), needs[j], words, lo, hi):
-                    a, b = np.searchsorted(at, (first[t] + lo, first[t] + hi))
-                    norm = np.sqrt(max(float(energy[first[t] + hi] - energy[first[t] + lo]), 1e-12))
-                    held.setdefault((t, j), []).append((lo, hi, float(projected[a:b].sum(axis=0) @ items.latent[j]) / norm))
+                    ends = first[t] + np.array([[lo], [hi]])
+                    a, b = np.searchsorted(at, ends)
+                    x = (space[column[a[0] : b[0]]] * w[at[a[0] : b[0]]].astype(np.float32)[:, None]).sum(axis=0)
+                    held.setdefault((t, j), []).append((lo, hi, float(x @ items.latent[j] / np.sqrt(norms(a, b, *ends, hi - lo)[1][0]))))
             for t, j in sorted({*regions, *held}):
                 spans = regions.get((t, j), [])
                 words = lists.setdefault(t, ids[first[t] : first[t + 1]].tolist())
@@ -438,36 +494,37 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
     return arrow_map(rows.select("key", "words", "n"), run, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """(key, item_key, cosine, lcs_share, first_word, end_word, kind) for each document and item that leaks into it."""
-    table = written(_hashed(docs, text, key))
-    rows = table.where("kind = 0")
+def _leaks(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item_text: str, item_key: str) -> DataFrame:
+    rows = written(_hashed(docs, text, key))
     n_docs, n_words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = np.zeros(1 << BUCKET_BITS, np.int64)
-    pairs = table.where("kind = 1").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("x.buckets").agg(F.sum("x.counts").alias("n"))
-    counted = pairs.toPandas()  # 2 ** BUCKET_BITS rows at most
-    df[counted.buckets.to_numpy(int)] = counted.n.to_numpy(int)
-    query = sorted({(r[0], r[1]) for r in benchmark.select(item_key, item_text).collect() if r[0] is not None and r[1]})
-    ids, first = word_ids(pa.array([t for _, t in query], pa.string()))
-    words = [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    terms = Terms.of(words, df, n_docs)
-    vectors = unit_items(words, terms)
-    space = latent_space(rows, n_words, vectors, terms) if len(terms.words) else np.zeros((terms.width, 1), np.float32)
+    items = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0)).distinct()
+    parts = max(1, -(-items.count() // BLOCK))
     found = None
-    for at in range(0, max(1, len(query)), BLOCK):
-        own = slice(at, at + BLOCK)
-        latent = (vectors[own] @ space).astype(np.float32)
-        rest = np.sqrt(np.maximum((vectors[own] ** 2).sum(axis=1) - (latent**2).sum(axis=1), 0)).astype(np.float32)
-        answers = [[int(x) for x in w if terms.weights[bucket_of(x)] > 0][-ANSWER:] for w in words[own]]
-        answers = [a or w[-ANSWER:].tolist() for a, w in zip(answers, words[own], strict=True)]
-        block = Items([k for k, _ in query[own]], [w.tolist() for w in words[own]], latent, rest, answers)
-        part = _search(rows, docs.schema[key].dataType, benchmark.schema[item_key].dataType, block, terms, space, Counted.of(block.words, answers, df))
-        found = part if found is None else found.unionByName(part)
-    return found.withColumnsRenamed({"key": key, "item": item_key})
+    for part in range(parts):  # about BLOCK items each
+        query = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()))
+        ids, first = word_ids(pa.array([t for _, t in query], pa.string()))
+        some = np.flatnonzero(np.diff(first))
+        words = [ids[first[k] : first[k + 1]] for k in some]
+        vocabulary = Vocabulary.of(ids)
+        terms = Terms.of(vocabulary, document_frequencies(rows, vocabulary), n_docs)
+        vectors = unit_items(words, terms)
+        space = latent_space(rows, n_words, vectors, terms) if vectors.any() else np.zeros((terms.width, 1), np.float32)
+        latent = (vectors @ space).astype(np.float32)
+        rest = np.sqrt(np.maximum((vectors**2).sum(axis=1) - (latent**2).sum(axis=1), 0)).astype(np.float32)
+        answers = [w[terms.weights[terms.index(w)] > 0][-ANSWER:].tolist() or w[-ANSWER:].tolist() for w in words]
+        block = Items([query[k][0] for k in some], [w.tolist() for w in words], latent, rest, answers)
+        own = _search(rows, docs.schema[key].dataType, benchmark.schema[item_key].dataType, block, terms, space, Counted.of(words, answers, terms))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """(key, item_key, cosine, lcs_share, first_word, end_word, kind) for each document and item that leaks into it."""
+    return _leaks(docs, benchmark, text, key, item_text, item_key).withColumnsRenamed({"key": key, "item": f"item_{item_key}" if item_key == key else item_key})
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """The rows of `docs`, columns as they were, into which no benchmark item leaks; rows without a key stay."""
-    leaks = written(find_leaks(docs, benchmark, text, key, item_text, item_key).select(key).distinct())
+    leaks = written(_leaks(docs, benchmark, text, key, item_text, item_key).select(F.col("key").alias(key)).where(F.col(key).isNotNull()).distinct())
     clean, rest = split_by_keys(docs, leaks, key)
     return clean.unionByName(rest.join(leaks, key, "left_anti").select(docs.columns))

@@ -376,6 +376,48 @@ def test_decontamination_finds_long_items(spark):
     assert {(x.doc_id, x.item_id, x.kind) for x in found} == {(k, k, "copy") for k in range(3)}
 
 
+def test_decontamination_items_of_any_length_in_wide_vocabularies(spark):
+    """Items of 1 to 5,000 words in documents of 20,000 distinct words, with one key name for both tables."""
+    r = random.Random(8)
+    name = lambda kind: f"{kind}{r.getrandbits(60):x}"
+    common = [name("c") for _ in range(12)]
+    items = [" ".join([name("i") for _ in range(n)]) for n in (1, 2, 3, 4, 5, 8, 60, 711, 1000, 5000)] + [" ".join(common[:3]), " ".join(common[4:10])]
+    rows = []
+    for k in range(30):
+        words = [name("w") for _ in range(20_000 if k < 14 else 600)]
+        for c in common:  # in every document, far apart
+            words[r.randrange(len(words))] = c
+        if k < len(items):
+            words.insert(300, items[k])
+        rows.append((k, " ".join(words), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "doc_id int, text string")
+    found = decontamination.find_leaks(docs, bench, item_key="doc_id")
+    assert Counter((x.doc_id, x.item_doc_id) for x in found.collect()) == Counter((k, k) for k in range(len(items)))
+    kept = decontamination.keep_clean(docs, bench, item_key="doc_id")
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == list(range(len(items), 30))
+
+
+def test_window_norms_count_repeated_words():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 50, 400):
+        at = np.flatnonzero(r.random(n) < 0.7)
+        column, w = r.integers(0, 12, len(at)), r.random(n)
+        start = np.arange(0, max(n, 1), 9)
+        end = np.minimum(start + 24, n)
+        a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+        want = [sum(w[at[lo:hi]][column[lo:hi] == c].sum() ** 2 for c in range(12)) for lo, hi in zip(a, b, strict=True)]
+        assert np.allclose(decontamination._norms2(w, at, column, a, b, 24), want)
+
+
+def test_document_frequencies_are_exact(spark, docs):
+    rows = decontamination._hashed(docs, "text", "doc_id")
+    ids, first = decontamination.word_ids(pa.array([r.text for r in docs.select("text").collect()], pa.string()))
+    sets = [set(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+    vocabulary = decontamination.Vocabulary.of(np.concatenate([ids[:400], np.array([5], np.uint32)]))
+    assert decontamination.document_frequencies(rows, vocabulary).tolist() == [sum(int(w) in x for x in sets) for w in vocabulary.words]
+
+
 # --- op7 -------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -7,14 +7,15 @@ import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agrolith.llm import language_id, queries
+from agrolith.llm import decontamination, language_id, queries
 from agrolith.llm.common import held_fold, written
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -92,6 +93,32 @@ def test_leaks_equal_shared_shingles(spark):
     assert set(zip(got.doc_id, got.item_id, strict=True)) == want
 
 
+def test_leaks_equal_brute_force(spark):
+    """All pairs of a document and an item, every stretch of it: all leaks within the item's length are found, and nothing that is none."""
+    docs, bench = frame(spark, "documents", SMALL), frame(spark, "benchmark", SMALL)
+    ids, first = decontamination.word_ids(pa.array([*docs.text, *bench.text]))
+    words = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    texts, items = words[: len(docs)], words[len(docs) :]
+    df = Counter(w for t in texts for w in set(t))
+    least = max(decontamination.LEAST_STOP, decontamination.MOST_SHARE * len(docs))
+    must, may = set(), set()
+    for item_id, item in zip(bench.item_id, items, strict=True):
+        answer = [w for w in item if df[w] <= least][-decontamination.ANSWER :] or item[-decontamination.ANSWER :]
+        bag, n = Counter(item), len(item)
+        for doc_id, text in zip(docs.doc_id, texts, strict=True):
+            if sum((bag & Counter(text)).values()) < 0.5 * n:
+                continue
+            for length, found in ((n, must), (decontamination.stretch_of(n), may)):
+                for k in range(max(1, len(text) - length + 1)):
+                    own = text[k : k + length]
+                    share = decontamination.common_length(item, own) / n
+                    if share >= decontamination.COPY or (share >= decontamination.PARAPHRASE and decontamination.common_length(answer, own) == len(answer)):
+                        found.add((doc_id, item_id))
+                        break
+    got = {(r.doc_id, r.item_id) for r in queries.op6_latent_decontamination(spark, SMALL).collect()}
+    assert must and must <= got <= may, (len(must), len(got), len(may))
+
+
 def test_components_equal_brute_force(spark):
     docs = frame(spark, "documents", SMALL)
     sets = {}
