@@ -1,57 +1,96 @@
-"""Licence scan: sparse TF-IDF cosine of header lines and licence files to templates, and inheritance along directories. DataFrame only.
+"""Licence scan: sparse TF-IDF cosine of header sentences and licence files to templates, and inheritance along directories. DataFrame only.
 
-Units are the lines of every file (headers may stand anywhere) and, for files whose name says so, the whole text. A unit's vector has
-term frequency times log((1 + N) / (1 + df)) + 1, with document frequencies of the templates' terms over all files; terms that no
-template has count with the largest weight. Templates have weights of the same kind.
+Units are the lines of every file, its sentences (which end at a stop before white space or at a line without letters and digits, so that a header
+wrapped over several commented lines is one unit, and so is a notice at the end of a line of prose) and, for files whose name says so,
+the whole text. A unit's vector has term frequency times log((1 + N) / (1 + df)) + 1, with document frequencies of the templates' terms
+over all files; terms that no template has count with the largest weight. Templates have weights of the same kind.
 
-Prefix filter: for each template, the heaviest terms are taken until the rest is lighter than `LEAST` of its norm. By the
+Prefix filter: for each template, the heaviest terms are taken until the rest is lighter than the template's least cosine. By the
 Cauchy-Schwarz inequality a unit without any of them stays below the threshold, so only units with one of these few words are exploded
 and joined with the templates' postings. This loses nothing and moves no texts.
 
-A file's own licence is that of its best unit. A file without one inherits from the nearest directory above it (its own first) that has
-a licence file with a licence, found by joining the exploded ancestors of distinct directories.
+A file's own licence is that of its best unit: by the template's strength first (a tag, or the clause that tells two licences apart, before a
+sentence of a licence's text, before a short notice, before a bare reservation of rights), then by cosine. A file without one inherits from
+the nearest directory above it (its own first) that has a licence file with a licence, found by joining the exploded ancestors of
+distinct directories.
 
-Defined results: null and empty texts have no licence of their own; a null path stands in the root; ties go to the first template,
-then the first line, and among a directory's licence files to the best score and then the first path; repeated rows get equal results;
-an empty table gives an empty one; the other columns don't matter.
+Defined results: null and empty texts have no licence of their own; a null key is a key like any other; a null path stands in the root;
+rows of one key and path are one file; ties go to the first template, then the least unit, and among a directory's licence files to the
+strongest, the best score, the first path and the least key; repeated rows get equal results; an empty table gives an empty one; the other
+columns don't matter.
 """
 
 from __future__ import annotations
 
 from math import log
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.llm.common import written
 
-#: A unit's cosine from which on it carries a template's licence.
-LEAST = 0.6
+#: A unit's cosine from which on it carries a template's licence; a tag must fit but for rounding.
+LEAST, LEAST_TAG = 0.6, 0.99
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
-
-# Usual notices of public licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 or later."),
-    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("Proprietary", "All rights reserved."),
+#: What separates sentences: a stop and white space, or a line without letters and digits.
+SENTENCE_END = r"[.!?][\x20\x09-\x0D]+|\n[^A-Za-z0-9\n]*\n"
+RESERVED, SHORT_NOTICE, SENTENCE, DECIDING = range(4)
+
+
+class Template(NamedTuple):
+    license: str
+    text: str
+    strength: int = SENTENCE
+    least: float = LEAST
+
+
+# Names, usual notices, headers and telling sentences of public licences.
+TAGS = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Zlib", "BSL-1.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense",
+)
+TEMPLATES: tuple[Template, ...] = (
+    Template("MIT", "Released under the MIT License.", SHORT_NOTICE),
+    Template("MIT", "Licensed under the MIT License.", SHORT_NOTICE),
+    Template("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", SHORT_NOTICE),
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    Template("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    Template("GPL-2.0", "Licensed under the GNU General Public License, version 2.", SHORT_NOTICE),
+    Template("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    Template("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    Template("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", SHORT_NOTICE),
+    Template("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 or later.", SHORT_NOTICE),
+    Template("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    Template("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    Template("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    Template("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3.", SHORT_NOTICE),
+    Template("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    Template("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3.", SHORT_NOTICE),
+    Template("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    Template("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", SHORT_NOTICE),
+    Template("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", DECIDING),
+    Template("BSD-3-Clause", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", DECIDING),
+    Template("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", SHORT_NOTICE),
+    Template("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", SHORT_NOTICE),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    Template("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    Template("MPL-2.0", "Mozilla Public License Version 2.0"),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    Template("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    Template("CC-BY-4.0", "Licensed under CC BY 4.0.", SHORT_NOTICE),
+    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", SHORT_NOTICE),
+    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", SHORT_NOTICE),
+    Template("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal.", SHORT_NOTICE),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain."),
+    Template("Proprietary", "All rights reserved.", RESERVED),
+    *(Template(t.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {t}", DECIDING, LEAST_TAG) for t in TAGS),
 )
 
 
@@ -65,21 +104,21 @@ def split_terms(text: str) -> list[str]:
     return [w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split() if w]
 
 
-def template_weights(templates: tuple[tuple[str, str], ...], idf: dict[str, float]) -> list[dict[str, float]]:
+def template_weights(templates: tuple[Template, ...], idf: dict[str, float]) -> list[dict[str, float]]:
     """Each template's vector of unit length."""
     found = []
-    for _, text in templates:
-        words = split_terms(text)
+    for t in templates:
+        words = split_terms(t.text)
         raw = {w: words.count(w) * idf[w] for w in sorted(set(words))}
         norm = sum(x * x for x in raw.values()) ** 0.5
         found.append({w: x / norm for w, x in raw.items()})
     return found
 
 
-def prefix_terms(weights: list[dict[str, float]], least: float) -> list[str]:
-    """For each vector its heaviest terms, until what is left is lighter than `least`."""
+def prefix_terms(weights: list[dict[str, float]], leasts: list[float]) -> list[str]:
+    """For each vector its heaviest terms, until what is left is lighter than its least cosine."""
     chosen: set[str] = set()
-    for vector in weights:
+    for vector, least in zip(weights, leasts, strict=True):
         left = 1.0
         for w, x in sorted(vector.items(), key=lambda item: (-item[1], item[0])):
             if left < least * least * (1 - 1e-9):
@@ -89,13 +128,13 @@ def prefix_terms(weights: list[dict[str, float]], least: float) -> list[str]:
     return sorted(chosen)
 
 
-def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", path: str = "path", key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """(key, path, license, score, unit) of the files with a licence of their own; unit is the line from 0, or -1 for the whole file.
+def own_licenses(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:
+    """(key, path, license, score, strength, unit) of the files with a licence of their own.
 
-    Rows of one key and path are one file.
+    unit is the line from 0, -1 for the whole file, or -2, -3, ... for sentences. Rows of one key and path are one file.
     """
     spark = files.sparkSession
-    vocabulary = sorted({w for _, t in templates for w in split_terms(t)})
+    vocabulary = sorted({w for t in templates for w in split_terms(t.text)})
     # Document frequencies of the vocabulary: as many rows as the templates have terms reach the driver.
     own = files.select(F.array_distinct(F.filter(terms_of(F.col(text)), lambda w: w.isin(vocabulary))).alias("w"))
     # A null stands for the file itself, so that one pass counts both.
@@ -104,14 +143,17 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     rarest = log(1 + n_files) + 1
     idf = {w: rarest - log(1 + df.get(w, 0)) for w in vocabulary}
     weights = template_weights(templates, idf)
-    keys = prefix_terms(weights, least)
+    keys = prefix_terms(weights, [t.least for t in templates])
 
     def has_key(t: Column) -> Column:
         return F.exists(terms_of(t), lambda w: w.isin(keys))
 
-    lines = files.where(has_key(F.col(text))).select(F.col(key).alias("key"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
+    # A struct holds the key, so that a null key is equal to itself in joins.
+    lines = files.where(has_key(F.col(text))).select(F.struct(F.col(key).alias("v")).alias("key"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("t")))).otherwise(F.array().cast("array<struct<unit:int,t:string>>"))
-    each = F.concat(whole, F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("unit"), t.alias("t"))))
+    by_line = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("unit"), t.alias("t")))
+    by_sentence = F.transform(F.split("text", SENTENCE_END), lambda t, i: F.struct((-2 - i).alias("unit"), t.alias("t")))
+    each = F.concat(whole, by_line, by_sentence)
     units = lines.select("key", "path", F.explode(F.filter(each, lambda u: has_key(u["t"]))).alias("u")).select("key", "path", "u.unit", terms_of(F.col("u.t")).alias("w"))
     units = written(units.distinct())
     tf = units.select("key", "path", "unit", F.explode("w").alias("term")).groupBy("key", "path", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -120,10 +162,10 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     norms = weighted.groupBy("key", "path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     postings = F.broadcast(spark.createDataFrame([(w, k, x) for k, v in enumerate(weights) for w, x in v.items()], "term string, template int, weight double"))
     dots = weighted.join(postings, "term").groupBy("key", "path", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["key", "path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy("key", "path").agg(F.min(F.struct((-F.col("score")).alias("worst"), "template", "unit")).alias("b"))
-    names = F.lit([name for name, _ in templates])
-    return best.select(F.col("key").alias(key), F.col("path").alias(path), F.get(names, F.col("b.template")).alias("license"), (-F.col("b.worst")).alias("score"), F.col("b.unit").alias("unit"))
+    names, strengths, leasts = (F.lit([t[k] for t in templates]) for k in (0, 2, 3))
+    scored = dots.join(norms, ["key", "path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= F.get(leasts, F.col("template")))
+    best = scored.groupBy("key", "path").agg(F.min(F.struct((-F.get(strengths, F.col("template"))).alias("weakest"), (-F.col("score")).alias("worst"), "template", "unit")).alias("b"))
+    return best.select(F.col("key.v").alias(key), F.col("path").alias(path), F.get(names, F.col("b.template")).alias("license"), (-F.col("b.worst")).alias("score"), (-F.col("b.weakest")).alias("strength"), F.col("b.unit").alias("unit"))
 
 
 def directory_of(path: Column) -> Column:
@@ -136,28 +178,28 @@ def ancestors_of(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda up: F.struct(up.alias("up"), F.array_join(F.slice(parts, 1, F.size(parts) - up), "/").alias("above")))
 
 
-def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, text: str = "text", path: str = "path", key: str = "doc_id", least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text", path: str = "path", key: str = "doc_id") -> DataFrame:
     """(key, path, own_license, own_score, license, origin, up) for each row.
 
     origin is own, inherited or none; up is how many directories above the file's own the licence was found, null if not inherited.
     """
-    named = files.select(key, text, F.coalesce(F.col(path), F.lit("")).alias(path))
-    own = written(own_licenses(named, templates, text, path, key, least))
+    named = files.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(path), F.lit("")).alias("path"))
+    own = written(own_licenses(named, templates, "text", "path", "key").withColumn("key", F.struct(F.col("key").alias("v"))))
     by_directory = (
-        own.where(F.col(path).rlike(LICENSE_FILE))
-        .groupBy(_tidy(directory_of(F.col(path))).alias("above"))
-        .agg(F.min(F.struct((-F.col("score")).alias("worst"), F.col(path), F.col(key), F.col("license"))).alias("b"))
+        own.where(F.col("path").rlike(LICENSE_FILE))
+        .groupBy(_tidy(directory_of(F.col("path"))).alias("above"))
+        .agg(F.min(F.struct((-F.col("strength")).alias("weakest"), (-F.col("score")).alias("worst"), "path", "key", "license")).alias("b"))
         .select("above", F.col("b.license").alias("inherited"))
     )
-    directories = named.select(_tidy(directory_of(F.col(path))).alias("directory")).distinct()
+    directories = named.select(_tidy(directory_of(F.col("path"))).alias("directory")).distinct()
     above = directories.select("directory", F.explode(ancestors_of(F.col("directory"))).alias("a")).select("directory", "a.up", "a.above")
     nearest = above.join(by_directory, "above").groupBy("directory").agg(F.min(F.struct("up", "inherited")).alias("near")).select("directory", "near.up", "near.inherited")
-    rows = named.select(key, path, _tidy(directory_of(F.col(path))).alias("directory"))
-    mine = own.select(F.col(key), F.col(path), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
-    joined = rows.join(mine, [key, path], "left").join(nearest, "directory", "left")
+    rows = named.select(F.struct(F.col("key").alias("v")).alias("key"), "path", _tidy(directory_of(F.col("path"))).alias("directory"))
+    mine = own.select("key", "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"))
+    joined = rows.join(mine, ["key", "path"], "left").join(nearest, "directory", "left")
     origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return joined.select(
-        key, path, "own_license", "own_score", F.coalesce("own_license", "inherited").alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("up")).alias("up")
+        F.col("key.v").alias(key), F.col("path").alias(path), "own_license", "own_score", F.coalesce("own_license", "inherited").alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("up")).alias("up")
     )
 
 

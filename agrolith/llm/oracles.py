@@ -51,22 +51,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 def tfidf_licenses() -> str:
     """op8: own licences by cosine, and the nearest directory's."""
-    quoted = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    quoted = ", ".join(f"({k}, '{t.license}', '{t.text}', {t.strength}, {t.least})" for k, t in enumerate(licenses.TEMPLATES))
     terms = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
     return f"""
-WITH tpl(k, name, body) AS (VALUES {quoted}), tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({terms.format("body")}) AS term FROM tpl) GROUP BY k, term),
+WITH tpl(k, name, body, strength, least) AS (VALUES {quoted}), tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({terms.format("body")}) AS term FROM tpl) GROUP BY k, term),
 f0 AS (SELECT doc_id, coalesce(text, '') AS t, concat_ws('/', source, lang, 'd' || CAST(doc_id // 10 % 100 AS VARCHAR)) AS dir, n_chars <= 400 AS is_file FROM documents),
 n AS (SELECT count(*) AS n FROM f0), dt AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({terms.format("t")}) AS term FROM f0) WHERE term IN (SELECT term FROM tt) GROUP BY term),
 idf AS (SELECT v.term, ln(1 + n) + 1 - ln(1 + coalesce(df, 0)) AS idf FROM (SELECT DISTINCT term FROM tt) v CROSS JOIN n LEFT JOIN dt USING (term)),
 tn AS (SELECT k, sqrt(sum((tf * idf) ** 2)) AS norm FROM tt JOIN idf USING (term) GROUP BY k),
 post AS (SELECT k, term, tf * idf / norm AS weight FROM tt JOIN idf USING (term) JOIN tn USING (k)),
-u AS (SELECT doc_id, unnest(range(len(ls))) AS unit, unnest(ls) AS body FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM f0) UNION ALL SELECT doc_id, -1, t FROM f0 WHERE is_file),
+u AS (SELECT doc_id, unnest(range(len(ls))) AS unit, unnest(ls) AS body FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM f0) UNION ALL SELECT doc_id, -1, t FROM f0 WHERE is_file
+ UNION ALL SELECT doc_id, -2 - unnest(range(len(ss))), unnest(ss) FROM (SELECT doc_id, regexp_split_to_array(t, '{licenses.SENTENCE_END}') AS ss FROM f0)),
 ut AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest({terms.format("body")}) AS term FROM u) GROUP BY 1, 2, 3),
 ux AS (SELECT doc_id, unit, term, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM ut CROSS JOIN n LEFT JOIN idf USING (term)),
 un AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM ux GROUP BY 1, 2),
 s AS (SELECT doc_id, unit, k, round(sum(x * weight) / any_value(norm), 6) AS score FROM ux JOIN post USING (term) JOIN un USING (doc_id, unit) GROUP BY 1, 2, 3),
-best AS (SELECT doc_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k, unit) AS r FROM s WHERE score >= {licenses.LEAST}) JOIN tpl USING (k) WHERE r = 1),
-lf AS (SELECT dir AS above, name FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/LICENSE.' || doc_id) AS r FROM best JOIN f0 USING (doc_id) WHERE is_file) WHERE r = 1),
+best AS (SELECT doc_id, name, score, strength FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY strength DESC, score DESC, k, unit) AS r FROM s JOIN tpl USING (k) WHERE score >= least) WHERE r = 1),
+lf AS (SELECT dir AS above, name FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY strength DESC, score DESC, dir || '/LICENSE.' || doc_id) AS r FROM best JOIN f0 USING (doc_id) WHERE is_file) WHERE r = 1),
 up AS (SELECT DISTINCT dir, i AS up, array_to_string(string_split(dir, '/')[1:len(string_split(dir, '/')) - i], '/') AS above FROM f0, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE i <= len(string_split(dir, '/'))),
 near AS (SELECT dir, min(struct_pack(up := up, name := name)) AS m FROM up JOIN lf USING (above) GROUP BY dir)
 SELECT doc_id, best.name AS own_license, best.score AS own_score, coalesce(best.name, m.name) AS license, CASE WHEN best.name IS NOT NULL THEN 'own' WHEN m IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,

@@ -504,6 +504,106 @@ def test_licenses_own_and_inherited(spark, empty):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+BSD_2 = """Copyright (c) 2019, Ann Example
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NO_WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+BSD_3 = BSD_2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Ann Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version {0}
+
+ Copyright (C) {1} Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+GPL_HEADER = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2}General Public License as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {2}General Public License for more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE_HEADER = """Copyright 2021 Example Inc. All rights reserved.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def commented(text: str, sign: str) -> str:
+    return "\n".join(f"{sign} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_licenses_of_usual_files_and_headers(spark):
+    gpl_2, gpl_3 = GPL_HEADER.format("program", ";", "", ";", 2), GPL_HEADER.format("program", ":", "", ",", 3)
+    files = [("BSD-2-Clause", BSD_2 + NO_WARRANTY), ("BSD-3-Clause", BSD_3 + NO_WARRANTY), ("MIT", MIT), ("Apache-2.0", APACHE), ("GPL-2.0", GPL_FILE.format("2, June 1991", "1989, 1991")), ("GPL-3.0", GPL_FILE.format("3, 29 June 2007", 2007)), ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n")]
+    headers = [
+        ("GPL-2.0", gpl_2), ("GPL-3.0", gpl_3), ("LGPL-2.1", GPL_HEADER.format("library", ";", "Lesser ", ";", "2.1")), ("LGPL-3.0", GPL_HEADER.format("library", ":", "Lesser ", ",", 3)), ("AGPL-3.0", GPL_HEADER.format("program", ":", "Affero ", ",", 3)),
+        ("MPL-2.0", MPL), ("Apache-2.0", APACHE_HEADER), ("BSD-2-Clause", BSD_2 + NO_WARRANTY), ("BSD-3-Clause", BSD_3 + NO_WARRANTY), ("MIT", MIT),
+        *((t.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {t}") for t in licenses.TAGS),
+        ("MIT", "We like to go here now and then, as was said before. Released under the MIT License."), ("Proprietary", "Copyright 2020 Example. All rights reserved."), (None, "SPDX-License-Identifier: LicenseRef-Odd-Thing"), (None, "Version 2 of the program is under way, and the public may use it."),
+    ]
+    made = [(f"f{k}/LICENSE", t, x) for k, (x, t) in enumerate(files)]
+    made += [(f"h{k}/{n}/main.c", sign and f"import os\n\n{commented(t, sign)}\n\nint main() {{ return 0; }}\n" or t, x) for k, (x, t) in enumerate(headers) for n, sign in enumerate(["", "#", "//", " *"])]
+    made += [(f"p{k}/a.txt", f"the words of an everyday text number {k} under the sun and of the free public", None) for k in range(300)]
+    frame = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(made)], "doc_id long, path string, text string")
+    found = {r.doc_id: r.own_license for r in licenses.scan(frame).collect()}
+    wrong = [(p, x, found[k]) for k, (p, _, x) in enumerate(made) if found[k] != x]
+    assert not wrong, wrong[:20]
+
+
+def test_license_of_a_null_key(spark):
+    frame = spark.createDataFrame([(None, "Licensed under the MIT License.", "a/x"), (None, "Licensed under the MIT License.", None), (2, "words", "a/y"), (None, "other words", "a/z")], "doc_id long, text string, path string")
+    assert sorted((r.path, r.own_license, r.origin) for r in licenses.scan(frame).collect()) == [("", "MIT", "own"), ("a/x", "MIT", "own"), ("a/y", None, "none"), ("a/z", None, "none")]
+
+
 # --- op9 -------------------------------------------------------------------------------------------------------------------------------
 
 
