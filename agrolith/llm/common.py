@@ -107,11 +107,19 @@ def split_by_keys(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame
                 hit = in_bitmap(found, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(hit != sure))
 
-        return arrow_map(docs.select("*", bit_of(F.col(key)).alias("_place")), run, docs.schema)
+        return arrow_map(docs.select("*", bit_of(F.col(key)).alias(unused("_place", names))), run, docs.schema)
 
     return part(True), part(False)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores in front until no column has it (Spark's names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the decimal doc_id, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

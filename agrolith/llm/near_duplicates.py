@@ -30,15 +30,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, distinct, forget, in_bitmap, mix, run_hashes, split_by_keys, windows, word_runs, written
+from agrolith.llm.common import BITS, LOWER, arrow_map, bit_of, bitmap, blocks, buffers, distinct, forget, in_bitmap, mix, run_hashes, split_by_keys, unused, windows, word_runs, written
 from agrolith.operators.graph import star_components
 
 WORDS, COORDINATES, MATCHES = 5, 64, 31
 #: Similarity as a ratio of integers: LEAST of 100.
 LEAST = 75
 MOST_ROUNDS = 8
-#: Parts of a pivot's group in the comparison of what the rounds left open.
-PARTS = 16
+#: A list is long from this many rows on, or from a share of all rows on, so that at most MOST_LONG lists are: these few are broadcast.
+LEAST_LONG, MOST_LONG = 256, 1 << 16
+#: Nodes of a part of a pivot's group in the comparison of what the rounds left open.
+PART_NODES = 512
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = mix(_XOR) | np.uint64(1)
 
@@ -113,6 +115,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
     return arrow_map(rows.withColumn("at", bit_of(F.col("node"), BITS)), run, schema).join(nodes, "node", "left_semi")
 
 
+def _with_lists(rows: DataFrame, lists: DataFrame, n_rows: int, by: str = "token") -> DataFrame:
+    """rows joined with their list's one row; lists: (by, long, ...) with `long` the list's rows, `n_rows` the rows of all.
+
+    Rows of long lists stay where they are and meet a broadcast table of at most MOST_LONG rows, so no task gets a list whole.
+    """
+    limit = max(LEAST_LONG, n_rows // MOST_LONG)
+    long = F.broadcast(lists.where(F.col("long") > limit))
+    short = rows.join(F.broadcast(lists.where(F.col("long") > limit).select(by)), by, "left_anti").join(lists.where(F.col("long") <= limit).hint("merge"), by)
+    return rows.join(long, by).unionByName(short)
+
+
+def _agreement(a: str, b: str) -> Column:
+    """In how many coordinates two signatures agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, same: n + same)
+
+
 def _size_fits(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be similar enough at all."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * LEAST
@@ -146,7 +164,7 @@ class _Links:
         close = written(
             pairs.join(own.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), "x")
             .join(own.select(F.col("node").alias("y"), F.col("tokens").alias("ty")), "y")
-            .where(F.aggregate(F.zip_with("tx", "ty", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same) >= MATCHES)
+            .where(_agreement("tx", "ty") >= MATCHES)
             .select("x", "y")
         )
         sets = self.ask(close.select(F.explode(F.array("x", "y")).alias("node")).distinct())
@@ -157,17 +175,17 @@ class _Links:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(token, node, n, shared): each node under the tokens of its prefix, lists of one left out; written.
-
-    shared is the number of the node's tokens that occur elsewhere too, over all its coordinates.
-    """
+    """(token, node, n, weight): each node under the tokens of its prefix, lists of one left out; written. weight sums the logs of all its lists' lengths."""
     posted = nodes.select("node", "n", F.explode("tokens").alias("token"))
-    often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
+    often = written(posted.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where(F.col("long") > 1))
+    n_rows = often.agg(F.sum("long")).first()[0] or 0
     by_node = Window.partitionBy("node", "n")  # at most COORDINATES rows, but for keys that stand for several sets
-    ranked = posted.join(often.hint("merge"), "token").withColumn("place", F.row_number().over(by_node.orderBy("often", "token")))
-    ranked = ranked.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum(F.log("often")).over(by_node))
+    ranked = _with_lists(posted, often, n_rows).withColumn("place", F.row_number().over(by_node.orderBy("long", "token")))
+    ranked = ranked.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("weight", F.sum(F.log("long")).over(by_node))
     prefix = written(ranked.where(F.col("place") + (COORDINATES - F.col("shared")) <= COORDINATES - MATCHES + 1).select("token", "node", "n", "weight"))
-    kept = written(prefix.join(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where(F.col("long") > 1).select("token"), "token"))
+    lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where(F.col("long") > 1)
+    kept = written(_with_lists(prefix, lists, n_rows).drop("long"))
+    forget(often)
     forget(prefix)
     return kept
 
@@ -194,7 +212,8 @@ def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     clean, rest = split_by_keys(docs, marked.select(key), key)
     rest = rest.join(found.where(~F.col("kept")).select(key), key, "left_anti").select(docs.columns)
     named = rest.where(F.col(key).isNotNull())
-    first = named.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(text))).where("_first = 1").select(docs.columns)
+    place = unused("_place", docs.columns)
+    first = named.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(place) == 1).select(docs.columns)
     return clean.unionByName(first).unionByName(rest.where(F.col(key).isNull()))
 
 
@@ -205,17 +224,17 @@ def _linked(docs: DataFrame, nodes: DataFrame, postings: DataFrame, text: str, k
     labels: DataFrame | None = None
     open_before = None
     for turn in range(MOST_ROUNDS):
-        lists = written(_open_lists(_labelled(postings, labels)))
-        n_open = lists.agg(F.sum("members")).first()[0] or 0
+        # The first leader is the node whose tokens are the most frequent: the middle of a group of copies. Later ones go by a hash.
+        rank = F.struct((-F.round("weight", 6)).alias("w") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("w"), "node", "n", "component")
+        rows = _labelled(postings, labels)
+        lists = written(_open_lists(rows, rank))
+        n_open = lists.agg(F.sum("long")).first()[0] or 0
         if not n_open or (open_before is not None and n_open > 0.7 * open_before):
+            forget(lists)
             break
         open_before = n_open
-        rows = _labelled(postings, labels).join(lists.select("token"), "token")
-        # The first leader is the node whose tokens are the most frequent: the middle of a group of copies. Later ones go by a hash.
-        rank = F.struct((-F.round("weight", 6)).alias("w") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("w"), "node", "n", "component")
-        leaders = rows.groupBy("token").agg(F.min(rank).alias("leader"))
         pairs = (
-            rows.join(leaders, "token")
+            _with_lists(rows, lists, n_open)
             .where((F.col("component") != F.col("leader.component")) & _size_fits(F.col("n"), F.col("leader.n")))
             .select(F.least("node", "leader.node").alias("x"), F.greatest("node", "leader.node").alias("y"))
             .distinct()
@@ -235,30 +254,36 @@ def _rest(postings: DataFrame, labels: DataFrame | None, links: _Links) -> DataF
     largest component are compared with the others.
     """
     rows = _labelled(postings, labels)
-    rows = written(rows.join(_open_lists(rows).select("token"), "token"))
-    if rows.isEmpty():
+    lists = written(_open_lists(rows, F.struct((-F.round("weight", 6)).alias("w"), "node")))
+    n_open = lists.agg(F.sum("long")).first()[0] or 0
+    rows = written(_with_lists(rows, lists.select("token", "long"), n_open).drop("long"))
+    forget(lists)
+    if not n_open:
         return rows.select(F.col("node").alias("x"), F.col("node").alias("y"))
-    asked = rows.select("node").distinct()
+    asked = written(rows.select("node").distinct())
     each = links.ask(asked).join(asked, "node", "left_semi").select("node", F.explode("set").alias("h"))
     lone = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where(F.col("c") == 1)
     lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
     rows = rows.join(lone, "node", "left").withColumn("s", F.col("n") - F.coalesce("lone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * LEAST)
     rows = written(rows.select("token", "node", "n", "s", "weight", "component"))
-    pivots = rows.groupBy("token").agg(F.min(F.struct((-F.round("weight", 6)).alias("w"), "node")).alias("m"), F.min("component").alias("a"), F.max("component").alias("b"))
     # Lists with one pivot are one group from here on: a pair of any of them is in it, and comes once.
-    groups = rows.join(pivots.where(F.col("a") != F.col("b")).select("token", F.col("m.node").alias("pivot")), "token").select("pivot", "node", "n", "s", "component").distinct()
+    pivots = _open_lists(rows, F.struct((-F.round("weight", 6)).alias("w"), "node")).select("token", "long", F.col("leader.node").alias("pivot"))
+    groups = written(_with_lists(rows, pivots, n_open).select("pivot", "node", "n", "s", "component").distinct())
+    # A large group is dealt out by parts of its nodes.
+    sizes = written(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("long")).withColumn("parts", F.ceil(F.col("long") / PART_NODES).cast("int")))
+    groups = _with_lists(groups, sizes, n_open, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("long")
     sets = links.ask(asked)
-    near = groups.join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
-    near = near.withColumn("o", F.size(F.array_intersect("set", "p")))
-    groups = written(near.select("pivot", "node", "n", "o", (F.col("s") - F.col("o")).alias("r"), "component"))
-    largest = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
-    few = groups.join(largest, "pivot").where(F.col("component") != F.col("largest"))
-    # A large group is dealt out by parts of its nodes; the few nodes meet each part.
-    few = few.withColumn("part", F.explode(F.lit(list(range(PARTS)))))
-    groups = groups.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
-    left, right = (g.select("pivot", "part", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component"))) for g, side in ((few, "x"), (groups, "y")))
+    middles = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
+    near = groups.join(sets.select("node", "set"), "node").join(middles, ["pivot", "part"])
+    near = near.withColumn("o", F.size(F.array_intersect("set", "p"))).select("pivot", "node", "n", "o", (F.col("s") - F.col("o")).alias("r"), "component", "part", "parts")
+    groups = written(near.join(links.members, "node"))
+    largest = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("pivot").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.sum("c").alias("long"))
+    # Only nodes outside a group's largest component meet all of its parts; the signatures are compared where they meet.
+    few = _with_lists(groups, largest, n_open, "pivot").where(F.col("component") != F.col("largest"))
+    few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = (g.select("pivot", "part", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "o", "r", "component", "tokens"))) for g, side in ((few, "x"), (groups, "y")))
     enough = (F.least("o_x", "o_y") + F.least("r_x", "r_y")) * (100 + LEAST) >= (F.col("n_x") + F.col("n_y")) * LEAST
-    pairs = left.join(right, ["pivot", "part"]).where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough)
+    pairs = left.join(right, ["pivot", "part"]).where((F.col("component_x") != F.col("component_y")) & _size_fits(F.col("n_x"), F.col("n_y")) & enough & (_agreement("tokens_x", "tokens_y") >= MATCHES))
     return pairs.select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
 
 
@@ -268,10 +293,10 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open_lists(rows: DataFrame) -> DataFrame:
-    """(token, members) of the lists whose members are in several components."""
-    ends = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("members"))
-    return ends.where(F.col("a") != F.col("b")).select("token", "members")
+def _open_lists(rows: DataFrame, rank: Column) -> DataFrame:
+    """(token, long, leader) of the lists whose members are in several components: their length and the least of rank."""
+    ends = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("long"), F.min(rank).alias("leader"))
+    return ends.where(F.col("a") != F.col("b")).select("token", "long", "leader")
 
 
 def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agrolith.llm.common import arrow_map, blocks
+from agrolith.llm.common import arrow_map, blocks, unused
 
 MARK = "▁"
 
@@ -93,18 +93,23 @@ class ChunkTable:
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (), most_chunks: int = 250_000) -> DataFrame:
-    """(key, ids array<int>, decoded string, carried columns) for each row. The model file is read on the driver and travels with the tasks."""
+    """(key, ids array<int>, decoded string, carried columns) for each row. The model file is read on the driver and travels with the tasks.
+
+    A carried column that is named like one of the others comes back as <name>_carried.
+    """
     model = Path(model_path).read_bytes()
-    rows = docs.select(F.col(key), F.col(text).alias("_text"), *carried)
-    kept = [f for f in rows.schema.fields if f.name != "_text"]
+    names = [key, "ids", "decoded"]
+    names += [f"{c}_carried" if c in names else c for c in carried]
+    whole = unused("_text", names)
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias(whole), *(F.col(c).alias(n) for c, n in zip(carried, names[3:], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model, most_chunks)
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, whole):
             flat, offsets = table.ids([t or "" for t in block.column(1).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             decoded = table.model.decode([flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1)
-            yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array(decoded, pa.string()), *block.columns[2:]], [key, "ids", "decoded", *carried])
+            yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array(decoded, pa.string()), *block.columns[2:]], names)
 
-    schema = T.StructType([kept[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), *kept[1:]])
+    schema = T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), *rows.schema.fields[2:]])
     return arrow_map(rows, run, schema)

@@ -202,6 +202,10 @@ def test_sentencepiece_equals_library(docs, rows, empty):
     assert Counter((r.doc_id, tuple(r.ids)) for r in found) == want
     assert all(r.decoded == model.decode(list(r.ids)) for r in found)
     assert sentencepiece_codec.encode_decode(empty, path).count() == 0
+    clashing = docs.select(F.col("doc_id").alias("_text"), "text", F.col("n").alias("ids"), F.col("key").alias("decoded"))
+    same = sentencepiece_codec.encode_decode(clashing, path, key="_text", carried=("ids", "decoded", "_text"))
+    assert same.columns == ["_text", "ids", "decoded", "ids_carried", "decoded_carried", "_text_carried"]
+    assert Counter((r["_text"], tuple(r.ids)) for r in same.collect()) == want
 
 
 # --- op4 -------------------------------------------------------------------------------------------------------------------------------
@@ -462,8 +466,12 @@ def near_copies(seed: int) -> list[tuple]:
     return made
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(1, False), (2, True)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, small):
+    """small: lists of five rows are long already, and groups have parts of three nodes."""
+    if small:
+        for name, value in (("LEAST_LONG", 4), ("MOST_LONG", 1 << 30), ("PART_NODES", 3), ("MOST_ROUNDS", 1)):
+            monkeypatch.setattr(near_duplicates, name, value)
     made = near_copies(seed)
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in made], "doc_id long, text string, node string, n int").repartition(4)
     found = near_duplicates.near_duplicates(frame).collect()
@@ -481,6 +489,10 @@ def test_near_duplicates_edges(docs, rows, empty):
     assert len(ids) == len(set(ids)) and None in ids
     assert near_duplicates.near_duplicates(empty).count() == 0
     assert near_duplicates.keep_representatives(empty).count() == 0
+    clashing = docs.select("doc_id", "text", F.col("lang").alias("_place"), F.col("n").alias("__place"), F.col("score").alias("component"))
+    again = near_duplicates.keep_representatives(clashing)
+    assert again.columns == clashing.columns
+    assert Counter((r["_place"], r["__place"], r["component"]) for r in again.collect()) == Counter((r.lang, r.n, r.score) for r in kept.collect())
 
 
 # --- op8 -------------------------------------------------------------------------------------------------------------------------------
