@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from agrolith.operators.grid import with_margin
+from agrolith.operators.grid import keys, with_margin
 
 Upscaler = Callable[[np.ndarray, int], np.ndarray]
 
@@ -24,21 +25,23 @@ def clahe(grid: DataFrame, height: Column, width: Column, tiles: int = 8, clip:
     Each of tiles x tiles parts has a histogram, cut at `clip` times its mean height with the excess dealt out evenly; its running sum is
     a table of new values. A pixel blends the tables of the four nearest parts. Tables have 256 rows for each part.
     """
+    held, part = keys(grid), ["ty", "tx"]
     tile_h, tile_w = F.ceil(height / tiles), F.ceil(width / tiles)
-    placed = grid.select("row", "col", F.col(value).cast("int").alias("g"), F.floor(F.col("row") / tile_h).alias("ty"), F.floor(F.col("col") / tile_w).alias("tx"))
-    counts = placed.groupBy("ty", "tx", "g").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("ty", "tx").agg(F.sum("n").alias("all"))
-    full = sizes.select("ty", "tx", "all", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("g")).join(counts, ["ty", "tx", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    limit = F.greatest(F.lit(1.0), clip * F.col("all") / 256)
-    part = Window.partitionBy("ty", "tx")
-    cut = full.withColumn("spare", F.sum(F.greatest(F.col("n") - limit, F.lit(0.0))).over(part) / 256).withColumn("h", F.least(F.col("n").cast("double"), limit) + F.col("spare"))
-    table = cut.select("ty", "tx", "g", F.least(F.lit(255.0), F.sum("h").over(part.orderBy("g")) * 255 / F.col("all")).alias("new"))
     fy, fx = (F.col("row") + 0.5) / tile_h - 0.5, (F.col("col") + 0.5) / tile_w - 0.5
     corners = F.array(*(F.struct((F.floor(fy) + i).alias("y"), (F.floor(fx) + j).alias("x"), (F.abs(1 - i - (fy - F.floor(fy))) * F.abs(1 - j - (fx - F.floor(fx)))).alias("w")) for i in (0, 1) for j in (0, 1)))
     last_y, last_x = F.ceil(height / tile_h) - 1, F.ceil(width / tile_w) - 1
-    wide = placed.select("row", "col", "g", F.explode(corners).alias("c"))
-    wide = wide.select("row", "col", "g", F.least(F.greatest(F.col("c.y"), F.lit(0)), last_y).alias("ty"), F.least(F.greatest(F.col("c.x"), F.lit(0)), last_x).alias("tx"), "c.w")
-    return wide.join(F.broadcast(table), ["ty", "tx", "g"]).groupBy("row", "col").agg(F.round(F.sum(F.col("w") * F.col("new"))).alias(value))  # 256 rows for each of tiles ** 2 parts
+    placed = grid.select(*held, "row", "col", F.col(value).cast("int").alias("g"), F.floor(F.col("row") / tile_h).alias("ty"), F.floor(F.col("col") / tile_w).alias("tx"))
+    counts = placed.groupBy(*held, *part, "g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*held, *part).agg(F.sum("n").alias("all"))
+    full = sizes.select(*held, *part, "all", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("g")).join(counts, [*held, *part, "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    limit = F.greatest(F.lit(1.0), clip * F.col("all") / 256)
+    own = Window.partitionBy(*held, *part)
+    cut = full.withColumn("spare", F.sum(F.greatest(F.col("n") - limit, F.lit(0.0))).over(own) / 256).withColumn("h", F.least(F.col("n").cast("double"), limit) + F.col("spare"))
+    table = cut.select(*held, *part, "g", F.least(F.lit(255.0), F.sum("h").over(own.orderBy("g")) * 255 / F.col("all")).alias("new"))
+    wide = placed.select(*held, "row", "col", "g", F.explode(corners).alias("c"), last_y.alias("last_y"), last_x.alias("last_x"))
+    wide = wide.select(*held, "row", "col", "g", F.least(F.greatest(F.col("c.y"), F.lit(0)), "last_y").alias("ty"), F.least(F.greatest(F.col("c.x"), F.lit(0)), "last_x").alias("tx"), "c.w")
+    table = table if held else F.broadcast(table)  # one raster has 256 rows for each of tiles ** 2 parts
+    return wide.join(table, [*held, *part, "g"]).groupBy(*held, "row", "col").agg(F.round(F.sum(F.col("w") * F.col("new"))).alias(value))
 
 
 def bilinear(values: np.ndarray, scale: int) -> np.ndarray:
@@ -101,6 +104,7 @@ def upscale_tiled(grid: DataFrame, scale: int, size: int = 256, pad: int = 10, u
 
     A task holds one chunk. Edges of the raster have no margin.
     """
+    held = keys(grid)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cy, cx = int(pdf["cy"].iloc[0]), int(pdf["cx"].iloc[0])
@@ -110,11 +114,14 @@ def upscale_tiled(grid: DataFrame, scale: int, size: int = 256, pad: int = 10, u
         large = upscaler(cells, scale)
         r, c = (x.ravel() for x in np.indices(large.shape))
         own = (r // scale + top >= cy * size) & (r // scale + top < (cy + 1) * size) & (c // scale + left >= cx * size) & (c // scale + left < (cx + 1) * size)
-        return pd.DataFrame({"row": r[own] + top * scale, "col": c[own] + left * scale, value: large.ravel()[own]})
-
-    placed = with_margin(grid.select("row", "col", value), size, pad)
-    kept = placed.join(placed.where("own").select("cy", "cx").distinct(), ["cy", "cx"], "left_semi")
-    return kept.groupBy("cy", "cx").applyInPandas(run, f"row bigint, col bigint, {value} double")
+        same = {k: pdf[k].iloc[0] for k in held}
+        return pd.DataFrame({"row": r[own] + top * scale, "col": c[own] + left * scale, value: large.ravel()[own]}).assign(**same)[[*held, "row", "col", value]]
+
+    placed = with_margin(grid.select(*held, "row", "col", value), size, pad)
+    by = [*held, "cy", "cx"]
+    kept = placed.join(placed.where("own").select(*by).distinct(), by, "left_semi")
+    schema = T.StructType([*(grid.schema[k] for k in held), *(T.StructField(c, T.LongType()) for c in ("row", "col")), T.StructField(value, T.DoubleType())])
+    return kept.groupBy(*by).applyInPandas(run, schema)
 
 
 def checked_models(requests: DataFrame, model: str = "model") -> DataFrame:

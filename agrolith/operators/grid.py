@@ -1,10 +1,27 @@
-"""Rasters as pixel relations: arrays to pixels and back, down-sampling, resampling, cropping, tiles with a margin."""
+"""Rasters as pixel relations: arrays to pixels and back, down-sampling, resampling, cropping, tiles with a margin.
+
+A table of one raster has columns row, col and bands. A table of several has raster_id, too, and every operator on pixels then works
+raster by raster; where their sizes differ, columns height and width can go with them, to be named as sizes.
+"""
 
 from __future__ import annotations
 
+from math import pi, sin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agrolith.functions.geometry import bounds, contains
+
+
+#: Columns that tell a table's rasters apart or belong to a raster; operators carry those that are there.
+RASTER = ("raster_id", "height", "width")
+
+
+def keys(grid: DataFrame) -> list[str]:
+    """Which of the columns RASTER a pixel relation has."""
+    return [c for c in RASTER if c in grid.columns]
+
 
 def pixels(rows: DataFrame, row: str, values: str, name: str = "v") -> DataFrame:
     """(row, col, v) from one array of values for each row."""
@@ -13,15 +30,14 @@ def pixels(rows: DataFrame, row: str, values: str, name: str = "v") -> DataFrame
 
 def scanlines(grid: DataFrame, value: str = "v") -> DataFrame:
     """(row, values): each row's values in the order of columns. A scan line is bounded by the raster's width."""
-    return grid.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", value))), lambda x: x[value]).alias("values"))
+    return grid.groupBy(*keys(grid), "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", value))), lambda x: x[value]).alias("values"))
 
 
 def downsample(grid: DataFrame, factor: int, mean: list[str], first: list[str] = ()) -> DataFrame:
     """Blocks of factor x factor pixels: means of bands, and for class bands the value of the first pixel."""
     order = F.struct("row", "col")
-    return grid.groupBy(F.floor(F.col("row") / factor).cast("bigint").alias("row"), F.floor(F.col("col") / factor).cast("bigint").alias("col")).agg(
-        *(F.avg(c).alias(c) for c in mean), *(F.min_by(c, order).alias(c) for c in first)
-    )
+    block = (F.floor(F.col(axis) / factor).cast("bigint").alias(axis) for axis in ("row", "col"))
+    return grid.groupBy(*keys(grid), *block).agg(*(F.avg(c).alias(c) for c in mean), *(F.min_by(c, order).alias(c) for c in first))
 
 
 def upsample_nearest(grid: DataFrame, factor: int) -> DataFrame:
@@ -32,54 +48,86 @@ def upsample_nearest(grid: DataFrame, factor: int) -> DataFrame:
     return wide.select((F.col("row") * factor + F.col("s.i")).alias("row"), (F.col("col") * factor + F.col("s.j")).alias("col"), *rest)
 
 
-def upsample_bilinear(grid: DataFrame, factor: int, height: Column, width: Column, value: str = "v") -> DataFrame:
-    """Bilinear enlargement with pixel centres aligned and edges repeated.
+def upsample(grid: DataFrame, factor: int, height: Column, width: Column, shares: list[tuple[int, float]], value: str = "v") -> DataFrame:
+    """Enlargement in which a source pixel gives its share to target pixels near it along each axis; edges are repeated.
 
-    Each source pixel gives its weighted share to the target pixels near it; shares are added up, so no neighbour join is needed.
+    shares: (k, weight) for target factor * at + k. Shares are added up with partial aggregation, so no neighbour join is needed.
+    A target near an edge gets the shares of the pixels that would lie beyond it from the edge pixel.
     """
-    reach = [(k, max(0.0, 1 - abs(k + 0.5 - factor / 2) / factor)) for k in range(-factor, 2 * factor)]
-    shares = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in reach if w > 0))
+    held, reach = keys(grid), max(abs(k) for k, _ in shares) // factor + 1
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in shares))
 
     def spread(df: DataFrame, axis: str, size: Column) -> DataFrame:
         other = "col" if axis == "row" else "row"
-        wide = df.select(other, axis, value, F.explode(shares).alias("s"))
-        at = F.col(axis) * factor + F.col("s.k")
-        inside = F.least(F.greatest(at, F.lit(0)), size * factor - 1)
-        # What falls off an edge belongs to the edge's own pixels: the weight goes back by reflection.
-        back = F.when(at < 0, -at - 1).when(at >= size * factor, 2 * size * factor - 1 - at).otherwise(inside)
-        return wide.select(other, back.alias(axis), (F.col(value) * F.col("s.w")).alias(value)).groupBy(other, axis).agg(F.sum(value).alias(value))
+        at = F.col(axis)
+        # The edge pixel stands for those beyond it, too.
+        before = F.when(at == 0, F.sequence(F.lit(-reach), F.lit(0))).otherwise(F.array(F.lit(0)))
+        after = F.when(at == size - 1, F.sequence(F.lit(0), F.lit(reach))).otherwise(F.array(F.lit(0)))
+        moved = df.select(*held, other, value, size.alias("_n"), F.explode(F.transform(F.array_distinct(F.concat(before, after)), lambda d: at + d)).alias("_at"))
+        wide = moved.select(*held, other, value, "_n", "_at", F.explode(steps).alias("s"))
+        to = F.col("_at") * factor + F.col("s.k")
+        sent = wide.select(*held, other, to.alias(axis), (F.col(value) * F.col("s.w")).alias(value), "_n").where((F.col(axis) >= 0) & (F.col(axis) < F.col("_n") * factor))
+        return sent.groupBy(*held, other, axis).agg(F.sum(value).alias(value))
 
     return spread(spread(grid, "col", width), "row", height)
 
 
+def upsample_bilinear(grid: DataFrame, factor: int, height: Column, width: Column, value: str = "v") -> DataFrame:
+    """Bilinear enlargement with pixel centres aligned and edges repeated."""
+    reach = [(k, max(0.0, 1 - abs(k + 0.5 - factor / 2) / factor)) for k in range(-factor, 2 * factor)]
+    return upsample(grid, factor, height, width, [(k, w) for k, w in reach if w > 0], value)
+
+
+def lanczos_shares(factor: int, lobes: int = 3) -> list[tuple[int, float]]:
+    """Shares of the windowed sinc; those that a target pixel gets add up to 1."""
+    raw = {}
+    for k in range(-lobes * factor, (lobes + 1) * factor):
+        x = pi * (k + 0.5 - factor / 2) / factor
+        if abs(x) < lobes * pi:
+            raw[k] = 1.0 if abs(x) < 1e-12 else lobes * sin(x) * sin(x / lobes) / (x * x)
+    total = [sum(w for k, w in raw.items() if k % factor == phase) for phase in range(factor)]
+    return [(k, w / total[k % factor]) for k, w in raw.items()]
+
+
+def upsample_lanczos(grid: DataFrame, factor: int, height: Column, width: Column, value: str = "v") -> DataFrame:
+    """Enlargement with the Lanczos kernel of three lobes, pixel centres aligned and edges repeated."""
+    return upsample(grid, factor, height, width, lanczos_shares(factor), value)
+
+
 def crop(grid: DataFrame, inside: Column) -> DataFrame:
-    """Pixels for which a predicate holds; without any, the whole raster."""
+    """Pixels for which a predicate holds; of a raster without any, all."""
+    if held := keys(grid):
+        some = grid.groupBy(*held).agg(F.coalesce(F.max(inside), F.lit(False)).alias("_some"))
+        return grid.join(some, held).where(inside | ~F.col("_some")).select(grid.columns)
     kept = grid.where(inside)
     none_left = kept.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(True).alias("none"))
     whole = grid.join(F.broadcast(none_left))  # one row or none
     return kept.unionByName(whole.select(grid.columns))
 
 
+def crop_to_ring(grid: DataFrame, x: Column, y: Column, ring: Column) -> DataFrame:
+    """Pixels whose centre (x, y) lies in a closed ring, by its bounds first; of a raster without any, all."""
+    west, south, east, north = (F.get(bounds(ring), k) for k in range(4))
+    return crop(grid, x.between(west, east) & y.between(south, north) & contains(ring, x, y))
+
+
 def align(base: DataFrame, **others: DataFrame) -> DataFrame:
     """Bands on the grid of the first one; the class band, which may be missing, becomes 0."""
-    joined = base
+    joined, held = base, keys(base)
     for name, band in others.items():
         how = "left" if name == "scl" else "inner"
-        joined = joined.join(band.select("row", "col", F.col(band.columns[-1]).alias(name)), ["row", "col"], how)
+        joined = joined.join(band.select(*held, "row", "col", F.col(band.columns[-1]).alias(name)), [*held, "row", "col"], how)
     return joined.withColumn("scl", F.coalesce("scl", F.lit(0))) if "scl" in others else joined
 
 
 def with_margin(grid: DataFrame, size: int, pad: int) -> DataFrame:
     """Overlapping chunks: (cy, cx) for each chunk a pixel takes part in, and whether it is the pixel's own.
 
-    A pixel goes to at most 9 chunks as long as pad <= size.
+    A pixel inside a chunk goes to one, and to at most 9 as long as pad <= size.
     """
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    wide = grid.withColumn("_s", F.explode(near))
-    cy, cx = (F.floor(F.col(axis) / size) + F.col(f"_s.{k}") for axis, k in (("row", "i"), ("col", "j")))
-    placed = wide.withColumn("cy", cy.cast("bigint")).withColumn("cx", cx.cast("bigint")).withColumn("own", (F.col("_s.i") == 0) & (F.col("_s.j") == 0))
-    inside = [(F.col(axis) >= F.col(c) * size - pad) & (F.col(axis) < (F.col(c) + 1) * size + pad) & (F.col(c) >= 0) for axis, c in (("row", "cy"), ("col", "cx"))]
-    return placed.where(inside[0] & inside[1]).drop("_s")
+    near = [F.array_distinct(F.filter(F.array(*(F.floor((F.col(axis) + d) / size).cast("bigint") for d in (-pad, 0, pad))), lambda c: c >= 0)) for axis in ("row", "col")]
+    placed = grid.withColumn("cy", F.explode(near[0])).withColumn("cx", F.explode(near[1]))
+    return placed.withColumn("own", (F.col("cy") == F.floor(F.col("row") / size)) & (F.col("cx") == F.floor(F.col("col") / size)))
 
 
 def world(row: Column, col: Column, affine: dict[str, float]) -> tuple[Column, Column]:

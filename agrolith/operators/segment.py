@@ -9,8 +9,10 @@ from heapq import heapify, heappop, heappush
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agrolith.operators.graph import connected_components
+from agrolith.operators.grid import keys
 from agrolith.operators.scratch import forget, written
 from agrolith.operators.stencil import windowed
 
@@ -19,24 +21,29 @@ _FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
 
 def components(mask: DataFrame, width: Column, connectivity: int = 4) -> DataFrame:
     """(row, col, label): label is the least row * width + col of the pixel's component. mask: (row, col) of marked pixels."""
-    marked = written(mask.select("row", "col", (F.col("row") * width + F.col("col")).cast("bigint").alias("node")))
+    held = keys(mask)
+    number = (F.col("row") * width + F.col("col")).cast("bigint")
+    marked = written(mask.select(*held, "row", "col", (F.struct("raster_id", number.alias("n")) if "raster_id" in held else number).alias("node")))
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _FORWARD[connectivity]))
-    near = marked.select(F.col("node").alias("a"), "row", "col", F.explode(steps).alias("s")).select("a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    edges = near.join(marked.withColumnRenamed("node", "b"), ["row", "col"]).select("a", "b")
-    return connected_components(marked.select("node"), edges).join(marked, "node").select("row", "col", F.col("component").alias("label"))
+    near = marked.select(*held, F.col("node").alias("a"), "row", "col", F.explode(steps).alias("s")).select(*held, "a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    edges = near.join(marked.withColumnRenamed("node", "b"), [*held, "row", "col"]).select("a", "b")
+    label = F.col("component.n" if "raster_id" in held else "component")
+    return connected_components(marked.select("node"), edges).join(marked, "node").select(*held, "row", "col", label.alias("label"))
 
 
 def min_regions(labels: DataFrame, least: int) -> DataFrame:
     """Pixels of regions with at least `least` pixels."""
-    return labels.join(labels.groupBy("label").count().where(F.col("count") >= least).select("label"), "label").select("row", "col", "label")
+    by = [*keys(labels), "label"]
+    return labels.join(labels.groupBy(*by).count().where(F.col("count") >= least).select(*by), by).select(*keys(labels), "row", "col", "label")
 
 
 def fill_holes(mask: DataFrame, frame: DataFrame, height: Column, width: Column) -> DataFrame:
     """The mask and its holes: components of the background (4-connected) that don't touch the border."""
-    ground = components(frame.select("row", "col").join(mask, ["row", "col"], "left_anti"), width)
+    held = keys(mask)
+    ground = components(frame.select(*held, "row", "col").join(mask, [*held, "row", "col"], "left_anti"), width)
     at_border = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)
-    holes = ground.join(ground.where(at_border).select("label").distinct(), "label", "left_anti")
-    return mask.select("row", "col").unionByName(holes.select("row", "col"))
+    holes = ground.join(ground.where(at_border).select(*held, "label").distinct(), [*held, "label"], "left_anti")
+    return mask.select(*held, "row", "col").unionByName(holes.select(*held, "row", "col"))
 
 
 def distances(mask: DataFrame, ground: DataFrame) -> DataFrame:
@@ -45,31 +52,36 @@ def distances(mask: DataFrame, ground: DataFrame) -> DataFrame:
     Two separable passes: the nearest unmarked pixel of each row by windows, then along each column the least of its square plus the
     square of the rows between (lower envelope of parabolas). A task of the second pass holds one column.
     """
-    before = Window.partitionBy("row").orderBy("col")
-    both = mask.select("row", "col", F.lit(True).alias("marked")).unionByName(ground.select("row", "col", F.lit(False).alias("marked")))
+    held = keys(mask)
+    before = Window.partitionBy(*held, "row").orderBy("col")
+    both = mask.select(*held, "row", "col", F.lit(True).alias("marked")).unionByName(ground.select(*held, "row", "col", F.lit(False).alias("marked")))
     at = F.when(~F.col("marked"), F.col("col"))
     left = F.col("col") - F.last(at, True).over(before.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(at, True).over(before.rowsBetween(0, Window.unboundedFollowing)) - F.col("col")
-    across = both.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "marked", F.least(left, right).cast("bigint").alias("d"))
+    across = both.select(*held, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "marked", F.least(left, right).cast("bigint").alias("d"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf["d"].notna()].sort_values("row")
         own = pdf[pdf["marked"]]
         d2 = lowest_parabolas(known["row"].tolist(), [int(d) ** 2 for d in known["d"]], own["row"].tolist())
-        return pd.DataFrame({"row": own["row"], "col": own["col"], "distance": [None if d is None else d**0.5 for d in d2]}).astype({"distance": "Float64"})
+        return own[[*held, "row", "col"]].assign(distance=pd.array([None if d is None else d**0.5 for d in d2], "Float64"))
 
     # Columns in which no row has an unmarked pixel stay in: their distance is null.
-    return across.groupBy("col").applyInPandas(run, "row bigint, col bigint, distance double")
+    schema = T.StructType([*(across.schema[c] for c in (*held, "row", "col")), T.StructField("distance", T.DoubleType())])
+    return across.groupBy(*held, "col").applyInPandas(run, schema)
 
 
 def distance_seeds(distance: DataFrame, least: float = 5.0) -> DataFrame:
     """(row, col) of the pixels farther than `least` that are the largest of 20 x 20, from 10 before to 9 after. distance: as `distances` gives it."""
+    held = keys(distance)
     top = windowed(distance, "max", 10, 9, "distance").withColumnRenamed("distance", "top")
-    return distance.join(top, ["row", "col"]).where((F.col("distance") == F.col("top")) & (F.col("distance") > least)).select("row", "col")
+    return distance.join(top, [*held, "row", "col"]).where((F.col("distance") == F.col("top")) & (F.col("distance") > least)).select(*held, "row", "col")
 
 
 def cores(distance: DataFrame, share: float = 0.3) -> DataFrame:
-    """(row, col) of the pixels whose distance is over `share` of the largest one."""
+    """(row, col) of the pixels whose distance is over `share` of their raster's largest one."""
+    if held := keys(distance):
+        return distance.join(distance.groupBy(*held).agg(F.max("distance").alias("top")), held).where(F.col("distance") > share * F.col("top")).select(*held, "row", "col")
     return distance.crossJoin(F.broadcast(distance.agg(F.max("distance").alias("top")))).where(F.col("distance") > share * F.col("top")).select("row", "col")
 
 
@@ -133,7 +145,8 @@ def flood_raster(pixels: DataFrame, rows: int = 64, cost: str = "cost", seed: st
     """
     at = F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col(cost).cast("double").alias("cost")
     start = F.when(F.col(seed).isNotNull(), 0.0).alias("level"), F.col(seed).cast("bigint").alias("label"), F.lit(True).alias("changed")
-    state = written(pixels.select(F.floor(F.col("row") / rows).alias("chunk"), *at, *start, F.lit(True).alias("own")))
+    held = keys(pixels)
+    state = written(pixels.select(*held, F.floor(F.col("row") / rows).alias("chunk"), *at, *start, F.lit(True).alias("own")))
     schema = state.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,21 +180,22 @@ def flood_raster(pixels: DataFrame, rows: int = 64, cost: str = "cost", seed: st
             for edge, step in ((0, -1), (rows - 1, 1))
         ]
         # Changed pixels start again in their own chunk too, which only seeds in the first round need.
-        new = written(state.unionByName(beyond[0]).unionByName(beyond[1]).groupBy("chunk").applyInPandas(run, schema))
+        new = written(state.unionByName(beyond[0]).unionByName(beyond[1]).groupBy(*held, "chunk").applyInPandas(run, schema))
         forget(state)
         state = new
         if state.where("changed").isEmpty():
-            return state.select("row", "col", "label")
+            return state.select(*held, "row", "col", "label")
 
 
 def boundary_edges(labels: DataFrame) -> DataFrame:
     """(label, x1, y1, x2, y2): unit edges between a region and what isn't the region, the region on the right hand in image axes."""
     sides = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("r", "c", "x1", "y1", "x2", "y2"), s, strict=True))) for s in ((-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0))))
-    wide = labels.select("label", "row", "col", F.explode(sides).alias("s"))
-    near = labels.select(F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("label").alias("nl"))
-    joined = wide.withColumn("nr", F.col("row") + F.col("s.r")).withColumn("nc", F.col("col") + F.col("s.c")).join(near, ["nr", "nc"], "left")
+    held = keys(labels)
+    wide = labels.select(*held, "label", "row", "col", F.explode(sides).alias("s"))
+    near = labels.select(*held, F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("label").alias("nl"))
+    joined = wide.withColumn("nr", F.col("row") + F.col("s.r")).withColumn("nc", F.col("col") + F.col("s.c")).join(near, [*held, "nr", "nc"], "left")
     kept = joined.where(F.col("nl").isNull() | (F.col("nl") != F.col("label")))
-    return kept.select("label", *((F.col(axis) + F.col(f"s.{n}")).alias(n) for n, axis in (("x1", "col"), ("y1", "row"), ("x2", "col"), ("y2", "row"))))
+    return kept.select(*held, "label", *((F.col(axis) + F.col(f"s.{n}")).alias(n) for n, axis in (("x1", "col"), ("y1", "row"), ("x2", "col"), ("y2", "row"))))
 
 
 def trace_rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
@@ -209,11 +223,16 @@ def trace_rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int,
 def polygonize(labels: DataFrame) -> DataFrame:
     """(label, ring_no, ring array<struct<x, y>>): outlines of regions in pixel corners, outer rings and holes."""
 
+    edges = boundary_edges(labels)
+    by = [*keys(labels), "label"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rings = trace_rings(list(pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]] * len(rings), "ring_no": range(len(rings)), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
+        same = {c: [pdf[c].iloc[0]] * len(rings) for c in by}
+        return pd.DataFrame(same | {"ring_no": range(len(rings)), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
 
-    return boundary_edges(labels).groupBy("label").applyInPandas(run, "label bigint, ring_no int, ring array<struct<x:double,y:double>>")
+    ring = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+    return edges.groupBy(*by).applyInPandas(run, T.StructType([*(edges.schema[c] for c in by), T.StructField("ring_no", T.IntegerType()), T.StructField("ring", ring)]))
 
 
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:

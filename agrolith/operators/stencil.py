@@ -1,16 +1,23 @@
 """Neighbourhood operators on pixel relations.
 
-Short 3 x 3 kernels use lag and lead along rows and columns. Other kernels scatter: every pixel sends its share to the pixels whose
-window holds it, and shares are added (or the largest, or least, is taken) with partial aggregation before the shuffle.
+3 x 3 kernels and rectangles are windows along rows and columns of chunks with a margin: pixels are shuffled once, by chunk, and both
+windows stay in it. Other kernels scatter: every pixel sends its share to the pixels whose window holds it, and shares are added with
+partial aggregation before the shuffle. Rasters of one table (grid.RASTER) don't mix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from agrolith.operators.grid import keys, with_margin
+
+#: Rows and columns of a chunk.
+CHUNK = 128
+
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     radius = int(truncate * sigma + 0.5)
@@ -21,15 +28,16 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 def convolve_axis(grid: DataFrame, axis: str, weights: list[float], size: Column, value: str = "v") -> DataFrame:
     """Weighted sum over an odd window along an axis of `size` pixels; edges are reflected with the edge pixel repeated."""
     radius = len(weights) // 2
-    other = "col" if axis == "row" else "row"
-    steps = F.array(*(F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w"), F.lit(m).alias("m")) for k, w in enumerate(weights) for m in range(3)))
-    wide = grid.select(other, axis, value, F.explode(steps).alias("s"))
-    at, k = F.col(axis), F.col("s.k")
+    other, held = "col" if axis == "row" else "row", keys(grid)
+    steps = [F.array(*(F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w"), F.lit(m).alias("m")) for k, w in enumerate(weights) for m in some)) for some in ((0,), (0, 1, 2))]
+    at_edge = (F.col(axis) < radius) | (F.col(axis) >= size - radius)
+    wide = grid.select(*held, other, axis, value, size.alias("_n"), F.explode(F.when(at_edge, steps[1]).otherwise(steps[0])).alias("s"))
+    at, k, size = F.col(axis), F.col("s.k"), F.col("_n")
     # The targets t whose window reads this pixel at t + k: directly, by reflection at the start, and at the end.
     target = F.when(F.col("s.m") == 0, at - k).when(F.col("s.m") == 1, -1 - at - k).otherwise(2 * size - 1 - at - k)
     off = ((F.col("s.m") == 1) & (target + k < 0)) | ((F.col("s.m") == 2) & (target + k >= size)) | (F.col("s.m") == 0)
-    sent = wide.select(other, target.alias("_t"), (F.col(value) * F.col("s.w")).alias(value), off.alias("_ok"), size.alias("_n")).where("_ok and _t >= 0 and _t < _n")
-    return sent.groupBy(F.col(other), F.col("_t").alias(axis)).agg(F.sum(value).alias(value))
+    sent = wide.select(*held, other, target.alias("_t"), (F.col(value) * F.col("s.w")).alias(value), off.alias("_ok"), "_n").where("_ok and _t >= 0 and _t < _n")
+    return sent.groupBy(*held, F.col(other), F.col("_t").alias(axis)).agg(F.sum(value).alias(value))
 
 
 def gaussian(grid: DataFrame, sigma: float, height: Column, width: Column, value: str = "v") -> DataFrame:
@@ -37,15 +45,24 @@ def gaussian(grid: DataFrame, sigma: float, height: Column, width: Column, value
     return convolve_axis(convolve_axis(grid, "col", weights, width, value), "row", weights, height, value)
 
 
+def _chunks(grid: DataFrame, pad: int, value: str) -> tuple[DataFrame, Callable[[str], WindowSpec], list[str]]:
+    """Pixels by chunks with a margin, windows along an axis inside chunks, and the raster's columns."""
+    held = keys(grid)
+    by = [*held, "cy", "cx"]
+    placed = with_margin(grid.select(*held, "row", "col", value), max(CHUNK, pad), pad).repartition(*by)
+    return placed, lambda axis: Window.partitionBy(*by, "col" if axis == "row" else "row").orderBy(axis), held
+
+
 def neighbours(grid: DataFrame, value: str = "v") -> DataFrame:
     """The pixel and its eight neighbours, edge pixels repeated: columns n_<row step>_<column step> with m for -1, z for 0, p for 1."""
-    by_col, by_row = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
-    across = grid.select("row", "col", F.col(value).alias("z"), F.coalesce(F.lag(value).over(by_col), value).alias("m"), F.coalesce(F.lead(value).over(by_col), value).alias("p"))
-    out = ["row", "col"]
+    placed, along, held = _chunks(grid, 1, value)
+    by_col, by_row = along("col"), along("row")
+    across = placed.select(*held, "row", "col", "cy", "cx", "own", F.col(value).alias("z"), F.coalesce(F.lag(value).over(by_col), value).alias("m"), F.coalesce(F.lead(value).over(by_col), value).alias("p"))
+    out = [*held, "row", "col", "own"]
     for step, move in (("m", F.lag), ("z", None), ("p", F.lead)):
         for c in "mzp":
             out.append((F.col(c) if move is None else F.coalesce(move(c).over(by_row), F.col(c))).alias(f"n_{step}_{c}"))
-    return across.select(*out)
+    return across.select(*out).where("own").drop("own")
 
 
 def sobel(grid: DataFrame, value: str = "v") -> DataFrame:
@@ -54,7 +71,7 @@ def sobel(grid: DataFrame, value: str = "v") -> DataFrame:
     c = lambda name: F.col(f"n_{name}")
     gx = (c("m_p") - c("m_m")) + 2 * (c("z_p") - c("z_m")) + (c("p_p") - c("p_m"))
     gy = (c("p_m") - c("m_m")) + 2 * (c("p_z") - c("m_z")) + (c("p_p") - c("m_p"))
-    return n.select("row", "col", gx.alias("gx"), gy.alias("gy"), F.sqrt(gx * gx + gy * gy).alias("gradient"))
+    return n.select(*keys(grid), "row", "col", gx.alias("gx"), gy.alias("gy"), F.sqrt(gx * gx + gy * gy).alias("gradient"))
 
 
 def directional_edges(grid: DataFrame, value: str = "v") -> DataFrame:
@@ -67,15 +84,15 @@ def directional_edges(grid: DataFrame, value: str = "v") -> DataFrame:
     falling = 2 * (c("m_m") + c("z_z") + c("p_p")) - (c("m_z") + c("m_p") + c("z_m") + c("z_p") + c("p_m") + c("p_z"))
     rising = 2 * (c("m_p") + c("z_z") + c("p_m")) - (c("m_m") + c("m_z") + c("z_m") + c("z_p") + c("p_z") + c("p_p"))
     mean = (F.abs(rows) + F.abs(cols) + F.abs(falling) + F.abs(rising)) / 4
-    return n.select("row", "col", F.greatest(F.lit(0.0), F.least(F.lit(255.0), mean)).alias("edge"))
+    return n.select(*keys(grid), "row", "col", F.greatest(F.lit(0.0), F.least(F.lit(255.0), mean)).alias("edge"))
 
 
 def windowed(grid: DataFrame, how: str, before: int, after: int, value: str = "v") -> DataFrame:
     """Largest ("max") or least ("min") value of a rectangle, from `before` pixels before to `after` pixels after along both axes."""
     take = F.max if how == "max" else F.min
-    by_col = Window.partitionBy("row").orderBy("col").rangeBetween(-before, after)
-    by_row = Window.partitionBy("col").orderBy("row").rangeBetween(-before, after)
-    return grid.select("row", "col", take(value).over(by_col).alias(value)).select("row", "col", take(value).over(by_row).alias(value))
+    placed, along, held = _chunks(grid, max(before, after), value)
+    across = placed.withColumn(value, take(value).over(along("col").rangeBetween(-before, after)))
+    return across.withColumn(value, take(value).over(along("row").rangeBetween(-before, after))).where("own").select(*held, "row", "col", value)
 
 
 #: A 5 x 5 ellipse: the offsets of its cells.
@@ -84,20 +101,22 @@ ELLIPSE_5 = [(0, 0), *((r, c) for r in (-1, 0, 1) for c in range(-2, 3) if (r, c
 
 def dilate(mask: DataFrame, offsets: list[tuple[int, int]], height: Column, width: Column) -> DataFrame:
     """(row, col) of the pixels that a marked pixel reaches; mask: (row, col) of marked pixels."""
+    held = keys(mask)
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets))
-    wide = mask.select("row", "col", F.explode(steps).alias("s"))
-    moved = wide.select((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    wide = mask.select(*held, "row", "col", F.explode(steps).alias("s"))
+    moved = wide.select(*held, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
     return moved.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < height) & (F.col("col") < width)).distinct()
 
 
 def erode(mask: DataFrame, offsets: list[tuple[int, int]], height: Column, width: Column) -> DataFrame:
     """(row, col) of the pixels all of whose window is marked; beyond the raster counts as marked."""
     steps = F.array(*(F.struct(F.lit(-r).alias("r"), F.lit(-c).alias("c")) for r, c in offsets))
-    wide = mask.select("row", "col", F.explode(steps).alias("s"))
+    held = keys(mask)
+    wide = mask.select(*held, "row", "col", F.explode(steps).alias("s"))
     at_row, at_col = F.col("row") + F.col("s.r"), F.col("col") + F.col("s.c")
-    votes = wide.select(at_row.alias("row"), at_col.alias("col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+    votes = wide.select(*held, at_row.alias("row"), at_col.alias("col")).groupBy(*held, "row", "col").agg(F.count(F.lit(1)).alias("n"))
     inside = sum((((F.col("row") + r).between(0, height - 1)) & ((F.col("col") + c).between(0, width - 1))).cast("int") for r, c in offsets)
-    return votes.where((F.col("n") == inside) & F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select("row", "col")
+    return votes.where((F.col("n") == inside) & F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select(*held, "row", "col")
 
 
 def close_open(mask: DataFrame, height: Column, width: Column, turns: int = 2, offsets: list[tuple[int, int]] = ELLIPSE_5) -> DataFrame:
@@ -111,11 +130,24 @@ def close_open(mask: DataFrame, height: Column, width: Column, turns: int = 2, o
 def ring(mask: DataFrame, steps: int, height: Column, width: Column) -> DataFrame:
     """Pixels within `steps` moves along the axes of a marked pixel that aren't marked themselves."""
     reach = [(r, c) for r in range(-steps, steps + 1) for c in range(-steps, steps + 1) if abs(r) + abs(c) <= steps]
-    return dilate(mask, reach, height, width).join(mask, ["row", "col"], "left_anti")
+    return dilate(mask, reach, height, width).join(mask, [*keys(mask), "row", "col"], "left_anti")
 
 
 def unsharp(grid: DataFrame, amount: float, sigma: float, height: Column, width: Column, value: str = "v") -> DataFrame:
     """(1 + amount) times the pixel less amount times the blurred one, cut to 0..255."""
     soft = gaussian(grid, sigma, height, width, value).withColumnRenamed(value, "_soft")
     sharp = (1 + amount) * F.col(value) - amount * F.col("_soft")
-    return grid.join(soft, ["row", "col"]).select("row", "col", F.greatest(F.lit(0.0), F.least(F.lit(255.0), sharp)).alias(value))
+    held = keys(grid)
+    return grid.join(soft, [*held, "row", "col"]).select(*held, "row", "col", F.greatest(F.lit(0.0), F.least(F.lit(255.0), sharp)).alias(value))
+
+
+def adaptive_threshold(grid: DataFrame, height: Column, width: Column, size: int = 11, offset: float = 2.0, value: str = "v") -> DataFrame:
+    """255 where a pixel is brighter than the Gaussian mean of the size x size pixels around it less `offset`, else 0; edges are repeated.
+
+    The Gaussian has the width that goes with the size: 0.3 ((size - 1) / 2 - 1) + 0.8.
+    """
+    sigma, radius = 0.3 * ((size - 1) * 0.5 - 1) + 0.8, size // 2
+    raw = [exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    weights, held = [x / sum(raw) for x in raw], keys(grid)
+    mean = convolve_axis(convolve_axis(grid, "col", weights, width, value), "row", weights, height, value).withColumnRenamed(value, "_mean")
+    return grid.join(mean, [*held, "row", "col"]).select(*held, "row", "col", F.when(F.col(value) > F.col("_mean") - offset, 255).otherwise(0).alias(value))

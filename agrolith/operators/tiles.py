@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.functions.geometry import tile_x, tile_y
+from agrolith.operators.grid import keys
 
 TILE = 256
 
@@ -25,17 +26,17 @@ def pyramid(points: DataFrame, value: str, zooms: range) -> DataFrame:
 
     The finest zoom is aggregated from the points; coarser ones from the next finer one's sums, so each level reads a quarter of the last.
     """
-    top = max(zooms)
-    keys = ["z", "x", "y", "px", "py"]
-    level = indexed(points, range(top, top + 1)).groupBy(*keys).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    top, held = max(zooms), keys(points)
+    by = [*held, "z", "x", "y", "px", "py"]
+    level = indexed(points, range(top, top + 1)).groupBy(*by).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     levels = level
     for z in sorted(zooms, reverse=True)[1:]:
         gx, gy = (F.floor((F.col(t) * TILE + F.col(p)) / 2) for t, p in (("x", "px"), ("y", "py")))
-        up = level.select(F.lit(z).alias("z"), gx.alias("gx"), gy.alias("gy"), "s", "n")
-        up = up.select("z", F.floor(F.col("gx") / TILE).alias("x"), F.floor(F.col("gy") / TILE).alias("y"), F.pmod("gx", F.lit(TILE)).alias("px"), F.pmod("gy", F.lit(TILE)).alias("py"), "s", "n")
-        level = up.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        up = level.select(*held, F.lit(z).alias("z"), gx.alias("gx"), gy.alias("gy"), "s", "n")
+        up = up.select(*held, "z", F.floor(F.col("gx") / TILE).alias("x"), F.floor(F.col("gy") / TILE).alias("y"), F.pmod("gx", F.lit(TILE)).alias("px"), F.pmod("gy", F.lit(TILE)).alias("py"), "s", "n")
+        level = up.groupBy(*by).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         levels = levels.unionByName(level)
-    return levels.select(*keys, (F.col("s") / F.col("n")).alias("v"), "n")
+    return levels.select(*by, (F.col("s") / F.col("n")).alias("v"), "n")
 
 
 def tileset(points: DataFrame, least: int, most: int, template: str = "/tiles/{z}/{x}/{y}.png") -> DataFrame:
@@ -47,6 +48,7 @@ def tileset(points: DataFrame, least: int, most: int, template: str = "/tiles/{z
 
 
 def lookup(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted (z, x, y) with the number of pixels there, and 200 or 404."""
-    held = tiles.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("pixels"))
-    return wanted.join(held, ["z", "x", "y"], "left").select("z", "x", "y", F.coalesce("pixels", F.lit(0)).alias("pixels"), F.when(F.col("pixels").isNull(), 404).otherwise(200).alias("status"))
+    """Wanted (z, x, y) with the number of pixels there, and 200 or 404; tables of several layers have a column layer."""
+    by = [*(c for c in ("layer", *keys(tiles)) if c in tiles.columns), "z", "x", "y"]
+    held = tiles.groupBy(*by).agg(F.count(F.lit(1)).alias("pixels"))
+    return wanted.join(held, by, "left").select(*by, F.coalesce("pixels", F.lit(0)).alias("pixels"), F.when(F.col("pixels").isNull(), 404).otherwise(200).alias("status"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.operators.grid import keys
+
 
 def statistics(pixels: DataFrame, zone: str, value: str) -> DataFrame:
     """(zone, n, mean, std, p10, p90, range) with population deviation and interpolated percentiles."""
@@ -18,7 +20,8 @@ def statistics(pixels: DataFrame, zone: str, value: str) -> DataFrame:
 
 def edge_strength(field_ring: DataFrame, gradients: DataFrame, zone: str) -> DataFrame:
     """(zone, edge): mean gradient on a zone's ring of pixels, 0 where it has none. field_ring: (zone, row, col)."""
-    return field_ring.join(gradients, ["row", "col"], "left").groupBy(zone).agg(F.coalesce(F.avg("gradient"), F.lit(0.0)).alias("edge"))
+    held = keys(field_ring)
+    return field_ring.join(gradients, [*held, "row", "col"], "left").groupBy(*held, zone).agg(F.coalesce(F.avg("gradient"), F.lit(0.0)).alias("edge"))
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
