@@ -92,6 +92,48 @@ def hsv(red: Column, green: Column, blue: Column) -> Column:
     return F.struct(F.when(hue >= 180, hue - 180).otherwise(hue).cast("int").alias("h"), saturation.cast("int").alias("s"), F.floor(high + 0.5).cast("int").alias("v"))
 
 
+def rgb_of_hsv(h: Column, s: Column, v: Column) -> Column:
+    """struct<r, g, b> of hsv, cut to whole numbers as 8-bit images are."""
+    sector, chroma = h * 2 / 60.0, v * s / 255.0
+    low = v - chroma
+    # Each channel rises and falls with the hue around its own place.
+    channel = lambda at: F.floor(low + chroma * clip(F.abs(F.pmod(sector + at, F.lit(6.0)) - 3) - 1, 0.0, 1.0) + 0.5).cast("int")
+    return F.struct(channel(0.0).alias("r"), channel(4.0).alias("g"), channel(2.0).alias("b"))
+
+
+# The sRGB primaries under D65, its transfer curve, and CIE LAB's.
+TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+FROM_XYZ = ((3.240479, -1.53715, -0.498535), (-0.969256, 1.875991, 0.041556), (0.055648, -0.204043, 1.057311))
+WHITE = (0.950456, 1.0, 1.088754)
+
+
+def lab(red: Column, green: Column, blue: Column) -> Column:
+    """struct<l, a, b> of 8-bit colours, in 8 bits: lightness 0..255 for 0..100, a and b with 128 added, halves rounded up."""
+    linear = [F.when(c / 255.0 > 0.04045, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92) for c in (red, green, blue)]
+    x, y, z = (sum(linear[k] * row[k] for k in range(3)) / white for row, white in zip(TO_XYZ, WHITE, strict=True))
+    f = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+    lightness = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
+    whole = lambda v: F.floor(clip(v, 0.0, 255.0) + 0.5).cast("int")
+    return F.struct(whole(lightness * 255 / 100).alias("l"), whole(500 * (f(x) - f(y)) + 128).alias("a"), whole(200 * (f(y) - f(z)) + 128).alias("b"))
+
+
+def rgb_of_lab(lightness: Column, a: Column, b: Column) -> Column:
+    """struct<r, g, b> of 8-bit lab."""
+    light = lightness * 100 / 255.0
+    fy = (light + 16) / 116
+    y = F.when(light > 903.3 * 0.008856, fy * fy * fy).otherwise(light / 903.3)
+    middle = F.when(light > 903.3 * 0.008856, fy).otherwise(7.787 * y + 16 / 116)
+    back = lambda t: F.when(t * t * t > 0.008856, t * t * t).otherwise((t - 16 / 116) / 7.787)
+    xyz = (back(middle + (a - 128) / 500.0) * WHITE[0], y, back(middle - (b - 128) / 200.0) * WHITE[2])
+
+    def channel(row: tuple[float, ...]) -> Column:
+        linear = clip(sum(xyz[k] * row[k] for k in range(3)), 0.0, 1.0)
+        curved = F.when(linear > 0.0031308, 1.055 * F.pow(linear, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * linear)
+        return F.floor(clip(curved, 0.0, 1.0) * 255 + 0.5).cast("int")
+
+    return F.struct(*(channel(row).alias(name) for row, name in zip(FROM_XYZ, "rgb", strict=True)))
+
+
 def green_or_brown(h: Column, s: Column, v: Column) -> Column:
     """Growing crops or bare soil by colour."""
     return (h.between(35, 85) & (s >= 30) & (v >= 30)) | (h.between(10, 35) & s.between(20, 200) & v.between(40, 200))

@@ -98,3 +98,49 @@ def distance_to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     dx, dy = x - (ax + t * (bx - ax)), y - (ay + t * (by - ay))
     return F.sqrt(dx * dx + dy * dy)
+
+
+def box_touches(area: list[tuple[float, float]], west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether a box and the area within a closed ring of (x, y) have a point in common.
+
+    An edge that touches the box has a part of it inside: its clipped range (Liang and Barsky) isn't empty. If no edge touches, the box
+    lies in the area as a whole or not at all.
+    """
+    touched, inside = F.lit(False), F.lit(False)
+    for (ax, ay), (bx, by) in zip(area, area[1:], strict=False):
+        low, high, possible = F.lit(0.0), F.lit(1.0), F.lit(True)
+        for a, d, least, most in ((ax, bx - ax, west, east), (ay, by - ay, south, north)):
+            if d:
+                low, high = F.greatest(low, F.least((least - a) / d, (most - a) / d)), F.least(high, F.greatest((least - a) / d, (most - a) / d))
+            else:
+                possible = possible & F.lit(a).between(least, most)
+        touched = touched | (possible & (low <= high))
+        if ay != by:
+            crosses = ((F.lit(ay) > south) != (F.lit(by) > south)) & (west < F.lit((bx - ax) / (by - ay)) * (south - ay) + ax)
+            inside = inside != crosses
+    return touched | inside
+
+
+# The WGS 84 ellipsoid and the UTM grid.
+SEMI_MAJOR, FLATTENING, UTM_SCALE = 6_378_137.0, 1 / 298.257223563, 0.9996
+
+
+def utm_zone(lon: Column) -> Column:
+    return (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
+
+
+def utm(lon: Column, lat: Column) -> Column:
+    """struct<zone, easting, northing> in metres, by the series in the third flattening up to its fourth power (Krueger)."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    e = 2 * n**0.5 / (1 + n)
+    zone = utm_zone(lon)
+    away = F.radians(lon - (zone * 6 - 183))
+    sin_lat = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(sin_lat) - e * F.atanh(e * sin_lat))
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    east = eta + sum(a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(alpha, 1))
+    north = xi + sum(a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(alpha, 1))
+    scale = UTM_SCALE * radius
+    return F.struct(zone.alias("zone"), (500_000 + scale * east).alias("easting"), (F.when(lat < 0, 10_000_000.0).otherwise(0.0) + scale * north).alias("northing"))

@@ -88,8 +88,8 @@ def serial_read(qr: Column, first: Column, first_confidence: Column, second: Col
 
 
 def word_confidence(words: Column, candidate: Column) -> Column:
-    """Mean confidence of the words array<struct<text, confidence>> that hold the candidate or lie in it."""
-    near = F.filter(words, lambda w: F.contains(candidate, w["text"]) | F.contains(w["text"], candidate))
+    """Mean confidence of the words array<struct<text, confidence>> that, in capitals, hold the candidate or lie in it."""
+    near = F.filter(words, lambda w: F.contains(candidate, F.upper(w["text"])) | F.contains(F.upper(w["text"]), candidate))
     return F.when(F.size(near) > 0, F.aggregate(near, F.lit(0.0), lambda s, w: s + w["confidence"]) / F.size(near))
 
 

@@ -7,10 +7,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.functions.geometry import box_touches
 
-def search(scenes: DataFrame, now: Column, max_age_days: int, max_cloud: float) -> DataFrame:
-    """Scenes young and clear enough; both tests reach the scan. scenes: (scene_id, acquired, cloud, ...)."""
-    return scenes.where((F.col("acquired") >= now - F.make_dt_interval(F.lit(max_age_days))) & (F.col("cloud") <= max_cloud))
+
+def search(scenes: DataFrame, now: Column, max_age_days: int, max_cloud: float, collections: list[str] | None = None, area: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Scenes young and clear enough, of these collections and touching this area, if given; all but the area's exact test reach the scan.
+
+    scenes: (scene_id, acquired, cloud, ...), with collection and the box (west, south, east, north) where these are asked for. area: a
+    closed ring of (x, y). A box touches it if a corner of either lies in the other, or edges cross.
+    """
+    found = scenes.where((F.col("acquired") >= now - F.make_dt_interval(F.lit(max_age_days))) & (F.col("acquired") <= now) & (F.col("cloud") <= max_cloud))
+    if collections is not None:
+        found = found.where(F.col("collection").isin(collections))
+    if area is not None:
+        xs, ys = [p[0] for p in area], [p[1] for p in area]
+        near = (F.col("west") <= max(xs)) & (F.col("east") >= min(xs)) & (F.col("south") <= max(ys)) & (F.col("north") >= min(ys))
+        found = found.where(near).where(box_touches(area, *(F.col(c) for c in ("west", "south", "east", "north"))))
+    return found
 
 
 def best(scenes: DataFrame, n: int = 1) -> DataFrame:

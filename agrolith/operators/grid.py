@@ -1,7 +1,8 @@
 """Rasters as pixel relations: arrays to pixels and back, down-sampling, resampling, cropping, tiles with a margin.
 
 A table of one raster has columns row, col and bands. A table of several has raster_id, too, and every operator on pixels then works
-raster by raster; where their sizes differ, columns height and width can go with them, to be named as sizes.
+raster by raster; where their sizes differ, columns height and width can go with them, to be named as sizes. With a column zone, masks of
+several zones that may overlap are handled zone by zone.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from agrolith.functions.geometry import bounds, contains
 
 
 #: Columns that tell a table's rasters apart or belong to a raster; operators carry those that are there.
-RASTER = ("raster_id", "height", "width")
+RASTER = ("raster_id", "zone", "height", "width")
 
 
 def keys(grid: DataFrame) -> list[str]:

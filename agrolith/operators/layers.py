@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agrolith.functions.geometry import closed
@@ -32,10 +32,17 @@ def drawn_polygons(layers: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def synthetic_raster(spark: SparkSession, size: int = 512) -> DataFrame:
-    """(row, col, red, green, blue): greenish noise from hashes, the same on every run. Green is 80..179, the others 40..119."""
+    """(row, col, red, green, blue): greenish noise, the same on every run. Green is 80..179, the others 40..119.
+
+    Noise is the middle of the square of a multiple of the pixel's number, by bands.
+    """
     cell = spark.range(size * size).select(F.expr(f"id div {size}").alias("row"), (F.col("id") % size).alias("col"), "id")
-    noise = lambda band, low, high: (F.pmod(F.xxhash64("id", F.lit(band)), F.lit(high - low)) + low).cast("int")
-    return cell.select("row", "col", noise("red", 40, 120).alias("red"), noise("green", 80, 180).alias("green"), noise("blue", 40, 120).alias("blue"))
+
+    def noise(band: int, low: int, high: int) -> Column:
+        x = ((F.col("id") * 3 + band + 1) * 40_503_019) % 2_147_483_647
+        return (F.shiftright(x * x, 16) % (high - low) + low).cast("int")
+
+    return cell.select("row", "col", noise(0, 40, 120).alias("red"), noise(1, 80, 180).alias("green"), noise(2, 40, 120).alias("blue"))
 
 
 def rgb_of(bands: DataFrame, red: str, green: str | None = None, blue: str | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Tables in the folder that driver and executors share, to end a lineage."""
+"""Tables in the folder that driver and executors share, to end a lineage; and this package's way to the executors."""
 
 from __future__ import annotations
 
 import atexit
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +56,20 @@ def written_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     out.close()
     atexit.register(_delete, spark, path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for an application, as an archive in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(written_bytes(spark, f"{root.name}-{context.applicationId}.zip", held.getvalue()))
+    _SHIPPED.add(context.applicationId)

@@ -13,20 +13,25 @@ from pyspark.sql import types as T
 
 from agrolith.operators.graph import connected_components
 from agrolith.operators.grid import keys
-from agrolith.operators.scratch import forget, written
+from agrolith.operators.scratch import forget, ship, written
 from agrolith.operators.stencil import windowed
 
 _FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
 
 
-def components(mask: DataFrame, width: Column, connectivity: int = 4) -> DataFrame:
-    """(row, col, label): label is the least row * width + col of the pixel's component. mask: (row, col) of marked pixels."""
+def components(mask: DataFrame, width: Column, connectivity: int = 4, within: str | None = None) -> DataFrame:
+    """(row, col, label): label is the least row * width + col of the pixel's component. mask: (row, col) of marked pixels.
+
+    within: a column of the mask; only pixels that are equal in it are neighbours.
+    """
     held = keys(mask)
     number = (F.col("row") * width + F.col("col")).cast("bigint")
-    marked = written(mask.select(*held, "row", "col", (F.struct("raster_id", number.alias("n")) if "raster_id" in held else number).alias("node")))
+    same = [within] if within else []
+    marked = written(mask.select(*held, *(F.col(c).alias("_same") for c in same), "row", "col", (F.struct("raster_id", number.alias("n")) if "raster_id" in held else number).alias("node")))
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _FORWARD[connectivity]))
-    near = marked.select(*held, F.col("node").alias("a"), "row", "col", F.explode(steps).alias("s")).select(*held, "a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    edges = near.join(marked.withColumnRenamed("node", "b"), [*held, "row", "col"]).select("a", "b")
+    by = [*held, *("_same" for _ in same)]
+    near = marked.select(*by, F.col("node").alias("a"), "row", "col", F.explode(steps).alias("s")).select(*by, "a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    edges = near.join(marked.withColumnRenamed("node", "b"), [*by, "row", "col"]).select("a", "b")
     label = F.col("component.n" if "raster_id" in held else "component")
     return connected_components(marked.select("node"), edges).join(marked, "node").select(*held, "row", "col", label.alias("label"))
 
@@ -68,6 +73,7 @@ def distances(mask: DataFrame, ground: DataFrame) -> DataFrame:
 
     # Columns in which no row has an unmarked pixel stay in: their distance is null.
     schema = T.StructType([*(across.schema[c] for c in (*held, "row", "col")), T.StructField("distance", T.DoubleType())])
+    ship(across.sparkSession)
     return across.groupBy(*held, "col").applyInPandas(run, schema)
 
 
@@ -133,6 +139,7 @@ def flood(chunks: DataFrame, key: str, cost: str = "cost", seed: str = "seed") -
                     heappush(heap, (max(level, float(pdf[cost][j])), s, order, j))
         return pd.DataFrame({key: pdf[key], "row": pdf["row"], "col": pdf["col"], "label": pd.array(label, "Int64")})
 
+    ship(chunks.sparkSession)
     return chunks.groupBy(key).applyInPandas(run, f"{key} {kind}, row bigint, col bigint, label bigint")
 
 
@@ -174,6 +181,7 @@ def flood_raster(pixels: DataFrame, rows: int = 64, cost: str = "cost", seed: st
         )
         return out[pd.Series(own, index=pdf.index)]
 
+    ship(state.sparkSession)
     while True:
         beyond = [
             state.where((F.pmod("row", F.lit(rows)) == edge) & F.col("changed") & F.col("label").isNotNull()).withColumns({"chunk": F.col("chunk") + step, "own": F.lit(False)})
@@ -232,6 +240,7 @@ def polygonize(labels: DataFrame) -> DataFrame:
         return pd.DataFrame(same | {"ring_no": range(len(rings)), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
 
     ring = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+    ship(edges.sparkSession)
     return edges.groupBy(*by).applyInPandas(run, T.StructType([*(edges.schema[c] for c in by), T.StructField("ring_no", T.IntegerType()), T.StructField("ring", ring)]))
 
 
@@ -265,4 +274,5 @@ def simplify(rings: DataFrame, tolerance: float, ring: str = "ring") -> DataFram
                 new.append([{"x": x, "y": y} for x, y in short] if len(short) >= 4 else [{"x": p["x"], "y": p["y"]} for p in r])
             yield pdf.assign(**{ring: new})
 
+    ship(rings.sparkSession)
     return rings.mapInPandas(run, rings.schema)

@@ -7,20 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agrolith.functions.geometry import bounds, contains
 from agrolith.operators.grid import keys
+from agrolith.operators.scratch import ship
 
 
 def statistics(pixels: DataFrame, zone: str, value: str) -> DataFrame:
-    """(zone, n, mean, std, p10, p90, range) with population deviation and interpolated percentiles."""
+    """(zone, n, mean, std, p10, p90, range) with population deviation and interpolated percentiles, raster by raster."""
     p10, p90 = F.percentile(value, 0.1), F.percentile(value, 0.9)
-    return pixels.groupBy(zone).agg(
+    return pixels.groupBy(*(c for c in keys(pixels) if c != zone), zone).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p10.alias("p10"), p90.alias("p90"), (p90 - p10).alias("range")
     )
 
 
 def edge_strength(field_ring: DataFrame, gradients: DataFrame, zone: str) -> DataFrame:
     """(zone, edge): mean gradient on a zone's ring of pixels, 0 where it has none. field_ring: (zone, row, col)."""
-    held = keys(field_ring)
+    held = keys(gradients)
     return field_ring.join(gradients, [*held, "row", "col"], "left").groupBy(*held, zone).agg(F.coalesce(F.avg("gradient"), F.lit(0.0)).alias("edge"))
 
 
@@ -36,6 +38,19 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFra
     return placed.join(wide, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
+def points_in_polygons(points: DataFrame, outlines: DataFrame, cell: float, by: list[str] = ()) -> DataFrame:
+    """Points (x, y) joined with the polygons that hold them, by ray casting inside cells of a grid that polygons' bounds touch.
+
+    outlines: (..., rings array<array<struct<x, y>>>), closed; a point in a hole isn't inside. by: columns that both have and that must be equal.
+    """
+    box = bounds(F.flatten("rings"))
+    span = lambda low, high: F.sequence(F.floor(F.get(box, low) / cell), F.floor(F.get(box, high) / cell))
+    wide = outlines.withColumn("_cx", F.explode(span(0, 2))).withColumn("_cy", F.explode(span(1, 3)))
+    placed = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    inside = F.aggregate("rings", F.lit(False), lambda odd, r: odd != contains(r, F.col("x"), F.col("y")))
+    return placed.join(wide, [*by, "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+
+
 def quantile_zones(pixels: DataFrame, zone: str, value: str, zones: int = 3) -> DataFrame:
     """Each pixel's class 1..zones by exact quantiles of its field's values."""
     cuts = pixels.groupBy(zone).agg(F.percentile(value, F.lit([k / zones for k in range(1, zones)])).alias("_cuts"))
@@ -67,6 +82,7 @@ def kmeans_zones(pixels: DataFrame, zone: str, value: str, zones: int = 3, bins:
             c = new
         return pd.DataFrame({zone: [pdf[zone].iloc[0]], "centres": [sorted(c.tolist())]})
 
+    ship(pixels.sparkSession)
     found = table.groupBy(zone).applyInPandas(centres, f"{zone} {kind}, centres array<double>")
     gaps = F.transform("centres", lambda c: F.abs(F.col(value) - c))
     return pixels.join(found, zone).withColumn("zone_id", F.array_position(gaps, F.array_min(gaps)).cast("int")).drop("centres")
@@ -78,11 +94,12 @@ def zone_means(pixels: DataFrame, zone: str, value: str) -> DataFrame:
 
 
 def numbered(features: DataFrame, key: str, bucket: str) -> DataFrame:
-    """Features with a 1-based field_index in the order of (bucket, key): ranked within buckets, then moved by the buckets' counts.
+    """Features with a 1-based field_index in the order of (bucket, key), raster by raster: ranked within buckets, then moved by the buckets' counts.
 
     bucket is a column that rises with the order and divides it into bounded parts, such as a row of blocks.
     """
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = features.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = features.withColumn("_rank", F.row_number().over(Window.partitionBy(bucket).orderBy(key)))
-    return ranked.join(starts, bucket).withColumn("field_index", F.col("_start") + F.col("_rank")).drop("_start", "_rank")
+    held = keys(features)
+    before = Window.partitionBy(*held).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = features.groupBy(*held, bucket).agg(F.count(F.lit(1)).alias("_n")).select(*held, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = features.withColumn("_rank", F.row_number().over(Window.partitionBy(*held, bucket).orderBy(key)))
+    return ranked.join(starts, [*held, bucket]).withColumn("field_index", F.col("_start") + F.col("_rank")).drop("_start", "_rank")

@@ -253,10 +253,19 @@ def serial_candidates(spark, sf_dir):
     return candidates(spark, sf_dir).select("conv_id", "turn", "serial", tx.serial_score(F.col("serial")).alias("score"))
 
 
-@query(f"WITH n AS (SELECT conv_id, turn, {_NORM} AS t FROM conversations), c AS (SELECT conv_id, turn, unnest({_CANDS}) AS serial FROM n), s AS (SELECT conv_id, turn, serial, CAST({_SCORE} AS DOUBLE) AS score FROM (SELECT *, replace(serial, '-', '') AS x FROM c)) SELECT conv_id, max(score) AS score, min(serial) FILTER (score = top) AS serial FROM (SELECT *, max(score) OVER (PARTITION BY conv_id) AS top FROM s) GROUP BY conv_id")
+_ALL_CANDS = _CANDS.removeprefix("list_distinct(").removesuffix(")")
+
+
+@query(
+    f"""WITH n AS (SELECT conv_id, turn, {_NORM} AS t FROM conversations), c AS (SELECT conv_id, turn, l, unnest(list_distinct(l)) AS serial FROM (SELECT *, {_ALL_CANDS} AS l FROM n)),
+ s AS (SELECT conv_id, turn, list_position(l, serial) AS p, serial, CAST({_SCORE} AS DOUBLE) AS score FROM (SELECT *, replace(serial, '-', '') AS x FROM c))
+ SELECT conv_id, score, serial FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, p, serial) AS r FROM s) WHERE r = 1"""
+)
 def serial_best(spark, sf_dir):
-    scored = candidates(spark, sf_dir).select("conv_id", "serial", tx.serial_score(F.col("serial")).alias("score"))
-    best = scored.groupBy("conv_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "serial")).alias("b"))
+    """Of equal scores, the serial that was found first."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.ocr_normal(F.col("text")).alias("t"))
+    scored = t.select("conv_id", "turn", F.posexplode(tx.serial_candidates(F.col("t"))).alias("place", "serial"))
+    best = scored.groupBy("conv_id").agg(F.min(F.struct((-tx.serial_score(F.col("serial"))).alias("s"), "turn", "place", "serial")).alias("b"))
     return best.select("conv_id", (-F.col("b.s")).alias("score"), F.col("b.serial").alias("serial"))
 
 

@@ -46,6 +46,24 @@ RGB8 = f"""{STACK}, rgb AS (SELECT row, col, scl, floor(least(1.0, red) * 255) A
 POINTS = "pts AS (SELECT event_id % 100 AS col, event_id // 100 AS row, -121.7327 + (event_id % 100) * 0.0014 AS lon, 36.6132 + (event_id // 100) * 0.00083 AS lat, value AS v FROM events)"
 
 
+def neighbour_ctes(source: str = "pix") -> str:
+    """CTE n: each pixel of a CTE (row, col, v) with its neighbours."""
+    return f"""nb AS (SELECT row, col, v, coalesce(lag(v) OVER r, v) AS m, coalesce(lead(v) OVER r, v) AS p FROM {source} WINDOW r AS (PARTITION BY row ORDER BY col)),
+ n AS (SELECT row, col, v AS zz, m AS zm, p AS zp, coalesce(lag(v) OVER c, v) AS mz, coalesce(lag(m) OVER c, m) AS mm, coalesce(lag(p) OVER c, p) AS mp,
+ coalesce(lead(v) OVER c, v) AS pz, coalesce(lead(m) OVER c, m) AS pm, coalesce(lead(p) OVER c, p) AS pp FROM nb WINDOW c AS (PARTITION BY col ORDER BY row))"""
+
+
+GRADIENT = "SELECT row, col, sqrt(gx * gx + gy * gy) AS gradient FROM (SELECT row, col, (mp - mm) + 2 * (zp - zm) + (pp - pm) AS gx, (pm - mm) + 2 * (pz - mz) + (pp - mp) AS gy FROM n)"
+
+
+def blur_ctes(weights: list[float], source: str = "pix", width: int = WIDTH) -> str:
+    """CTE g: a CTE (row, col, v) under a separable kernel, edges reflected."""
+    values = ", ".join(f"({k - len(weights) // 2}, CAST({w!r} AS DOUBLE))" for k, w in enumerate(weights))
+    return f"""k(k, w) AS (VALUES {values}), h AS (SELECT max(row) + 1 AS n FROM {source}),
+ a AS (SELECT t.row, t.col, sum(s.v * w) AS v FROM {source} t CROSS JOIN k JOIN {source} s ON s.row = t.row AND s.col = CASE WHEN t.col + k < 0 THEN -1 - t.col - k WHEN t.col + k >= {width} THEN {2 * width - 1} - t.col - k ELSE t.col + k END GROUP BY 1, 2),
+ g AS (SELECT t.row, t.col, sum(s.v * w) AS v FROM a t CROSS JOIN h CROSS JOIN k JOIN a s ON s.col = t.col AND s.row = CASE WHEN t.row + k < 0 THEN -1 - t.row - k WHEN t.row + k >= n THEN 2 * n - 1 - t.row - k ELSE t.row + k END GROUP BY 1, 2)"""
+
+
 def pix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
@@ -146,11 +164,29 @@ def zonal_stats(spark, sf_dir):
 _STEADY = "CASE WHEN std < 0.1 THEN 0.15 WHEN std < 0.2 THEN 0.1 WHEN std < 0.3 THEN 0.05 ELSE 0 END"
 
 
-@query(f"WITH {FIELDS}, z AS (SELECT field, count(n) AS n, avg(n) AS mean, stddev_pop(n) AS std FROM f GROUP BY field) SELECT field, n, round(mean, 6) AS mean, round(greatest(0.1, least(1.0, 0.5 + least(2 * abs(mean), 0.2) + 0.15 * (n / 80.0) + {_STEADY} + 0.1)), 6) AS confidence FROM z")
+_CROSS2 = "x(r, c) AS (VALUES " + ", ".join(f"({r}, {c})" for r in range(-2, 3) for c in range(-2, 3) if abs(r) + abs(c) <= 2) + ")"
+
+
+@query(
+    f"""WITH {FIELDS}, nd AS (SELECT row, col, greatest(-1, least(1, {NDVI})) AS v, row // 10 * 100 + col // 8 AS field FROM stack), {neighbour_ctes("nd")}, grad AS ({GRADIENT}), {_CROSS2},
+ m AS (SELECT nd.* FROM nd SEMI JOIN f USING (field)), ring AS (SELECT DISTINCT field, row + r AS row, col + c AS col FROM m, x EXCEPT SELECT field, row, col FROM m),
+ e AS (SELECT field, avg(gradient) AS edge FROM ring JOIN grad USING (row, col) GROUP BY field), s AS (SELECT field, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w FROM m GROUP BY field),
+ z AS (SELECT field, count(n) AS n, avg(n) AS mean, stddev_pop(n) AS std FROM f GROUP BY field) SELECT field, n, round(mean, 6) AS mean, round(coalesce(edge, 0), 6) AS edge,
+ round(greatest(0.1, least(1.0, 0.5 + least(2 * coalesce(edge, 0), 0.2) + 0.15 * (4 * pi() * h * w / (4.0 * (h + w) * (h + w))) + {_STEADY} + 0.1)), 6) AS confidence FROM z JOIN s USING (field) LEFT JOIN e USING (field)"""
+)
 def ndvi_zonal_confidence(spark, sf_dir):
-    """Flagship: bands to NDVI, clear pixels, statistics by field, confidence."""
+    """Flagship: bands to NDVI; by field the statistics of clear pixels, the gradient on the ring around it, its shape, and the confidence."""
+    s = stack(spark, sf_dir)
+    zone = (F.floor(F.col("row") / 10) * 100 + F.floor(F.col("col") / 8)).cast("bigint")
+    index = s.select("row", "col", bm.ndvi_clipped(s.nir, s.red).alias("v"))
     z = zonal.statistics(field_ndvi(spark, sf_dir), "field", "n")
-    return z.select("field", "n", r6("mean").alias("mean"), r6(bm.confidence_v2(F.abs("mean"), F.col("n") / 80.0, F.col("std"), True)).alias("confidence"))
+    members = index.select(zone.alias("field"), "row", "col").join(z.select("field"), "field", "left_semi")
+    ring = stencil.ring(members.withColumnRenamed("field", "zone"), 2, height(spark, sf_dir), F.lit(16))
+    edge = zonal.edge_strength(ring, stencil.sobel(index).select("row", "col", "gradient"), "zone").withColumnRenamed("zone", "field")
+    outline = geo.box(*(x.cast("double") for x in (F.min("col"), F.min("row"), F.max("col") + 1, F.max("row") + 1)))
+    shape = members.groupBy("field").agg(outline.alias("ring")).select("field", bm.compactness(geo.area(F.col("ring")), geo.perimeter(F.col("ring"))).alias("compact"))
+    found = z.join(shape, "field").join(edge, "field", "left").withColumn("edge", F.coalesce("edge", F.lit(0.0)))
+    return found.select("field", "n", r6("mean").alias("mean"), r6("edge").alias("edge"), r6(bm.confidence_v2(F.col("edge"), F.col("compact"), F.col("std"), True)).alias("confidence"))
 
 
 @query("SELECT p_partkey, round(greatest(0.1, least(1.0, 0.7 * CASE WHEN ha BETWEEN 1 AND 50 THEN 1.0 WHEN ha BETWEEN 0.5 AND 100 THEN 0.8 ELSE 0.6 END * (0.7 + 0.3 * least(c, 1.0)))), 6) AS confidence FROM (SELECT p_partkey, p_retailprice / 20 AS ha, p_size / 50.0 AS c FROM part)")
@@ -191,12 +227,10 @@ def halo_tiles(spark, sf_dir):
 
 
 def _neighbour_sql(pairs: str) -> str:
-    return f"""WITH {PIX}, nb AS (SELECT row, col, v, coalesce(lag(v) OVER r, v) AS m, coalesce(lead(v) OVER r, v) AS p FROM pix WINDOW r AS (PARTITION BY row ORDER BY col)),
- n AS (SELECT row, col, v AS zz, m AS zm, p AS zp, coalesce(lag(v) OVER c, v) AS mz, coalesce(lag(m) OVER c, m) AS mm, coalesce(lag(p) OVER c, p) AS mp,
- coalesce(lead(v) OVER c, v) AS pz, coalesce(lead(m) OVER c, m) AS pm, coalesce(lead(p) OVER c, p) AS pp FROM nb WINDOW c AS (PARTITION BY col ORDER BY row)) {pairs}"""
+    return f"WITH {PIX}, {neighbour_ctes()} {pairs}"
 
 
-@query(_neighbour_sql("SELECT row, col, round(sqrt(gx * gx + gy * gy), 6) AS gradient FROM (SELECT row, col, (mp - mm) + 2 * (zp - zm) + (pp - pm) AS gx, (pm - mm) + 2 * (pz - mz) + (pp - mp) AS gy FROM n)"))
+@query(_neighbour_sql(f"SELECT row, col, round(gradient, 6) AS gradient FROM ({GRADIENT})"))
 def sobel_gradient(spark, sf_dir):
     return stencil.sobel(pix(spark, sf_dir)).select("row", "col", r6("gradient").alias("gradient"))
 
@@ -211,19 +245,12 @@ def directional_edges(spark, sf_dir):
     return stencil.directional_edges(pix(spark, sf_dir)).select("row", "col", r6("edge").alias("edge"))
 
 
-def _gauss_sql(sigma: float) -> str:
-    values = ", ".join(f"({k - len(stencil.gaussian_weights(sigma)) // 2}, CAST({w!r} AS DOUBLE))" for k, w in enumerate(stencil.gaussian_weights(sigma)))
-    return f"""WITH {PIX}, k(k, w) AS (VALUES {values}), h AS (SELECT max(row) + 1 AS n FROM pix),
- a AS (SELECT t.row, t.col, sum(s.v * w) AS v FROM pix t, k JOIN pix s ON s.row = t.row AND s.col = CASE WHEN t.col + k < 0 THEN -1 - t.col - k WHEN t.col + k >= 64 THEN 127 - t.col - k ELSE t.col + k END GROUP BY 1, 2),
- g AS (SELECT t.row, t.col, sum(s.v * w) AS v FROM a t, h, k JOIN a s ON s.col = t.col AND s.row = CASE WHEN t.row + k < 0 THEN -1 - t.row - k WHEN t.row + k >= n THEN 2 * n - 1 - t.row - k ELSE t.row + k END GROUP BY 1, 2)"""
-
-
-@query(_gauss_sql(1.5).replace("FROM pix t, k JOIN pix s", "FROM pix t CROSS JOIN k JOIN pix s").replace("FROM a t, h, k JOIN a s", "FROM a t CROSS JOIN h CROSS JOIN k JOIN a s") + " SELECT row, col, round(v, 6) AS v FROM g")
+@query(f"WITH {PIX}, {blur_ctes(stencil.gaussian_weights(1.5))} SELECT row, col, round(v, 6) AS v FROM g")
 def gaussian_blur(spark, sf_dir):
     return stencil.gaussian(pix(spark, sf_dir), 1.5, height(spark, sf_dir), F.lit(WIDTH)).select("row", "col", r6("v").alias("v"))
 
 
-@query(_gauss_sql(1.2).replace("FROM pix t, k JOIN pix s", "FROM pix t CROSS JOIN k JOIN pix s").replace("FROM a t, h, k JOIN a s", "FROM a t CROSS JOIN h CROSS JOIN k JOIN a s") + " SELECT row, col, round(greatest(0, least(255, 1.4 * p.v - 0.4 * g.v)), 6) AS v FROM g JOIN pix p USING (row, col)")
+@query(f"WITH {PIX}, {blur_ctes(stencil.gaussian_weights(1.2))} SELECT row, col, round(greatest(0, least(255, 1.4 * p.v - 0.4 * g.v)), 6) AS v FROM g JOIN pix p USING (row, col)")
 def unsharp(spark, sf_dir):
     return stencil.unsharp(pix(spark, sf_dir), 0.4, 1.2, height(spark, sf_dir), F.lit(WIDTH)).select("row", "col", r6("v").alias("v"))
 
@@ -315,9 +342,9 @@ def connected_components(spark, sf_dir):
     return segment.components(mask(spark, sf_dir, 0.27), F.lit(WIDTH)).select("row", "col", "label")
 
 
-@query(_COMP + " SELECT row, col, label FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 3)")
+@query(_COMP.replace("v > 0.27", "v > 0.2") + " SELECT row, col, label FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 3)")
 def min_region_filter(spark, sf_dir):
-    return segment.min_regions(segment.components(mask(spark, sf_dir, 0.27), F.lit(WIDTH)), 3)
+    return segment.min_regions(segment.components(mask(spark, sf_dir, 0.2), F.lit(WIDTH)), 3)
 
 
 _DISK = ", ".join(f"({r}, {c}, {r * r + c * c})" for r in range(-4, 5) for c in range(-4, 5) if 0 < r * r + c * c <= 16)
@@ -329,7 +356,11 @@ def distance_transform(spark, sf_dir):
     return segment.distances(p.where("v > 0.0"), p.where("v <= 0.0")).select("row", "col", r6("distance").alias("distance"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_mask_sql(-0.1)}, ground AS (SELECT row, col FROM pix WHERE v <= -0.1), s(r, c) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)),
+ open_ AS (SELECT row, col FROM ground, h WHERE row = 0 OR col = 0 OR row = n - 1 OR col = 63 UNION SELECT g.row, g.col FROM open_ o CROSS JOIN s JOIN ground g ON g.row = o.row + r AND g.col = o.col + c)
+ SELECT row, col FROM pix EXCEPT SELECT row, col FROM open_"""
+)
 def fill_holes(spark, sf_dir):
     p = pix(spark, sf_dir)
     return segment.fill_holes(p.where("v > -0.1").select("row", "col"), p, height(spark, sf_dir), F.lit(WIDTH))

@@ -87,7 +87,7 @@ def read_cascade(spark, sf_dir):
 def word_confidence(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     word = lambda text, c: F.struct(F.lit(text).alias("text"), c.cast("double").alias("confidence"))
-    words = F.when(p.p_size % 2 == 0, F.array(word("ABC", p.p_size), word("ABC123DEF", F.lit(80)), word("zzz", F.lit(1)))).otherwise(F.array(word("ABC123DEF", F.lit(80)), word("zzz", F.lit(1))))
+    words = F.when(p.p_size % 2 == 0, F.array(word("aBc", p.p_size), word("abc123DEF", F.lit(80)), word("zzz", F.lit(1)))).otherwise(F.array(word("ABC123DEF", F.lit(80)), word("zzz", F.lit(1))))
     return p.select("p_partkey", r6(rec.word_confidence(words, F.lit("ABC123"))).alias("confidence"))
 
 
@@ -130,6 +130,10 @@ def token_expiry(spark, sf_dir):
     return e.select("event_id", F.date_format(rec.token_valid_until(F.col("ts"), F.lit(3600)), "yyyy-MM-dd HH:mm:ss").alias("until"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT unnest(range(262144)) AS id), n AS (SELECT id, band, (id * 3 + band + 1) * 40503019 % 2147483647 AS x FROM c, (SELECT unnest([0, 1, 2]) AS band))
+ SELECT id // 512 AS row, id % 512 AS col, max(CAST(x * x // 65536 % 80 + 40 AS INTEGER)) FILTER (band = 0) AS red, max(CAST(x * x // 65536 % 100 + 80 AS INTEGER)) FILTER (band = 1) AS green,
+ max(CAST(x * x // 65536 % 80 + 40 AS INTEGER)) FILTER (band = 2) AS blue FROM n GROUP BY id"""
+)
 def synthetic_raster(spark, sf_dir):
     return layers.synthetic_raster(spark)
