@@ -431,15 +431,11 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
             inside = np.concatenate([[0], np.cumsum(w[at] ** 2)])
             regions: dict[tuple[int, int], list[tuple]] = {}
 
-            def norms(a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-                """Squared lengths of windows' vectors, over the columns and in all; words without a column count one by one."""
-                own = _norms2(w, at, column, a, b, width)
-                return own, np.maximum(own + energy[end] - energy[start] - (inside[b] - inside[a]), 1e-12)
-
             for width in WIDTHS:
                 start, end, text = _windows(first, width, width // 2)
                 a, b = np.searchsorted(at, start), np.searchsorted(at, end)
-                own2, norm2 = norms(a, b, start, end, width)
+                own2 = _norms2(w, at, column, a, b, width)
+                norm2 = np.maximum(own2 + energy[end] - energy[start] - (inside[b] - inside[a]), 1e-12)  # words without a column count one by one
                 share2 = own2 / norm2
                 k = np.flatnonzero((share2 >= LEAST_COSINE**2) & (b > a))
                 for part in range(0, len(k), 2048):
@@ -456,17 +452,23 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
                         regions.setdefault((t, int(j)), []).append((lo, hi, float(cosine[i, j])))
             out = []
             lists: dict[int, list[int]] = {}
+
+            def words_of(t: int) -> list[int]:
+                if t not in lists:
+                    lists[t] = ids[first[t] : first[t + 1]].tolist()
+                return lists[t]
+
             held: dict[tuple[int, int], list[tuple]] = {}
             for t, j, lo, hi in counted.find(ids, first):
-                words = lists.setdefault(t, ids[first[t] : first[t + 1]].tolist())
-                if enough(bags[j], len(items.words[j]), needs[j], words, lo, hi):
-                    ends = first[t] + np.array([[lo], [hi]])
-                    a, b = np.searchsorted(at, ends)
-                    x = (space[column[a[0] : b[0]]] * w[at[a[0] : b[0]]].astype(np.float32)[:, None]).sum(axis=0)
-                    held.setdefault((t, j), []).append((lo, hi, float(x @ items.latent[j] / np.sqrt(norms(a, b, *ends, hi - lo)[1][0]))))
+                if enough(bags[j], len(items.words[j]), needs[j], words_of(t), lo, hi):
+                    a, b = np.searchsorted(at, (first[t] + lo, first[t] + hi))
+                    x = (space[column[a:b]] * w[at[a:b]].astype(np.float32)[:, None]).sum(axis=0)
+                    own2 = _norms2(w, at[a:b], column[a:b], np.array([0]), np.array([b - a]), hi - lo)[0]
+                    norm2 = own2 + energy[first[t] + hi] - energy[first[t] + lo] - (inside[b] - inside[a])
+                    held.setdefault((t, j), []).append((lo, hi, float(x @ items.latent[j] / np.sqrt(max(norm2, 1e-12)))))
             for t, j in sorted({*regions, *held}):
                 spans = regions.get((t, j), [])
-                words = lists.setdefault(t, ids[first[t] : first[t + 1]].tolist())
+                words = words_of(t)
                 merged: list[list] = []
                 for lo, hi, c in sorted(spans):
                     if merged and lo <= merged[-1][1]:
@@ -474,7 +476,7 @@ def _search(rows: DataFrame, key_type: T.DataType, item_type: T.DataType, items:
                     else:
                         merged.append([lo, hi, c])
                 for own in (merged, held.get((t, j), [])):
-                    if found := [(v, c) for lo, hi, c in own if (v := verify(items.words[j], items.answers[j], words, lo, hi))]:
+                    if found := [(v, c) for lo, hi, c in own if enough(bags[j], len(items.words[j]), needs[j], words, lo, hi) and (v := verify(items.words[j], items.answers[j], words, lo, hi))]:
                         break
                 if found:
                     (share, lo, hi, kind), c = max(found)
