@@ -116,3 +116,13 @@ def reusable_orders(orders: DataFrame, scenes: DataFrame) -> DataFrame:
     by_scene = scenes.select("scene_id", F.explode(pieces("scene_id")).alias("piece")).join(orders.select("order_id", F.col("image_id").alias("piece"), "image_id"), "piece")
     by_order = orders.select("order_id", "image_id", F.explode(pieces("image_id")).alias("piece")).join(scenes.select("scene_id", F.col("scene_id").alias("piece")), "piece")
     return by_scene.select("scene_id", "order_id", "image_id").union(by_order.select("scene_id", "order_id", "image_id")).distinct()
+
+
+def last_path(files: DataFrame, group: str) -> DataFrame:
+    """(group, path): the last path in the order of texts."""
+    return files.groupBy(group).agg(F.max("path").alias("path"))
+
+
+def largest_part(parts: DataFrame, key: str, area: str = "area", part: str = "part") -> DataFrame:
+    """(key, part, area) of each shape's largest part, the first of equal ones."""
+    return parts.groupBy(key).agg(F.min(F.struct((-F.col(area)).alias("a"), F.col(part).alias("part"))).alias("m")).select(key, F.col("m.part").alias(part), (-F.col("m.a")).alias(area))

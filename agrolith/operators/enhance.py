@@ -176,3 +176,17 @@ def super_resolve(rgb: DataFrame, height: Column, width: Column, style: Style |
     """(row, col, r, g, b): 8-bit colours enlarged by chunks with a margin, rounded, then enhanced unless style is None."""
     large = of_bands(upscale_tiled(by_band(rgb), scale, size, pad, upscaler).withColumn("v", bm.clip(F.floor(F.col("v") + 0.5).cast("double"), 0.0, 255.0)))
     return enhance_colour(large, height * scale, width * scale, style) if style else large
+
+
+def fallback_models(requests: DataFrame, available: DataFrame, model: str = "model") -> DataFrame:
+    """Requests with the model to use: the one asked for if it is available, else the first available one of the same family, else the first of all.
+
+    A family is what stands before the first underscore. available: (model), a row for each registered model that is there.
+    """
+    family = F.regexp_extract(model, "^[^_]*", 0)
+    table = F.broadcast(available.select(model).distinct())  # registered models are few
+    exact = table.select(model, F.col(model).alias("_exact"))
+    by_family = F.broadcast(table.groupBy(family.alias("_family")).agg(F.min(model).alias("_near")))
+    first = F.broadcast(table.agg(F.min(model).alias("_first")))
+    joined = requests.join(exact, model, "left").withColumn("_family", family).join(by_family, "_family", "left").crossJoin(first)  # one row
+    return joined.withColumn("used", F.coalesce("_exact", "_near", "_first")).drop("_exact", "_near", "_first", "_family")

@@ -146,53 +146,61 @@ def flood(chunks: DataFrame, key: str, cost: str = "cost", seed: str = "seed") -
 def flood_raster(pixels: DataFrame, rows: int = 64, cost: str = "cost", seed: str = "seed") -> DataFrame:
     """(row, col, label): seeded flooding of a whole raster. Absent pixels aren't flooded, unreached ones have label null.
 
-    A pixel joins the seed that reaches it over the least level (the largest cost on the way), the smaller seed at equal levels; so the
-    result doesn't depend on the chunks. Each round floods chunks of `rows` rows, starting from what the pixels beyond their borders have,
-    until no pixel changes: as many rounds as the farthest way crosses borders, and one more.
+    First each pixel's level is found, the least of the largest costs on ways from a seed; then labels run from seeds along ways that give
+    pixels their levels, and a pixel takes the least label that comes. Both are least fixed points, so the result doesn't depend on
+    chunks, and regions hang together. Each round floods chunks of `rows` rows, starting from what the pixels beyond their borders
+    have, until no pixel changes: as many rounds as the farthest way crosses borders, and one more, for levels and again for labels.
     """
     at = F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col(cost).cast("double").alias("cost")
     start = F.when(F.col(seed).isNotNull(), 0.0).alias("level"), F.col(seed).cast("bigint").alias("label"), F.lit(True).alias("changed")
     held = keys(pixels)
     state = written(pixels.select(*held, F.floor(F.col("row") / rows).alias("chunk"), *at, *start, F.lit(True).alias("own")))
-    schema = state.schema
+    ship(state.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows_, cols, costs = pdf["row"].tolist(), pdf["col"].tolist(), pdf["cost"].tolist()
-        own, fresh = pdf["own"].tolist(), pdf["changed"].tolist()
-        best = [(float(v), int(s)) if known else None for v, s, known in zip(pdf["level"], pdf["label"], pdf["label"].notna(), strict=True)]
-        place = {(r, c): i for i, (r, c) in enumerate(zip(rows_, cols, strict=True))}
-        heap = [(*b, i) for i, b in enumerate(best) if b is not None and fresh[i]]
-        heapify(heap)
-        changed = [False] * len(own)
-        while heap:
-            level, s, i = heappop(heap)
-            if best[i] != (level, s):
+        return flood_chunk(column, pdf)
+
+    for column in ("level", "label"):
+        state = written(state.withColumn("changed", F.col(column).isNotNull()))
+        schema = state.schema
+        while not state.where("changed").isEmpty():
+            beyond = [
+                state.where((F.pmod("row", F.lit(rows)) == edge) & F.col("changed")).withColumns({"chunk": F.col("chunk") + step, "own": F.lit(False)})
+                for edge, step in ((0, -1), (rows - 1, 1))
+            ]
+            # Changed pixels start again in their own chunk too, which only seeds in the first round need.
+            new = written(state.unionByName(beyond[0]).unionByName(beyond[1]).groupBy(*held, "chunk").applyInPandas(run, schema))
+            forget(state)
+            state = new
+    return state.select(*held, "row", "col", "label")
+
+
+def flood_chunk(column: str, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's own pixels after its changed pixels have spread their levels, or their labels where levels are known."""
+    rows, cols, costs, levels = pdf["row"].tolist(), pdf["col"].tolist(), pdf["cost"].tolist(), pdf["level"].tolist()
+    own, place = pdf["own"].tolist(), {}
+    for i, at in enumerate(zip(rows, cols, strict=True)):
+        place[at] = i
+    best = [v if known else None for v, known in zip(pdf[column].tolist(), pdf[column].notna(), strict=True)]
+    heap = [(best[i], i) for i, fresh in enumerate(pdf["changed"]) if fresh and best[i] is not None]
+    heapify(heap)
+    changed = [False] * len(own)
+    while heap:
+        value, i = heappop(heap)
+        if best[i] != value:
+            continue
+        for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
+            j = place.get((rows[i] + dr, cols[i] + dc))
+            if j is None or not own[j]:
                 continue
-            for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-                j = place.get((rows_[i] + dr, cols[i] + dc))
-                if j is None or not own[j]:
-                    continue
-                offer = (max(level, costs[j]), s)
-                if best[j] is None or offer < best[j]:
-                    best[j], changed[j] = offer, True
-                    heappush(heap, (*offer, j))
-        out = pdf.assign(
-            level=pd.array([None if b is None else b[0] for b in best], "Float64"), label=pd.array([None if b is None else b[1] for b in best], "Int64"), changed=changed
-        )
-        return out[pd.Series(own, index=pdf.index)]
-
-    ship(state.sparkSession)
-    while True:
-        beyond = [
-            state.where((F.pmod("row", F.lit(rows)) == edge) & F.col("changed") & F.col("label").isNotNull()).withColumns({"chunk": F.col("chunk") + step, "own": F.lit(False)})
-            for edge, step in ((0, -1), (rows - 1, 1))
-        ]
-        # Changed pixels start again in their own chunk too, which only seeds in the first round need.
-        new = written(state.unionByName(beyond[0]).unionByName(beyond[1]).groupBy(*held, "chunk").applyInPandas(run, schema))
-        forget(state)
-        state = new
-        if state.where("changed").isEmpty():
-            return state.select(*held, "row", "col", "label")
+            if column == "label" and max(levels[i], costs[j]) != levels[j]:
+                continue
+            offer = max(value, costs[j]) if column == "level" else value
+            if best[j] is None or offer < best[j]:
+                best[j], changed[j] = offer, True
+                heappush(heap, (offer, j))
+    out = pdf.assign(**{column: pd.array(best, "Float64" if column == "level" else "Int64"), "changed": changed})
+    return out[pd.Series(own, index=pdf.index)]
 
 
 def boundary_edges(labels: DataFrame) -> DataFrame:

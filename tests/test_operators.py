@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from agrolith.functions import bandmath as bm
 from agrolith.functions import geometry as geo
 from agrolith.functions import text as tx
-from agrolith.operators import catalog, enhance, grid, segment, stencil, tiles, zonal
+from agrolith.operators import catalog, enhance, grid, jobs, segment, stencil, tiles, zonal
 from agrolith.sources import geojson, rasters
 
 
@@ -207,3 +207,18 @@ def test_crop_falls_back_to_the_whole(spark):
     cells = raster(spark, np.ones((2, 2)))
     assert grid.crop(cells, F.col("row") == 0).count() == 2
     assert grid.crop(cells, F.col("row") > 9).count() == 4
+
+
+def test_areas_that_are_none(spark):
+    for text in ('{"type":"FeatureCollection","features":[]}', '{"type":"Point","coordinates":[0,0]}', "{}", "no json"):
+        with pytest.raises(Exception, match="area|collection"):
+            spark.createDataFrame([(text,)], "value string").select(geojson.checked_ring(F.col("value")).alias("r")).collect()
+    assert geojson.ways(spark.createDataFrame([("broken",), (None,), ('{"elements":[]}',)], "value string")).count() == 0
+
+
+def test_polling_and_queues(spark):
+    rows = [(1, 0.0, 5.0), (2, 1.0, 5.0), (3, 20.0, 1.0)]
+    got = jobs.one_at_a_time(spark.createDataFrame([(k, "q", a, s) for k, a, s in rows], "event_id int, queue string, arrived double, seconds double"), "queue").orderBy("event_id").collect()
+    assert [(x.begins, x.ends) for x in got] == [(0.0, 5.0), (5.0, 10.0), (20.0, 21.0)]
+    made = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS started, x.ended, x.status FROM VALUES (timestamp'2024-01-01 00:00:00', 'a'), (timestamp'2024-01-01 00:00:11', 'b'), (timestamp'2024-01-01 01:00:00', 'c'), (null, null) AS x(ended, status)")
+    assert [(x.polls, x.waited, x.seen) for x in jobs.polled(made, 10.0, 600.0).collect()] == [(1, 0.0, "a"), (3, 20.0, "b"), (61, 600.0, "timeout"), (61, 600.0, "timeout")]
