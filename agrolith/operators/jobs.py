@@ -60,7 +60,7 @@ def polled(jobs: DataFrame, every: float, most: float, started: str = "started",
     seen is the end's status at the first poll after it, or 'timeout'; jobs without an end time out.
     """
     seconds = (F.unix_micros(F.col(ended).cast("timestamp")) - F.unix_micros(F.col(started).cast("timestamp"))) / 1e6
-    needed = F.greatest(F.ceil(seconds / every), F.lit(0)).cast("bigint")
+    needed = F.when(seconds.isNotNull(), F.greatest(F.ceil(seconds / every), F.lit(0)).cast("bigint"))
     allowed = F.lit(int(most // every))
     in_time = F.coalesce(needed <= allowed, F.lit(False))
     return jobs.withColumn("polls", F.when(in_time, needed).otherwise(allowed) + 1).withColumn("waited", F.when(in_time, needed * every).otherwise(F.lit(float(most)))).withColumn("seen", F.when(in_time, F.col(status)).otherwise("timeout"))

@@ -57,7 +57,7 @@ def job_kind_transitions(spark, sf_dir):
 
 @query(
     f"""WITH {JOBS}, j AS (SELECT job_id, min(ts) AS a, min(ts) FILTER (status IN ('completed', 'failed')) AS b, arg_min(status, (ts, event_id)) FILTER (status IN ('completed', 'failed')) AS status FROM ev GROUP BY job_id),
- k AS (SELECT *, greatest(CAST(ceil((epoch_us(b) - epoch_us(a)) / 1e6 / 3600) AS BIGINT), 0) AS needed FROM j), t AS (SELECT *, coalesce(needed <= 48, false) AS ok FROM k)
+ k AS (SELECT *, CASE WHEN b IS NOT NULL THEN greatest(CAST(ceil((epoch_us(b) - epoch_us(a)) / 1e6 / 3600) AS BIGINT), 0) END AS needed FROM j), t AS (SELECT *, coalesce(needed <= 48, false) AS ok FROM k)
  SELECT job_id, CASE WHEN ok THEN needed ELSE 48 END + 1 AS polls, CASE WHEN ok THEN needed * 3600.0 ELSE 172800.0 END AS waited, CASE WHEN ok THEN status ELSE 'timeout' END AS seen FROM t"""
 )
 def order_polls(spark, sf_dir):
