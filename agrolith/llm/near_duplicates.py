@@ -38,7 +38,7 @@ WORDS, COORDINATES, MATCHES = 5, 64, 31
 LEAST = 75
 MOST_ROUNDS = 8
 #: A list is long from this many rows on, or from a share of all rows on, so that at most MOST_LONG lists are: these few are broadcast.
-LEAST_LONG, MOST_LONG = 256, 1 << 16
+LEAST_LONG, MOST_LONG = 64, 1 << 15
 #: Nodes of a part of a pivot's group in the comparison of what the rounds left open.
 PART_NODES = 512
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
