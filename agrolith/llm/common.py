@@ -3,39 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import io
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agrolith.operators.scratch import forget, written, written_bytes  # noqa: F401  the operators take them from here
+from agrolith.operators.scratch import forget, ship, written  # noqa: F401  the operators take them from here
 
 #: Regex class of the ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for an application, as an archive in the shared folder."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(written_bytes(spark, f"{root.name}-{context.applicationId}.zip", held.getvalue()))
-    _SHIPPED.add(context.applicationId)
-
-
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks, and the driver between jobs."""
     pa.default_memory_pool().release_unused()

@@ -169,3 +169,25 @@ def test_pipeline_stages(spark):
     final = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {r.doc_id: tuple(r.ids) for r in final} == {i: tuple(model.encode(r.text)) for i, r in kept["secrets"].items()}
     assert all(r.decoded_sha256 == hashlib.sha256(model.decode(list(r.ids)).encode()).hexdigest() for r in final)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, rows without an id and columns of other names; and an empty table."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 80")
+    first = docs.orderBy("doc_id").first()
+    odd = [(None, first.text + " and some more words here", "en", "s", 9), (900, None, "en", None, None), (901, "", None, "s", 0), (902, "12 34 !", "fr", "s", 7), (903, first.text.replace(" ", "\t"), None, None, None), (first.doc_id, first.text, first.lang, first.source, first.n_chars)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("_place", F.lit("x")).withColumn("ids", F.lit(None).cast("int")).withColumn("kind", F.lit(1))
+    for at, rows in (("full", both), ("none", both.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = written(f(spark, stage, f"{tmp_path}/full"))
+        assert stage.columns == both.columns, name
+    ids = [r.doc_id for r in stage.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and not {900, 901, 902, 903} & set(ids)
+    assert len(ids) > 40
+    final = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in final.collect())
+    nothing = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert nothing.columns == final.columns and nothing.count() == 0
