@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from agrolith.functions import bandmath as bm
 from agrolith.operators.grid import keys, with_margin
-from agrolith.operators.scratch import ship
+from agrolith.operators.scratch import ship, written
 from agrolith.operators.stencil import unsharp
 
 Upscaler = Callable[[np.ndarray, int], np.ndarray]
@@ -161,12 +161,15 @@ def of_bands(long: DataFrame) -> DataFrame:
 
 
 def enhance_colour(rgb: DataFrame, height: Column, width: Column, style: Style) -> DataFrame:
-    """(row, col, r, g, b) of 8-bit colours: local contrast of the lightness, sharper bands, more saturated greens."""
+    """(row, col, r, g, b) of 8-bit colours: local contrast of the lightness, sharper bands, more saturated greens.
+
+    What a step reads more than once is written first.
+    """
     held = keys(rgb)
-    lab = rgb.select(*held, "row", "col", bm.lab(F.col("r"), F.col("g"), F.col("b")).alias("x"))
+    lab = written(rgb.select(*held, "row", "col", bm.lab(F.col("r"), F.col("g"), F.col("b")).alias("x")))
     light = clahe(lab.select(*held, "row", "col", F.col("x.l").alias("v")), height, width, style.tiles, style.clip)
     even = lab.join(light, [*held, "row", "col"]).select(*held, "row", "col", bm.rgb_of_lab(F.col("v"), F.col("x.a"), F.col("x.b")).alias("c")).select(*held, "row", "col", "c.*")
-    sharp = of_bands(unsharp(by_band(even), style.amount, style.sigma, height, width).withColumn("v", F.floor(F.col("v") + 0.5)))
+    sharp = of_bands(unsharp(by_band(written(even)), style.amount, style.sigma, height, width).withColumn("v", F.floor(F.col("v") + 0.5)))
     x = sharp.select(*held, "row", "col", bm.hsv(F.col("r"), F.col("g"), F.col("b")).alias("x"))
     green = x.select(*held, "row", "col", bm.rgb_of_hsv(F.col("x.h"), F.floor(bm.boosted_saturation(F.col("x.h"), F.col("x.s"), style.boost)), F.col("x.v")).alias("c"))
     return green.select(*held, "row", "col", "c.*")

@@ -85,7 +85,7 @@ def field_zone_features(spark, sf_dir):
 # --- areas -----------------------------------------------------------------------------------------------------------------------------
 
 #: The corners of an area, closed.
-AREA = [(-121.72, 36.62), (-121.62, 36.63), (-121.60, 36.67), (-121.66, 36.65), (-121.71, 36.69), (-121.72, 36.62)]
+AREA = [(-121.72031, 36.62017), (-121.62013, 36.63029), (-121.60037, 36.67011), (-121.66007, 36.65023), (-121.71019, 36.69041), (-121.72031, 36.62017)]
 _EDGES = "edges(ax, ay, ex, ey) AS (VALUES " + ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip(AREA, AREA[1:], strict=False)) + ")"
 
 
