@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,31 +109,43 @@ FROM_XYZ = ((3.240479, -1.53715, -0.498535), (-0.969256, 1.875991, 0.041556), (0
 WHITE = (0.950456, 1.0, 1.088754)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _mixed(rows: tuple[tuple[float, ...], ...], v: Column) -> list[Column]:
+    return [sum(F.get(v, k) * row[k] for k in range(3)) for row in rows]
+
+
 def lab(red: Column, green: Column, blue: Column) -> Column:
     """struct<l, a, b> of 8-bit colours, in 8 bits: lightness 0..255 for 0..100, a and b with 128 added, halves rounded up."""
-    linear = [F.when(c / 255.0 > 0.04045, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92) for c in (red, green, blue)]
-    x, y, z = (sum(linear[k] * row[k] for k in range(3)) / white for row, white in zip(TO_XYZ, WHITE, strict=True))
-    f = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
-    lightness = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
     whole = lambda v: F.floor(clip(v, 0.0, 255.0) + 0.5).cast("int")
-    return F.struct(whole(lightness * 255 / 100).alias("l"), whole(500 * (f(x) - f(y)) + 128).alias("a"), whole(200 * (f(y) - f(z)) + 128).alias("b"))
+    linear = F.transform(F.array(red, green, blue), lambda c: F.when(c / 255.0 > 0.04045, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92))
+    xyz = _let(linear, lambda v: F.array(*(x / white for x, white in zip(_mixed(TO_XYZ, v), WHITE, strict=True))))
+    curved = F.transform(xyz, lambda t: F.struct(t.alias("t"), F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116).alias("f")))
+
+    def coded(v: Column) -> Column:
+        x, y, z = (F.get(v, k)["f"] for k in range(3))
+        t = F.get(v, 1)["t"]
+        lightness = F.when(t > 0.008856, 116 * y - 16).otherwise(903.3 * t)
+        return F.struct(whole(lightness * 255 / 100).alias("l"), whole(500 * (x - y) + 128).alias("a"), whole(200 * (y - z) + 128).alias("b"))
+
+    return _let(curved, coded)
 
 
 def rgb_of_lab(lightness: Column, a: Column, b: Column) -> Column:
     """struct<r, g, b> of 8-bit lab."""
-    light = lightness * 100 / 255.0
-    fy = (light + 16) / 116
-    y = F.when(light > 903.3 * 0.008856, fy * fy * fy).otherwise(light / 903.3)
-    middle = F.when(light > 903.3 * 0.008856, fy).otherwise(7.787 * y + 16 / 116)
+    light, dark = lightness * 100 / 255.0, 903.3 * 0.008856
+    y = F.when(light > dark, F.pow((light + 16) / 116, F.lit(3.0))).otherwise(light / 903.3)
+    middle = F.when(light > dark, (light + 16) / 116).otherwise(7.787 * light / 903.3 + 16 / 116)
     back = lambda t: F.when(t * t * t > 0.008856, t * t * t).otherwise((t - 16 / 116) / 7.787)
-    xyz = (back(middle + (a - 128) / 500.0) * WHITE[0], y, back(middle - (b - 128) / 200.0) * WHITE[2])
-
-    def channel(row: tuple[float, ...]) -> Column:
-        linear = clip(sum(xyz[k] * row[k] for k in range(3)), 0.0, 1.0)
-        curved = F.when(linear > 0.0031308, 1.055 * F.pow(linear, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * linear)
-        return F.floor(clip(curved, 0.0, 1.0) * 255 + 0.5).cast("int")
-
-    return F.struct(*(channel(row).alias(name) for row, name in zip(FROM_XYZ, "rgb", strict=True)))
+    far = _let(middle, lambda m: F.transform(F.array(m + (a - 128) / 500.0, m - (b - 128) / 200.0), back))
+    xyz = _let(far, lambda v: F.array(F.get(v, 0) * WHITE[0], y, F.get(v, 1) * WHITE[2]))
+    linear = _let(xyz, lambda v: F.array(*(clip(x, 0.0, 1.0) for x in _mixed(FROM_XYZ, v))))
+    curved = F.transform(linear, lambda x: F.when(x > 0.0031308, 1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * x))
+    coded = F.transform(curved, lambda x: F.floor(clip(x, 0.0, 1.0) * 255 + 0.5).cast("int"))
+    return _let(coded, lambda v: F.struct(*(F.get(v, k).alias(name) for k, name in enumerate("rgb"))))
 
 
 def green_or_brown(h: Column, s: Column, v: Column) -> Column:
