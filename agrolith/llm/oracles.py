@@ -74,4 +74,41 @@ SELECT doc_id, best.name AS own_license, best.score AS own_score, coalesce(best.
  CASE WHEN best.name IS NULL THEN CAST(m.up AS INTEGER) END AS up FROM f0 LEFT JOIN best USING (doc_id) LEFT JOIN near USING (dir)"""
 
 
-ORACLES = {"op4_divergence_rules": divergence_rules(), "op8_tfidf_licenses": tfidf_licenses()}
+def hard_negatives() -> str:
+    """op11: all scores of the anchors, both rankings and the windows."""
+    product = "list_sum(list_transform(range(1, 1 + least(len(a.v), len(b.v))), lambda i: a.v[i] * b.v[i]))"
+    return f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label, CAST(coalesce({product}, 0) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS r FROM s WHERE label = own) WHERE r <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS r
+ FROM p JOIN s USING (anchor_id) WHERE s.label <> s.own AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10"""
+
+
+def merkle_manifest() -> str:
+    """op12: levels by recursion over (tree, level, place), proofs and folds by recursion over a leaf's ancestors; CRC-32 bit by bit."""
+    field = lambda x: f"coalesce(CAST(octet_length(encode(CAST({x} AS VARCHAR))) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    step = "lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, d: list_reduce(list_prepend(xor(c, d), CAST(range(8) AS BIGINT[])), {step})), 4294967295)"
+    levels = lambda name, base: f"""{name} AS ({base} UNION ALL
+ SELECT tree, level + 1, place // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY tree, level, place // 8)"""
+    run = lambda name: f"SELECT tree, level, place // 8 AS run, list(h ORDER BY place) AS hs FROM {name} WHERE n > 1 GROUP BY ALL"
+    beside = "array_to_string(hs[1:place % 8], '') AS b, array_to_string(hs[place % 8 + 2:], '') AS a"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN ({crc}) % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim FROM documents),
+x AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{levels("lv", "SELECT tree, 0 AS level, place, n, leaf AS h FROM x")}, sub AS (SELECT tree, h FROM lv WHERE n = 1),
+{levels("tv", "SELECT 0 AS tree, 0 AS level, tree AS place, count(*) OVER () AS n, h FROM sub")}, top AS (SELECT h FROM tv WHERE n = 1),
+lr AS ({run("lv")}), tr AS ({run("tv")}),
+path AS (SELECT tree, leaf_place, level, 0 AS upper, {beside} FROM (SELECT x.tree, x.place AS leaf_place, level, hs, x.place // CAST(8 ** level AS BIGINT) AS place FROM x JOIN lr ON lr.tree = x.tree AND run = x.place // CAST(8 ** (level + 1) AS BIGINT))
+ UNION ALL SELECT tree, leaf_place, level, 1, {beside} FROM (SELECT x.tree, x.place AS leaf_place, level, hs, x.tree // CAST(8 ** level AS BIGINT) AS place FROM x JOIN tr ON run = x.tree // CAST(8 ** (level + 1) AS BIGINT))),
+steps AS (SELECT tree, leaf_place, list(struct_pack(b := b, a := a) ORDER BY upper, level) AS s FROM path GROUP BY ALL)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(coalesce(array_to_string(list_transform(s, lambda p: p.b || p.a), ''), '')) AS proof_sha256,
+ list_reduce(list_prepend(coalesce(claim, leaf), list_transform(s, lambda p: p.b || chr(1) || p.a)), lambda h, p: sha256(replace(p, chr(1), h))) AS folded_root, folded_root = root AS verified
+FROM x JOIN sub USING (tree) CROSS JOIN top LEFT JOIN steps ON steps.tree = x.tree AND leaf_place = x.place"""
+
+
+ORACLES = {"op4_divergence_rules": divergence_rules(), "op8_tfidf_licenses": tfidf_licenses(), "op11_residual_pq_negatives": hard_negatives(), "op12_duckdb_merkle": merkle_manifest()}

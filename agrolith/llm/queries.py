@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import decontamination, language_id, licenses, line_quality, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
+from agrolith.llm import decontamination, hard_negatives, language_id, licenses, line_quality, merkle, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
 from agrolith.llm.oracles import ORACLES  # noqa: F401  beside QUERIES
 
@@ -97,6 +98,21 @@ def op10_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256_of(secrets.joined(base)).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op11_residual_pq_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, among all vectors."""
+    key = F.col("vec_id")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), label, key % 100 == 0)
+
+
+def op12_duckdb_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, and what tampering with every third one's case makes of it."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.coalesce(held_fold(F.col("doc_id"), 3) == 0, F.lit(False))
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents", *fields), fields, "lang", "doc_id", {"text": lower}, tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -108,4 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tfidf_licenses": op8_tfidf_licenses,
     "op9_string_kernel_language": op9_string_kernel_language,
     "op10_trigram_secrets": op10_trigram_secrets,
+    "op11_residual_pq_negatives": op11_residual_pq_negatives,
+    "op12_duckdb_merkle": op12_duckdb_merkle,
 }
