@@ -56,7 +56,11 @@ def bit_of(node: Column, bits: int = BITS) -> Column:
 
 def bitmap(nodes: DataFrame, column: str, bits: int = BITS) -> np.ndarray | None:
     """A bit for each key (a Bloom filter with one hash): at most bits / 8 bytes reach the driver. None if over half are set."""
-    at = bit_of(F.col(column), bits)
+    return bitmap_at(nodes, bit_of(F.col(column), bits), bits)
+
+
+def bitmap_at(nodes: DataFrame, at: Column, bits: int = BITS) -> np.ndarray | None:
+    """bitmap for places among `bits` instead of keys."""
     rows = nodes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
     found = np.zeros((bits // 32768 + 1, 4096), np.uint8)
     for r in rows:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agrolith.llm import decontamination, hard_negatives, language_id, licenses, line_quality, merkle, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
+from agrolith.llm import chunked_bpe, decontamination, hard_negatives, language_id, licenses, line_quality, merkle, near_duplicates, pii, quality_rules, secrets, sentencepiece_codec, sharding
 from agrolith.llm.common import held_fold
 from agrolith.llm.oracles import ORACLES  # noqa: F401  beside QUERIES
 
@@ -113,6 +113,19 @@ def op12_duckdb_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents", *fields), fields, "lang", "doc_id", {"text": lower}, tampered)
 
 
+def op13_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through the 49k BPE tokenizer and back."""
+    import public_tokenizers
+
+    coded = chunked_bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256_of(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -126,4 +139,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_trigram_secrets": op10_trigram_secrets,
     "op11_residual_pq_negatives": op11_residual_pq_negatives,
     "op12_duckdb_merkle": op12_duckdb_merkle,
+    "op13_chunk_reuse_bpe": op13_chunk_reuse_bpe,
 }
