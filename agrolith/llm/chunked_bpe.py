@@ -205,6 +205,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
     body = unused("_text", names)
     rows = docs.select(F.col(key).alias(key), *(F.col(c).alias(n) for c, n in zip(carried, names[3:], strict=True)), F.col(text).alias(body))
     held = rows.schema.fields[:-1]
+    numbered = [f"c{k}" for k in range(len(held))]  # carried columns may have any name
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, body):
@@ -283,9 +284,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
         for block in blocks(batches, body):
             kept, found = parted(block, table, False)
             if found:
-                lists = [pa.array([x for x in at], pa.list_(pa.int32())) for at in ([f[1] for f in found],)]
+                lists = [pa.array([f[1] for f in found], pa.list_(pa.int32()))]
                 lists += [pa.array([[int(k[c]) for k in f[2]] for f in found], pa.list_(pa.int64())) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array([packed(f[0]) for f in found], pa.binary()), *lists], [*names[:1], *names[3:], "own", "at", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array([packed(f[0]) for f in found], pa.binary()), *lists], [*numbered, "own", "at", "k1", "k2"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,9 +301,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     longs = T.ArrayType(T.LongType())
     out = T.StructType([held[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), *held[1:]])
-    middle = T.StructType([*held, T.StructField("own", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("k1", longs), T.StructField("k2", longs)])
-    kept = written(arrow_map(rows, opened, middle).toDF(*(f"c{k}" for k in range(len(held))), "own", "at", "k1", "k2").withColumn("row", F.monotonically_increasing_id()))
+    middle = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(numbered, held, strict=True)), T.StructField("own", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("k1", longs), T.StructField("k2", longs)])
+    kept = written(arrow_map(rows, opened, middle).withColumn("row", F.monotonically_increasing_id()))
     wanted = kept.select("row", F.posexplode(F.arrays_zip("k1", "k2")).alias("no", "k")).select("row", "no", "k.k1", "k.k2")
     parts = wanted.join(known, ["k1", "k2"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "core_ids"))).alias("parts"))
-    whole_rows = kept.join(parts, "row", "left").select(*(f"c{k}" for k in range(len(held))), "own", "at", "parts")
+    whole_rows = kept.join(parts, "row", "left").select(*numbered, "own", "at", "parts")
     return arrow_map(rows, complete, out).unionByName(arrow_map(whole_rows, joined, out))
