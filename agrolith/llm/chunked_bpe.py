@@ -8,7 +8,8 @@ by more words, and at last the whole text is encoded in one. A text's ids are th
 
 Which cores are shared is told by a bitmap of 4 MB (a few others count as shared too, or all of them once it is over half full; results are
 the same). Texts without a shared core end in the task that reads them; of the others, ids of their own parts and places of shared
-cores are written, and the cores' ids are joined to them. Inside a core, distinct words between white space are looked up in the task's table.
+cores are written, and the cores' ids are joined to them. Inside a core, distinct words between white space are looked up in a table that each
+Python worker keeps.
 
 Defined results: null and empty texts have no ids and decode to an empty text; texts of any length are encoded whole; strings of special
 tokens in a text get the special ids, as the library does; the rows' order, repeated rows and other columns don't matter.
@@ -133,6 +134,12 @@ def library(model: str) -> Tokenizer:
     return lib
 
 
+@lru_cache(maxsize=1)
+def word_table(model: str, most: int) -> WordTable:
+    """One table in a Python worker; it outlives a task, so that the next one begins with the words of the last."""
+    return WordTable(library(model), most)
+
+
 def _edge(found: Cores, core: int, words: int, left: bool) -> int:
     """Where a join's text begins in the core on its left (or ends in the one on its right), with at least so many words of it if it has them."""
     a, b = int(found.starts[core]), int(found.stops[core])
@@ -194,7 +201,7 @@ def _bit(key: Column) -> Column:
     return key.bitwiseAND(F.lit(BITS - 1))
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (), bits: int = CUT_BITS, most_words: int = 250_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = (), bits: int = CUT_BITS, most_words: int = 400_000) -> DataFrame:
     """(key, ids array<int>, decoded string, carried columns) for each row. The tokenizer's file is read on the driver and travels with the tasks.
 
     A carried column that is named like one of the others comes back as <name>_carried.
@@ -230,7 +237,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
                 seen.clear()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(library(model), most_words)
+        table = word_table(model, most_words)
         for block in blocks(batches, "core"):
             flat, at = table.ids(block.column(2).to_pylist())
             ids = [packed(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -273,14 +280,14 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
         return pa.RecordBatch.from_arrays([kept[0], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), *kept[1:]], names)
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(library(model), most_words)
+        table = word_table(model, most_words)
         for block in blocks(batches, body):
             kept, found = parted(block, table, True)
             if found:
                 yield result(kept.columns[:-1], [ids for ids, _, _ in found])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(library(model), most_words)
+        table = word_table(model, most_words)
         for block in blocks(batches, body):
             kept, found = parted(block, table, False)
             if found:
