@@ -129,18 +129,71 @@ def utm_zone(lon: Column) -> Column:
     return (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
 
 
-def utm(lon: Column, lat: Column) -> Column:
-    """struct<zone, easting, northing> in metres, by the series in the third flattening up to its fourth power (Krueger)."""
-    n = FLATTENING / (2 - FLATTENING)
-    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
-    e = 2 * n**0.5 / (1 + n)
-    zone = utm_zone(lon)
+# The third flattening, the rectifying radius, and the series of Krueger in it up to its fourth power, there and back.
+_N = FLATTENING / (2 - FLATTENING)
+_RADIUS = SEMI_MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+
+
+def utm_in(lon: Column, lat: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres in a given zone."""
+    e = 2 * _N**0.5 / (1 + _N)
     away = F.radians(lon - (zone * 6 - 183))
     sin_lat = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(sin_lat) - e * F.atanh(e * sin_lat))
     xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
-    east = eta + sum(a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(alpha, 1))
-    north = xi + sum(a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(alpha, 1))
-    scale = UTM_SCALE * radius
-    return F.struct(zone.alias("zone"), (500_000 + scale * east).alias("easting"), (F.when(lat < 0, 10_000_000.0).otherwise(0.0) + scale * north).alias("northing"))
+    east = eta + sum(a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(_ALPHA, 1))
+    north = xi + sum(a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(_ALPHA, 1))
+    scale = UTM_SCALE * _RADIUS
+    return 500_000 + scale * east, F.when(south, 10_000_000.0).otherwise(0.0) + scale * north
+
+
+def utm(lon: Column, lat: Column) -> Column:
+    """struct<zone, easting, northing> in the zone of the longitude."""
+    zone = utm_zone(lon)
+    east, north = utm_in(lon, lat, zone, lat < 0)
+    return F.struct(zone.alias("zone"), east.alias("easting"), north.alias("northing"))
+
+
+def utm_inverse(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a point of a UTM zone."""
+    scale = UTM_SCALE * _RADIUS
+    xi, eta = (north - F.when(south, 10_000_000.0).otherwise(0.0)) / scale, (east - 500_000) / scale
+    x = xi - sum(b * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(_BETA, 1))
+    y = eta - sum(b * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(_BETA, 1))
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi + sum(d * F.sin(2 * k * chi) for k, d in enumerate(_DELTA, 1))
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)
+
+
+def mercator_lon(x: Column) -> Column:
+    return F.degrees(x / SEMI_MAJOR)
+
+
+def mercator_lat(y: Column) -> Column:
+    return F.degrees(F.atan(F.sinh(y / SEMI_MAJOR)))
+
+
+def to_lonlat(epsg: int, x: Column, y: Column) -> tuple[Column, Column]:
+    """A point of a reference system in degrees: 4326, 3857, 32601 to 32660 and 32701 to 32760."""
+    if epsg == 4326:
+        return x, y
+    if epsg == 3857:
+        return mercator_lon(x), mercator_lat(y)
+    return utm_inverse(x, y, *_utm_of(epsg))
+
+
+def from_lonlat(epsg: int, lon: Column, lat: Column) -> tuple[Column, Column]:
+    if epsg == 4326:
+        return lon, lat
+    if epsg == 3857:
+        return mercator_x(lon), mercator_y(lat)
+    return utm_in(lon, lat, *_utm_of(epsg))
+
+
+def _utm_of(epsg: int) -> tuple[Column, Column]:
+    if epsg // 100 not in (326, 327) or not 1 <= epsg % 100 <= 60:
+        raise ValueError(f"EPSG:{epsg} is unknown")
+    return F.lit(epsg % 100), F.lit(epsg // 100 == 327)

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from agrolith.plans import enhance_queries, field_queries, more_queries, record_queries, service_queries  # noqa: F401  they register themselves
+from agrolith.plans import enhance_queries, field_queries, more_queries, raster_queries, record_queries, service_queries  # noqa: F401  they register themselves
 from agrolith.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
