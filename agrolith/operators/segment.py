@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from agrolith.operators.graph import connected_components
 from agrolith.operators.grid import keys
+from agrolith.operators.rings import rings
 from agrolith.operators.scratch import forget, ship, written
 from agrolith.operators.stencil import windowed
 
@@ -214,42 +215,12 @@ def boundary_edges(labels: DataFrame) -> DataFrame:
     return kept.select(*held, "label", *((F.col(axis) + F.col(f"s.{n}")).alias(n) for n, axis in (("x1", "col"), ("y1", "row"), ("x2", "col"), ("y2", "row"))))
 
 
-def trace_rings(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings from directed unit edges; where two rings touch in a point, the sharper right turn is taken. Straight points are dropped."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x1, y1, x2, y2 in sorted(edges):
-        out.setdefault((x1, y1), []).append((x2, y2))
-    rings = []
-    for start in sorted(out):
-        while out.get(start):
-            path, here = [start], out[start].pop(0)
-            while here != start:
-                before = path[-1]
-                path.append(here)
-                dx, dy = here[0] - before[0], here[1] - before[1]
-                nexts = out[here]
-                nexts.sort(key=lambda p: -(dx * (p[1] - here[1]) - dy * (p[0] - here[0])))
-                here = nexts.pop(0)
-            n = len(path)
-            corners = [p for i, p in enumerate(path) if (p[0] - path[i - 1][0]) * (path[(i + 1) % n][1] - p[1]) != (p[1] - path[i - 1][1]) * (path[(i + 1) % n][0] - p[0])]
-            rings.append([*corners, corners[0]])
-    return rings
-
-
-def polygonize(labels: DataFrame) -> DataFrame:
-    """(label, ring_no, ring array<struct<x, y>>): outlines of regions in pixel corners, outer rings and holes."""
-
-    edges = boundary_edges(labels)
+def polygonize(labels: DataFrame, cell: int = 512) -> DataFrame:
+    """(label, ring_no, ring array<struct<x, y>>): outlines of regions in pixel corners, outer rings and holes. cell: the side of a chunk in pixels."""
     by = [*keys(labels), "label"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = trace_rings(list(pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)))
-        same = {c: [pdf[c].iloc[0]] * len(rings) for c in by}
-        return pd.DataFrame(same | {"ring_no": range(len(rings)), "ring": [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]})
-
-    ring = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    ship(edges.sparkSession)
-    return edges.groupBy(*by).applyInPandas(run, T.StructType([*(edges.schema[c] for c in by), T.StructField("ring_no", T.IntegerType()), T.StructField("ring", ring)]))
+    found = rings(boundary_edges(labels), by, cell)
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.get("ring", 0), F.get("ring", 1))) - 1
+    return found.withColumn("ring_no", number).select(*by, "ring_no", "ring")
 
 
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
