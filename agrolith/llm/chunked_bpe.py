@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,13 +189,32 @@ def _places(found: Cores, shared: np.ndarray | None, keys: np.ndarray) -> np.nda
     return np.ones(len(keys), bool) if shared is None else in_bitmap(shared, keys[:, 0] & (BITS - 1))
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").astype("<u2").tobytes() if not ids or max(ids) < 1 << 16 else b"\xff" + np.array(ids, "<u4").tobytes()
+def packed(ids: np.ndarray) -> bytes:
+    """Two bytes for each id, or four after one byte more."""
+    return ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\xff" + ids.astype("<u4").tobytes()
 
 
-def unpacked(data: bytes) -> list[int]:
-    """An odd count of bytes tells ids of four bytes."""
-    return np.frombuffer(data[1:], "<u4").tolist() if len(data) % 2 else np.frombuffer(data, "<u2").tolist()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], "<u4") if len(data) % 2 else np.frombuffer(data, "<u2")
+
+
+@lru_cache(maxsize=2)
+def joined_tokens(model: str) -> pa.Array | None:
+    """The tokens by id, if the library's decoding is to join them with spaces; it is asked about all ids at once, one by one in turn with the first."""
+    lib = library(model)
+    tokens = [lib.id_to_token(i) for i in range(lib.get_vocab_size())]
+    ids = [i for k in range(len(tokens)) for i in (0, k)]
+    if None in tokens or lib.decode(ids, skip_special_tokens=False) != " ".join(tokens[i] for i in ids):
+        return None
+    return pa.array(tokens)
+
+
+def decoded(model: str, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts of runs of ids."""
+    tokens = joined_tokens(model)
+    if tokens is None:
+        return pa.array(library(model).decode_batch([flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], skip_special_tokens=False), pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens.take(pa.array(flat, pa.int32()))), " ")
 
 
 def _bit(key: Column) -> Column:
@@ -240,13 +260,13 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
         table = word_table(model, most_words)
         for block in blocks(batches, "core"):
             flat, at = table.ids(block.column(2).to_pylist())
-            ids = [packed(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            ids = [packed(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(ids, pa.binary())], ["k1", "k2", "core_ids"])
 
     once = arrow_map(rows.select(body), texts_of, "k1 long, k2 long, core string").groupBy("k1", "k2").agg(F.first("core").alias("core"))
     known = arrow_map(once, encoded, "k1 long, k2 long, core_ids binary")
 
-    def parted(block: pa.RecordBatch, table: WordTable, closed: bool) -> tuple[pa.RecordBatch, list[tuple[list[int], list[int], list[int]]]]:
+    def parted(block: pa.RecordBatch, table: WordTable, closed: bool) -> tuple[pa.RecordBatch, list[tuple[np.ndarray, list[int], list[np.ndarray]]]]:
         """The block's texts without a shared core, or those with one; and of each its own ids, where shared cores come in, and their numbers in keys."""
         found = cores(block.column(block.num_columns - 1), bits)
         keys = found.keys()
@@ -256,28 +276,30 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
         texts = np.flatnonzero(is_open != closed)
         mine = np.flatnonzero(np.isin(found.owner, texts) & ~hits)
         flat, at = table.ids([found.text(a, b) for a, b in zip(found.starts[mine].tolist(), found.stops[mine].tolist(), strict=True)])
-        core_ids = {int(k): flat[a:b].tolist() for k, a, b in zip(mine, at[:-1], at[1:], strict=True)}
+        core_ids = {int(k): flat[a:b] for k, a, b in zip(mine, at[:-1], at[1:], strict=True)}
         between, out = joins(found, table, table.lib, texts), []
         for t in texts.tolist():
             if (gaps := between[t]) is None:
-                out.append((whole(table.lib, [found.text(int(found.offsets[t]), int(found.offsets[t + 1]))])[0], [], []))
+                out.append((np.array(whole(table.lib, [found.text(int(found.offsets[t]), int(found.offsets[t + 1]))])[0], np.int32), [], []))
                 continue
-            first = int(np.searchsorted(found.owner, t))
-            ids, at, which = list(gaps[0]), [], []
+            first, n = int(np.searchsorted(found.owner, t)), len(gaps[0])
+            ids, at, which = [np.array(gaps[0], np.int32)], [], []
             for k, gap in enumerate(gaps[1:], first):
                 if hits[k]:
-                    at.append(len(ids))
-                    which.append(k)
+                    at.append(n)
+                    which.append(keys[k])
                 else:
-                    ids += core_ids[k]
-                ids += gap
-            out.append((ids, at, [keys[k] for k in which]))
+                    ids.append(core_ids[k])
+                ids.append(np.array(gap, np.int32))
+                n += len(ids[-1]) + (0 if hits[k] else len(ids[-2]))
+            out.append((np.concatenate(ids), at, which))
         return block.take(pa.array(texts)), out
 
-    def result(kept: list[pa.Array], ids: list[list[int]]) -> pa.RecordBatch:
-        lib = library(model)
-        decoded = lib.decode_batch(ids, skip_special_tokens=False)
-        return pa.RecordBatch.from_arrays([kept[0], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), *kept[1:]], names)
+    def result(kept: list[pa.Array], ids: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *map(len, ids)])
+        flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([kept[0], lists, decoded(model, flat, offsets), *kept[1:]], names)
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(model, most_words)
@@ -301,9 +323,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
             for own, at, parts in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist(), strict=True):
                 own, ids, last = unpacked(own), [], 0
                 for a, part in zip(at, parts or [], strict=True):
-                    ids += own[last:a] + unpacked(part["core_ids"])
+                    ids += [own[last:a], unpacked(part["core_ids"])]
                     last = a
-                all_ids.append(ids + own[last:])
+                all_ids.append(np.concatenate([*ids, own[last:]]).astype(np.int32))
             yield result(batch.columns[:n], all_ids)
 
     longs = T.ArrayType(T.LongType())
