@@ -1,8 +1,8 @@
 """Field extraction: from an index raster to field polygons with statistics, confidence and management zones.
 
 pixels: (row, col, ndvi, valid), with raster_id if the table holds several rasters. The steps are those of the other operators: smoothing and
-gradient, interior and seeds, flooding, region size, cut by roads, outlines, area, simplification, pixels inside by ray casting,
-statistics. Roads are cut out of the pixels (those whose centre is near a road), not out of the outlines, so a cut is as fine as a pixel.
+gradient, interior and seeds, flooding, region size, outlines, area, simplification of shared borders, cut by roads, pixels inside by ray
+casting, statistics. Roads are cut out of the outlines, so a cut is as fine as the road.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from agrolith.functions import bandmath as bm
 from agrolith.functions import geometry as geo
-from agrolith.operators import segment, stencil, zonal
+from agrolith.operators import overlay, segment, stencil, zonal
 from agrolith.operators.grid import keys
 from agrolith.operators.scratch import written
 
@@ -34,6 +34,7 @@ class Rules:
     tolerance_m: float = 3.0
     road_m: float = 5.0
     zones: int = 3
+    area_first: bool = True
 
 
 @dataclass(frozen=True)
@@ -76,36 +77,33 @@ def regions(pixels: DataFrame, frame: Frame, rules: Rules) -> DataFrame:
     return segment.min_regions(segment.flood_raster(cost).where("label >= 0"), rules.least_pixels)
 
 
-def near_roads(pixels: DataFrame, roads: DataFrame, frame: Frame, metres: float) -> DataFrame:
-    """(row, col) of the pixels whose centre is within `metres` of a road. roads: (ax, ay, bx, by) segments.
+def polygons(labels: DataFrame, frame: Frame, rules: Rules) -> DataFrame:
+    """(label, rings): outlines in coordinates, the outer ring first, of the regions whose area is within the limits.
 
-    Segments go to the cells of a grid that their bounds touch: an equi-join, not a product.
+    Borders that two regions share are simplified once. rules.area_first tells whether the limits hold before or after that.
     """
-    reach, cell = metres / METRES, 64 * max(frame.dx, frame.dy)
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell))
-    placed = roads.select("ax", "ay", "bx", "by", F.explode(span(F.col("ax"), F.col("bx"))).alias("_cx")).withColumn("_cy", F.explode(span(F.col("ay"), F.col("by"))))
-    centres = pixels.select(*keys(pixels), "row", "col", frame.x(F.col("col") + 0.5).alias("x"), frame.y(F.col("row") + 0.5).alias("y"))
-    centres = centres.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    distance = geo.distance_to_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    return centres.join(placed, ["_cx", "_cy"]).where(distance <= reach).select(*keys(pixels), "row", "col").distinct()
+    by = [*keys(labels), "label"]
+    limits = lambda area: bm.area_ha(area).between(rules.least_ha, rules.most_ha)
+    if rules.area_first:
+        kept = labels.groupBy(*by).count().where(limits(F.col("count") * (frame.dx * frame.dy))).select(*by)
+        labels = labels.join(kept, by)
+    ring = F.transform("ring", lambda p: F.struct(frame.x(p["x"]).alias("x"), frame.y(p["y"]).alias("y")))
+    rings = segment.simplify_shared(labels.select(*by, "row", "col"), rules.tolerance_m / METRES, (frame.dx, frame.dy)).select(*by, ring.alias("ring"))
+    ordered = F.array_sort(F.collect_list(F.struct((-geo.area(F.col("ring"))).alias("a"), "ring")))
+    found = rings.groupBy(*by).agg(F.abs(F.sum(geo.signed_area(F.col("ring")))).alias("_area"), F.transform(ordered, lambda r: r["ring"]).alias("rings")).where(geo.valid_ring(F.get("rings", 0)))
+    return (found if rules.area_first else found.where(limits(F.col("_area")))).drop("_area")
 
 
-def without_roads(labels: DataFrame, roads: DataFrame, frame: Frame, rules: Rules) -> DataFrame:
-    """(row, col, label) without pixels near roads; what a road cuts apart gets labels of its own."""
-    at = [*keys(labels), "row", "col"]
-    return segment.components(labels.join(near_roads(labels, roads, frame, rules.road_m), at, "left_anti"), frame.width, within="label")
+#: Parts of an outline that roads may leave.
+MOST_PARTS = 1 << 12
 
 
-def polygons(labels: DataFrame, frame: Frame, rules: Rules) -> DataFrame:
-    """(label, rings): outlines in coordinates, the outer ring first, of the regions whose area is within the limits, then simplified."""
-    by = [*keys(labels), "label"]
-    ring = F.transform("ring", lambda p: F.struct(frame.x(p["x"]).alias("x"), frame.y(p["y"]).alias("y")))
-    rings = segment.polygonize(labels).withColumn("ring", ring).withColumn("a", geo.signed_area(F.col("ring")))
-    hectares = bm.area_ha(F.abs(F.sum("a")))
-    kept = rings.groupBy(*by).agg(hectares.alias("ha")).where(F.col("ha").between(rules.least_ha, rules.most_ha)).select(*by)
-    simple = segment.simplify(rings.join(kept, by).select(*by, "ring"), rules.tolerance_m / METRES)
-    ordered = F.array_sort(F.collect_list(F.struct((-geo.area(F.col("ring"))).alias("a"), "ring")))
-    return simple.groupBy(*by).agg(F.transform(ordered, lambda r: r["ring"]).alias("rings")).where(geo.valid_ring(F.get("rings", 0)))
+def cut_outlines(outlines: DataFrame, roads: DataFrame, rules: Rules) -> DataFrame:
+    """(label, rings): the outlines without what lies within rules.road_m of a road; each part has a label of its own, in the order of labels."""
+    by = [*keys(outlines), "label"]
+    cut = overlay.cut_by_roads(outlines.select(*by, "rings"), roads, rules.road_m / METRES, by)
+    number = F.when(F.col("part") < MOST_PARTS, F.col("label") * MOST_PARTS + F.col("part")).otherwise(F.raise_error(F.lit("roads leave too many parts of an outline")).cast("bigint"))
+    return cut.withColumn("label", number.cast("bigint")).drop("part")
 
 
 def members(pixels: DataFrame, outlines: DataFrame, frame: Frame) -> DataFrame:
@@ -154,7 +152,7 @@ def zones(pixels: DataFrame, fields: DataFrame, frame: Frame, rules: Rules) -> D
 def extract(pixels: DataFrame, frame: Frame, roads: DataFrame | None = None, rules: Rules = Rules(), source: str = "ndvi_bands") -> DataFrame:
     """Fields of each raster, as features gives them."""
     pixels = written(pixels)
-    labels = written(regions(pixels, frame, rules))
+    outlines = written(polygons(written(regions(pixels, frame, rules)), frame, rules))
     if roads is not None:
-        labels = written(without_roads(labels, roads, frame, rules))
-    return features(pixels, written(polygons(labels, frame, rules)), frame, source, source == "ndvi_bands")
+        outlines = written(cut_outlines(outlines, roads, rules))
+    return features(pixels, outlines, frame, source, source == "ndvi_bands")

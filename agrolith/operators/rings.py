@@ -7,6 +7,7 @@ chains; only chains that leave their cell take part in the components. A ring, a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
 import pyarrow as pa
@@ -27,10 +28,12 @@ def turn(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y3: Column)
     return F.when(angle < 1e-12, 2 * pi).otherwise(angle)
 
 
-def successors(edges: DataFrame, by: list[str]) -> DataFrame:
-    """The edges with nx, ny: the end of the edge that follows."""
+def successors(edges: DataFrame, by: list[str], stops: DataFrame | None = None) -> DataFrame:
+    """The edges with nx, ny: the end of the edge that follows. stops: (by..., x2, y2), points at which an edge has no successor (nulls)."""
     out = edges.select(*by, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("nx"), F.col("y2").alias("ny"))
-    near = edges.select(*by, *_AT).join(out, [*by, "x2", "y2"])
+    if stops is not None:
+        out = out.join(stops, [*by, "x2", "y2"], "left_anti")
+    near = edges.select(*by, *_AT).join(out, [*by, "x2", "y2"], "inner" if stops is None else "left")
     first = Window.partitionBy(*by, *_AT).orderBy(turn(*(F.col(c) for c in (*_AT, "nx", "ny"))), "nx", "ny")
     return near.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*by, *_AT, "nx", "ny")
 
@@ -60,69 +63,83 @@ def simple_loops(points: list[tuple[float, float]]) -> list[list[tuple[float, fl
     return [*loops, path]
 
 
-def _chains(table: pa.Table, by: list[str]) -> pa.Table:
-    """Chains of a cell's edges: whether they are closed, their first edge, the edge that follows the last, and where each edge begins."""
-    cols = [table[c].to_pylist() for c in (*_AT, "nx", "ny")]
-    after = {(a, b, c, d): (c, d, e, f) for a, b, c, d, e, f in zip(*cols, strict=True)}
+def _linked(after: dict[tuple, tuple]) -> list[tuple[bool, tuple, tuple, list[tuple]]]:
+    """Chains of edges, open ones first: whether closed, the first edge, what follows the last, and the edges in order."""
     inner = {n for n in after.values() if n in after}
-    rows: list[tuple] = []
+    found = []
     for closed, starts in ((False, [e for e in after if e not in inner]), (True, list(after))):
         for start in starts:
-            if start not in after:
-                continue
-            here, points = start, []
+            here, own = start, []
             while here in after:
-                points.append({"x": here[0], "y": here[1]})
+                own.append(here)
                 here = after.pop(here)
-            rows.append((closed, start, here, points))
+            if own:
+                found.append((closed, start, here, own))
+    return found
+
+
+def _chains(table: pa.Table, by: list[str]) -> pa.Table:
+    """Chains of a cell's edges: whether they are closed, their first edge, the edge that follows the last (null: none), and their points but the last."""
+    after = {(a, b, c, d): (c, d, e, f) for a, b, c, d, e, f in zip(*(table[c].to_pylist() for c in (*_AT, "nx", "ny")), strict=True)}
+    rows = _linked(after)
     edge = pa.struct([(c, table.schema.field(c).type) for c in _AT])
     point = pa.list_(pa.struct([("x", table.schema.field("x1").type), ("y", table.schema.field("x1").type)]))
-    named = [[dict(zip(_AT, r[k], strict=True)) for r in rows] for k in (1, 2)]
+    named = [[None if r[k][2] is None else dict(zip(_AT, r[k], strict=True)) for r in rows] for k in (1, 2)]
+    points = [[{"x": e[0], "y": e[1]} for e in own] + ([{"x": own[-1][2], "y": own[-1][3]}] if following[2] is None else []) for _, _, following, own in rows]
     same = {c: pa.concat_arrays([table[c].slice(0, 1).combine_chunks()] * len(rows)) for c in by}
-    return pa.table(same | {"closed": pa.array([r[0] for r in rows], pa.bool_()), "first": pa.array(named[0], edge), "following": pa.array(named[1], edge), "points": pa.array([r[3] for r in rows], point)})
+    return pa.table(same | {"closed": pa.array([r[0] for r in rows], pa.bool_()), "first": pa.array(named[0], edge), "following": pa.array(named[1], edge), "points": pa.array(points, point)})
 
 
-def rings(edges: DataFrame, by: list[str], cell: float, split: bool = False) -> DataFrame:
-    """(by..., ring array<struct<x, y>>): closed rings that begin at their least corner, without straight points. cell: the side of a cell.
+def chains(edges: DataFrame, by: list[str], cell: float, stops: DataFrame | None = None) -> DataFrame:
+    """(by..., closed, points array<struct<x, y>>): edges (each once) joined to closed chains, and to open ones between stops.
 
-    split: rings are cut where they touch themselves, so that outer rings and holes are simple.
+    A closed chain doesn't repeat its first point; an open one has both ends. Cells' chains are made in tasks and joined by components.
     """
     ship(edges.sparkSession)
     kind = edges.schema["x1"].dataType
     edge, point = T.StructType([T.StructField(c, kind) for c in _AT]), T.ArrayType(T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
     held = [edges.schema[c] for c in by]
-    placed = successors(edges, by).withColumn("_cx", F.floor(F.col("x1") / cell)).withColumn("_cy", F.floor(F.col("y1") / cell))
+    placed = successors(edges, by, stops).withColumn("_cx", F.floor(F.col("x1") / cell)).withColumn("_cy", F.floor(F.col("y1") / cell))
     schema = T.StructType([*held, T.StructField("closed", T.BooleanType()), T.StructField("first", edge), T.StructField("following", edge), T.StructField("points", point)])
-    chains = written(placed.groupBy(*by, "_cx", "_cy").applyInArrow(lambda t: _chains(t, by), schema))
-    whole = chains.where("closed").select(*by, "points")
-    open_ = chains.where("not closed")
-    if not open_.isEmpty():
-        node = F.struct(*by, "first").alias("node")
-        links = open_.select(node.alias("a"), F.struct(*by, F.col("following").alias("first")).alias("b"))
-        found = connected_components(open_.select(node), links)
-        parts = open_.withColumn("node", node).join(found, "node").select(*by, "component", "first", "following", "points")
-
-        def joined(table: pa.Table) -> pa.Table:
-            own = {tuple(r["first"].values()): (tuple(r["following"].values()), r["points"]) for r in table.select(["first", "following", "points"]).to_pylist()}
-            here, points = min(own), []
-            while here in own:
-                here, more = own.pop(here)
-                points += more
-            return table.slice(0, 1).select(by).append_column("points", pa.array([points], table.schema.field("points").type))
-
-        whole = whole.unionByName(parts.groupBy(*by, "component").applyInArrow(joined, T.StructType([*held, T.StructField("points", point)])))
-
-    def shaped(batches):
+    found = written(placed.groupBy(*by, "_cx", "_cy").applyInArrow(lambda t: _chains(t, by), schema))
+    ended = F.col("following").isNull()
+    whole, open_ = found.where("closed").select(*by, "closed", "points"), found.where("not closed")
+    if open_.where(~ended).isEmpty():
+        return whole.unionByName(open_.select(*by, "closed", "points"))
+    node = F.struct(*by, "first").alias("node")
+    links = open_.where(~ended).select(node.alias("a"), F.struct(*by, F.col("following").alias("first")).alias("b"))
+    parts = open_.withColumn("node", node).join(connected_components(open_.select(node), links), "node").select(*by, "component", "first", "following", "points")
+
+    def joined(table: pa.Table) -> pa.Table:
+        rows = {tuple(r["first"].values()): r for r in table.select(["first", "following", "points"]).to_pylist()}
+        ((closed, _, _, own),) = _linked({k: tuple(r["following"].values()) if r["following"] else (None,) * 4 for k, r in rows.items()})
+        points = [p for k in own for p in rows[k]["points"]]
+        return table.slice(0, 1).select(by).append_column("closed", pa.array([closed])).append_column("points", pa.array([points], table.schema.field("points").type))
+
+    return whole.unionByName(parts.groupBy(*by, "component").applyInArrow(joined, T.StructType([*held, T.StructField("closed", T.BooleanType()), T.StructField("points", point)])))
+
+
+def rings(edges: DataFrame, by: list[str], cell: float, split: bool = False, straight: bool = False) -> DataFrame:
+    """(by..., ring array<struct<x, y>>): closed rings that begin at their least corner. cell: the side of a cell.
+
+    split: rings are cut where they touch themselves, so that outer rings and holes are simple. straight: points in straight runs stay.
+    """
+    whole = chains(edges, by, cell).select(*by, "points")
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
             for k, points in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 path = [(p["x"], p["y"]) for p in points]
                 for loop in simple_loops(path) if split else [path]:
                     if ring := corners(loop):
+                        if straight:
+                            n = loop.index(ring[0])
+                            ring = loop[n:] + loop[:n]
                         at.append(k)
                         out.append([{"x": float(x), "y": float(y)} for x, y in (*ring, ring[0])])
             kept = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], [*by, "ring"])
 
     double = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    return whole.mapInArrow(shaped, T.StructType([*held, T.StructField("ring", double)]))
+    return whole.mapInArrow(shaped, T.StructType([*(edges.schema[c] for c in by), T.StructField("ring", double)]))

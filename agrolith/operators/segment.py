@@ -6,14 +6,17 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agrolith.operators.graph import connected_components
 from agrolith.operators.grid import keys
-from agrolith.operators.rings import rings
+from agrolith.operators.overlay import crossings
+from agrolith.operators.rings import chains, rings
 from agrolith.operators.scratch import forget, ship, written
 from agrolith.operators.stencil import windowed
 
@@ -223,35 +226,100 @@ def polygonize(labels: DataFrame, cell: int = 512) -> DataFrame:
     return found.withColumn("ring_no", number).select(*by, "ring_no", "ring")
 
 
-def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker on a path; ends stay."""
-    keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]
+def arcs(labels: DataFrame, cell: int = 512) -> DataFrame:
+    """(arc, a, b, closed, points): the borders between regions, each once, from one point where three borders or more meet to the next.
+
+    a, b: the labels on the left and right hand, b null beside no region. A border that meets no other is closed and begins at its least point.
+    """
+    held = keys(labels)
+    directed = boundary_edges(labels)
+    forth = F.struct("x1", "y1") < F.struct("x2", "y2")
+    ends = [F.when(forth, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    sides = directed.select(*held, *ends, F.when(forth, F.col("label")).alias("l"), F.when(~forth, F.col("label")).alias("r"))
+    once = sides.groupBy(*held, "x1", "y1", "x2", "y2").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # Directed with the lesser label on the left, the same along a border.
+    turned = F.coalesce(F.col("l") > F.col("r"), F.col("l").isNull())
+    at = [F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    once = written(once.select(*held, F.when(turned, F.col("r")).otherwise(F.col("l")).alias("a"), F.when(turned, F.col("l")).otherwise(F.col("r")).alias("b"), *at))
+    nodes = once.select(*held, F.col("x1").alias("x2"), F.col("y1").alias("y2")).unionByName(once.select(*held, "x2", "y2")).groupBy(*held, "x2", "y2").count().where("count <> 2")
+    found = chains(once.select(*held, "x1", "y1", "x2", "y2"), held, cell, nodes.drop("count"))
+    first = F.when(F.col("closed"), F.array_position("points", F.array_min("points")).cast("int") - 1).otherwise(0)
+    found = found.withColumn("_n", first)
+    path = F.when(F.col("closed"), F.concat(F.slice("points", F.col("_n") + 1, F.size("points")), F.slice("points", 1, F.col("_n")), F.array(F.array_min("points")))).otherwise(F.col("points"))
+    found = found.select(*held, "closed", path.alias("points"))
+    p, q = F.get("points", 0), F.get("points", 1)
+    found = found.select(*held, "closed", "points", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    return found.join(once, [*held, "x1", "y1", "x2", "y2"]).select(*held, F.struct("x1", "y1", "x2", "y2").alias("arc"), "a", "b", "closed", "points")
+
+
+def simplify_shared(labels: DataFrame, tolerance: float, size: tuple[float, float] = (1.0, 1.0), cell: int = 512) -> DataFrame:
+    """(label, ring_no, ring) in pixel corners: outlines whose shared borders are simplified once, so that neighbours still share them.
+
+    tolerance: in the unit of size, a pixel's width and height. Ends of borders stay. A border that would collapse, lie on another or cross one stays
+    as it is; this is repeated until no two meet.
+    """
+    held = keys(labels)
+    known = written(arcs(labels, cell))
+    kind = known.schema["points"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = []
+            for points in batch.column(batch.num_columns - 1).to_pylist():
+                short = simplified_path(np.array([(p["x"], p["y"]) for p in points], float) * size, tolerance)
+                new.append([points[k] for k in short] if len(short) >= 4 or points[0] != points[-1] else points)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, batch.schema.field("points").type)], [*batch.schema.names, "short"])
+
+    ship(known.sparkSession)
+    short = written(known.select(*held, "arc", "a", "b", "points").mapInArrow(run, T.StructType([*(known.schema[c] for c in (*held, "arc", "a", "b", "points")), T.StructField("short", kind)])))
+    pair = lambda c: F.explode(F.slice(F.zip_with(c, F.slice(c, 2, F.size(c)), lambda p, q: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))), 1, F.size(c) - 1))
+    while True:
+        edges = written(short.select(*held, "arc", pair("short").alias("e")).select(*held, "arc", *(F.col(f"e.{n}.{axis}").alias(f"{axis}{k}") for k, n in ((1, "p"), (2, "q")) for axis in "xy")))
+        at = [*held, "x1", "y1", "x2", "y2"]
+        met = crossings(edges.select(*at).distinct(), held, cell).select(*held, *(F.col(f"edge.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
+        twice = edges.groupBy(*at).count().where("count > 1").select(*at)
+        bad = edges.join(met.unionByName(twice).distinct(), at).select(*held, "arc").distinct().withColumn("bad", F.lit(True))
+        new = written(short.join(bad, [*held, "arc"], "left").withColumn("short", F.when(F.col("bad"), F.col("points")).otherwise(F.col("short"))).withColumn("bad", F.col("bad") & (F.size("short") > 2)))
+        if new.where("bad").isEmpty():
+            break
+        changed = short.join(new.where("bad").select(*held, "arc"), [*held, "arc"], "left_semi").where(F.size("short") < F.size("points"))
+        done, short = changed.isEmpty(), new.drop("bad")
+        if done:
+            break
+    way = lambda label, ends: short.where(F.col(label).isNotNull()).select(*held, F.col(label).alias("label"), F.explode(F.slice(F.zip_with("short", F.slice("short", 2, F.size("short")), lambda p, q: F.struct(p.alias("p"), q.alias("q"))), 1, F.size("short") - 1)).alias("e")).select(*held, "label", *(F.col(f"e.{n}.{axis}").alias(f"{axis}{k}") for k, n in zip((1, 2), ends, strict=True) for axis in "xy"))
+    by = [*held, "label"]
+    found = rings(way("a", "pq").unionByName(way("b", "qp")), by, cell, straight=True)
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.get("ring", 0), F.get("ring", 1))) - 1
+    return found.withColumn("ring_no", number).select(*by, "ring_no", "ring")
+
+
+def simplified_path(points: np.ndarray, tolerance: float) -> list[int]:
+    """Douglas-Peucker: places of the points that stay; both ends do."""
+    keep, stack = [0, len(points) - 1], [(0, len(points) - 1)]
     while stack:
         a, b = stack.pop()
-        (ax, ay), (bx, by) = points[a], points[b]
-        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        worst, at = tolerance, None
-        for k in range(a + 1, b):
-            x, y = points[k]
-            d = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / length if length else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
-            if d > worst:
-                worst, at = d, k
-        if at is not None:
-            keep.add(at)
-            stack += [(a, at), (at, b)]
-    return [points[k] for k in sorted(keep)]
+        if b - a < 2:
+            continue
+        way, inner = points[b] - points[a], points[a + 1 : b] - points[a]
+        length = float(np.hypot(*way))
+        away = np.abs(way[0] * inner[:, 1] - way[1] * inner[:, 0]) / length if length else np.hypot(inner[:, 0], inner[:, 1])
+        at = int(away.argmax())
+        if away[at] > tolerance:
+            keep.append(a + 1 + at)
+            stack += [(a, a + 1 + at), (a + 1 + at, b)]
+    return sorted(keep)
 
 
 def simplify(rings: DataFrame, tolerance: float, ring: str = "ring") -> DataFrame:
-    """The same rows with rings simplified; a ring that would fall below four points stays as it is."""
+    """The same rows with rings simplified one by one; a ring that would fall below four points stays as it is."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            new = []
-            for r in pdf[ring]:
-                short = simplified([(p["x"], p["y"]) for p in r], tolerance)
-                new.append([{"x": x, "y": y} for x, y in short] if len(short) >= 4 else [{"x": p["x"], "y": p["y"]} for p in r])
-            yield pdf.assign(**{ring: new})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, new = batch.schema.get_field_index(ring), []
+            for points in batch.column(k).to_pylist():
+                short = simplified_path(np.array([(p["x"], p["y"]) for p in points]), tolerance) if points else []
+                new.append([points[n] for n in short] if len(short) >= 4 else points)
+            yield batch.set_column(k, ring, pa.array(new, batch.schema.field(ring).type))
 
     ship(rings.sparkSession)
-    return rings.mapInPandas(run, rings.schema)
+    return rings.mapInArrow(run, rings.schema)

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from agrolith.operators import grid, warp
+from agrolith.functions import geometry as geo
+from agrolith.operators import grid, overlay, segment, warp
 from agrolith.operators.scratch import shared_dir
 from agrolith.plans.queries import POINTS, points, query, r6, table
 from agrolith.sources import geotiff
@@ -116,3 +117,77 @@ def warp_there_and_back(spark, sf_dir):
     source, target = mercator(spark, sf_dir)
     there = warp.warp(raster(spark, sf_dir), source, target, [], ("k",))
     return warp.warp(there, target, source, [], ("k",)).where("k IS NOT NULL").select("row", "col", "k")
+
+
+# --- overlays --------------------------------------------------------------------------------------------------------------------------
+
+#: Fields and strips as boxes on whole numbers, some fields with a hole, from suppliers and customers; a strip belongs to the field of its number.
+BOXES = """f AS (SELECT s_suppkey AS id, s_suppkey % 7 * 10 AS w, s_nationkey % 5 * 10 AS s, s_suppkey % 7 * 10 + 20 + s_nationkey AS e, s_nationkey % 5 * 10 + 15 + s_suppkey % 9 AS n FROM supplier),
+ g AS (SELECT c_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS id, c_custkey % 43 AS w, c_custkey * 7 % 41 - 5 AS s, c_custkey % 43 + 2 + c_nationkey % 4 AS e, c_custkey * 7 % 41 + 3 + c_nationkey AS n FROM customer),
+ c AS (SELECT id, unnest(range(120)) AS x FROM f), p AS (SELECT id, x, unnest(range(-5, 100)) AS y FROM c),
+ i AS (SELECT p.id, x, y, x >= w AND x < e AND y >= s AND y < n AND NOT (id % 2 = 0 AND x >= w + 2 AND x < w + 9 AND y >= s + 3 AND y < s + 11) AS a FROM p JOIN f USING (id)),
+ j AS (SELECT id, x, y, a, EXISTS (SELECT 1 FROM g WHERE g.id = i.id AND x >= w AND x < e AND y >= s AND y < n) AS b FROM i)"""
+
+
+def _box(w, s, e, n):
+    return geo.box(*(c.cast("double") for c in (w, s, e, n)))
+
+
+def boxes(spark, sf_dir):
+    """The fields, and the strips."""
+    s = table(spark, sf_dir, "supplier")
+    west, south = F.col("s_suppkey") % 7 * 10, F.col("s_nationkey") % 5 * 10
+    outer = _box(west, south, west + 20 + F.col("s_nationkey"), south + 15 + F.col("s_suppkey") % 9)
+    hole = _box(west + 2, south + 3, west + 9, south + 11)
+    fields = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+    most = s.agg(F.max("s_suppkey")).first()[0] or 1
+    c = table(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    strip = _box(key % 43, key * 7 % 41 - 5, key % 43 + 2 + nation % 4, key * 7 % 41 + 3 + nation)
+    return fields, c.select((key % most + 1).alias("id"), F.array(strip).alias("rings"))
+
+
+def _area(found):
+    total = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.signed_area(r))
+    return found.select("id", total.alias("a")).groupBy("id").agg(r6(F.sum("a")).alias("area"))
+
+
+@query(
+    f"""WITH {BOXES}, t AS (SELECT id, unnest(['difference', 'intersection', 'union']) AS result, unnest([count(*) FILTER (a AND NOT b), count(*) FILTER (a AND b), count(*) FILTER (a OR b)]) AS area FROM j GROUP BY id)
+ SELECT id, result, CAST(area AS DOUBLE) AS area FROM t WHERE area > 0"""
+)
+def overlay_areas(spark, sf_dir):
+    """Areas of fields without their strips, under them, and with them; unit squares are counted by the SQL."""
+    fields, strips = boxes(spark, sf_dir)
+    strips = strips.join(fields.select("id"), "id", "left_semi")
+    found = None
+    for name, polygons in overlay.overlay(fields, strips, ["id"], ("difference", "intersection", "union"), 1000.0, 8.0).items():
+        own = _area(polygons).select("id", F.lit(name).alias("result"), "area")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query(
+    f"""WITH {BOXES}, u AS (SELECT g.id, x, y FROM g, (SELECT unnest(range(-5, 60)) AS x), (SELECT unnest(range(-10, 90)) AS y) WHERE x >= w AND x < e AND y >= s AND y < n GROUP BY ALL)
+ SELECT id, CAST(count(*) AS DOUBLE) AS area FROM u GROUP BY id"""
+)
+def union_areas(spark, sf_dir):
+    """Areas of each field's strips as one."""
+    return _area(overlay.union(boxes(spark, sf_dir)[1], ["id"], 1000.0, 8.0))
+
+
+@query(
+    """SELECT o_orderkey AS id, CAST(2 AS BIGINT) AS parts, CAST(8 AS BIGINT) AS points, CAST(2 * (5 + o_orderkey % 11) * (4 + o_custkey % 13) AS DOUBLE) AS area FROM orders WHERE o_orderkey % 3 <> 0
+ UNION ALL SELECT o_orderkey, 1, 5, CAST(4 * (5 + o_orderkey % 11) * (4 + o_custkey % 13) AS DOUBLE) FROM orders WHERE o_orderkey % 3 = 0"""
+)
+def valid_parts(spark, sf_dir):
+    """Bow-ties become two triangles, rings with a spike and repeated points a rectangle."""
+    o = table(spark, sf_dir, "orders")
+    w, h = 2.0 * (5 + F.col("o_orderkey") % 11), 2.0 * (4 + F.col("o_custkey") % 13)
+    ring = lambda *at: F.array(*(F.struct((F.lit(0.0) + x * w).alias("x"), (F.lit(0.0) + y * h).alias("y")) for x, y in at))
+    tie = ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))
+    spike = ring((0, 0), (1, 0), (1, 0), (1.5, 0), (1, 0), (1, 1), (0.5, 1), (0, 1), (0, 0))
+    bad = o.select(F.col("o_orderkey").alias("id"), F.array(F.when(F.col("o_orderkey") % 3 == 0, spike).otherwise(tie)).alias("rings"))
+    found = overlay.make_valid(bad, ["id"], 1000.0, 64.0)
+    area = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.signed_area(r))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size(F.flatten("rings"))).alias("points"), r6(F.sum(area)).alias("area"))

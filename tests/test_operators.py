@@ -74,7 +74,7 @@ def test_outlines_have_the_regions_area(spark):
     rings = segment.polygonize(labels).select("label", geo.signed_area(F.col("ring")).alias("a"), (F.get("ring", 0) == F.element_at("ring", -1)).alias("closed")).collect()
     assert all(r.closed for r in rings)
     assert {k: abs(sum(r.a for r in rings if r.label == k)) for k in (1, 2)} == {1: 8.0, 2: 3.0}
-    assert segment.simplified([(0, 0), (1, 0.01), (2, 0), (2, 2)], 0.1) == [(0, 0), (2, 0), (2, 2)]
+    assert segment.simplified_path(np.array([(0, 0), (1, 0.01), (2, 0), (2, 2)]), 0.1) == [0, 2, 3]
 
 
 def test_distances_are_exact(spark):
