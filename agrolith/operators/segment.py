@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from agrolith.operators.graph import connected_components
 from agrolith.operators.grid import keys
 from agrolith.operators.overlay import crossings
 from agrolith.operators.rings import chains, rings
-from agrolith.operators.scratch import forget, ship, written
+from agrolith.operators.scratch import ship, written
 from agrolith.operators.stencil import windowed
 
 _FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
@@ -117,94 +117,144 @@ def lowest_parabolas(centres: list[int], heights: list[int], places: list[int])
     return found
 
 
-def flood(chunks: DataFrame, key: str, cost: str = "cost", seed: str = "seed") -> DataFrame:
-    """Seeded flooding (watershed) inside each chunk: pixels join the seed that reaches them over the lowest costs.
-
-    chunks: (key, row, col, cost, seed or null). A chunk is bounded by its size in pixels. Ties go to the smaller seed, then the
-    pixel read first. Unreached pixels have label null.
-    """
-    kind = chunks.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"], ignore_index=True)
-        at = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"], strict=True))}
-        label: list[int | None] = [None] * len(pdf)
-        heap: list[tuple] = [(0.0, int(s), i, i) for i, s in enumerate(pdf[seed]) if s == s and s is not None]
-        order = len(pdf)
-        while heap:
-            level, s, _, i = heappop(heap)
-            if label[i] is not None:
-                continue
-            label[i] = s
-            for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-                j = at.get((pdf["row"][i] + dr, pdf["col"][i] + dc))
-                if j is not None and label[j] is None:
-                    order += 1
-                    heappush(heap, (max(level, float(pdf[cost][j])), s, order, j))
-        return pd.DataFrame({key: pdf[key], "row": pdf["row"], "col": pdf["col"], "label": pd.array(label, "Int64")})
-
-    ship(chunks.sparkSession)
-    return chunks.groupBy(key).applyInPandas(run, f"{key} {kind}, row bigint, col bigint, label bigint")
-
-
-def flood_raster(pixels: DataFrame, rows: int = 64, cost: str = "cost", seed: str = "seed") -> DataFrame:
+#: No label, and the sides of a chunk: which of its rows or columns lies there, and the way to the next chunk.
+NO_LABEL = 1 << 62
+SIDES = ((0, None, -1, 0), (-1, None, 1, 0), (None, 0, 0, -1), (None, -1, 0, 1))
+
+
+class Chunk:
+    """A square of pixels with what lies around it. Absent pixels have infinite cost. halo: the four rows and columns beyond its sides."""
+
+    def __init__(self, size: int, data: bytes | None = None) -> None:
+        self.size, n = size, size * size
+        if data is None:
+            self.cost, self.level = np.full((size, size), np.inf), np.full((size, size), np.inf)
+            self.label = np.full((size, size), NO_LABEL)
+            self.halo_level, self.halo_label = np.full((4, size), np.inf), np.full((4, size), NO_LABEL)
+            return
+        real, whole = np.frombuffer(data, float), np.frombuffer(data, np.int64)
+        self.cost, self.level, self.label = real[:n].reshape(size, size), real[n : 2 * n].reshape(size, size).copy(), whole[2 * n : 3 * n].reshape(size, size).copy()
+        self.halo_level, self.halo_label = real[3 * n : 3 * n + 4 * size].reshape(4, size).copy(), whole[3 * n + 4 * size :].reshape(4, size).copy()
+
+    def data(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.cost, self.level, self.label, self.halo_level, self.halo_label))
+
+    def side(self, k: int, values: np.ndarray) -> np.ndarray:
+        row, col, _, _ = SIDES[k]
+        return values[row] if row is not None else values[:, col]
+
+    def framed(self, inner: np.ndarray, halo: np.ndarray, none: float) -> np.ndarray:
+        wide = np.full((self.size + 2, self.size + 2), none, inner.dtype)
+        wide[1:-1, 1:-1] = inner
+        wide[0, 1:-1], wide[-1, 1:-1], wide[1:-1, 0], wide[1:-1, -1] = halo
+        return wide
+
+    def relax(self, name: str) -> bool:
+        """Spread levels, or labels along ways that give pixels their levels, by sweeps in four directions until nothing changes; whether anything did."""
+        level = self.framed(self.level, self.halo_level, np.inf)
+        value = level if name == "level" else self.framed(self.label, self.halo_label, NO_LABEL)
+        cost, before = self.framed(self.cost, np.full((4, self.size), np.inf), np.inf), None
+        start = value.copy()
+        while before is None or not np.array_equal(before, value):
+            before = value.copy()
+            for v, lv, c in ((value, level, cost), (value[::-1], level[::-1], cost[::-1]), (value.T, level.T, cost.T), (value.T[::-1], level.T[::-1], cost.T[::-1])):
+                for k in range(1, self.size + 1):
+                    if name == "level":
+                        v[k, 1:-1] = np.minimum(v[k, 1:-1], np.maximum(v[k - 1, 1:-1], c[k, 1:-1]))
+                    else:
+                        way = (np.maximum(lv[k - 1, 1:-1], c[k, 1:-1]) == lv[k, 1:-1]) & (v[k - 1, 1:-1] < v[k, 1:-1]) & (c[k, 1:-1] < np.inf)
+                        v[k, 1:-1][way] = v[k - 1, 1:-1][way]
+        setattr(self, name, value[1:-1, 1:-1].copy())
+        return not np.array_equal(start[1:-1, 1:-1], value[1:-1, 1:-1])
+
+
+def flood_raster(pixels: DataFrame, size: int = 256, cost: str = "cost", seed: str = "seed") -> DataFrame:
     """(row, col, label): seeded flooding of a whole raster. Absent pixels aren't flooded, unreached ones have label null.
 
     First each pixel's level is found, the least of the largest costs on ways from a seed; then labels run from seeds along ways that give
     pixels their levels, and a pixel takes the least label that comes. Both are least fixed points, so the result doesn't depend on
-    chunks, and regions hang together. Each round floods chunks of `rows` rows, starting from what the pixels beyond their borders
-    have, until no pixel changes: as many rounds as the farthest way crosses borders, and one more, for levels and again for labels.
+    chunks, and regions hang together. Chunks of size x size pixels are flooded on arrays; after that only chunks whose neighbours' borders have
+    changed are, so the rounds are as many as the chunks that a seed's region spans, and a round reads and writes what it changes.
     """
-    at = F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col(cost).cast("double").alias("cost")
-    start = F.when(F.col(seed).isNotNull(), 0.0).alias("level"), F.col(seed).cast("bigint").alias("label"), F.lit(True).alias("changed")
     held = keys(pixels)
-    state = written(pixels.select(*held, F.floor(F.col("row") / rows).alias("chunk"), *at, *start, F.lit(True).alias("own")))
-    ship(state.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return flood_chunk(column, pdf)
-
-    for column in ("level", "label"):
-        state = written(state.withColumn("changed", F.col(column).isNotNull()))
-        schema = state.schema
-        while not state.where("changed").isEmpty():
-            beyond = [
-                state.where((F.pmod("row", F.lit(rows)) == edge) & F.col("changed")).withColumns({"chunk": F.col("chunk") + step, "own": F.lit(False)})
-                for edge, step in ((0, -1), (rows - 1, 1))
-            ]
-            # Changed pixels start again in their own chunk too, which only seeds in the first round need.
-            new = written(state.unionByName(beyond[0]).unionByName(beyond[1]).groupBy(*held, "chunk").applyInPandas(run, schema))
-            forget(state)
-            state = new
-    return state.select(*held, "row", "col", "label")
-
-
-def flood_chunk(column: str, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A chunk's own pixels after its changed pixels have spread their levels, or their labels where levels are known."""
-    rows, cols, costs, levels = pdf["row"].tolist(), pdf["col"].tolist(), pdf["cost"].tolist(), pdf["level"].tolist()
-    own, place = pdf["own"].tolist(), {}
-    for i, at in enumerate(zip(rows, cols, strict=True)):
-        place[at] = i
-    best = [v if known else None for v, known in zip(pdf[column].tolist(), pdf[column].notna(), strict=True)]
-    heap = [(best[i], i) for i, fresh in enumerate(pdf["changed"]) if fresh and best[i] is not None]
-    heapify(heap)
-    changed = [False] * len(own)
-    while heap:
-        value, i = heappop(heap)
-        if best[i] != value:
-            continue
-        for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-            j = place.get((rows[i] + dr, cols[i] + dc))
-            if j is None or not own[j]:
-                continue
-            if column == "label" and max(levels[i], costs[j]) != levels[j]:
-                continue
-            offer = max(value, costs[j]) if column == "level" else value
-            if best[j] is None or offer < best[j]:
-                best[j], changed[j] = offer, True
-                heappush(heap, (offer, j))
-    out = pdf.assign(**{column: pd.array(best, "Float64" if column == "level" else "Int64"), "changed": changed})
-    return out[pd.Series(own, index=pdf.index)]
+    at = [F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")]
+    placed = pixels.select(*held, *at, F.col(cost).cast("double").alias("cost"), F.col(seed).cast("bigint").alias("seed")).withColumn("cy", F.floor(F.col("row") / size)).withColumn("cx", F.floor(F.col("col") / size))
+    by = [*held, "cy", "cx"]
+    schema = T.StructType([*(placed.schema[c] for c in by), T.StructField("side", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    ship(placed.sparkSession)
+
+    def rows(key: dict, chunk: Chunk, version: int, sent: list[tuple[int, bytes]]) -> pa.Table:
+        """The chunk's state (side -1) and, for its neighbours, what they see of it."""
+        found = [key | {"side": -1, "version": version, "data": chunk.data()}]
+        for k, data in sent:
+            _, _, dy, dx = SIDES[k]
+            found.append(key | {"cy": key["cy"] + dy, "cx": key["cx"] + dx, "side": k ^ 1, "version": version, "data": data})
+        return pa.Table.from_pylist(found, schema=to_arrow_schema(schema))
+
+    def sides(chunk: Chunk, name: str, before: np.ndarray | None) -> list[tuple[int, bytes]]:
+        values = getattr(chunk, name)
+        none = np.inf if name == "level" else NO_LABEL
+        found = [(k, chunk.side(k, values), None if before is None else chunk.side(k, before)) for k in range(4)]
+        return [(k, np.ascontiguousarray(now).tobytes()) for k, now, old in found if (now < none).any() and (old is None or not np.array_equal(now, old))]
+
+    def first(table: pa.Table) -> pa.Table:
+        key, chunk = table.select(by).slice(0, 1).to_pylist()[0], Chunk(size)
+        place = table["row"].to_numpy() % size, table["col"].to_numpy() % size
+        chunk.cost[place] = np.maximum(table["cost"].fill_null(np.inf).to_numpy(), 0.0)
+        seeds, known = table["seed"].fill_null(0).to_numpy(), table["seed"].is_valid().to_numpy()
+        chunk.label[place[0][known], place[1][known]] = seeds[known]
+        chunk.level[place[0][known], place[1][known]] = 0.0
+        chunk.relax("level")
+        return rows(key, chunk, 0, sides(chunk, "level", None))
+
+    def again(name: str, version: int, states: pa.Table, seen: pa.Table | None) -> pa.Table:
+        if not states.num_rows:  # a neighbour beyond the raster
+            return to_arrow_schema(schema).empty_table()
+        at = int(np.argmax(states["version"].to_numpy()))
+        key, chunk = states.select(by).slice(at, 1).to_pylist()[0], Chunk(size, states["data"][at].as_py())
+        before = None if seen is None else getattr(chunk, name).copy()
+        for r in [] if seen is None else seen.to_pylist():
+            (chunk.halo_level if name == "level" else chunk.halo_label)[r["side"]] = np.frombuffer(r["data"], float if name == "level" else np.int64)
+        chunk.relax(name)
+        return rows(key, chunk, version, sides(chunk, name, before))
+
+    state, version = written(placed.groupBy(*by).applyInArrow(first, schema)), 0
+    states, last = state.where("side = -1"), state
+    for name in ("level", "label"):
+        if name == "label":
+            version += 1
+            last = written(states.groupBy(*by).applyInArrow(_alone(again, name, version), schema))
+            states = states.unionByName(last.where("side = -1"))
+        while not (sent := last.where("side >= 0")).isEmpty():
+            version += 1
+            sent = sent.select(*(F.col(c).alias(c) for c in sent.columns))  # columns of their own, apart from the states'
+            known = states.join(sent.select(*by).distinct(), by, "left_semi")
+            last = written(known.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_seeing(again, name, version), schema))
+            states = states.unionByName(last.where("side = -1"))
+
+    def pixels_of(table: pa.Table) -> pa.Table:
+        at = int(np.argmax(table["version"].to_numpy()))
+        key, chunk = table.select(by).slice(at, 1).to_pylist()[0], Chunk(size, table["data"][at].as_py())
+        row, col = np.nonzero(np.isfinite(chunk.cost) | (chunk.label < NO_LABEL))
+        label = chunk.label[row, col]
+        same = {c: pa.array([key[c]] * len(row), table.schema.field(c).type) for c in held}
+        return pa.table(same | {"row": pa.array(row + key["cy"] * size), "col": pa.array(col + key["cx"] * size), "label": pa.array(label, mask=label == NO_LABEL)})
+
+    return states.groupBy(*by).applyInArrow(pixels_of, T.StructType([*(placed.schema[c] for c in held), *(T.StructField(c, T.LongType()) for c in ("row", "col", "label"))]))
+
+
+def _alone(again: Callable, name: str, version: int) -> Callable:
+    def run(states: pa.Table) -> pa.Table:
+        return again(name, version, states, None)
+
+    return run
+
+
+def _seeing(again: Callable, name: str, version: int) -> Callable:
+    def run(states: pa.Table, seen: pa.Table) -> pa.Table:
+        return again(name, version, states, seen)
+
+    return run
 
 
 def boundary_edges(labels: DataFrame) -> DataFrame:

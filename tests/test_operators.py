@@ -97,7 +97,7 @@ def test_distances_are_exact(spark):
 def test_flood_reaches_all_and_separates_basins(spark):
     cost = [[0, 0, 9, 0, 0]] * 3
     cells = raster(spark, cost).select(F.lit(1).alias("k"), "row", "col", F.col("v").alias("cost"), F.when((F.col("row") == 1) & F.col("col").isin(0, 4), F.col("col")).alias("seed"))
-    got = {(r.row, r.col): r.label for r in segment.flood(cells, "k").collect()}
+    got = {(r.row, r.col): r.label for r in segment.flood_raster(cells).collect()}
     assert all(got[r, 0] == got[r, 1] == 0 and got[r, 3] == got[r, 4] == 4 for r in range(3))
     assert None not in got.values()
 
@@ -107,11 +107,9 @@ def test_flood_crosses_chunk_borders(spark):
     cost = r.integers(0, 6, (50, 9)).astype(float)
     cost[10] = 9.0
     cells = raster(spark, cost).where("row != 20 or col > 0").select("row", "col", F.col("v").alias("cost"), F.when((F.col("row") % 17 == 3) & (F.col("col") == 4), F.col("row") * 9 + 4).alias("seed"))
-    one_chunk = {(x.row, x.col): x.label for x in segment.flood(cells.withColumn("k", F.lit(1)), "k").collect()}
-    for rows in (7, 50):
-        assert {(x.row, x.col): x.label for x in segment.flood_raster(cells, rows).collect()} == one_chunk
-    chunked = {(x.row, x.col): x.label for x in segment.flood(cells.withColumn("k", F.expr("row div 7")), "k").collect()}
-    assert None in chunked.values() and None not in one_chunk.values()
+    one_chunk = {(x.row, x.col): x.label for x in segment.flood_raster(cells).collect()}
+    assert None not in one_chunk.values()
+    assert {(x.row, x.col): x.label for x in segment.flood_raster(cells, 7).collect()} == one_chunk
     assert {x.label for x in segment.flood_raster(cells.withColumn("seed", F.lit(None).cast("bigint")), 7).collect()} == {None}
 
 
