@@ -9,6 +9,9 @@ Prefix filter: for each template, the heaviest terms are taken until the rest is
 Cauchy-Schwarz inequality a unit without any of them stays below the threshold, so only units with one of these few words are exploded
 and joined with the templates' postings. This loses nothing and moves no texts.
 
+A tag whose line is an expression (OR, AND, WITH an exception) of known names gives the expression. A bare reservation of rights inside a
+sentence counts only in a text with a copyright notice, and never against a licence that the file inherits.
+
 A file's own licence is that of its best unit: by the template's strength first (a tag, or the clause that tells two licences apart, before a
 sentence of a licence's text, before a short notice, before a bare reservation of rights), then by cosine. A file without one inherits from
 the nearest directory above it (its own first) that has a licence file with a licence, found by joining the exploded ancestors of
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 from agrolith.llm.common import written
 
-#: A unit's cosine from which on it carries a template's licence; a tag must fit but for rounding.
-LEAST, LEAST_TAG = 0.6, 0.99
+#: A unit's cosine from which on it carries a template's licence; short notices that differ in one word need more, and a tag must fit but for rounding.
+LEAST, LEAST_POINTER, LEAST_TAG = 0.6, 0.9, 0.99
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 #: What separates sentences: a stop and white space, or a line without letters and digits.
 SENTENCE_END = r"[.!?][\x20\x09-\x0D]+|\n[^A-Za-z0-9\n]*\n"
@@ -89,10 +92,29 @@ TEMPLATES: tuple[Template, ...] = (
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", SHORT_NOTICE),
     Template("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal.", SHORT_NOTICE),
     Template("Unlicense", "This is free and unencumbered software released into the public domain."),
+    Template("MIT", "This project is licensed under the MIT License, see the LICENSE file for details.", SHORT_NOTICE, LEAST_POINTER),
+    Template("MIT", "This project is licensed under the MIT license, see LICENSE for details", SHORT_NOTICE, LEAST_POINTER),
+    Template("Apache-2.0", "This project is licensed under the Apache License 2.0, see the LICENSE file for details.", SHORT_NOTICE, LEAST_POINTER),
+    Template("BSD-3-Clause", "This project is licensed under the BSD 3-Clause License, see the LICENSE file for details.", SHORT_NOTICE, LEAST_POINTER),
+    Template("ISC", "Licensed under the ISC License.", SHORT_NOTICE, LEAST_POINTER),
+    Template("Zlib", "Licensed under the zlib License.", SHORT_NOTICE, LEAST_POINTER),
+    Template("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    Template("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    Template("EPL-2.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v20.html"),
+    Template("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", SHORT_NOTICE, LEAST_POINTER),
+    Template("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", SHORT_NOTICE, LEAST_POINTER),
+    Template("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", SHORT_NOTICE, LEAST_POINTER),
     Template("Proprietary", "All rights reserved.", RESERVED),
     *(Template(t.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {t}", DECIDING, LEAST_TAG) for t in TAGS),
 )
 
+#: A tag's expression of two names or more, what it may hold beside names, and the names that are known.
+EXPRESSION = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)+)"
+EXCEPTION, BETWEEN, LATER = r"[ \t]+WITH[ \t]+[A-Za-z0-9.-]+", r"[ \t()]+", r"-only|-or-later"
+#: What makes a reservation inside a sentence a notice.
+COPYRIGHT = r"(?i)copyright|\(c\)|©"
+
 
 def terms_of(text: Column) -> Column:
     """Runs of a-z and 0-9 in the lower-cased text."""
@@ -154,18 +176,26 @@ def own_licenses(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     by_line = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("unit"), t.alias("t")))
     by_sentence = F.transform(F.split("text", SENTENCE_END), lambda t, i: F.struct((-2 - i).alias("unit"), t.alias("t")))
     each = F.concat(whole, by_line, by_sentence)
-    units = lines.select("key", "path", F.explode(F.filter(each, lambda u: has_key(u["t"]))).alias("u")).select("key", "path", "u.unit", terms_of(F.col("u.t")).alias("w"))
+    noted, expression = F.col("text").rlike(COPYRIGHT).alias("noted"), F.when(F.col("u.unit") >= 0, F.regexp_extract("u.t", EXPRESSION, 1)).otherwise("").alias("expression")
+    units = lines.select("key", "path", noted, F.explode(F.filter(each, lambda u: has_key(u["t"]))).alias("u")).select("key", "path", "noted", "u.unit", terms_of(F.col("u.t")).alias("w"), expression)
     units = written(units.distinct())
-    tf = units.select("key", "path", "unit", F.explode("w").alias("term")).groupBy("key", "path", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = units.select("key", "path", "noted", "unit", F.explode("w").alias("term")).groupBy("key", "path", "noted", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf_table = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))  # the templates' terms
     weighted = tf.join(idf_table, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rarest)))
     norms = weighted.groupBy("key", "path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     postings = F.broadcast(spark.createDataFrame([(w, k, x) for k, v in enumerate(weights) for w, x in v.items()], "term string, template int, weight double"))
-    dots = weighted.join(postings, "term").groupBy("key", "path", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = weighted.join(postings, "term").groupBy("key", "path", "noted", "unit", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     names, strengths, leasts = (F.lit([t[k] for t in templates]) for k in (0, 2, 3))
     scored = dots.join(norms, ["key", "path", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= F.get(leasts, F.col("template")))
-    best = scored.groupBy("key", "path").agg(F.min(F.struct((-F.get(strengths, F.col("template"))).alias("weakest"), (-F.col("score")).alias("worst"), "template", "unit")).alias("b"))
-    return best.select(F.col("key.v").alias(key), F.col("path").alias(path), F.get(names, F.col("b.template")).alias("license"), (-F.col("b.worst")).alias("score"), (-F.col("b.weakest")).alias("strength"), F.col("b.unit").alias("unit"))
+    strength = F.get(strengths, F.col("template"))
+    scored = scored.where((strength > RESERVED) | (F.col("unit") >= -1) | F.col("noted")).select("key", "path", "unit", "template", "score", strength.alias("strength"), F.get(names, F.col("template")).alias("license"))
+    known = sorted({t.removesuffix("-only").removesuffix("-or-later") for t in TAGS})
+    name = F.regexp_replace("expression", LATER, "")
+    parts = F.split(F.regexp_replace(name, EXCEPTION, ""), BETWEEN)
+    tagged = units.where(F.col("expression") != "").where(F.forall(parts, lambda x: x.isin("", "AND", "OR", *known)))
+    tagged = tagged.select("key", "path", "unit", F.lit(-1).alias("template"), F.lit(1.0).alias("score"), F.lit(DECIDING).alias("strength"), name.alias("license"))
+    best = scored.unionByName(tagged).groupBy("key", "path").agg(F.min(F.struct((-F.col("strength")).alias("weakest"), (-F.col("score")).alias("worst"), "template", "unit", "license")).alias("b"))
+    return best.select(F.col("key.v").alias(key), F.col("path").alias(path), "b.license", (-F.col("b.worst")).alias("score"), (-F.col("b.weakest")).alias("strength"), "b.unit")
 
 
 def directory_of(path: Column) -> Column:
@@ -189,14 +219,16 @@ def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: st
         own.where(F.col("path").rlike(LICENSE_FILE))
         .groupBy(_tidy(directory_of(F.col("path"))).alias("above"))
         .agg(F.min(F.struct((-F.col("strength")).alias("weakest"), (-F.col("score")).alias("worst"), "path", "key", "license")).alias("b"))
-        .select("above", F.col("b.license").alias("inherited"))
+        .select("above", F.col("b.license").alias("inherited"), (-F.col("b.weakest")).alias("above_strength"))
     )
     directories = named.select(_tidy(directory_of(F.col("path"))).alias("directory")).distinct()
     above = directories.select("directory", F.explode(ancestors_of(F.col("directory"))).alias("a")).select("directory", "a.up", "a.above")
-    nearest = above.join(by_directory, "above").groupBy("directory").agg(F.min(F.struct("up", "inherited")).alias("near")).select("directory", "near.up", "near.inherited")
+    nearest = above.join(by_directory, "above").groupBy("directory").agg(F.min(F.struct("up", "inherited", "above_strength")).alias("near")).select("directory", "near.*")
     rows = named.select(F.struct(F.col("key").alias("v")).alias("key"), "path", _tidy(directory_of(F.col("path"))).alias("directory"))
-    mine = own.select("key", "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"))
+    mine = own.select("key", "path", F.col("license").alias("own_license"), F.col("score").alias("own_score"), "strength")
     joined = rows.join(mine, ["key", "path"], "left").join(nearest, "directory", "left")
+    yields = F.coalesce((F.col("strength") == RESERVED) & (F.col("above_strength") > RESERVED), F.lit(False))
+    joined = joined.withColumns({c: F.when(~yields, F.col(c)) for c in ("own_license", "own_score")})
     origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return joined.select(
         F.col("key.v").alias(key), F.col("path").alias(path), "own_license", "own_score", F.coalesce("own_license", "inherited").alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("up")).alias("up")

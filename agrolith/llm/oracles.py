@@ -53,6 +53,7 @@ def tfidf_licenses() -> str:
     """op8: own licences by cosine, and the nearest directory's."""
     quoted = ", ".join(f"({k}, '{t.license}', '{t.text}', {t.strength}, {t.least})" for k, t in enumerate(licenses.TEMPLATES))
     terms = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    known = ", ".join(f"'{t}'" for t in sorted({t.removesuffix("-only").removesuffix("-or-later") for t in licenses.TAGS}))
     return f"""
 WITH tpl(k, name, body, strength, least) AS (VALUES {quoted}), tt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest({terms.format("body")}) AS term FROM tpl) GROUP BY k, term),
 f0 AS (SELECT doc_id, coalesce(text, '') AS t, concat_ws('/', source, lang, 'd' || CAST(doc_id // 10 % 100 AS VARCHAR)) AS dir, n_chars <= 400 AS is_file FROM documents),
@@ -66,12 +67,16 @@ ut AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unne
 ux AS (SELECT doc_id, unit, term, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM ut CROSS JOIN n LEFT JOIN idf USING (term)),
 un AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM ux GROUP BY 1, 2),
 s AS (SELECT doc_id, unit, k, round(sum(x * weight) / any_value(norm), 6) AS score FROM ux JOIN post USING (term) JOIN un USING (doc_id, unit) GROUP BY 1, 2, 3),
-best AS (SELECT doc_id, name, score, strength FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY strength DESC, score DESC, k, unit) AS r FROM s JOIN tpl USING (k) WHERE score >= least) WHERE r = 1),
-lf AS (SELECT dir AS above, name FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY strength DESC, score DESC, dir || '/LICENSE.' || doc_id) AS r FROM best JOIN f0 USING (doc_id) WHERE is_file) WHERE r = 1),
+ex AS (SELECT doc_id, unit, regexp_replace(x, '{licenses.LATER}', '', 'g') AS name FROM (SELECT doc_id, unit, regexp_extract(body, '{licenses.EXPRESSION}', 1) AS x FROM u WHERE unit >= 0) WHERE x <> ''),
+cand AS (SELECT doc_id, unit, k, name, strength, score FROM s JOIN tpl USING (k) JOIN f0 USING (doc_id) WHERE score >= least AND (strength > {licenses.RESERVED} OR unit >= -1 OR regexp_matches(t, '{licenses.COPYRIGHT}'))
+ UNION ALL SELECT doc_id, unit, -1, name, {licenses.DECIDING}, 1.0 FROM ex WHERE len(list_filter(regexp_split_to_array(regexp_replace(name, '{licenses.EXCEPTION}', '', 'g'), '{licenses.BETWEEN}'), lambda x: x NOT IN ('', 'AND', 'OR', {known}))) = 0),
+best AS (SELECT doc_id, name, score, strength FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY strength DESC, score DESC, k, unit) AS r FROM cand) WHERE r = 1),
+lf AS (SELECT dir AS above, name, strength FROM (SELECT dir, name, strength, row_number() OVER (PARTITION BY dir ORDER BY strength DESC, score DESC, dir || '/LICENSE.' || doc_id) AS r FROM best JOIN f0 USING (doc_id) WHERE is_file) WHERE r = 1),
 up AS (SELECT DISTINCT dir, i AS up, array_to_string(string_split(dir, '/')[1:len(string_split(dir, '/')) - i], '/') AS above FROM f0, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE i <= len(string_split(dir, '/'))),
-near AS (SELECT dir, min(struct_pack(up := up, name := name)) AS m FROM up JOIN lf USING (above) GROUP BY dir)
-SELECT doc_id, best.name AS own_license, best.score AS own_score, coalesce(best.name, m.name) AS license, CASE WHEN best.name IS NOT NULL THEN 'own' WHEN m IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
- CASE WHEN best.name IS NULL THEN CAST(m.up AS INTEGER) END AS up FROM f0 LEFT JOIN best USING (doc_id) LEFT JOIN near USING (dir)"""
+near AS (SELECT dir, min(struct_pack(up := up, name := name, strength := strength)) AS m FROM up JOIN lf USING (above) GROUP BY dir),
+own AS (SELECT doc_id, best.* EXCLUDE (doc_id) FROM best JOIN f0 USING (doc_id) LEFT JOIN near USING (dir) WHERE NOT coalesce(best.strength = {licenses.RESERVED} AND m.strength > {licenses.RESERVED}, false))
+SELECT doc_id, own.name AS own_license, own.score AS own_score, coalesce(own.name, m.name) AS license, CASE WHEN own.name IS NOT NULL THEN 'own' WHEN m IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+ CASE WHEN own.name IS NULL THEN CAST(m.up AS INTEGER) END AS up FROM f0 LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)"""
 
 
 def hard_negatives() -> str:

@@ -611,6 +611,26 @@ def test_licenses_of_usual_files_and_headers(spark):
     assert not wrong, wrong[:20]
 
 
+def test_license_expressions_pointers_and_reservations(spark):
+    go = "Copyright 2009 The Go Authors. All rights reserved.\nUse of this source code is governed by a BSD-style license that can be found in the LICENSE file."
+    boost = "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)"
+    eclipse = "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    own = [
+        ("GPL-2.0 OR MIT", "SPDX-License-Identifier: GPL-2.0-only OR MIT"), ("Apache-2.0 WITH LLVM-exception", "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception"), ("(MIT OR Apache-2.0) AND BSD-3-Clause", "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"),
+        (None, "SPDX-License-Identifier: Odd-1.0 OR MIT"), ("MIT", "SPDX-License-Identifier: MIT"), ("BSL-1.0", boost), ("EPL-2.0", eclipse), ("CC-BY-4.0", cc.format("Attribution")), ("CC-BY-SA-4.0", cc.format("Attribution-ShareAlike")), ("CC-BY-NC-4.0", cc.format("Attribution-NonCommercial")),
+        ("MIT", "This project is licensed under the MIT license, see LICENSE for details"), ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."), (None, "This project is licensed under the Foo license, see LICENSE for details"), ("Proprietary", "Copyright 2020 Example. All rights reserved."), ("Proprietary", "All rights reserved."),
+        (None, "As the novel ends, we read this in it: nothing. All rights reserved. So it goes on."), ("Proprietary", go), ("ISC", "Licensed under the ISC License."), (None, "Licensed under the Foo License."),
+    ]
+    made = [(f"h{k}/main.c", t, x, x, "own" if x else "none") for k, (x, t) in enumerate(own)]
+    made += [("go/LICENSE", BSD_3 + NO_WARRANTY, "BSD-3-Clause", "BSD-3-Clause", "own"), ("go/src/a.go", go, None, "BSD-3-Clause", "inherited"), ("go/src/b.go", "SPDX-License-Identifier: MIT", "MIT", "MIT", "own")]
+    made += [(f"p{k}/a.txt", f"the words of an everyday text number {k} under the sun and of the free public", None, None, "none") for k in range(300)]
+    frame = spark.createDataFrame([(k, p, t) for k, (p, t, *_) in enumerate(made)], "doc_id long, path string, text string")
+    found = {r.doc_id: (r.own_license, r.license, r.origin) for r in licenses.scan(frame).collect()}
+    wrong = [(m[0], m[2:], found[k]) for k, m in enumerate(made) if found[k] != m[2:]]
+    assert not wrong, wrong
+
+
 def test_license_of_a_null_key(spark):
     frame = spark.createDataFrame([(None, "Licensed under the MIT License.", "a/x"), (None, "Licensed under the MIT License.", None), (2, "words", "a/y"), (None, "other words", "a/z")], "doc_id long, text string, path string")
     assert sorted((r.path, r.own_license, r.origin) for r in licenses.scan(frame).collect()) == [("", "MIT", "own"), ("a/x", "MIT", "own"), ("a/y", None, "none"), ("a/z", None, "none")]
