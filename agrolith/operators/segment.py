@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from agrolith.operators.graph import connected_components
+from agrolith.operators.graph import star_components
 from agrolith.operators.grid import keys
 from agrolith.operators.overlay import crossings
 from agrolith.operators.rings import chains, rings
@@ -21,23 +21,60 @@ from agrolith.operators.scratch import ship, written
 from agrolith.operators.stencil import windowed
 
 _FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
+#: Rows and columns of a chunk, whose pixels are labelled as arrays.
+CHUNK = 256
+
+
+def least_labels(number: np.ndarray, kind: np.ndarray, connectivity: int) -> np.ndarray:
+    """The least number of each pixel's component; kind: -1 beyond the mask, and only pixels of one kind are neighbours. Sweeps in four directions until nothing changes."""
+    label, before = number.copy(), None
+    while before is None or not np.array_equal(before, label):
+        before = label.copy()
+        for turn in range(4):
+            v, k = np.rot90(label, turn), np.rot90(kind, turn)
+            for row in range(1, len(v)):
+                for a, b in ((slice(None), slice(None)), *(((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))) if connectivity == 8 else ())):
+                    same = (k[row, a] == k[row - 1, b]) & (k[row, a] >= 0)
+                    v[row, a][same] = np.minimum(v[row, a][same], v[row - 1, b][same])
+    return label
 
 
 def components(mask: DataFrame, width: Column, connectivity: int = 4, within: str | None = None) -> DataFrame:
     """(row, col, label): label is the least row * width + col of the pixel's component. mask: (row, col) of marked pixels.
 
-    within: a column of the mask; only pixels that are equal in it are neighbours.
+    within: a column of the mask; only pixels that are equal in it are neighbours. Chunks are labelled in tasks; labels that meet across chunks'
+    borders are joined by components of a graph of labels.
     """
     held = keys(mask)
-    number = (F.col("row") * width + F.col("col")).cast("bigint")
     same = [within] if within else []
-    marked = written(mask.select(*held, *(F.col(c).alias("_same") for c in same), "row", "col", (F.struct("raster_id", number.alias("n")) if "raster_id" in held else number).alias("node")))
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _FORWARD[connectivity]))
+    at = F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")
+    marked = mask.select(*held, *(F.col(c).alias("_same") for c in same), *at, (F.col("row") * width + F.col("col")).cast("bigint").alias("n"))
+    placed = marked.withColumn("_cy", F.floor(F.col("row") / CHUNK)).withColumn("_cx", F.floor(F.col("col") / CHUNK))
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, number = np.full((CHUNK, CHUNK), -1), np.zeros((CHUNK, CHUNK), np.int64)
+        place = table["row"].to_numpy() % CHUNK, table["col"].to_numpy() % CHUNK
+        kind[place] = table["_same"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() if same else 0
+        number[place] = table["n"].to_numpy()
+        label = least_labels(number, kind, connectivity)[place]
+        return table.select([*held, *("_same" for _ in same), "row", "col"]).append_column("label", pa.array(label))
+
+    ship(mask.sparkSession)
+    fields = [placed.schema[c] for c in (*held, *("_same" for _ in same), "row", "col")]
+    labelled = written(placed.groupBy(*held, "_cy", "_cx").applyInArrow(run, T.StructType([*fields, T.StructField("label", T.LongType())])))
+    # Pixels on the borders of chunks meet those beyond.
     by = [*held, *("_same" for _ in same)]
-    near = marked.select(*by, F.col("node").alias("a"), "row", "col", F.explode(steps).alias("s")).select(*by, "a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    edges = near.join(marked.withColumnRenamed("node", "b"), [*by, "row", "col"]).select("a", "b")
-    label = F.col("component.n" if "raster_id" in held else "component")
-    return connected_components(marked.select("node"), edges).join(marked, "node").select(*held, "row", "col", label.alias("label"))
+    border = labelled.where(F.pmod("row", F.lit(CHUNK)).isin(0, CHUNK - 1) | F.pmod("col", F.lit(CHUNK)).isin(0, CHUNK - 1))
+    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _FORWARD[connectivity]))
+    near = border.select(*by, F.col("label").alias("_a"), "row", "col", F.explode(steps).alias("s"))
+    other = lambda axis, step: F.floor(F.col(axis) / CHUNK) != F.floor((F.col(axis) + F.col(step)) / CHUNK)
+    near = near.where(other("row", "s.r") | other("col", "s.c")).select(*by, "_a", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    node = lambda label: F.struct(*held, F.col(label).alias("n"))
+    edges = written(near.join(border, [*by, "row", "col"]).where(F.col("_a") != F.col("label")).select(node("_a").alias("a"), node("label").alias("b")).distinct())
+    if edges.isEmpty():
+        return labelled.select(*held, "row", "col", "label")
+    joined = star_components(edges)
+    return labelled.withColumn("node", node("label")).join(joined, "node", "left").select(*held, "row", "col", F.coalesce("component.n", "label").alias("label"))
 
 
 def min_regions(labels: DataFrame, least: int) -> DataFrame:
