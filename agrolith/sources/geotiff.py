@@ -214,9 +214,8 @@ def packbits_decoded(data: bytes) -> bytes:
             out += data[k + 1 : k + 2 + n]
             k += n + 2
         else:
-            if n > 128:
-                out += data[k + 1 : k + 2] * (257 - n)
-            k += 2
+            out += data[k + 1 : k + 2] * (257 - n) if n > 128 else b""
+            k += 2 if n > 128 else 1
     return bytes(out)
 
 
