@@ -29,11 +29,6 @@ def pixels(rows: DataFrame, row: str, values: str, name: str = "v") -> DataFrame
     return rows.select(F.col(row).cast("bigint").alias("row"), F.posexplode(values).alias("col", name)).withColumn(name, F.col(name).cast("double"))
 
 
-def scanlines(grid: DataFrame, value: str = "v") -> DataFrame:
-    """(row, values): each row's values in the order of columns. A scan line is bounded by the raster's width."""
-    return grid.groupBy(*keys(grid), "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", value))), lambda x: x[value]).alias("values"))
-
-
 def downsample(grid: DataFrame, factor: int, mean: list[str], first: list[str] = ()) -> DataFrame:
     """Blocks of factor x factor pixels: means of bands, and for class bands the value of the first pixel."""
     order = F.struct("row", "col")
@@ -95,6 +90,37 @@ def upsample_lanczos(grid: DataFrame, factor: int, height: Column, width: Column
     return upsample(grid, factor, height, width, lanczos_shares(factor), value)
 
 
+def reduction_shares(factor: int, lobes: int = 3) -> tuple[int, list[float]]:
+    """The first offset and the weights of the source pixels factor * target + offset in a reduction with the windowed sinc; they add up to 1."""
+    x = {k: pi * (k + 0.5 - factor / 2) / factor for k in range(-lobes * factor, (lobes + 1) * factor)}
+    raw = {k: 1.0 if abs(v) < 1e-12 else lobes * sin(v) * sin(v / lobes) / (v * v) for k, v in x.items() if abs(v) < lobes * pi}
+    return min(raw), [w / sum(raw.values()) for _, w in sorted(raw.items())]
+
+
+def reduce_lanczos(grid: DataFrame, factor: int, height: Column, width: Column, origin: tuple[int, int] = (0, 0), value: str = "v") -> DataFrame:
+    """Reduction with the Lanczos kernel of three lobes, edges repeated; its rows and columns are those of the whole plane, divided by the factor.
+
+    origin: the plane's row and column of the grid's first pixel. Shares are added up with partial aggregation, so blocks need no margins.
+    """
+    held = keys(grid)
+    least, weights = reduction_shares(factor)
+    most, reach = least + len(weights) - 1, max(-least, least + len(weights) - 1)
+
+    def spread(df: DataFrame, axis: str, first: int, size: Column) -> DataFrame:
+        other, at = "col" if axis == "row" else "row", F.col(axis) + first
+        low, high = F.lit(first).cast("bigint"), first + size - 1
+        before = F.when(at == low, F.sequence(low - reach, low)).otherwise(F.array(at))
+        after = F.when(at == high, F.sequence(high, high + reach)).otherwise(F.array(at))
+        moved = df.select(*held, other, value, low.alias("_low"), high.alias("_high"), F.explode(F.array_distinct(F.concat(before, after))).alias("_at"))
+        to = F.sequence(F.ceil((F.col("_at") - most) / factor), F.floor((F.col("_at") - least) / factor))
+        sent = moved.select(*held, other, value, "_low", "_high", "_at", F.explode(to).alias(axis)).where(F.col(axis).between(F.floor(F.col("_low") / factor), F.floor(F.col("_high") / factor)))
+        share = F.get(F.lit(weights), (F.col("_at") - factor * F.col(axis) - least).cast("int"))
+        return sent.groupBy(*held, other, axis).agg(F.sum(F.col(value) * share).alias(value))
+
+    across = spread(grid.select(*held, F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), value), "col", origin[1], width)
+    return spread(across, "row", origin[0], height)
+
+
 def crop(grid: DataFrame, inside: Column) -> DataFrame:
     """Pixels for which a predicate holds; of a raster without any, all."""
     if held := keys(grid):

@@ -302,7 +302,7 @@ def boundary_edges(labels: DataFrame) -> DataFrame:
     near = labels.select(*held, F.col("row").alias("nr"), F.col("col").alias("nc"), F.col("label").alias("nl"))
     joined = wide.withColumn("nr", F.col("row") + F.col("s.r")).withColumn("nc", F.col("col") + F.col("s.c")).join(near, [*held, "nr", "nc"], "left")
     kept = joined.where(F.col("nl").isNull() | (F.col("nl") != F.col("label")))
-    return kept.select(*held, "label", *((F.col(axis) + F.col(f"s.{n}")).alias(n) for n, axis in (("x1", "col"), ("y1", "row"), ("x2", "col"), ("y2", "row"))))
+    return kept.select(*held, "label", *((F.col(axis) + F.col(f"s.{n}")).cast("bigint").alias(n) for n, axis in (("x1", "col"), ("y1", "row"), ("x2", "col"), ("y2", "row"))))
 
 
 def polygonize(labels: DataFrame, cell: int = 512) -> DataFrame:

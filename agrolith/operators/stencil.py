@@ -74,6 +74,15 @@ def sobel(grid: DataFrame, value: str = "v") -> DataFrame:
     return n.select(*keys(grid), "row", "col", gx.alias("gx"), gy.alias("gy"), F.sqrt(gx * gx + gy * gy).alias("gradient"))
 
 
+def gradient_uint8(grid: DataFrame, value: str = "v") -> DataFrame:
+    """(row, col, gradient): the gradient's length as a share of the raster's largest, 0 to 255 cut to whole numbers; a flat raster is 0."""
+    g, held = sobel(grid, value), keys(grid)
+    top = g.groupBy(*held).agg(F.max("gradient").alias("_top"))
+    both = g.join(top, held) if held else g.join(F.broadcast(top))  # one row
+    share = F.when(F.col("_top") > 0, F.floor(F.col("gradient") / F.col("_top") * 255)).otherwise(0)
+    return both.select(*held, "row", "col", share.cast("int").alias("gradient"))
+
+
 def directional_edges(grid: DataFrame, value: str = "v") -> DataFrame:
     """(row, col, edge): mean of the absolute responses of four line kernels, cut to 0..255."""
     n = neighbours(grid, value)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agrolith.functions.geometry import tile_x, tile_y
-from agrolith.operators.grid import keys
+from agrolith.operators.grid import keys, reduce_lanczos
 
 TILE = 256
 
@@ -39,6 +39,20 @@ def pyramid(points: DataFrame, value: str, zooms: range) -> DataFrame:
     return levels.select(*by, (F.col("s") / F.col("n")).alias("v"), "n")
 
 
+def kernel_pyramid(grid: DataFrame, top: int, zooms: range, origin: tuple[int, int], height: Column, width: Column, value: str = "v") -> DataFrame:
+    """(z, x, y, px, py, v): a raster on the pixel grid of zoom `top`, its first pixel at `origin` (row, col) of that grid, for each zoom.
+
+    Each level is one reduction of the whole raster by the Lanczos kernel, so tiles have no seams.
+    """
+    levels = None
+    for z in zooms:
+        factor = 1 << (top - z)
+        moved = grid.select(*keys(grid), (F.col("row") + origin[0]).alias("row"), (F.col("col") + origin[1]).alias("col"), value) if factor == 1 else reduce_lanczos(grid, factor, height, width, origin, value)
+        placed = moved.select(*keys(grid), F.lit(z).alias("z"), *(F.floor(F.col(axis) / TILE).alias(t) for t, axis in (("x", "col"), ("y", "row"))), *(F.pmod(axis, F.lit(TILE)).cast("bigint").alias(p) for p, axis in (("px", "col"), ("py", "row"))), F.col(value).alias("v"))
+        levels = placed if levels is None else levels.unionByName(placed)
+    return levels
+
+
 def tileset(points: DataFrame, least: int, most: int, template: str = "/tiles/{z}/{x}/{y}.png") -> DataFrame:
     """One row that describes a pyramid."""
     corners = F.array(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat"))

@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from agrolith.functions import geometry as geo
-from agrolith.operators import grid, overlay, segment, warp
+from agrolith.functions import records
+from agrolith.operators import fields as extraction
+from agrolith.operators import grid, overlay, segment, stencil, tiles, warp
 from agrolith.operators.scratch import shared_dir
-from agrolith.plans.queries import POINTS, points, query, r6, table
-from agrolith.sources import geotiff
+from agrolith.plans.field_queries import MARKED, frame, plots
+from agrolith.plans.queries import GRADIENT, PIX, POINTS, WIDTH, height, neighbour_ctes, pix, points, query, r6, table
+from agrolith.sources import geojson, geotiff
 
 # --- files -----------------------------------------------------------------------------------------------------------------------------
 
@@ -191,3 +194,76 @@ def valid_parts(spark, sf_dir):
     found = overlay.make_valid(bad, ["id"], 1000.0, 64.0)
     area = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.signed_area(r))
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size(F.flatten("rings"))).alias("points"), r6(F.sum(area)).alias("area"))
+
+
+# --- outlines, cores, scaled gradients -------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {MARKED}, d AS (SELECT i.row, i.col, sqrt(min((i.row - o.row) ** 2 + (i.col - o.col) ** 2)) AS d FROM (SELECT * FROM marked WHERE inside) i CROSS JOIN (SELECT * FROM marked WHERE NOT inside) o GROUP BY i.row, i.col)
+ SELECT row, col FROM d WHERE d > 0.3 * (SELECT max(d) FROM d)""")
+def distance_cores(spark, sf_dir):
+    """What lies deeper inside than three tenths of the deepest pixel, by exact distances."""
+    marked = extraction.interior(plots(spark, sf_dir), frame(spark, sf_dir), extraction.Rules())
+    return segment.cores(segment.distances(marked.where("inside"), marked.where("not inside"))).select("row", "col")
+
+
+@query(
+    f"""WITH {PIX}, m AS (SELECT row, col, row // 9 * 8 + col // 9 AS label FROM pix WHERE v > -0.1), c AS (SELECT label, row + dr AS y, col + dc AS x, CASE WHEN count(*) = 2 AND abs(min(row * 2 + col) - max(row * 2 + col)) IN (1, 3) AND count(DISTINCT row) = 2 AND count(DISTINCT col) = 2 THEN 2 WHEN count(*) IN (1, 3) THEN 1 ELSE 0 END AS n
+ FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) s(dr, dc) GROUP BY label, row + dr, col + dc) SELECT label, CAST(any_value(area) AS DOUBLE) AS area, CAST(sum(n) AS BIGINT) AS corners FROM c JOIN (SELECT label, count(*) AS area FROM m GROUP BY label) USING (label) GROUP BY label""")
+def outline_corners(spark, sf_dir):
+    """Area and corners of each region's outlines; the SQL counts pixels, and corners by the four pixels at a point."""
+    label = F.expr("row div 9 * 8 + col div 9")
+    rings = segment.polygonize(pix(spark, sf_dir).where("v > -0.1").select(label.cast("bigint").alias("label"), "row", "col"))
+    return rings.groupBy("label").agg(r6(F.sum(geo.signed_area(F.col("ring")))).alias("area"), F.sum(F.size("ring") - 1).alias("corners"))
+
+
+@query(f"WITH {PIX}, {neighbour_ctes()}, g AS ({GRADIENT}) SELECT row, col, CAST(floor(gradient / (SELECT max(gradient) FROM g) * 255) AS INTEGER) AS gradient FROM g")
+def gradient_uint8(spark, sf_dir):
+    return stencil.gradient_uint8(pix(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%b %-d, %Y') AS day FROM orders")
+def long_date(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.long_date(F.col("o_orderdate")).alias("day"))
+
+
+_TOP, _ORIGIN = 20, (4_092_700, 1_729_131)
+
+
+def _kernel_sql(z: int) -> str:
+    f = 1 << (_TOP - z)
+    if f == 1:
+        return f"SELECT {z} AS z, row + {_ORIGIN[0]} AS row, col + {_ORIGIN[1]} AS col, v FROM pix"
+    least, weights = grid.reduction_shares(f)
+    k = ", ".join(f"({least + n}, CAST({w!r} AS DOUBLE))" for n, w in enumerate(weights))
+    reach = lambda axis, first, last: f"greatest({first}, least({last}, {f} * t.{axis} + k))"
+    r0, c0 = _ORIGIN
+    return f"""SELECT {z} AS z, b.row, b.col, b.v FROM (WITH k(k, w) AS (VALUES {k}), tc AS (SELECT unnest(range({c0 // f}, {(c0 + WIDTH - 1) // f} + 1)) AS col), tr AS (SELECT unnest(range({r0} // {f}, ({r0} + n - 1) // {f} + 1)) AS row, n FROM h),
+ a AS (SELECT s.row, t.col, sum(s.v * w) AS v FROM tc t CROSS JOIN k JOIN pix s ON s.col + {c0} = {reach("col", c0, c0 + WIDTH - 1)} GROUP BY 1, 2)
+ SELECT t.row, a.col, sum(a.v * w) AS v FROM tr t CROSS JOIN k JOIN a ON a.row + {r0} = {reach("row", r0, f"{r0} + n - 1")} GROUP BY 1, 2) b"""
+
+
+@query(
+    f"""WITH {PIX}, h AS (SELECT max(row) + 1 AS n FROM pix), l AS ({" UNION ALL ".join(_kernel_sql(z) for z in (18, 19, 20))})
+ SELECT z, col // 256 AS x, row // 256 AS y, col % 256 AS px, row % 256 AS py, round(v, 6) AS v FROM l""")
+def tile_pyramid_lanczos(spark, sf_dir):
+    """Zooms 18 to 20 of a raster that lies across tiles, by the Lanczos kernel."""
+    found = tiles.kernel_pyramid(pix(spark, sf_dir), _TOP, range(18, 21), _ORIGIN, height(spark, sf_dir), F.lit(WIDTH))
+    return found.select("z", "x", "y", "px", "py", r6("v").alias("v"))
+
+
+# --- vector files ----------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {BOXES} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 2 = 0 THEN 'holed' ELSE 'whole' END AS kind, CAST((e - w) * (n - s) AS DOUBLE) AS area FROM f"""
+)
+def features_written(spark, sf_dir):
+    """Outer rings as GeoJSON lines, written and read again as areas."""
+    at, fields = f"{shared_dir(spark)}/geojson-{uuid.uuid4().hex}", boxes(spark, sf_dir)[0]
+    kind = F.when(F.col("id") % 2 == 0, "holed").otherwise("whole")
+    lines = fields.select(geojson.feature(F.col("id").cast("string"), F.get("rings", 0), F.struct(kind.alias("kind"))).alias("feature"))
+    geojson.write_features(lines, at)
+    back, read = spark.read.text(at), lambda name: F.get_json_object("value", name)
+    return back.select(read("$.id").alias("id"), read("$.properties.kind").alias("kind"), r6(geo.area(geojson.checked_ring(F.col("value")))).alias("area"))

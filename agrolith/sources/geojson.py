@@ -9,7 +9,6 @@ from agrolith.functions.records import is_road
 
 _GEOMETRY = "struct<type:string,coordinates:array<array<array<double>>>>"
 AREA = f"struct<type:string,geometry:{_GEOMETRY},features:array<struct<geometry:{_GEOMETRY}>>,coordinates:array<array<array<double>>>>"
-SCENE = "struct<id:string,bbox:array<double>,properties:map<string,string>,assets:map<string,struct<href:string>>>"
 
 
 def area_ring(json: Column) -> Column:
@@ -61,17 +60,8 @@ def segments(roads: DataFrame) -> DataFrame:
 
 
 def read_area(spark: SparkSession, path: str) -> DataFrame:
-    """(ring) of each file of a path."""
-    return spark.read.text(path, wholetext=True).select(area_ring(F.col("value")).alias("ring"))
-
-
-def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """(scene_id, acquired, cloud, bbox, assets) of feature collections, one collection for each file."""
-    from agrolith.operators.catalog import cloud_of
-
-    parsed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<features:array<{SCENE}>>")["features"]).alias("f"))
-    acquired = F.try_to_timestamp(F.try_element_at(F.col("f.properties"), F.lit("datetime")))
-    return parsed.select(F.col("f.id").alias("scene_id"), acquired.alias("acquired"), cloud_of(F.col("f.properties")).alias("cloud"), "f.bbox", F.transform_values("f.assets", lambda _, a: a["href"]).alias("assets"))
+    """(ring) of each file of a path; an error for a file that holds no area."""
+    return spark.read.text(path, wholetext=True).select(checked_ring(F.col("value")).alias("ring"))
 
 
 def feature(identity: Column, ring: Column, properties: Column) -> Column:
