@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder under the warehouse only where the session has none."""
+    """spark.checkpoint.dir; a folder under the warehouse only where a local session has none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()

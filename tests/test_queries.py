@@ -29,11 +29,22 @@ def canonical(frame):
     return frame.sort_values(list(frame.columns), ignore_index=True)
 
 
+#: What tells rows apart in queries without SQL.
+KEYS = {
+    "clahe": ["row", "col"], "farm_chain": ["row", "col"], "field_features": ["label"], "kmeans_zones": ["row", "col"], "polygonize": ["label", "ring_no"],
+    "simplify": ["label", "ring_no"], "watershed_fields": ["row", "col"], "wow_chain": ["row", "col"],
+}
+
+
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     found = plans.QUERIES[name](spark, SF).toPandas()
     if name not in plans.ORACLES:
         assert len(found.columns) == len(set(found.columns))
+        keys = [k for k in KEYS.get(name, ()) if k in found.columns]
+        assert not keys or not found.duplicated(keys).any()
+        if {"row", "col"} <= set(keys):
+            assert len(found) == (found.row.max() + 1) * (found.col.max() + 1)
         return
     a, b = canonical(found), canonical(duck.sql(plans.ORACLES[name]).df())
     assert list(a.columns) == list(b.columns)
