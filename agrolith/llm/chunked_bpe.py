@@ -117,7 +117,15 @@ class WordTable(ChunkTable):
         return _WORD.findall(text)
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
-        return whole(self.lib, chunks)
+        """Words are given to the library 128 at a time, with spaces between; tokens go to the word in which they begin."""
+        found = []
+        groups = [chunks[k : k + 128] for k in range(0, len(chunks), 128)]
+        for words, e in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            cuts = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+            ids = e.ids
+            found += [ids[a:b] for a, b in zip([0, *cuts[:-1]], [*cuts[:-1], len(ids)], strict=True)]
+        return found
 
 
 def whole(lib: Tokenizer, texts: list[str]) -> list[list[int]]:
