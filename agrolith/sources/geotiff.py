@@ -232,7 +232,7 @@ def decoded(raster: Raster, data: bytes, rows: int, bands: int) -> np.ndarray:
 
 
 @dataclass
-class Window2:
+class PixelWindow:
     """Rows and columns from low to high, both included, and names of rasters; None: all."""
 
     rows: list[int] = field(default_factory=lambda: [0, 1 << 62])
@@ -266,7 +266,7 @@ class Blocks(InputPartition):
 
 class GeoTiffReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.files, self.window = files_of(options["path"]), Window2()
+        self.files, self.window = files_of(options["path"]), PixelWindow()
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
         self.part_bytes = int(options.get("part_bytes", PART_BYTES))
 
