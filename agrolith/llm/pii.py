@@ -1,12 +1,15 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find the base spans. The field then labels the evidence tokens of a document (words with a digit or an at sign; all other
-words are clamped to "none", which cuts the chain and costs nothing) as none, email, ip, card or phone. Its factors are
+words are clamped to "none", which cuts the chain and costs nothing) as none, email, ip, card or phone. Words of a number written in
+groups ("+1 415 555 2671") are one token: number words in a line, with groups of at most six digits (a country code may stand before any), the first word of at
+most six, and with 7 to 19 digits in all; a plus begins a new one. Longer or shorter rows of numbers stay words. Its factors are
 
 * a node potential from the token's shape and its neighbours' shapes,
 * a chain potential between evidence tokens that stand next to each other,
-* a skip potential between distant tokens with the same core (the same digits, or the same name before or without an at sign), which
-  pulls their labels together. Occurrences are linked one to the next, so the number of edges is linear.
+* a skip potential between distant tokens that repeat or resemble each other: the same digits; digits that end alike, one number being the
+  end of the other, in at least seven places; or the same name before or without an at sign, whatever the signs in it. It pulls their labels
+  together. A token is linked to the last one of each of these keys, so the number of edges is linear.
 
 Loopy sum-product message passing with damping gives marginals; a token that no base span touches and whose marginal for a kind is at
 least `sure` becomes an added span. Weights are learned from base spans of a bounded sample of documents (`SAMPLE_DOCS` documents by a
@@ -47,6 +50,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EVIDENCE = re.compile(r"[0-9@]")
+_NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[0-9().-]*[0-9)])?")
+_LONG_GROUP = re.compile("[0-9]{7}")
+_NAME_SIGNS = str.maketrans("", "", "._%+-")
 _EDGE = "".join(map(chr, range(33, 48))).replace("+", "").replace("(", "") + ":;<=>?[\\]^_`{|}~"
 
 
@@ -94,22 +100,56 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Token:
+    """A word or a number of several words, without the signs around it; order and last: the places of its words among all words."""
+
     start: int
     end: int
     core: str
     digits: str
     order: int
+    last: int
+
+
+def _joined(text: str, words: list[Token]) -> list[Token]:
+    """Number words of a row as one token if they have 7 to 19 digits, else as they are."""
+    digits = "".join(t.digits for t in words)
+    if len(words) < 2 or not 7 <= len(digits) <= 19:
+        return words
+    a, b = words[0], words[-1]
+    return [Token(a.start, b.end, text[a.start : b.end], digits, a.order, b.last)]
 
 
 def evidence(text: str) -> Iterator[Token]:
-    """Words with a digit or an at sign, without the signs around them, and their place among all words."""
+    """Words with a digit or an at sign, without the signs around them, and their place among all words; numbers in groups are one token."""
+    row: list[Token] = []
+    held, end, last, going = 0, 0, -1, False  # of the row: its digits, where it ends, its last word, whether a word may follow
     for order, m in enumerate(_TOKEN.finditer(text)):
         word = m[0]
-        if _EVIDENCE.search(word):
-            left = len(word) - len(word.lstrip(_EDGE))
-            core = word.strip(_EDGE)
-            if core:
-                yield Token(m.start() + left, m.start() + left + len(core), core, re.sub("[^0-9]", "", core), order)
+        if not _EVIDENCE.search(word):
+            continue
+        left = len(word) - len(word.lstrip(_EDGE))
+        core = word.strip(_EDGE)
+        if not core:
+            continue
+        t = Token(m.start() + left, m.start() + left + len(core), core, re.sub("[^0-9]", "", core), order, order)
+        number, short = core.count(".") < 3 and _NUMBER.fullmatch(core) is not None, len(t.digits) <= 6
+        small = short or _LONG_GROUP.search(core) is None
+        follows = number and going and left == 0 and order - last == 1 and m.start() - end <= 2 and "\n" not in text[end : m.start()] and not core.startswith("+")
+        follows = follows and (small or (held <= 3 and bool(row) and row[0].core.startswith("+")))
+        if not follows:
+            yield from _joined(text, row)
+            row, held = [], 0
+        if not number or not (short or follows):
+            yield t
+            going = False
+            continue
+        row.append(t)
+        held += len(t.digits)
+        if held > 19:  # too long for a number: words, however the row goes on
+            yield from row
+            row = []
+        end, last, going = m.end(), order, not text[t.end : m.end()].strip(")-")
+    yield from _joined(text, row)
 
 
 def _shape(t: Token) -> list[bool]:
@@ -124,7 +164,7 @@ def _shape(t: Token) -> list[bool]:
     ]
 
 
-WIDTH = len(_shape(Token(0, 1, "0", "0", 0)))
+WIDTH = len(_shape(Token(0, 1, "0", "0", 0, 0)))
 #: Tokens or edges that are worked on at once.
 PART = 1 << 15
 _PLACES = 1 << np.arange(3 * WIDTH, dtype=np.int64)
@@ -154,29 +194,36 @@ class Tokens(NamedTuple):
         return x
 
 
+def similar(a: str, b: str) -> bool:
+    """Whether one number is the end of the other, in at least seven places."""
+    return min(len(a), len(b)) >= 7 and (a.endswith(b) or b.endswith(a))
+
+
 def tokens_of(texts: list[str], most: int | None = None) -> Tokens:
-    """The evidence of texts, `most` tokens of each if given. Equal cores are linked one to the next, unless they are neighbours."""
+    """The evidence of texts, `most` tokens of each if given. Similar tokens are linked one to the next, unless they are neighbours."""
     places, near, shapes, links, first = array("i"), bytearray(), bytearray(), array("i"), [0]
     k = 0
     for text in texts:
-        last: dict[str, tuple[int, int]] = {}
+        last: dict[str, tuple[int, int, str]] = {}
         before = None
         for t in islice(evidence(text), most):
             beside = before is not None and t.order - before == 1
-            before = t.order
+            before = t.last
             places.extend((t.start, t.end))
             near.append(beside)
             shapes.extend(_shape(t))
             if beside:
                 links.extend((k - 1, k, 0))
-            name = t.core.partition("@")[0].lower()
-            cores = {f"#{t.digits}"} if len(t.digits) >= 7 else set()
+            name = t.core.partition("@")[0].lower().translate(_NAME_SIGNS)
+            keys = [f"#{t.digits}", f"/{t.digits[-7:]}"] if len(t.digits) >= 7 else []
+            met = {last[c][:2] for c in keys if c in last and similar(t.digits, last[c][2])}
             if len(name) >= 5:
-                cores.add(name)
-            for j, order in {last[c] for c in cores if c in last}:
+                keys.append(name)
+                met |= {last[name][:2]} if name in last else set()
+            for j, order in sorted(met):
                 if t.order - order > 1:
                     links.extend((j, k, 1))
-            last.update(dict.fromkeys(cores, (k, t.order)))
+            last.update(dict.fromkeys(keys, (k, t.last, t.digits)))
             k += 1
         first.append(k)
     table = lambda values, kind, width: np.frombuffer(values, kind).reshape(-1, width)
