@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from agrolith.operators import enhance, grid
 from agrolith.operators import jobs as batch
 from agrolith.plans.more_queries import JOBS
 from agrolith.plans.queries import PIX, WIDTH, height, pix, query, r6, rgb, table
-from agrolith.streaming import jobs
+from agrolith.streaming import jobs, rasters
 
 
 @query()
@@ -68,3 +70,26 @@ def stream_status_windows(spark, sf_dir):
 )
 def stream_job_machine(spark, sf_dir):
     return jobs.run_available(jobs.checked(event_stream(spark, sf_dir), batch.MOVES["sr"]), "update", "job_id").select("job_id", "events", "illegal")
+
+
+def order_stream(spark, sf_dir):
+    """The orders table as a stream of files: customers' rasters, modified on the order's date, and seen some days later."""
+    schema = table(spark, sf_dir, "orders").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return raw.select("o_custkey", F.col("o_orderkey").alias("path"), F.col("o_orderdate").cast("timestamp").alias("modified"), (F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 5).cast("int"))).cast("timestamp").alias("seen"))
+
+
+@query("SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS newest FROM orders GROUP BY o_custkey")
+def stream_newest_file(spark, sf_dir):
+    found = jobs.run_available(rasters.newest(order_stream(spark, sf_dir), "o_custkey"), "update", "o_custkey", rasters.ROCKS)
+    return found.select("o_custkey", F.col("path").alias("newest"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS seen FROM orders)
+ SELECT o_custkey, max(struct_pack(d := o_orderdate, k := o_orderkey)).k AS newest, max(seen) + 200 <= (SELECT max(seen) FROM s) - 30 AS expired FROM s GROUP BY o_custkey"""
+)
+def stream_idle_rasters(spark, sf_dir):
+    """Customers without a new raster for 200 days, 30 days of them for late ones, expire."""
+    found = jobs.run_available(rasters.newest(order_stream(spark, sf_dir), "o_custkey", "30 days", timedelta(days=200)), "update", "o_custkey", rasters.ROCKS)
+    return found.select("o_custkey", F.col("path").alias("newest"), "expired")

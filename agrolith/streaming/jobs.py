@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from agrolith.operators.scratch import shared_dir
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def latest(events: DataFrame) -> DataFrame:
     """(job_id, status, n) so far; for update or complete mode."""
@@ -44,10 +46,11 @@ def checked(events: DataFrame, moves: list[tuple[str, str]], bad_end: tuple[str,
     )
 
 
-def run_available(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, key: str | None = None, provider: str | None = None) -> DataFrame:
     """Run a stream over what is there, and return its result table.
 
-    Complete mode overwrites the table each time; update mode appends each batch, and the last row of each key counts.
+    Complete mode overwrites the table each time; update mode appends each batch, and the last row of each key counts. provider: the class
+    of the state store, if not the session's; the session's setting is as before once the stream has started.
     """
     spark: SparkSession = stream.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -55,7 +58,15 @@ def run_available(stream: DataFrame, mode: str, key: str | None = None) -> DataF
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    if provider:
+        spark.conf.set(PROVIDER, provider)
+    try:
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    finally:
+        if provider:
+            spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    running.awaitTermination()
     found = spark.read.parquet(f"{at}/out")
     if mode == "update" and key:
         names = [c for c in found.columns if c not in (key, "_batch")]
