@@ -94,6 +94,15 @@ def first_asset(assets: Column, names: list[str]) -> Column:
     return F.coalesce(*(F.try_element_at(assets, F.lit(n)) for n in names))
 
 
+def wanted_assets(scenes: DataFrame, names: list[str]) -> DataFrame:
+    """(scene_id, asset, href) of each scene and each wanted asset, in their order; href is null where the scene has none of that name.
+
+    scenes: (scene_id, assets map<string, string>).
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("asset"), F.try_element_at(F.col("assets"), F.lit(n)).alias("href")) for n in names)))
+    return scenes.select("scene_id", each.alias("a")).select("scene_id", "a.*")
+
+
 def cloud_of(properties: Column) -> Column:
     """Cloud cover by any of the names it goes by, else 0."""
     return F.coalesce(*(F.try_element_at(properties, F.lit(n)).cast("double") for n in ("eo:cloud_cover", "cloudCoverage", "cloud_cover")), F.lit(0.0))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from agrolith.functions import bandmath as bm
 from agrolith.functions import geometry as geo
 from agrolith.operators import catalog, enhance, fields, grid, stencil, zonal
+from agrolith.operators.scratch import shared_dir
 from agrolith.plans.more_queries import NOW, SCENES, now, scenes
 from agrolith.plans.queries import GRADIENT, PIX, POINTS, RGB8, WIDTH, blur_ctes, height, neighbour_ctes, pix, points, query, r6, rgb, table
+from agrolith.sources import pages
 
 # --- a raster with fields: plots of 25 x 25 pixels with a little noise, from the events table ------------------------------------------
 
@@ -131,6 +135,29 @@ def catalog_area_search(spark, sf_dir):
     return catalog.search(s, now(), 365, 30.0, ["1-URGENT", "2-HIGH"], AREA).select("scene_id", r6("cloud").alias("cloud"))
 
 
+def scene_pages(spark, sf_dir, limit=None):
+    """The orders as a catalogue of pages, and a search's frame on it."""
+    s = scenes(spark, sf_dir).withColumnRenamed("source", "collection")
+    at = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write_pages(s.withColumn("assets", F.when(F.col("cloud") < 15, F.create_map(F.lit("visual"), F.concat("scene_id", F.lit(".tif"))))), at)
+    return catalog.search(pages.read_pages(spark, at, limit), now(), 365, 30.0, ["1-URGENT", "2-HIGH"])
+
+
+_PAGED = f"WITH {SCENES}, p AS (SELECT * FROM scenes WHERE acquired >= {NOW} - INTERVAL 365 DAY AND acquired <= {NOW} AND cloud <= 30 AND source IN ('1-URGENT', '2-HIGH'))"
+
+
+@query(f"{_PAGED} SELECT scene_id, source AS collection, round(cloud, 6) AS cloud FROM p")
+def paged_search(spark, sf_dir):
+    """Scenes of two collections from pages; filters reach the source."""
+    return scene_pages(spark, sf_dir).select("scene_id", "collection", r6("cloud").alias("cloud"))
+
+
+@query(f"{_PAGED}, b AS (SELECT * FROM p ORDER BY p.cloud, acquired DESC, scene_id LIMIT 50) SELECT scene_id, asset, CASE WHEN asset = 'visual' AND cloud < 15 THEN scene_id || '.tif' END AS href FROM b, (VALUES ('visual'), ('scl')) a(asset)")
+def paged_best_assets(spark, sf_dir):
+    """The 50 best scenes from pages, reading stops at them, and the assets that a download wants."""
+    return catalog.wanted_assets(catalog.best(scene_pages(spark, sf_dir, 50), 50), ["visual", "scl"])
+
+
 @query(f"WITH {POINTS} SELECT row, col, round(radians(lon) * 6378137.0, 3) AS x, round(asinh(tan(radians(lat))) * 6378137.0, 3) AS y FROM pts")
 def web_mercator(spark, sf_dir):
     p = points(spark, sf_dir)
