@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Texts become sequences of 32-bit word hashes (runs of letters and digits, lower case), kept in a narrow table. The benchmark is searched
-   in parts of `BLOCK` items, so that what reaches driver and tasks doesn't grow with it. Document frequencies of a part's words are
+   in parts of about `BLOCK` items or `BLOCK_BYTES` of text, so that what reaches driver and tasks doesn't grow with it. Document frequencies of a part's words are
    exact counts over all documents. A word's weight is log(1 + N / (1 + df)); those of a part's words that are in more than
    `MOST_SHARE` of the documents (and more than `LEAST_STOP`) weigh nothing, and words that the part lacks weigh as the rarest do.
 2. Passages are windows of `SVD_WIDTH` words of all documents. With A the unit TF-IDF rows over the part's terms, each task
@@ -13,7 +13,8 @@
    Stretches of 1.5 times an item's length that hold enough of its words, of any weight, are candidates too (`Counted`). So neither an item
    that is in so many documents that its own words are frequent is lost, nor one far longer or shorter than the windows.
 4. A candidate is a leak if the longest common subsequence of item and window holds `COPY` of the item's words, or `PARAPHRASE` of them and the
-   item's answer (its last `ANSWER` weighty words, or any if none is weighty) in order. So an item of one word leaks wherever the word stands.
+   item's answer in order: its last `ANSWER` words that at most `ANSWER_SHARE` of the other items have, or its last words if none is so
+   rare. So answers depend on the benchmark alone, and an item of one word leaks wherever the word stands.
 
 Defined results: null and empty texts and items, items without a key and documents without words leak nothing; texts and items are read
 whole; rows with a null key are searched, too, and never dropped; repeated rows give repeated results; equal items each give results; an
@@ -38,7 +39,7 @@ from agrolith.llm.language_id import folded
 
 MOST_SHARE, LEAST_STOP = 0.05, 20
 SVD_WIDTH, WIDTHS, RANK, OVERSAMPLING, MOST_COLUMNS = 48, (24, 64), 192, 16, 1 << 14
-LEAST_COSINE, COPY, PARAPHRASE, ANSWER, BLOCK = 0.3, 0.8, 0.5, 4, 2_048
+LEAST_COSINE, COPY, PARAPHRASE, ANSWER, ANSWER_SHARE, BLOCK, BLOCK_BYTES = 0.3, 0.8, 0.5, 4, 0.1, 2_048, 16 << 20
 #: Items of fewer words are searched by all of their words, longer ones by their rarest. Pairs of items and places that are held at once.
 SHORT, MOST_PAIRS = 8, 1 << 20
 #: Bits of the table that tells most words aside before an exact look-up.
@@ -500,9 +501,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item_text
     rows = written(_hashed(docs, text, key))
     n_docs, n_words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     items = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & (F.length("text") > 0)).distinct()
-    parts = max(1, -(-items.count() // BLOCK))
+    n_items, n_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n_items // BLOCK), -(-n_bytes // BLOCK_BYTES))
+    item_rows = written(_hashed(items, "text", "item"))
     found = None
-    for part in range(parts):  # about BLOCK items each
+    for part in range(parts):  # about equal ones
         query = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()))
         ids, first = word_ids(pa.array([t for _, t in query], pa.string()))
         some = np.flatnonzero(np.diff(first))
@@ -513,7 +516,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item_text
         space = latent_space(rows, n_words, vectors, terms) if vectors.any() else np.zeros((terms.width, 1), np.float32)
         latent = (vectors @ space).astype(np.float32)
         rest = np.sqrt(np.maximum((vectors**2).sum(axis=1) - (latent**2).sum(axis=1), 0)).astype(np.float32)
-        answers = [w[terms.weights[terms.index(w)] > 0][-ANSWER:].tolist() or w[-ANSWER:].tolist() for w in words]
+        rare = document_frequencies(item_rows, vocabulary) - 1 <= ANSWER_SHARE * (n_items - 1)
+        answers = [w[rare[terms.index(w)]][-ANSWER:].tolist() or w[-ANSWER:].tolist() for w in words]
         block = Items([query[k][0] for k in some], [w.tolist() for w in words], latent, rest, answers)
         own = _search(rows, docs.schema[key].dataType, benchmark.schema[item_key].dataType, block, terms, space, Counted.of(words, answers, terms))
         found = own if found is None else found.unionByName(own)

@@ -490,6 +490,25 @@ def test_document_frequencies_are_exact(spark, docs):
     assert decontamination.document_frequencies(rows, vocabulary).tolist() == [sum(int(w) in x for x in sets) for w in vocabulary.words]
 
 
+def test_answers_depend_on_the_benchmark_alone(spark, monkeypatch):
+    """A paraphrase leaks by its item's answer however many other documents hold the answer's words, and in however many parts the benchmark is searched."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwz") for _ in range(6))
+    items = [[*(word() for _ in range(20)), "the", "answer", "is", *(word() for _ in range(4))] for _ in range(12)]
+    near = [[w if i >= 23 or i % 3 else word() for i, w in enumerate(item)] for item in items]  # the answer whole, a third of the rest changed
+    far = [[w if i < 23 else word() for i, w in enumerate(near[k])] for k, item in enumerate(items)]  # the answer lost, too
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id int, text string")
+    rows = [(k, " ".join(t)) for k, t in enumerate([*near, *far])]
+    others = [(1000 + k, " ".join(w for item in items for w in item[-4:][:: 1 if k % 2 else -1])) for k in range(200)]
+    form = "doc_id long, text string"
+    want = {(k, k) for k in range(12)}
+    found = lambda data: {(x.doc_id, x.item_id) for x in decontamination.find_leaks(spark.createDataFrame(data, form), bench).collect() if x.doc_id < 1000}
+    assert found(rows) == want
+    assert found(rows + others) == want
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)
+    assert found(rows + others) == want
+
+
 # --- op7 -------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -99,11 +99,11 @@ def test_leaks_equal_brute_force(spark):
     ids, first = decontamination.word_ids(pa.array([*docs.text, *bench.text]))
     words = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
     texts, items = words[: len(docs)], words[len(docs) :]
-    df = Counter(w for t in texts for w in set(t))
-    least = max(decontamination.LEAST_STOP, decontamination.MOST_SHARE * len(docs))
+    df = Counter(w for t in items for w in set(t))
+    most = 1 + decontamination.ANSWER_SHARE * (len(items) - 1)
     must, may = set(), set()
     for item_id, item in zip(bench.item_id, items, strict=True):
-        answer = [w for w in item if df[w] <= least][-decontamination.ANSWER :] or item[-decontamination.ANSWER :]
+        answer = [w for w in item if df[w] <= most][-decontamination.ANSWER :] or item[-decontamination.ANSWER :]
         bag, n = Counter(item), len(item)
         for doc_id, text in zip(docs.doc_id, texts, strict=True):
             if sum((bag & Counter(text)).values()) < 0.5 * n:
