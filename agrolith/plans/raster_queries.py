@@ -37,16 +37,16 @@ def new_folder(spark) -> str:
 @query(f"WITH {BANDS} SELECT row, col, x AS b1, y AS b2, z AS b3 FROM px WHERE row >= 3 AND row < 60 AND col BETWEEN 20 AND 69")
 def geotiff_window(spark, sf_dir):
     """A window of a file that Spark has written from the events."""
-    at = new_folder(spark)
-    geotiff.write_geotiff(bands(spark, sf_dir), at, ["x", "y", "z"], rows_of(spark, sf_dir), COLS, {"a": 0.0014, "c": -121.7, "e": -0.0008, "f": 36.7}, tile=32)
+    at, px, names = new_folder(spark), bands(spark, sf_dir), ["x", "y", "z"]
+    geotiff.write_geotiff(px, at, names, rows_of(spark, sf_dir), COLS, {"a": 0.0014, "c": -121.7, "e": -0.0008, "f": 36.7}, dtype=geotiff.holding(px, names), tile=32)
     return geotiff.read_geotiff(spark, at).where("row >= 3 AND row < 60 AND col BETWEEN 20 AND 69").select("row", "col", "b1", "b2", "b3")
 
 
 @query(f"WITH {BANDS} SELECT row, col, x AS red, x AS green, x AS blue FROM px")
 def geotiff_three_bands(spark, sf_dir):
     """A file of one band as three."""
-    at = new_folder(spark)
-    geotiff.write_geotiff(bands(spark, sf_dir), at, ["x"], rows_of(spark, sf_dir), COLS, {"a": 1.0, "c": 0.0, "e": -1.0, "f": 0.0}, tile=64, compression="deflate")
+    at, px = new_folder(spark), bands(spark, sf_dir)
+    geotiff.write_geotiff(px, at, ["x"], rows_of(spark, sf_dir), COLS, {"a": 1.0, "c": 0.0, "e": -1.0, "f": 0.0}, dtype=geotiff.holding(px, ["x"]), tile=64, compression="deflate")
     return geotiff.three_bands(spark, at).select("row", "col", "red", "green", "blue")
 
 

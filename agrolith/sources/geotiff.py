@@ -452,6 +452,14 @@ class GeoTiffWriter(DataSourceWriter):
             store.delete_file(a)
 
 
+def holding(grid: DataFrame, bands: list[str]) -> str:
+    """The smallest of uint8, uint16, uint32, int32 and float64 that holds all values of the bands as they are."""
+    v = F.explode(F.array(*(F.col(b).cast("double") for b in bands)))
+    least, most, whole = grid.select(v.alias("v")).where("v IS NOT NULL").agg(F.min("v"), F.max("v"), F.bool_and(F.col("v") == F.rint("v"))).first()
+    kinds = ("uint8", "uint16", "uint32", "int32")
+    return next((k for k in kinds if least is None or whole and np.iinfo(k).min <= least and most <= np.iinfo(k).max), "float64")
+
+
 def write_geotiff(grid: DataFrame, path: str, bands: list[str], height: int, width: int, affine: dict[str, float], epsg: int = 4326, dtype: str = "uint8", tile: int = 256, compression: str = "lzw") -> None:
     """A file path/<raster_id>.tif for each raster (raster.tif for a grid without raster_id), tiled, cut to the type's range and rounded.
 
