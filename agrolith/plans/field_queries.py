@@ -113,10 +113,12 @@ _TRIANGLES = "tri AS (SELECT s_suppkey AS id, -121.73 + s_suppkey % 10 * 0.0131
  HAVING count(*) FILTER ((ay > lat) <> (ey > lat) AND lon < (ex - ax) * (lat - ay) / (ey - ay) + ax) % 2 = 1) SELECT id, count(*) AS n, round(sum(v), 4) AS total FROM m GROUP BY id"""
 )
 def points_in_polygons(spark, sf_dir):
+    # Coordinates are decimals, as they are written: points lie exactly at the height of corners and on edges.
     s = table(spark, sf_dir, "supplier")
-    x, y, d = F.lit(-121.73) + s.s_suppkey % 10 * 0.0131, F.lit(36.615) + s.s_suppkey % 7 * 0.0107, F.lit(0.01) + s.s_nationkey * 0.0003
-    ring = F.array(*(F.struct((x + a * d).alias("x"), (y + b * d).alias("y")) for a, b in ((0.0, 0.0), (1.0, 0.3), (0.4, 1.0), (0.0, 0.0))))
-    p = points(spark, sf_dir).select(F.col("lon").alias("x"), F.col("lat").alias("y"), "v")
+    exact = lambda text: F.expr(f"CAST({text} AS DECIMAL(12, 5))")
+    x, y, d = "-121.73BD + s_suppkey % 10 * 0.0131BD", "36.615BD + s_suppkey % 7 * 0.0107BD", "(0.01BD + s_nationkey * 0.0003BD)"
+    ring = F.array(*(F.struct(exact(f"{x} + {a}BD * {d}").alias("x"), exact(f"{y} + {b}BD * {d}").alias("y")) for a, b in ((0.0, 0.0), (1.0, 0.3), (0.4, 1.0), (0.0, 0.0))))
+    p = points(spark, sf_dir).select(exact("-121.7327BD + col * 0.0014BD").alias("x"), exact("36.6132BD + row * 0.00083BD").alias("y"), "v")
     return zonal.points_in_polygons(p, s.select(F.col("s_suppkey").alias("id"), F.array(ring).alias("rings")), 0.004).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 4).alias("total"))
 
 

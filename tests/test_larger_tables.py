@@ -30,3 +30,7 @@ def agrees(spark, at, name, **slices):
 @pytest.mark.parametrize("name", ["geotiff_three_bands", "geotiff_window"])
 def test_bands_beyond_a_byte(spark, tmp_path, name):
     agrees(spark, tmp_path, name, events="* REPLACE (value + 300 AS value) {} WHERE event_id < 1000")
+
+
+def test_points_at_the_height_of_corners(spark, tmp_path):
+    agrees(spark, tmp_path, "points_in_polygons", events="* {}", supplier="* {} WHERE s_suppkey IN (137, 162, 179, 302)")
