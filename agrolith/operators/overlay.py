@@ -54,8 +54,8 @@ def edges_of(polygons: DataFrame, by: list[str], operand: str, scale: float = SC
 
 
 def _net(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Equal edges as one; those that cancel out go."""
-    return edges.groupBy(*by, *_AT).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 0 OR b <> 0")
+    """Equal edges as one; those that cancel out go. One that is new to the noding stays new."""
+    return edges.groupBy(*by, *_AT).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.bool_or("new").alias("new")).where("a <> 0 OR b <> 0")
 
 
 def _cross(ox: Column, oy: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -64,13 +64,18 @@ def _cross(ox: Column, oy: Column, ax: Column, ay: Column, bx: Column, by: Colum
 
 
 def crossings(edges: DataFrame, by: list[str], cell: int) -> DataFrame:
-    """(by..., edge, x, y): points inside edges at which they meet others."""
+    """(by..., edge, p): points inside edges at which they meet others; of two edges one at least must be new.
+
+    Two edges meet in many cells; they are compared in the one that holds the least corner of what their bounds share.
+    """
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
-    one = edges.select(*by, F.struct(*_AT).alias("e"), F.explode(span(F.col("x1"), F.col("x2"))).alias("_cx"), "y1", "y2").withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2")))).select(*by, "e", "_cx", "_cy")
-    near = one.join(one.withColumnRenamed("e", "f"), [*by, "_cx", "_cy"]).where(F.col("e") < F.col("f"))
+    one = edges.select(*by, F.struct(*_AT).alias("e"), "new", F.explode(span(F.col("x1"), F.col("x2"))).alias("_cx"), "y1", "y2").withColumn("_cy", F.explode(span(F.col("y1"), F.col("y2")))).select(*by, "e", "new", "_cx", "_cy")
+    # Written tables compress well, so their size misleads Spark to broadcast what the driver can't hold.
+    near = one.where("new").join(one.withColumnsRenamed({"e": "f", "new": "_new"}).hint("merge"), [*by, "_cx", "_cy"]).where(~F.col("_new") & (F.col("e") != F.col("f")) | (F.col("e") < F.col("f")))
     e, f = ({c: F.col(f"{n}.{c}") for c in _AT} for n in "ef")
     apart = (e["x2"] < f["x1"]) | (f["x2"] < e["x1"]) | (F.greatest(e["y1"], e["y2"]) < F.least(f["y1"], f["y2"])) | (F.greatest(f["y1"], f["y2"]) < F.least(e["y1"], e["y2"]))
-    near = near.where(~apart).select(*by, "e", "f").distinct()
+    low = lambda axis: F.floor(F.greatest(*(F.least(n[f"{axis}1"], n[f"{axis}2"]) for n in (e, f))) / cell)
+    near = near.where(~apart & (F.col("_cx") == low("x")) & (F.col("_cy") == low("y"))).select(*by, "e", "f")
     d = {"f1": _cross(*(e[c] for c in _AT), f["x1"], f["y1"]), "f2": _cross(*(e[c] for c in _AT), f["x2"], f["y2"]), "e1": _cross(*(f[c] for c in _AT), e["x1"], e["y1"]), "e2": _cross(*(f[c] for c in _AT), e["x2"], e["y2"])}
     near = near.select(*by, "e", "f", *(v.alias(k) for k, v in d.items()))
     proper = (F.signum("f1") * F.signum("f2") < 0) & (F.signum("e1") * F.signum("e2") < 0)
@@ -92,26 +97,32 @@ def crossings(edges: DataFrame, by: list[str], cell: int) -> DataFrame:
 
 
 def noded(edges: DataFrame, by: list[str], cell: int) -> DataFrame:
-    """The edges' pieces between all points where they meet, as a written table. Snapped points may move a piece onto another, so it is repeated."""
-    now = written(_net(edges, by))
-    while True:
+    """The edges' pieces between all points where they meet, as a written table.
+
+    Snapped points may move a piece onto another, so it is repeated for pieces that moved, which are new; others are split where they meet already.
+    """
+    now = written(_net(edges.withColumn("new", F.lit(True)), by))
+    while not now.where("new").isEmpty():
         found = written(crossings(now, by, cell))
         if found.isEmpty():
             forget(found)
-            return now
-        split = now.withColumn("edge", F.struct(*_AT)).join(found.groupBy(*by, "edge").agg(F.collect_list("p").alias("inner")), [*by, "edge"], "left")
+            break
+        split = now.withColumn("edge", F.struct(*_AT)).join(found.groupBy(*by, "edge").agg(F.collect_list("p").alias("inner")).hint("merge"), [*by, "edge"], "left")
         # Along an edge: by how far a point lies in the edge's direction.
         along = lambda p: (p["x"] - F.col("x1")).cast("double") * (F.col("x2") - F.col("x1")) + (p["y"] - F.col("y1")).cast("double") * (F.col("y2") - F.col("y1"))
         ordered = F.transform(F.array_sort(F.transform("inner", lambda p: F.struct(along(p).alias("k"), p.alias("p")))), lambda s: s["p"])
         path = F.concat(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))), F.coalesce(ordered, F.array().cast("array<struct<x:bigint,y:bigint>>")), F.array(F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-        split = split.select(*by, "a", "b", path.alias("path"))
-        pieces = split.select(*by, "a", "b", F.explode(F.zip_with("path", F.slice("path", 2, F.size("path")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("s")).where("s.q IS NOT NULL AND s.p <> s.q")
+        moved = F.exists(F.coalesce("inner", F.array().cast("array<struct<x:bigint,y:bigint>>")), lambda p: _cross(*(F.col(c) for c in _AT), p["x"], p["y"]) != 0)
+        split = split.select(*by, "a", "b", moved.alias("new"), path.alias("path"))
+        pieces = split.select(*by, "a", "b", "new", F.explode(F.zip_with("path", F.slice("path", 2, F.size("path")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).alias("s")).where("s.q IS NOT NULL AND s.p <> s.q")
         turned = F.col("s.p") > F.col("s.q")  # a snapped point may lie a little before the one it follows
         low, high = F.least("s.p", "s.q"), F.greatest("s.p", "s.q")
-        pieces = pieces.select(*by, low["x"].alias("x1"), low["y"].alias("y1"), high["x"].alias("x2"), high["y"].alias("y2"), *(F.when(turned, -F.col(c)).otherwise(F.col(c)).alias(c) for c in "ab"))
+        pieces = pieces.select(*by, low["x"].alias("x1"), low["y"].alias("y1"), high["x"].alias("x2"), high["y"].alias("y2"), "new", *(F.when(turned, -F.col(c)).otherwise(F.col(c)).alias(c) for c in "ab"))
         new = written(_net(pieces, by))
         forget(now)
+        forget(found)
         now = new
+    return now.drop("new")
 
 
 def windings(pieces: DataFrame, by: list[str], cell: int) -> DataFrame:
@@ -132,8 +143,8 @@ def windings(pieces: DataFrame, by: list[str], cell: int) -> DataFrame:
             *((F.col(c) * F.when(rising, 1).otherwise(-1)).alias(f"w{c}") for c in "ab"), F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))).alias("_band"),
         )
         crossed = (F.col("uy") <= F.col("my")) & (F.col("vy") > F.col("my")) & (_cross(F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"), F.col("mx"), F.col("my")) > 0)
-        sums = rays.join(walls, [*by, "_band"]).where(crossed).groupBy(*by, *_AT).agg(*((sign * F.sum(f"w{c}")).alias(f"s{c}") for c in "ab"))
-        both = rays.join(sums, [*by, *_AT], "left")
+        sums = rays.join(walls.hint("merge"), [*by, "_band"]).where(crossed).groupBy(*by, *_AT).agg(*((sign * F.sum(f"w{c}")).alias(f"s{c}") for c in "ab"))
+        both = rays.join(sums.hint("merge"), [*by, *_AT], "left")
         way = F.when(F.col(y1) < F.col(y2), 1).otherwise(-1)
         plus = {c: F.coalesce(F.col(f"s{c}"), F.lit(0)) for c in "ab"}
         minus = {c: plus[c] + sign * way * F.col(c) for c in "ab"}

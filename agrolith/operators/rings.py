@@ -1,13 +1,14 @@
 """Closed rings from directed boundary edges, whatever their number: chains inside cells, joined across cells by components.
 
 edges: (by..., x1, y1, x2, y2) with the interior on the left hand, as many into each point as out of it. An edge's successor is found by a join
-on its end point; where several begin there, the sharpest left turn is taken, so a ring goes around one face. A task links the edges of a cell to
-chains; only chains that leave their cell take part in the components. A ring, at last, is one row.
+on its end point; where several begin there, the sharpest left turn is taken, so a ring goes around one face. A task links a block of edges, in the
+order of keys and cells, to chains; only chains that leave their block take part in the components. A ring, at last, is one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 from math import pi
 
 import pyarrow as pa
@@ -19,6 +20,8 @@ from agrolith.operators.graph import connected_components
 from agrolith.operators.scratch import ship, written
 
 _AT = ["x1", "y1", "x2", "y2"]
+#: Edges that a task links at once, and the side, in cells, of what goes to one task.
+BLOCK, WIDE = 65_536, 16
 
 
 def turn(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y3: Column) -> Column:
@@ -33,7 +36,7 @@ def successors(edges: DataFrame, by: list[str], stops: DataFrame | None = None)
     out = edges.select(*by, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("nx"), F.col("y2").alias("ny"))
     if stops is not None:
         out = out.join(stops, [*by, "x2", "y2"], "left_anti")
-    near = edges.select(*by, *_AT).join(out, [*by, "x2", "y2"], "inner" if stops is None else "left")
+    near = edges.select(*by, *_AT).join(out.hint("merge"), [*by, "x2", "y2"], "inner" if stops is None else "left")
     first = Window.partitionBy(*by, *_AT).orderBy(turn(*(F.col(c) for c in (*_AT, "nx", "ny"))), "nx", "ny")
     return near.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").select(*by, *_AT, "nx", "ny")
 
@@ -79,29 +82,47 @@ def _linked(after: dict[tuple, tuple]) -> list[tuple[bool, tuple, tuple, list[tu
 
 
 def _chains(table: pa.Table, by: list[str]) -> pa.Table:
-    """Chains of a cell's edges: whether they are closed, their first edge, the edge that follows the last (null: none), and their points but the last."""
-    after = {(a, b, c, d): (c, d, e, f) for a, b, c, d, e, f in zip(*(table[c].to_pylist() for c in (*_AT, "nx", "ny")), strict=True)}
+    """Chains of some edges: whether they are closed, their first edge, the edge that follows the last (null: none), and their points but the last."""
+    key = list(zip(*(table[c].to_pylist() for c in by), strict=True)) if by else [()] * len(table)
+    ends = list(zip(*(table[c].to_pylist() for c in (*_AT, "nx", "ny")), strict=True))
+    # Edges of one key lie together; equal edges of other keys are others.
+    run = list(accumulate((k > 0 and key[k] != key[k - 1] for k in range(len(key))), initial=0))[1:]
+    after = {(n, a, b, c, d): (n, c, d, e, f) for n, (a, b, c, d, e, f) in zip(run, ends, strict=True)}
+    at = {n: k for k, n in reversed(list(enumerate(run)))}
     rows = _linked(after)
     edge = pa.struct([(c, table.schema.field(c).type) for c in _AT])
     point = pa.list_(pa.struct([("x", table.schema.field("x1").type), ("y", table.schema.field("x1").type)]))
-    named = [[None if r[k][2] is None else dict(zip(_AT, r[k], strict=True)) for r in rows] for k in (1, 2)]
-    points = [[{"x": e[0], "y": e[1]} for e in own] + ([{"x": own[-1][2], "y": own[-1][3]}] if following[2] is None else []) for _, _, following, own in rows]
-    same = {c: pa.concat_arrays([table[c].slice(0, 1).combine_chunks()] * len(rows)) for c in by}
-    return pa.table(same | {"closed": pa.array([r[0] for r in rows], pa.bool_()), "first": pa.array(named[0], edge), "following": pa.array(named[1], edge), "points": pa.array(points, point)})
+    named = [[None if r[k][3] is None else dict(zip(_AT, r[k][1:], strict=True)) for r in rows] for k in (1, 2)]
+    points = [[{"x": e[1], "y": e[2]} for e in own] + ([{"x": own[-1][3], "y": own[-1][4]}] if following[3] is None else []) for _, _, following, own in rows]
+    own = pa.array([at[r[1][0]] for r in rows], pa.int64())
+    return pa.table({c: table[c].take(own) for c in by} | {"closed": pa.array([r[0] for r in rows], pa.bool_()), "first": pa.array(named[0], edge), "following": pa.array(named[1], edge), "points": pa.array(points, point)})
 
 
 def chains(edges: DataFrame, by: list[str], cell: float, stops: DataFrame | None = None) -> DataFrame:
     """(by..., closed, points array<struct<x, y>>): edges (each once) joined to closed chains, and to open ones between stops.
 
-    A closed chain doesn't repeat its first point; an open one has both ends. Cells' chains are made in tasks and joined by components.
+    A closed chain doesn't repeat its first point; an open one has both ends. Tasks make chains of a block of edges, many cells and keys in one,
+    and chains that leave their block are joined by components.
     """
     ship(edges.sparkSession)
     kind = edges.schema["x1"].dataType
     edge, point = T.StructType([T.StructField(c, kind) for c in _AT]), T.ArrayType(T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
     held = [edges.schema[c] for c in by]
-    placed = successors(edges, by, stops).withColumn("_cx", F.floor(F.col("x1") / cell)).withColumn("_cy", F.floor(F.col("y1") / cell))
+    placed = successors(edges, by, stops).withColumn("_cx", F.floor(F.col("x1") / (WIDE * cell))).withColumn("_cy", F.floor(F.col("y1") / (WIDE * cell)))
+    placed = placed.repartition(*by, "_cx", "_cy").sortWithinPartitions(*by, "_cx", "_cy")
     schema = T.StructType([*held, T.StructField("closed", T.BooleanType()), T.StructField("first", edge), T.StructField("following", edge), T.StructField("points", point)])
-    found = written(placed.groupBy(*by, "_cx", "_cy").applyInArrow(lambda t: _chains(t, by), schema))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                yield from _chains(pa.Table.from_batches(held), by).to_batches()
+                held = []
+        if held:
+            yield from _chains(pa.Table.from_batches(held), by).to_batches()
+
+    found = written(placed.mapInArrow(linked, schema))
     ended = F.col("following").isNull()
     whole, open_ = found.where("closed").select(*by, "closed", "points"), found.where("not closed")
     if open_.where(~ended).isEmpty():

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from agrolith.operators import overlay, rings
 from agrolith.plans import field_queries, more_queries, raster_queries  # noqa: F401  they register themselves
 from agrolith.plans import queries as plans
 
@@ -39,3 +42,22 @@ def test_points_at_the_height_of_corners(spark, tmp_path):
 @pytest.mark.parametrize("name", ["tile_index", "pyramid_rollup", "tile_pyramid_avg"])
 def test_tiles_beyond_the_square(spark, tmp_path, name):
     agrees(spark, tmp_path, name, events="* REPLACE (event_id + 5881800 AS event_id) {} WHERE event_id < 2000")
+
+
+def test_keys_of_one_block_keep_their_chains():
+    """Many cells and keys are linked at once; equal rings of two keys are two chains."""
+    ring = [(0, 0), (2, 0), (2, 2), (0, 2)]
+    steps = [(*ring[k], *ring[(k + 1) % 4], *ring[(k + 2) % 4]) for k in range(4)]
+    rows = [{"id": key} | dict(zip(("x1", "y1", "x2", "y2", "nx", "ny"), s, strict=True)) for key in (1, 2) for s in steps]
+    found = rings._chains(pa.Table.from_pylist(rows), ["id"]).to_pylist()
+    assert [(r["id"], r["closed"], len(r["points"])) for r in found] == [(1, True, 4), (2, True, 4)]
+
+
+def test_noding_broadcasts_no_edges(spark, tmp_path):
+    """Written edges are small as files and large in memory, however few bytes Spark counts."""
+    square = "array(array(named_struct('x', {0}, 'y', {0}), named_struct('x', {1}, 'y', {0}), named_struct('x', {1}, 'y', {1}), named_struct('x', {0}, 'y', {1})))"
+    polygons = spark.sql(f"SELECT 1 AS id, {square.format('0.0D', '3.0D')} AS rings UNION ALL SELECT 1, {square.format('1.0D', '5.0D')}")
+    overlay.edges_of(polygons, ["id"], "a", 1.0).withColumn("new", F.lit(True)).write.parquet(f"{tmp_path}/edges")
+    met = overlay.crossings(spark.read.parquet(f"{tmp_path}/edges"), ["id"], 2)
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert {(r.p.x, r.p.y) for r in met.collect()} == {(1, 3), (3, 1)}
