@@ -718,6 +718,18 @@ def test_license_expressions_pointers_and_reservations(spark):
     assert not wrong, wrong
 
 
+def test_copies_of_license_lines_are_compared_once(spark, monkeypatch):
+    """Many files with one line: the terms that meet the templates are those of the distinct texts."""
+    met = []
+    plain = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, other, on=None, how=None: (met.append(self.count()) if on == "term" and how == "left" else None, plain(self, other, on, how))[1])
+    line = "Licensed under the Apache License, Version 2.0."
+    made = [(k, line if k % 2 else f"{line}\nAll rights reserved.", None) for k in range(200)]
+    found = licenses.own_licenses(spark.createDataFrame(made, "doc_id long, text string, path string"))
+    assert {(r.license, r.score, r.unit) for r in found.collect()} == {("Apache-2.0", 1.0, -2)}
+    assert met and max(met) < 40
+
+
 def test_license_of_a_null_key(spark):
     frame = spark.createDataFrame([(None, "Licensed under the MIT License.", "a/x"), (None, "Licensed under the MIT License.", None), (2, "words", "a/y"), (None, "other words", "a/z")], "doc_id long, text string, path string")
     assert sorted((r.path, r.own_license, r.origin) for r in licenses.scan(frame).collect()) == [("", "MIT", "own"), ("a/x", "MIT", "own"), ("a/y", None, "none"), ("a/z", None, "none")]
