@@ -37,6 +37,16 @@ def test_newest_files_in_any_order(spark, tmp_path):
     assert spark.conf.get(jobs.PROVIDER, "") != rasters.ROCKS
 
 
+def test_state_of_many_groups_goes_by_parts(spark, tmp_path):
+    """Some calls a part and none in Python without expiry, so time doesn't go by the number of groups."""
+    rows = spark.createDataFrame([(k, f"p{k}", datetime(2024, 1, 1 + k % 20), datetime(2024, 1, 1 + k % 20)) for k in range(3_000)], "area long, path string, modified timestamp, seen timestamp")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert "transformWithState" not in str(rasters.newest(stream(), "area")._jdf.queryExecution().logical())
+    found = jobs.run_available(rasters.newest(stream(), "area", "1 day", timedelta(days=9), parts=4), "update", "area", rasters.ROCKS)
+    assert {(r.area, r.path, r.expired) for r in found.collect()} == {(k, f"p{k}", k % 20 + 9 <= 18) for k in range(3_000)}
+
+
 def test_idle_groups_expire(spark, tmp_path):
     batches = [[("a", "a1", day(1), day(1)), ("b", "b1", day(1), day(1))], [("b", "b2", day(40), day(40))]]
     found = jobs.run_available(rasters.newest(file_stream(spark, tmp_path / "in", batches), "area", "1 day", timedelta(days=20)), "update", "area", rasters.ROCKS)
