@@ -41,10 +41,14 @@ def clahe(grid: DataFrame, height: Column, width: Column, tiles: int = 8, clip:
     own = Window.partitionBy(*held, *part)
     cut = full.withColumn("spare", F.sum(F.greatest(F.col("n") - limit, F.lit(0.0))).over(own) / 256).withColumn("h", F.least(F.col("n").cast("double"), limit) + F.col("spare"))
     table = cut.select(*held, *part, "g", F.least(F.lit(255.0), F.sum("h").over(own.orderBy("g")) * 255 / F.col("all")).alias("new"))
-    wide = placed.select(*held, "row", "col", "g", F.explode(corners).alias("c"), last_y.alias("last_y"), last_x.alias("last_x"))
-    wide = wide.select(*held, "row", "col", "g", F.least(F.greatest(F.col("c.y"), F.lit(0)), "last_y").alias("ty"), F.least(F.greatest(F.col("c.x"), F.lit(0)), "last_x").alias("tx"), "c.w")
-    table = table if held else F.broadcast(table)  # one raster has 256 rows for each of tiles ** 2 parts
-    return wide.join(table, [*held, *part, "g"]).groupBy(*held, "row", "col").agg(F.round(F.sum(F.col("w") * F.col("new"))).alias(value))
+    table = table.groupBy(*held, *part).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "new"))), lambda x: x["new"]).alias("new"))
+    table = table if held else F.broadcast(table)  # one raster has tiles ** 2 parts, each an array of 256
+    found = placed.select(*held, "row", "col", "g", corners.alias("c"), last_y.alias("last_y"), last_x.alias("last_x"))
+    for k in range(4):
+        at = {"ty": F.least(F.greatest(F.col("c")[k]["y"], F.lit(0)), "last_y"), "tx": F.least(F.greatest(F.col("c")[k]["x"], F.lit(0)), "last_x")}
+        found = found.withColumns(at).join(table.withColumnRenamed("new", f"new_{k}"), [*held, *part])
+    total = sum(F.col("c")[k]["w"] * F.get(f"new_{k}", F.col("g")) for k in range(4))
+    return found.select(*held, "row", "col", F.round(total).alias(value)).where(F.col(value).isNotNull())
 
 
 def bilinear(values: np.ndarray, scale: int) -> np.ndarray:

@@ -7,16 +7,23 @@ several zones that may overlap are handled zone by zone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi, sin
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agrolith.functions.geometry import bounds, contains
+from agrolith.operators.scratch import ship
 
 
 #: Columns that tell a table's rasters apart or belong to a raster; operators carry those that are there.
 RASTER = ("raster_id", "zone", "height", "width")
+#: Rows and columns of a chunk that is handled as an array.
+ARRAY = 256
 
 
 def keys(grid: DataFrame) -> list[str]:
@@ -47,25 +54,80 @@ def upsample_nearest(grid: DataFrame, factor: int) -> DataFrame:
 def upsample(grid: DataFrame, factor: int, height: Column, width: Column, shares: list[tuple[int, float]], value: str = "v") -> DataFrame:
     """Enlargement in which a source pixel gives its share to target pixels near it along each axis; edges are repeated.
 
-    shares: (k, weight) for target factor * at + k. Shares are added up with partial aggregation, so no neighbour join is needed.
-    A target near an edge gets the shares of the pixels that would lie beyond it from the edge pixel.
+    shares: (k, weight) for target factor * at + k, added up in arrays of chunks. A target near an edge gets the shares of the pixels that would lie beyond it from the edge pixel.
     """
-    held, reach = keys(grid), max(abs(k) for k, _ in shares) // factor + 1
-    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in shares))
-
-    def spread(df: DataFrame, axis: str, size: Column) -> DataFrame:
-        other = "col" if axis == "row" else "row"
-        at = F.col(axis)
-        # The edge pixel stands for those beyond it, too.
-        before = F.when(at == 0, F.sequence(F.lit(-reach), F.lit(0))).otherwise(F.array(F.lit(0)))
-        after = F.when(at == size - 1, F.sequence(F.lit(0), F.lit(reach))).otherwise(F.array(F.lit(0)))
-        moved = df.select(*held, other, value, size.alias("_n"), F.explode(F.transform(F.array_distinct(F.concat(before, after)), lambda d: at + d)).alias("_at"))
-        wide = moved.select(*held, other, value, "_n", "_at", F.explode(steps).alias("s"))
-        to = F.col("_at") * factor + F.col("s.k")
-        sent = wide.select(*held, other, to.alias(axis), (F.col(value) * F.col("s.w")).alias(value), "_n").where((F.col(axis) >= 0) & (F.col(axis) < F.col("_n") * factor))
-        return sent.groupBy(*held, other, axis).agg(F.sum(value).alias(value))
-
-    return spread(spread(grid, "col", width), "row", height)
+    reach = max(abs(k) for k, _ in shares) // factor + 1
+
+    def enlarged(cells: np.ndarray, there: np.ndarray, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        # Along the first axis; the edge pixel stands for those beyond it, too.
+        at = np.arange(first, first + len(cells))
+        edge = np.clip(at, 0, n - 1) - first
+        near = (edge >= 0) & (edge < len(cells)) & (np.abs(at - edge - first) <= reach)
+        v, some = (np.where(near[:, None], x[np.clip(edge, 0, len(x) - 1)], 0) for x in (cells, there))
+        out, found = np.zeros((len(v) * factor, v.shape[1])), np.zeros((len(v) * factor, v.shape[1]), bool)
+        for k, w in shares:
+            phase, step = k % factor, k // factor
+            out[phase::factor] += w * moved(v, step, 0)
+            found[phase::factor] |= moved(some, step, 0).astype(bool)
+        return out, found
+
+    def run(known: list[np.ndarray], top: int, left: int, height: int, width: int) -> list[np.ndarray]:
+        there, cells = known
+        null = np.isnan(cells)
+        parts = []
+        for v, some in ((np.where(null, 0.0, cells), there & ~null), (np.zeros(cells.shape), there)):
+            v, some = (x.T for x in enlarged(v.T, some.T, left, width))
+            parts.append(enlarged(v, some, top, height))
+        (v, real), (_, some) = parts
+        return [some, np.where(real, v, np.nan)]
+
+    return on_arrays(grid, height, width, reach, run, value, factor)
+
+
+def moved(x: np.ndarray, down: int, right: int) -> np.ndarray:
+    """The array moved by some rows and columns, zeros where nothing comes."""
+    out = np.zeros_like(x)
+    n, m = x.shape
+    if abs(down) < n and abs(right) < m:
+        out[max(down, 0) : n + min(down, 0), max(right, 0) : m + min(right, 0)] = x[max(-down, 0) : n + min(-down, 0), max(-right, 0) : m + min(-right, 0)]
+    return out
+
+
+def on_arrays(grid: DataFrame, height: Column, width: Column, pad: int, run: Callable[..., list[np.ndarray]], value: str | None = "v", factor: int = 1) -> DataFrame:
+    """(row, col, value) from chunks of pixels as arrays with a margin of `pad`; each pixel is shuffled once, to the chunks that read it.
+
+    run gets which pixels are there and, with a value, the values (NaN for null), the row and column of the arrays' first pixel, and the raster's height and
+    width; it returns the same of the result, factor times as large. What lies outside the chunk or the raster is cut off. A task holds one chunk.
+    """
+    held, names = keys(grid), [value] if value else []
+    size = max(ARRAY, pad)
+    wide = grid.select(*held, "row", "col", *(F.col(c).cast("double").alias(c) for c in names), height.cast("bigint").alias("_h"), width.cast("bigint").alias("_w"))
+    placed, by = with_margin(wide, size, pad).drop("own"), [*held, "cy", "cx"]
+    schema = T.StructType([*(grid.schema[c] for c in held), *(T.StructField(c, grid.schema[c].dataType) for c in ("row", "col")), *(T.StructField(c, T.DoubleType()) for c in names)])
+
+    def chunk(table: pa.Table) -> pa.Table:
+        cy, cx, h, w = (table[c][0].as_py() for c in ("cy", "cx", "_h", "_w"))
+        row, col = table["row"].to_numpy().astype(np.int64), table["col"].to_numpy().astype(np.int64)
+        # As far as pixels lie, and what they reach.
+        top, left = row.min() - pad, col.min() - pad
+        there = np.zeros((row.max() + pad + 1 - top, col.max() + pad + 1 - left), bool)
+        there[row - top, col - left] = True
+        known = [there]
+        if value:
+            cells = np.full(there.shape, np.nan)
+            cells[row - top, col - left] = table[value].to_numpy()
+            known.append(cells)
+        some, *rest = run(known, int(top), int(left), h, w)
+        r, c = np.nonzero(some)
+        to_row, to_col = r + top * factor, c + left * factor
+        own = (to_row >= max(cy * size, 0) * factor) & (to_row < min((cy + 1) * size, h) * factor) & (to_col >= max(cx * size, 0) * factor) & (to_col < min((cx + 1) * size, w) * factor)
+        r, c = r[own], c[own]
+        same = {k: pa.array([table[k][0].as_py()] * len(r), table.schema.field(k).type) for k in held}
+        at = {k: pa.array(x[own], table.schema.field(k).type) for k, x in (("row", to_row), ("col", to_col))}
+        return pa.table(same | at | {k: pa.array(x[r, c], from_pandas=True) for k, x in zip(names, rest, strict=True)})
+
+    ship(grid.sparkSession)
+    return placed.groupBy(*by).applyInArrow(chunk, schema)
 
 
 def upsample_bilinear(grid: DataFrame, factor: int, height: Column, width: Column, value: str = "v") -> DataFrame:

@@ -1,8 +1,7 @@
 """Neighbourhood operators on pixel relations.
 
 3 x 3 kernels and rectangles are windows along rows and columns of chunks with a margin: pixels are shuffled once, by chunk, and both
-windows stay in it. Other kernels scatter: every pixel sends its share to the pixels whose window holds it, and shares are added with
-partial aggregation before the shuffle. Rasters of one table (grid.RASTER) don't mix.
+windows stay in it. Convolution and morphology run on arrays of such chunks. Rasters of one table (grid.RASTER) don't mix.
 """
 
 from __future__ import annotations
@@ -10,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import exp
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from agrolith.operators.grid import keys, with_margin
+from agrolith.operators.grid import keys, moved, on_arrays, with_margin
 
 #: Rows and columns of a chunk.
 CHUNK = 128
@@ -25,24 +25,36 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def convolve_axis(grid: DataFrame, axis: str, weights: list[float], size: Column, value: str = "v") -> DataFrame:
-    """Weighted sum over an odd window along an axis of `size` pixels; edges are reflected with the edge pixel repeated."""
-    radius = len(weights) // 2
-    other, held = "col" if axis == "row" else "row", keys(grid)
-    steps = [F.array(*(F.struct(F.lit(k - radius).alias("k"), F.lit(w).alias("w"), F.lit(m).alias("m")) for k, w in enumerate(weights) for m in some)) for some in ((0,), (0, 1, 2))]
-    at_edge = (F.col(axis) < radius) | (F.col(axis) >= size - radius)
-    wide = grid.select(*held, other, axis, value, size.alias("_n"), F.explode(F.when(at_edge, steps[1]).otherwise(steps[0])).alias("s"))
-    at, k, size = F.col(axis), F.col("s.k"), F.col("_n")
-    # The targets t whose window reads this pixel at t + k: directly, by reflection at the start, and at the end.
-    target = F.when(F.col("s.m") == 0, at - k).when(F.col("s.m") == 1, -1 - at - k).otherwise(2 * size - 1 - at - k)
-    off = ((F.col("s.m") == 1) & (target + k < 0)) | ((F.col("s.m") == 2) & (target + k >= size)) | (F.col("s.m") == 0)
-    sent = wide.select(*held, other, target.alias("_t"), (F.col(value) * F.col("s.w")).alias(value), off.alias("_ok"), "_n").where("_ok and _t >= 0 and _t < _n")
-    return sent.groupBy(*held, F.col(other), F.col("_t").alias(axis)).agg(F.sum(value).alias(value))
+def _summed(cells: np.ndarray, there: np.ndarray, weights: list[float], first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums along the first axis and whether anything was added; beyond 0 and n lie the reflected cells, the edge repeated."""
+    at = np.arange(first, first + len(cells))
+    mirror = np.where(at < 0, -1 - at, np.where(at >= n, 2 * n - 1 - at, at))
+    near = (mirror >= 0) & (mirror < n) & (mirror - first >= 0) & (mirror - first < len(cells))
+    v, some = (np.where(near[:, None], x[np.clip(mirror - first, 0, len(x) - 1)], 0) for x in (cells, there))
+    out, found, radius = np.zeros(cells.shape), np.zeros(cells.shape, bool), len(weights) // 2
+    for k, w in enumerate(weights):
+        out += w * moved(v, radius - k, 0)
+        found |= moved(some, radius - k, 0).astype(bool)
+    return out, found
+
+
+def convolve(grid: DataFrame, weights: list[float], height: Column, width: Column, value: str = "v") -> DataFrame:
+    """Weighted sum over an odd window along both axes; edges are reflected with the edge pixel repeated, and absent pixels add nothing."""
+
+    def run(known: list[np.ndarray], top: int, left: int, height: int, width: int) -> list[np.ndarray]:
+        there, cells = known
+        null, parts = np.isnan(cells), []
+        for v, some in ((np.where(null, 0.0, cells), there & ~null), (np.zeros(cells.shape), there)):
+            v, some = (x.T for x in _summed(v.T, some.T, weights, left, width))
+            parts.append(_summed(v, some, weights, top, height))
+        (v, real), (_, some) = parts
+        return [some, np.where(real, v, np.nan)]
+
+    return on_arrays(grid, height, width, len(weights) // 2, run, value)
 
 
 def gaussian(grid: DataFrame, sigma: float, height: Column, width: Column, value: str = "v") -> DataFrame:
-    weights = gaussian_weights(sigma)
-    return convolve_axis(convolve_axis(grid, "col", weights, width, value), "row", weights, height, value)
+    return convolve(grid, gaussian_weights(sigma), height, width, value)
 
 
 def _chunks(grid: DataFrame, pad: int, value: str) -> tuple[DataFrame, Callable[[str], WindowSpec], list[str]]:
@@ -108,38 +120,40 @@ def windowed(grid: DataFrame, how: str, before: int, after: int, value: str = "v
 ELLIPSE_5 = [(0, 0), *((r, c) for r in (-1, 0, 1) for c in range(-2, 3) if (r, c) != (0, 0)), (-2, 0), (2, 0)]
 
 
-def dilate(mask: DataFrame, offsets: list[tuple[int, int]], height: Column, width: Column) -> DataFrame:
-    """(row, col) of the pixels that a marked pixel reaches; mask: (row, col) of marked pixels."""
-    held = keys(mask)
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets))
-    wide = mask.select(*held, "row", "col", F.explode(steps).alias("s"))
-    moved = wide.select(*held, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    return moved.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < height) & (F.col("col") < width)).distinct()
+def morph(mask: DataFrame, steps: list[str], offsets: list[tuple[int, int]], height: Column, width: Column) -> DataFrame:
+    """(row, col) after some steps "dilate" and "erode" of marked pixels; mask: (row, col) of them.
 
+    A pixel is dilated to all that it reaches; one stays in erosion if all of its window is marked, where beyond the raster counts as marked.
+    """
+    reach = max(max(abs(r), abs(c)) for r, c in offsets) * len(steps)
 
-def erode(mask: DataFrame, offsets: list[tuple[int, int]], height: Column, width: Column) -> DataFrame:
-    """(row, col) of the pixels all of whose window is marked; beyond the raster counts as marked."""
-    steps = F.array(*(F.struct(F.lit(-r).alias("r"), F.lit(-c).alias("c")) for r, c in offsets))
-    held = keys(mask)
-    wide = mask.select(*held, "row", "col", F.explode(steps).alias("s"))
-    at_row, at_col = F.col("row") + F.col("s.r"), F.col("col") + F.col("s.c")
-    votes = wide.select(*held, at_row.alias("row"), at_col.alias("col")).groupBy(*held, "row", "col").agg(F.count(F.lit(1)).alias("n"))
-    inside = sum((((F.col("row") + r).between(0, height - 1)) & ((F.col("col") + c).between(0, width - 1))).cast("int") for r, c in offsets)
-    return votes.where((F.col("n") == inside) & F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select(*held, "row", "col")
+    def run(known: list[np.ndarray], top: int, left: int, height: int, width: int) -> list[np.ndarray]:
+        (marked,) = known
+        row, col = np.arange(top, top + marked.shape[0])[:, None], np.arange(left, left + marked.shape[1])
+        inside = (row >= 0) & (row < height) & (col >= 0) & (col < width)
+        for step in steps:
+            way = 1 if step == "dilate" else -1
+            spread = marked if way == 1 else inside & ~marked
+            spread = np.logical_or.reduce([moved(spread, way * r, way * c) for r, c in offsets])
+            marked = inside & (spread if way == 1 else ~spread)
+        return [marked]
+
+    return on_arrays(mask, height, width, reach, run, None)
 
 
 def close_open(mask: DataFrame, height: Column, width: Column, turns: int = 2, offsets: list[tuple[int, int]] = ELLIPSE_5) -> DataFrame:
     """Morphological closing, then opening, of `turns` iterations each."""
-    for step in (dilate, erode, erode, dilate):
-        for _ in range(turns):
-            mask = step(mask, offsets, height, width)
-    return mask
+    return morph(mask, [step for step in ("dilate", "erode", "erode", "dilate") for _ in range(turns)], offsets, height, width)
 
 
 def ring(mask: DataFrame, steps: int, height: Column, width: Column) -> DataFrame:
     """Pixels within `steps` moves along the axes of a marked pixel that aren't marked themselves."""
     reach = [(r, c) for r in range(-steps, steps + 1) for c in range(-steps, steps + 1) if abs(r) + abs(c) <= steps]
-    return dilate(mask, reach, height, width).join(mask, [*keys(mask), "row", "col"], "left_anti")
+    held = keys(mask)
+    wide = mask.select(*held, "row", "col", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in reach))).alias("s"))
+    near = wide.select(*held, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    near = near.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < height) & (F.col("col") < width)).distinct()
+    return near.join(mask, [*held, "row", "col"], "left_anti")
 
 
 def unsharp(grid: DataFrame, amount: float, sigma: float, height: Column, width: Column, value: str = "v") -> DataFrame:
@@ -158,5 +172,5 @@ def adaptive_threshold(grid: DataFrame, height: Column, width: Column, size: int
     sigma, radius = 0.3 * ((size - 1) * 0.5 - 1) + 0.8, size // 2
     raw = [exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     weights, held = [x / sum(raw) for x in raw], keys(grid)
-    mean = convolve_axis(convolve_axis(grid, "col", weights, width, value), "row", weights, height, value).withColumnRenamed(value, "_mean")
+    mean = convolve(grid, weights, height, width, value).withColumnRenamed(value, "_mean")
     return grid.join(mean, [*held, "row", "col"]).select(*held, "row", "col", F.when(F.col(value) > F.col("_mean") - offset, 255).otherwise(0).alias(value))

@@ -61,3 +61,15 @@ def test_noding_broadcasts_no_edges(spark, tmp_path):
     met = overlay.crossings(spark.read.parquet(f"{tmp_path}/edges"), ["id"], 2)
     assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert {(r.p.x, r.p.y) for r in met.collect()} == {(1, 3), (3, 1)}
+
+
+def test_stencils_shuffle_pixels_once(spark):
+    """Convolution, morphology and enlargement shuffle about as many rows as there are pixels, not as many as kernels have cells."""
+    from agrolith.operators import grid, stencil
+
+    g = spark.range(128 * 300).selectExpr("id div 128 AS row", "id % 128 AS col", "cast(id % 17 AS double) AS v")
+    size = F.lit(300), F.lit(128)
+    for found in (stencil.gaussian(g, 1.5, *size), grid.upsample_lanczos(g, 2, *size), stencil.close_open(g.where("v > 6").drop("v"), *size)):
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FlatMapGroupsInArrow") == 1 and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
