@@ -255,6 +255,12 @@ def flood_raster(pixels: DataFrame, size: int = 256, cost: str = "cost", seed: s
         chunk.relax(name)
         return rows(key, chunk, version, sides(chunk, name, before))
 
+    def newest(states: DataFrame, told: DataFrame | None = None) -> DataFrame:
+        """The last state of each chunk, or of those that are told something; keys, one for each size ** 2 pixels, are broadcast, and no state is shuffled."""
+        keyed = states.withColumn("_key", F.struct(*by))
+        some = keyed if told is None else keyed.join(F.broadcast(told.select(F.struct(*by).alias("_key")).distinct()), "_key", "left_semi")
+        return keyed.join(F.broadcast(some.groupBy("_key").agg(F.max("version").alias("version"))), ["_key", "version"], "left_semi").select(states.columns)
+
     state, version = written(placed.groupBy(*by).applyInArrow(first, schema)), 0
     states, last = state.where("side = -1"), state
     for name in ("level", "label"):
@@ -265,19 +271,23 @@ def flood_raster(pixels: DataFrame, size: int = 256, cost: str = "cost", seed: s
         while not (sent := last.where("side >= 0")).isEmpty():
             version += 1
             sent = sent.select(*(F.col(c).alias(c) for c in sent.columns))  # columns of their own, apart from the states'
-            known = states.join(sent.select(*by).distinct(), by, "left_semi")
+            known = newest(states, sent)
             last = written(known.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_seeing(again, name, version), schema))
             states = states.unionByName(last.where("side = -1"))
 
-    def pixels_of(table: pa.Table) -> pa.Table:
-        at = int(np.argmax(table["version"].to_numpy()))
-        key, chunk = table.select(by).slice(at, 1).to_pylist()[0], Chunk(size, table["data"][at].as_py())
+    def pixels_of(table: pa.RecordBatch) -> pa.Table:
+        key, chunk = table.select(by).to_pylist()[0], Chunk(size, table["data"][0].as_py())
         row, col = np.nonzero(np.isfinite(chunk.cost) | (chunk.label < NO_LABEL))
         label = chunk.label[row, col]
         same = {c: pa.array([key[c]] * len(row), table.schema.field(c).type) for c in held}
         return pa.table(same | {"row": pa.array(row + key["cy"] * size), "col": pa.array(col + key["cx"] * size), "label": pa.array(label, mask=label == NO_LABEL)})
 
-    return states.groupBy(*by).applyInArrow(pixels_of, T.StructType([*(placed.schema[c] for c in held), *(T.StructField(c, T.LongType()) for c in ("row", "col", "label"))]))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield from pixels_of(b.slice(k, 1)).to_batches()
+
+    return newest(states).select(*by, "data").mapInArrow(each, T.StructType([*(placed.schema[c] for c in held), *(T.StructField(c, T.LongType()) for c in ("row", "col", "label"))]))
 
 
 def _alone(again: Callable, name: str, version: int) -> Callable:

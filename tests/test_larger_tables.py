@@ -73,3 +73,13 @@ def test_stencils_shuffle_pixels_once(spark):
         assert found.count() > 0
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FlatMapGroupsInArrow") == 1 and "HashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_flooding_shuffles_no_old_states(spark):
+    """Each round shuffles the last states of the chunks that it floods, and the end shuffles none."""
+    from agrolith.operators import segment
+
+    g = spark.range(60 * 40).selectExpr("id div 40 AS row", "id % 40 AS col", "cast(id * 7 % 13 AS double) AS cost", "if(id = 3, 5, null) AS seed")
+    found = segment.flood_raster(g, 16)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r["count"]) for r in found.groupBy("label").count().collect()} == {(5, 2_400)}
