@@ -730,6 +730,26 @@ def test_copies_of_license_lines_are_compared_once(spark, monkeypatch):
     assert met and max(met) < 40
 
 
+def test_near_copies_of_license_lines_make_no_more_rows(spark, monkeypatch):
+    """Lines that each differ in a word: a join on terms returns as many rows as it gets, and prose around a licence's words doesn't get there."""
+    met = []
+    plain = type(spark.range(1)).join
+
+    def join(self, other, on=None, how=None):
+        made = plain(self, other, on, how)
+        if on == "term":
+            met.append((self.count(), made.count()))
+        return made
+
+    monkeypatch.setattr(type(spark.range(1)), "join", join)
+    notice, prose = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License x{}", " ".join(f"w{k}" for k in range(60)) + " the apache license y{}"
+    made = [(k, (notice if k % 2 else prose).format(k), None) for k in range(200)]
+    found = licenses.own_licenses(spark.createDataFrame(made, "doc_id long, text string, path string")).collect()
+    assert {r.doc_id for r in found} == set(range(1, 200, 2)) and {r.license for r in found} == {"Apache-2.0"}
+    assert met and all(a == b for a, b in met)
+    assert max(a for a, _ in met) <= 100 * 20
+
+
 def test_license_of_a_null_key(spark):
     frame = spark.createDataFrame([(None, "Licensed under the MIT License.", "a/x"), (None, "Licensed under the MIT License.", None), (2, "words", "a/y"), (None, "other words", "a/z")], "doc_id long, text string, path string")
     assert sorted((r.path, r.own_license, r.origin) for r in licenses.scan(frame).collect()) == [("", "MIT", "own"), ("a/x", "MIT", "own"), ("a/y", None, "none"), ("a/z", None, "none")]
