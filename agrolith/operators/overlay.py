@@ -227,7 +227,7 @@ def cut_by_roads(outlines: DataFrame, roads: DataFrame, reach: float, by: list[s
         box = geo.bounds(F.flatten("rings"))
         return df.select(*keep, F.explode(span(box, 0, 2)).alias("_cx"), span(box, 1, 3).alias("_ys")).withColumn("_cy", F.explode("_ys")).drop("_ys")
 
-    strips = placed(capsules(roads.select("ax", "ay", "bx", "by"), reach), [F.struct("ax", "ay", "bx", "by").alias("_road"), F.col("rings").alias("_strip")])
+    strips = placed(written(capsules(roads.select("ax", "ay", "bx", "by"), reach)), [F.struct("ax", "ay", "bx", "by").alias("_road"), F.col("rings").alias("_strip")])
     boxes = placed(outlines, [*by, geo.bounds(F.flatten("rings")).alias("_box")])
     near = boxes.join(strips, ["_cx", "_cy"])
     own, other = (lambda k: F.get("_box", k)), (lambda k: F.get(geo.bounds(F.flatten("_strip")), k))

@@ -23,6 +23,8 @@ from agrolith.operators.stencil import windowed
 _FORWARD = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, -1), (1, 0), (1, 1)]}
 #: Rows and columns of a chunk, whose pixels are labelled as arrays.
 CHUNK = 256
+#: The side, in pixels, of a cell in which edges of simplified borders are compared; edges are short.
+NEAR = 16
 
 
 def least_labels(number: np.ndarray, kind: np.ndarray, connectivity: int) -> np.ndarray:
@@ -373,7 +375,7 @@ def simplify_shared(labels: DataFrame, tolerance: float, size: tuple[float, floa
     while True:
         edges = written(short.select(*held, "arc", pair("short").alias("e")).select(*held, "arc", *(F.col(f"e.{n}.{axis}").alias(f"{axis}{k}") for k, n in ((1, "p"), (2, "q")) for axis in "xy")))
         at = [*held, "x1", "y1", "x2", "y2"]
-        met = crossings(edges.select(*at).distinct().withColumn("new", F.lit(True)), held, cell).select(*held, *(F.col(f"edge.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
+        met = crossings(edges.select(*at).distinct().withColumn("new", F.lit(True)), held, min(cell, NEAR)).select(*held, *(F.col(f"edge.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
         twice = edges.groupBy(*at).count().where("count > 1").select(*at)
         bad = edges.join(met.unionByName(twice).distinct(), at).select(*held, "arc").distinct().withColumn("bad", F.lit(True))
         new = written(short.join(bad, [*held, "arc"], "left").withColumn("short", F.when(F.col("bad"), F.col("points")).otherwise(F.col("short"))).withColumn("bad", F.col("bad") & (F.size("short") > 2)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from agrolith.operators import overlay, rings
+from agrolith.operators import overlay, rings, segment
 from agrolith.plans import field_queries, more_queries, raster_queries  # noqa: F401  they register themselves
 from agrolith.plans import queries as plans
 
@@ -83,3 +83,13 @@ def test_flooding_shuffles_no_old_states(spark):
     found = segment.flood_raster(g, 16)
     assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.label, r["count"]) for r in found.groupBy("label").count().collect()} == {(5, 2_400)}
+
+
+def test_simplified_borders_are_compared_in_small_cells(spark, monkeypatch):
+    """Edges of simplified borders are short: the cells in which all pairs meet must not be as wide as chunks."""
+    cells = []
+    plain = segment.crossings
+    monkeypatch.setattr(segment, "crossings", lambda edges, by, cell: (cells.append(cell), plain(edges, by, cell))[1])
+    px = spark.range(1600).select((F.col("id") / 40).cast("bigint").alias("row"), (F.col("id") % 40).alias("col")).withColumn("label", F.floor(F.col("row") / 7) * 6 + F.floor(F.col("col") / 7))
+    assert segment.simplify_shared(px, 0.5).count() == 36
+    assert cells and max(cells) <= 32
