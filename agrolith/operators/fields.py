@@ -91,7 +91,7 @@ def polygons(labels: DataFrame, frame: Frame, rules: Rules) -> DataFrame:
     rings = segment.simplify_shared(labels.select(*by, "row", "col"), rules.tolerance_m / METRES, (frame.dx, frame.dy)).select(*by, ring.alias("ring"))
     ordered = F.array_sort(F.collect_list(F.struct((-geo.area(F.col("ring"))).alias("a"), "ring")))
     found = rings.groupBy(*by).agg(F.abs(F.sum(geo.signed_area(F.col("ring")))).alias("_area"), F.transform(ordered, lambda r: r["ring"]).alias("rings")).where(geo.valid_ring(F.get("rings", 0)))
-    return (found if rules.area_first else found.where(limits(F.col("_area")))).drop("_area")
+    return written((found if rules.area_first else found.where(limits(F.col("_area")))).drop("_area"))
 
 
 #: Parts of an outline that roads may leave.
@@ -108,9 +108,7 @@ def cut_outlines(outlines: DataFrame, roads: DataFrame, rules: Rules) -> DataFra
 
 def members(pixels: DataFrame, outlines: DataFrame, frame: Frame) -> DataFrame:
     """The pixels, columns as they were, with the label of each outline that their centre lies in."""
-    held = keys(pixels)
-    placed = pixels.withColumn("x", frame.x(F.col("col") + 0.5)).withColumn("y", frame.y(F.col("row") + 0.5))
-    return zonal.points_in_polygons(placed, outlines, 64 * max(frame.dx, frame.dy), held).drop("x", "y", "rings")
+    return zonal.pixels_in_polygons(pixels, outlines, frame.west, frame.north, frame.dx, frame.dy, keys(pixels))
 
 
 def features(pixels: DataFrame, outlines: DataFrame, frame: Frame, source: str, has_ndvi: bool) -> DataFrame:
@@ -152,7 +150,7 @@ def zones(pixels: DataFrame, fields: DataFrame, frame: Frame, rules: Rules) -> D
 def extract(pixels: DataFrame, frame: Frame, roads: DataFrame | None = None, rules: Rules = Rules(), source: str = "ndvi_bands") -> DataFrame:
     """Fields of each raster, as features gives them."""
     pixels = written(pixels)
-    outlines = written(polygons(written(regions(pixels, frame, rules)), frame, rules))
+    outlines = polygons(written(regions(pixels, frame, rules)), frame, rules)
     if roads is not None:
         outlines = written(cut_outlines(outlines, roads, rules))
     return features(pixels, outlines, frame, source, source == "ndvi_bands")

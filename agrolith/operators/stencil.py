@@ -149,11 +149,12 @@ def close_open(mask: DataFrame, height: Column, width: Column, turns: int = 2, o
 def ring(mask: DataFrame, steps: int, height: Column, width: Column) -> DataFrame:
     """Pixels within `steps` moves along the axes of a marked pixel that aren't marked themselves."""
     reach = [(r, c) for r in range(-steps, steps + 1) for c in range(-steps, steps + 1) if abs(r) + abs(c) <= steps]
-    held = keys(mask)
-    wide = mask.select(*held, "row", "col", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in reach))).alias("s"))
-    near = wide.select(*held, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    near = near.where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < height) & (F.col("col") < width)).distinct()
-    return near.join(mask, [*held, "row", "col"], "left_anti")
+
+    def run(known: list[np.ndarray], top: int, left: int, height: int, width: int) -> list[np.ndarray]:
+        (marked,) = known
+        return [np.logical_or.reduce([moved(marked, r, c) for r, c in reach]) & ~marked]
+
+    return on_arrays(mask, height, width, steps, run, None)
 
 
 def unsharp(grid: DataFrame, amount: float, sigma: float, height: Column, width: Column, value: str = "v") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from agrolith.functions.geometry import bounds, contains
 from agrolith.operators.grid import keys
@@ -51,6 +57,61 @@ def points_in_polygons(points: DataFrame, outlines: DataFrame, cell: float, by:
     return placed.join(wide, [*by, "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
+def _runs(rings: pa.ListArray, west: float, north: float, dx: float, dy: float) -> tuple[np.ndarray, ...]:
+    """Runs of pixels whose centres lie in outlines, in the numbers of contains: the outline's place, the row, the first column and the last."""
+    loops = rings.flatten()
+    points, sizes = loops.flatten(), loops.value_lengths().to_numpy()
+    x, y = (pc.struct_field(points, c).to_numpy(zero_copy_only=False) for c in "xy")
+    loop = np.repeat(np.arange(len(sizes)), sizes)
+    of = np.repeat(np.arange(len(rings)), rings.value_lengths().fill_null(0).to_numpy())
+    a = np.flatnonzero((loop[1:] == loop[:-1]) & (y[1:] != y[:-1]))
+    # The rows that an edge may meet, one to spare at both ends, and of them those that it does.
+    low, high = np.minimum(y[a], y[a + 1]), np.maximum(y[a], y[a + 1])
+    first, last = (np.floor((north - v) / dy - 0.5).astype(np.int64) for v in (high, low))
+    many = last - first + 3
+    a, row = np.repeat(a, many), np.repeat(first - 1, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = north - (row + 0.5) * dy
+    met = (y[a] > at) != (y[a + 1] > at)
+    a, row, at = a[met], row[met], at[met]
+    cut, of = (x[a + 1] - x[a]) * (at - y[a]) / (y[a + 1] - y[a]) + x[a], of[loop[a]]
+    order = np.lexsort((cut, row, of))
+    of, row, cut = of[order][::2], row[order][::2], cut[order]
+
+    def least(v: np.ndarray) -> np.ndarray:
+        """The least column whose centre isn't before v."""
+        c = np.ceil((v - west) / dx - 0.5).astype(np.int64) - 1
+        for _ in range(2):
+            c += west + (c + 0.5) * dx < v
+        return c
+
+    start, stop = least(cut[::2]), least(cut[1::2]) - 1
+    some = start <= stop
+    return of[some], row[some], start[some], stop[some]
+
+
+def pixels_in_polygons(pixels: DataFrame, outlines: DataFrame, west: float, north: float, dx: float, dy: float, by: list[str] = ()) -> DataFrame:
+    """Pixels (row, col) of a frame joined with the polygons that hold their centres, as points_in_polygons finds them.
+
+    A polygon is cut into runs of pixels row by row, so the work is that of its edges' rows and of its pixels, and pixels are joined by row and col.
+    """
+    kept = [c for c in outlines.columns if c != "rings"]
+    schema = T.StructType([*(outlines.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in ("row", "_first", "_last"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                of, *found = _runs(part.column("rings"), west, north, dx, dy)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(of)) for c in kept), *(pa.array(v) for v in found)], schema=to_arrow_schema(schema))
+
+    spark = outlines.sparkSession
+    ship(spark)
+    spread = outlines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *kept)  # few bytes with much work
+    runs = spread.select(*kept, "rings").mapInArrow(run, schema)
+    runs = runs.select(*kept, "row", F.explode(F.sequence("_first", "_last")).alias("col"))
+    return pixels.join(runs.hint("merge"), [*by, "row", "col"])
+
+
 def quantile_zones(pixels: DataFrame, zone: str, value: str, zones: int = 3) -> DataFrame:
     """Each pixel's class 1..zones by exact quantiles of its field's values."""
     cuts = pixels.groupBy(zone).agg(F.percentile(value, F.lit([k / zones for k in range(1, zones)])).alias("_cuts"))

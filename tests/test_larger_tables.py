@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from agrolith.operators import overlay, rings, segment
+from agrolith.operators import overlay, rings, segment, stencil, zonal
 from agrolith.plans import field_queries, more_queries, raster_queries  # noqa: F401  they register themselves
 from agrolith.plans import queries as plans
 
@@ -85,6 +85,31 @@ def test_flooding_shuffles_no_old_states(spark):
     assert {(r.label, r["count"]) for r in found.groupBy("label").count().collect()} == {(5, 2_400)}
 
 
+def test_pixels_in_polygons_are_those_of_ray_casting(spark):
+    """Runs of pixels and points one by one agree: slanted edges, holes, centres on edges and corners, outlines that overlap and lie outside."""
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in (*p, p[0])]
+    shapes = [
+        (1, [ring((0.5, 9.5), (9.25, 8.1), (7.5, 1.5), (2.5, 2.5)), ring((3.5, 7.5), (3.5, 5.5), (5.5, 5.5), (5.5, 7.5))]),
+        (2, [ring((4.5, 12.0), (15.5, 6.5), (4.5, -3.0))]), (3, [ring((-9.0, -9.0), (-8.0, -9.0), (-8.0, -8.0))]), (4, [ring((1.1, 3.2), (1.2, 3.2), (1.2, 3.3))]), (5, []),
+    ]
+    outlines = spark.createDataFrame(shapes, "label long, rings array<array<struct<x: double, y: double>>>")
+    px = spark.range(144).select((F.col("id") / 12).cast("bigint").alias("row"), (F.col("id") % 12).alias("col"))
+    found = zonal.pixels_in_polygons(px, outlines, 0.0, 12.0, 1.0, 1.0).select("label", "row", "col").collect()
+    points = px.withColumn("x", F.col("col") + 0.5).withColumn("y", 12.0 - (F.col("row") + 0.5))
+    plain = zonal.points_in_polygons(points, outlines, 4.0).select("label", "row", "col").collect()
+    assert len(found) == len(set(found)) > 60 and set(found) == set(plain)
+
+
+def test_rings_of_pixels_are_read_once(spark):
+    """The ring around each zone's pixels, without a row for each of its steps; zones may touch and lie at the raster's border and a chunk's."""
+    mask = spark.createDataFrame([(z, r, c) for z, at in ((1, 0), (2, 3), (3, 254)) for r in range(at, at + 4) for c in range(3)], "zone long, row long, col long")
+    made = stencil.ring(mask, 2, F.lit(300), F.lit(60))
+    assert "Generate explode(array(struct" not in made._jdf.queryExecution().optimizedPlan().toString()
+    own = {tuple(r) for r in mask.collect()}
+    near = {(z, r + i, c + j) for z, r, c in own for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <= 2} - own
+    assert sorted(map(tuple, made.select("zone", "row", "col").collect())) == sorted(k for k in near if 0 <= k[1] < 300 and 0 <= k[2] < 60)
+
+
 def test_simplified_borders_are_compared_in_small_cells(spark, monkeypatch):
     """Edges of simplified borders are short: the cells in which all pairs meet must not be as wide as chunks."""
     cells = []
