@@ -131,12 +131,13 @@ def features(pixels: DataFrame, outlines: DataFrame, frame: Frame, source: str,
 def zones(pixels: DataFrame, fields: DataFrame, frame: Frame, rules: Rules) -> DataFrame:
     """(id, parent_field, zone_id, zone_class, mean_ndvi, ring): a feature for each outline of each field's zones. fields: as features gives them."""
     held = keys(pixels)
+    fields = written(fields.select(*held, "label", "id", "rings"))
     whole = members(pixels.select(*held, "row", "col", "ndvi"), fields.select(*held, "label", "rings"), frame)
     field = F.concat_ws(":", *(F.col(c).cast("string") for c in (*held[:1], "label")))
     zoned = written(zonal.kmeans_zones(whole.withColumn("field", field), "field", "ndvi", rules.zones))
     means = zonal.zone_means(zoned, "field", "ndvi")
     parts = segment.components(zoned.select(*held, "row", "col", F.concat_ws("/", "field", "zone_id").alias("part")), frame.width, within="part")
-    parts = parts.join(zoned.select(*held, "row", "col", field.alias("field"), "zone_id"), [*held, "row", "col"])
+    parts = written(parts.join(zoned.select(*held, "row", "col", field.alias("field"), "zone_id"), [*held, "row", "col"]))
     of = parts.select(*held, "label", "field", "zone_id").distinct()
     outlines = segment.polygonize(parts.select(*held, "label", "row", "col")).where(geo.signed_area(F.col("ring")) != 0).join(of, [*held, "label"])
     parents = fields.select(F.col("id").alias("parent_field"), field.alias("field"))
