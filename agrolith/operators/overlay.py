@@ -5,19 +5,22 @@ are merged to one with a net direction for each operand. What lies on both sides
 ray from its middle crosses, found by a join on bands. A piece is kept where the result lies on one side only, directed with the result on its left,
 and kept pieces are joined to rings. Results of one overlay share their pieces, so areas add up exactly on the snapped grid.
 
-Polygons are rows (by..., rings array<array<struct<x, y>>>), closed rings in any order and direction. All work is keyed by `by` and by
-cells, so neither a polygon nor its ring has to fit in a task before the last step. Polygons of one key make one operand.
+Polygons are rows (by..., rings array<array<struct<x, y>>>), closed rings in any order and direction. Polygons of one key make one operand.
+Keys of few edges are shuffled once and done on arrays, many in one (operators/noding.py). Those of more are keyed by `by` and by cells, so
+neither a polygon nor its ring has to fit in a task before the last step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import cos, pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agrolith.functions import geometry as geo
+from agrolith.operators import noding
 from agrolith.operators.rings import rings as rings_of
 from agrolith.operators.scratch import forget, written
 from agrolith.operators.zonal import points_in_polygons
@@ -26,10 +29,10 @@ from agrolith.operators.zonal import points_in_polygons
 SCALE, CELL = 1e9, 0.01
 
 Inside = Callable[[Column, Column], Column]
-odd = lambda w: F.pmod(w, F.lit(2)) == 1
+odd = lambda w: w % 2 != 0
 some = lambda w: w != 0
 
-#: What belongs to a result, by the winding numbers of a point in the operands a and b; a by the even-odd rule, b by the non-zero rule.
+#: What belongs to a result, by the winding numbers (columns or arrays) of a point in the operands a and b; a by the even-odd rule, b by the non-zero rule.
 RESULTS: dict[str, Inside] = {
     "difference": lambda a, b: odd(a) & ~some(b),
     "intersection": lambda a, b: odd(a) & some(b),
@@ -165,7 +168,8 @@ def _rings(wound: DataFrame, by: list[str], cell: int, inside: Inside) -> DataFr
 
 def parts(loops: DataFrame, by: list[str], cell: float) -> DataFrame:
     """(by..., part, rings): each outer ring with its holes, from rings (by..., ring) that don't cross."""
-    loops = written(loops.withColumn("_area", geo.signed_area(F.col("ring"))).withColumn("_id", F.struct(*by, F.get("ring", 0).alias("p"), F.get("ring", 1).alias("q"), F.col("_area").alias("s"))))
+    near = F.transform("ring", lambda p: F.struct((p["x"] - F.get("ring", 0)["x"]).alias("x"), (p["y"] - F.get("ring", 0)["y"]).alias("y")))  # products stay small
+    loops = written(loops.withColumn("_area", geo.signed_area(near)).withColumn("_id", F.struct(*by, F.get("ring", 0).alias("p"), F.get("ring", 1).alias("q"), F.col("_area").alias("s"))))
     outer = loops.where("_area > 0")
     p, q = (F.get("ring", k) for k in (0, 1))
     holes = loops.where("_area < 0").select(*by, F.col("_id").alias("_hole"), F.col("ring").alias("_hole_ring"), ((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y"))
@@ -185,12 +189,24 @@ def scaled(polygons: DataFrame, scale: float) -> DataFrame:
 def overlay(a: DataFrame, b: DataFrame | None, by: list[str], results: tuple[str, ...], scale: float = SCALE, cell: float = CELL) -> dict[str, DataFrame]:
     """For each of the results (RESULTS), its polygons (by..., part, rings). a, b: polygons; those of b that have a key of a take part."""
     step = max(1, int(cell * scale))
-    edges = edges_of(a, by, "a", scale)
-    if b is not None:
-        edges = edges.unionByName(edges_of(b, by, "b", scale))
-    pieces = noded(edges, by, step)
-    wound = written(windings(pieces, by, step)) if len(results) > 1 else windings(pieces, by, step)
-    return {name: scaled(parts(_rings(wound, by, step, RESULTS[name]), by, step), scale) for name in results}
+    operands = {"a": a} if b is None else {"a": a, "b": b}
+    sizes = reduce(DataFrame.unionByName, (p.select(*by, F.coalesce(F.size(F.flatten("rings")), F.lit(0)).alias("n")) for p in operands.values()))
+    many = written(sizes.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") > noding.HELD).select(*by))
+    some_many = not many.isEmpty()
+
+    def edges(kind: str | None) -> DataFrame:
+        """Of keys with many edges or few, or of all."""
+        kept = ((p.join(many.hint("merge"), by, kind) if kind else p, name) for name, p in operands.items())
+        return reduce(DataFrame.unionByName, (edges_of(p, by, name, scale) for p, name in kept))
+
+    few = noding.polygons_of_keys(edges("left_anti" if some_many else None), by, [RESULTS[name] for name in results], scale)
+    few = written(few) if len(results) > 1 else few
+    found = {name: few.where(F.col("result") == k).select(*by, "part", "rings") for k, name in enumerate(results)}
+    if some_many:
+        pieces = noded(edges("left_semi"), by, step)
+        wound = written(windings(pieces, by, step)) if len(results) > 1 else windings(pieces, by, step)
+        found = {name: own.unionByName(scaled(parts(_rings(wound, by, step, RESULTS[name]), by, step), scale)) for name, own in found.items()}
+    return found
 
 
 def make_valid(polygons: DataFrame, by: list[str], scale: float = SCALE, cell: float = CELL) -> DataFrame:

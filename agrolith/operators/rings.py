@@ -51,18 +51,23 @@ def corners(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return kept[at:] + kept[:at]
 
 
-def simple_loops(points: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+def simple_loops(points: list[tuple]) -> list[list[tuple]]:
     """A ring cut at points that it visits again, so that no loop touches itself."""
+    return [[points[k] for k in loop] for loop in loops_at(points)]
+
+
+def loops_at(points: list) -> list[list[int]]:
+    """The places of the points of each simple loop of a ring."""
     loops, path, place = [], [], {}
-    for p in points:
+    for n, p in enumerate(points):
         if p in place:
             k = place[p]
             loops.append(path[k:])
-            for q in path[k:]:
-                del place[q]
+            for m in path[k:]:
+                del place[points[m]]
             del path[k:]
         place[p] = len(path)
-        path.append(p)
+        path.append(n)
     return [*loops, path]
 
 

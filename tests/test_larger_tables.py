@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from agrolith.operators import overlay, rings, segment, stencil, zonal
+from agrolith.operators import noding, overlay, rings, segment, stencil, zonal
 from agrolith.plans import field_queries, more_queries, raster_queries  # noqa: F401  they register themselves
 from agrolith.plans import queries as plans
 
 SF = "/root/testdata/sf0.1"
+POLYGONS = "id int, rings array<array<struct<x double,y double>>>"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
 
@@ -63,6 +66,58 @@ def test_noding_broadcasts_no_edges(spark, tmp_path):
     assert {(r.p.x, r.p.y) for r in met.collect()} == {(1, 3), (3, 1)}
 
 
+def star(r, n, steps):
+    """A ring that crosses and touches itself, on 1 / steps."""
+    ring = [{c: round(r.uniform(0, 10) * steps) / steps for c in "xy"} for _ in range(n)]
+    return [*ring, ring[0]]
+
+
+def test_keys_of_few_edges_are_shuffled_once(spark):
+    """Neither joins nor a row for each cell: one shuffle by key, and arrays of many keys."""
+    r = random.Random(1)
+    stars = spark.createDataFrame([(k, [star(r, 9, 1)]) for k in range(50)], POLYGONS)
+    found = overlay.make_valid(stars, ["id"], 1000.0, 2.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+    assert found.select("id").distinct().count() == 50
+
+
+def test_keys_of_few_edges_and_of_many_agree(spark, monkeypatch):
+    """Arrays and joins on cells make the same polygons: crossings, touching points, equal edges, holes; of 24 edges and fewer on arrays alone."""
+    r = random.Random(5)
+    a, b = (spark.createDataFrame([(k, [star(r, n, 1000 if k % 2 else 1) for _ in range(1 + k % 3)]) for k in range(12)], POLYGONS) for n in (10, 6))
+
+    def found(held):
+        monkeypatch.setattr(noding, "HELD", held)
+        made = overlay.overlay(a, b, ["id"], ("difference", "union", "merged"), 1000.0, 2.0)
+        return {n: sorted((x.id, x.part, [[tuple(p) for p in ring] for ring in x.rings]) for x in d.collect()) for n, d in made.items()}
+
+    few = found(1_024)
+    assert any(len(rings) > 1 for _, _, rings in few["union"]) and all(few.values())
+    assert few == found(24)
+
+
+def test_blocks_of_keys_make_no_difference(monkeypatch):
+    """A block has one key or all, and pairs are compared at once or a few at a time, far from the origin, too."""
+    r = random.Random(3)
+    rows = []
+    for k in range(9):
+        ring = star(r, 12, 1)
+        ends = [tuple(int(p[c] * 3) + (k % 2) * 2**40 for c in "xy") for p in ring]
+        rows += [(k, *min(p, q), *max(p, q), 1 if p < q else -1, 0, 1) for p, q in zip(ends, ends[1:], strict=False) if p != q]
+    e = np.array(rows).T.copy()
+    inside = lambda a, b: a % 2 != 0
+    ((_, key, part, rings),) = noding._found(e.copy(), [inside], 1.0)
+    monkeypatch.setattr(noding, "PAIRS", 5)
+    one = []
+    for k in range(9):
+        own = e[:, e[0] == k].copy()
+        own[0] = 0
+        ((_, _, p, q),) = noding._found(own, [inside], 1.0)
+        one += [(k, *v) for v in zip(p.tolist(), q.to_pylist(), strict=True)]
+    assert list(zip(key.tolist(), part.tolist(), rings.to_pylist(), strict=True)) == one
+
+
 def test_stencils_shuffle_pixels_once(spark):
     """Convolution, morphology and enlargement shuffle about as many rows as there are pixels, not as many as kernels have cells."""
     from agrolith.operators import grid, stencil
