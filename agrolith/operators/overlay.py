@@ -173,9 +173,10 @@ def parts(loops: DataFrame, by: list[str], cell: float) -> DataFrame:
     outer = loops.where("_area > 0")
     p, q = (F.get("ring", k) for k in (0, 1))
     holes = loops.where("_area < 0").select(*by, F.col("_id").alias("_hole"), F.col("ring").alias("_hole_ring"), ((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y"))
-    around = points_in_polygons(holes, outer.select(*by, "_id", "_area", F.array("ring").alias("rings")), cell, by)
+    # No broadcasts: rings in written tables are small as files, too, and the driver can't hold a row of them for each cell.
+    around = points_in_polygons(holes.hint("merge"), outer.select(*by, "_id", "_area", F.array("ring").alias("rings")), cell, by)
     owned = around.groupBy(*by, "_hole").agg(F.min_by("_id", "_area").alias("_id"), F.first("_hole_ring").alias("_hole_ring")).groupBy(*by, "_id").agg(F.array_sort(F.collect_list("_hole_ring")).alias("_holes"))
-    whole = outer.join(owned, [*by, "_id"], "left").withColumn("rings", F.concat(F.array("ring"), F.coalesce("_holes", F.array().cast("array<array<struct<x:double,y:double>>>"))))
+    whole = outer.join(owned.hint("merge"), [*by, "_id"], "left").withColumn("rings", F.concat(F.array("ring"), F.coalesce("_holes", F.array().cast("array<array<struct<x:double,y:double>>>"))))
     first = Window.partitionBy(*by).orderBy("_id")
     return whole.withColumn("part", F.row_number().over(first) - 1).select(*by, "part", "rings")
 

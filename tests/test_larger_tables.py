@@ -97,6 +97,18 @@ def test_keys_of_few_edges_and_of_many_agree(spark, monkeypatch):
     assert few == found(24)
 
 
+@pytest.mark.parametrize("held", [1_024, 0])
+def test_overlays_broadcast_no_rings(spark, monkeypatch, held):
+    """Whether keys are done on arrays or on cells, the driver holds none of their rings."""
+    monkeypatch.setattr(noding, "HELD", held)
+    r = random.Random(7)
+    a, b = (spark.createDataFrame([(k, [star(r, 6, 1)]) for k in range(4)], POLYGONS) for _ in range(2))
+    for found in overlay.overlay(a, b, ["id"], ("difference", "union"), 1000.0, 4.0).values():
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, plan
+        assert found.count()
+
+
 def test_blocks_of_keys_make_no_difference(monkeypatch):
     """A block has one key or all, and pairs are compared at once or a few at a time, far from the origin, too."""
     r = random.Random(3)
