@@ -109,6 +109,19 @@ def test_overlays_broadcast_no_rings(spark, monkeypatch, held):
         assert found.count()
 
 
+@pytest.mark.parametrize("held", [1_024, 0])
+def test_unions_broadcast_no_rings(spark, monkeypatch, held):
+    """A frame around a field of its own, and a strip across its border: three outer rings and a hole become two and one."""
+    monkeypatch.setattr(noding, "HELD", held)
+    box = lambda w, s, e, n: [{"x": float(x), "y": float(y)} for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))]
+    sides = [box(0, 0, 9, 2), box(7, 0, 9, 9), box(0, 7, 9, 9), box(0, 0, 2, 9), box(4, 4, 5, 5), box(8, 3, 12, 4)]
+    found = overlay.union(spark.createDataFrame([(k, [b]) for k in range(3) for b in sides], POLYGONS), ["id"], 1000.0, 4.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
+    size = lambda ring: sum(p.x * q.y - q.x * p.y for p, q in zip(ring, ring[1:], strict=False)) / 2
+    assert sorted((x.id, x.part, [size(ring) for ring in x.rings]) for x in found.collect()) == [(k, *part) for k in range(3) for part in ((0, [84.0, -25.0]), (1, [1.0]))]
+
+
 def test_blocks_of_keys_make_no_difference(monkeypatch):
     """A block has one key or all, and pairs are compared at once or a few at a time, far from the origin, too."""
     r = random.Random(3)
