@@ -54,7 +54,8 @@ def points_in_polygons(points: DataFrame, outlines: DataFrame, cell: float, by:
     wide = outlines.withColumn("_cx", F.explode(span(0, 2))).withColumn("_cy", F.explode(span(1, 3)))
     placed = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     inside = F.aggregate("rings", F.lit(False), lambda odd, r: odd != contains(r, F.col("x"), F.col("y")))
-    return placed.join(wide, [*by, "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    # No broadcast: outlines are small as files, but there is a row of them for each cell.
+    return placed.join(wide.hint("merge"), [*by, "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
 def _runs(rings: pa.ListArray, west: float, north: float, dx: float, dy: float) -> tuple[np.ndarray, ...]:

@@ -180,6 +180,14 @@ def test_pixels_in_polygons_are_those_of_ray_casting(spark):
     assert len(found) == len(set(found)) > 60 and set(found) == set(plain)
 
 
+def test_points_in_polygons_broadcast_no_outlines(spark):
+    """An outline has a row for each cell that it touches, however small its table is."""
+    outlines = spark.createDataFrame([(1, [[{"x": float(x), "y": float(y)} for x, y in ((0, 0), (9, 0), (9, 9), (0, 0))]])], POLYGONS)
+    found = zonal.points_in_polygons(spark.range(9).selectExpr("id + 0.5D AS x", "id / 4.0D AS y"), outlines, 1.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 9
+
+
 def test_rings_of_pixels_are_read_once(spark):
     """The ring around each zone's pixels, without a row for each of its steps; zones may touch and lie at the raster's border and a chunk's."""
     mask = spark.createDataFrame([(z, r, c) for z, at in ((1, 0), (2, 3), (3, 254)) for r in range(at, at + 4) for c in range(3)], "zone long, row long, col long")
